@@ -136,7 +136,7 @@ def identify(docs: DataFrame, dim: int = DIM, max_training: int = MAX_TRAINING)
     return docs.withColumn("found", predict_language(F.col("text"), train_prototypes(docs, dim, max_training), dim))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
     """Rows whose language is found; a text without letters or unlike every prototype goes."""
     columns = docs.columns
     found = identify(docs)
