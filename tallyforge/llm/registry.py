@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import language, packing, simhash
+from tallyforge.llm import language, packing, secrets, simhash
 
-_MODULES = (simhash, packing, language)
+_MODULES = (secrets, simhash, packing, language)
 
 
 def queries() -> dict:
