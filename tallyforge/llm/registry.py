@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import language, packing, secrets, simhash
+from tallyforge.llm import language, mixing, packing, secrets, simhash
 
-_MODULES = (secrets, simhash, packing, language)
+_MODULES = (secrets, simhash, mixing, packing, language)
 
 
 def queries() -> dict:
