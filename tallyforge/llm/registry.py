@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import language, mixing, packing, secrets, simhash
+from tallyforge.llm import embeddings, language, mixing, packing, secrets, simhash, warc
 
-_MODULES = (secrets, simhash, mixing, packing, language)
+_MODULES = (secrets, simhash, embeddings, mixing, warc, packing, language)
 
 
 def queries() -> dict:
