@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from tallyforge.llm.shared import table
 
 WINDOW = 2048
 SEPARATOR = 1
-MAX_CACHED = 400_000
+MAX_CACHED = 1_200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,27 +36,55 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer:
-    """Token ids of whole texts. The vocabulary's rules never join characters across a space, so ids are kept by word."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write the bytes that do not print as the characters from 256 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in prints)
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class WordTokenizer(dict):
+    """Token ids by word, as little-endian bytes.
+
+    The vocabulary's rules never join characters across white space, so a text's
+    ids are those of its words. They also part letters from what follows and
+    lower-case them; a word of plain Latin letters with punctuation behind is put
+    together from both, and everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.full = Tokenizer.from_file(path)
+        self.model = self.full.model
+        self.bytes_as = _byte_letters()
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(".,;:!?#$%&*|()-")
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+            lower = core.lower()
+            if core != word or lower != core:
+                found = self[lower] + (self[word[len(core) :]] if core != word else b"")
+            else:
+                said = core if core.isascii() else core.encode().decode("latin-1").translate(self.bytes_as)
+                found = self._packed([t.id for t in self.model.tokenize(said)])
+        else:
+            found = self._packed(self.full.encode(word, add_special_tokens=False).ids)
+        self[word] = found
+        return found
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        end = self._packed([SEPARATOR])
         for text in texts:
             words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-            new = set(words).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > MAX_CACHED:
-                    self.known.clear()
-                    new = set(words)
-                new = list(new)
-                self.known.update(zip(new, (e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False))))
-            yield np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), (SEPARATOR,)), dtype=np.uint32)
+            yield np.frombuffer(b"".join(map(self.__getitem__, words)) + end, dtype="<u4")
+            if len(self) > MAX_CACHED:
+                self.clear()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
