@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import embeddings, language, mixing, packing, secrets, simhash, urls, warc
+from tallyforge.llm import embeddings, fingerprints, language, mixing, packing, secrets, simhash, urls, warc
 
-_MODULES = (secrets, urls, simhash, embeddings, mixing, warc, packing, language)
+_MODULES = (secrets, fingerprints, urls, simhash, embeddings, mixing, warc, packing, language)
 
 
 def queries() -> dict:
