@@ -62,14 +62,12 @@ def fingerprint(text: str | None) -> str:
     block = LEAST_BLOCK
     while block * DIGITS < len(data):
         block *= 2
-    while True:
-        cuts = np.flatnonzero((rolled & np.uint32(block - 1)) == block - 1)
-        digits = _digits(mixed, cuts)
-        if len(digits) >= DIGITS // 2 or block == LEAST_BLOCK:
-            break
+    cuts = np.flatnonzero((rolled & np.uint32(block - 1)) == block - 1)
+    while len(cuts) < DIGITS // 2 and block > LEAST_BLOCK:
         block //= 2
+        cuts = np.flatnonzero((rolled & np.uint32(block - 1)) == block - 1)
     wider = cuts[(rolled[cuts] & np.uint32(2 * block - 1)) == 2 * block - 1]
-    return f"{block}:{digits}:{_digits(mixed, wider)}"
+    return f"{block}:{_digits(mixed, cuts)}:{_digits(mixed, wider)}"
 
 
 def edited(text: str | None, other: str | None) -> str:
