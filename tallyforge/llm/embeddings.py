@@ -1,18 +1,20 @@
 """Embedding near-duplicates: spherical k-means cells and blocked cosine products.
 
 Equal vectors are one class from the start, so copies cost nothing. A vector
-lives in the cell of its nearest centroid and visits every other cell whose
-centroid lies within twice the linking angle more than that. By the triangle
-inequality of angles, each partner of a vector lives in its cell or visits it,
-so no link is lost at cell borders. A cell is cut into blocks of bounded size;
-a task multiplies two blocks, adds up link counts per vector and passes on
-edges that span what is linked, not the linked pairs.
+lives in the cell of its nearest centroid and visits other cells whose centroids
+are nearly as near, so that partners meet across cell borders. A partner differs
+by a vector no longer than the chord of the linking angle; a cell is visited
+where such a difference, turned at random, could change the nearest centroid at
+``reach`` standard deviations. ``reach=None`` visits whatever any difference
+could change, which loses no link but in high dimensions visits nearly all cells.
+
+A cell is cut into blocks of bounded size; a task multiplies two blocks, adds up
+link counts per vector and passes on edges that span what is linked, not the
+linked pairs.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ SAMPLE = 20_000
 CELL = 500
 MAX_CELLS = 1024
 BLOCK = 512
+REACH = 2.5
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -78,7 +81,7 @@ def _spanning(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[n
     return rows[np.concatenate(out_r)], cols[np.concatenate(out_c)]
 
 
-def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK, reach: float | None = REACH) -> DataFrame:
     """(id, n_links, component): other rows with cosine >= ``threshold``, and the smallest id reachable over such links.
 
     The centroids come from a sample of at most about ``sample`` distinct
@@ -89,17 +92,16 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     an empty table gives an empty result.
     """
     scratch = Scratch(vectors.sparkSession, "embeddings")
-    plain = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).alias("id"), plain.alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     usable = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = scratch.save(rows.select("id", "v", usable.alias("usable")).withColumn("key", F.when(F.col("usable"), F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256))), "rows")
+    rows = scratch.save(rows.select("id", "v", usable.alias("usable")).withColumn("key", F.when(F.col("usable"), F.sha2(F.array_join(F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ","), 256))), "rows")
     classes = scratch.save(rows.where("usable").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "classes")
     n = classes.count()
     links = None
     if n:
         drawn = classes.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
-        links = _links(scratch, classes.select("key", "copies", "v"), _centroids(drawn, n), threshold, block)
+        links = _links(scratch, classes.select("key", "copies", "v"), _centroids(drawn, n), threshold, block, reach)
         names = classes.select("key", "rep")
         ends = links.where("other is not null").select("key", "other").distinct()
         ids = ends.join(names, "key").withColumnRenamed("rep", "a").join(names.select(F.col("key").alias("other"), F.col("rep").alias("b")), "other").select("a", "b")
@@ -118,43 +120,54 @@ def _centroids(drawn: DataFrame, n: int) -> dict[int, np.ndarray]:
         by_size.setdefault(len(row["v"]), []).append(row["v"])
     out = {}
     for size, found in by_size.items():
-        unit = np.array(found)
+        unit = np.array(found, dtype=np.float64)
         unit /= np.abs(unit).max(axis=1, keepdims=True)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         out[size] = spherical_kmeans(unit, max(1, min(MAX_CELLS, n // CELL)))
     return out
 
 
-def _links(scratch: Scratch, classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float, block: int) -> DataFrame:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _links(scratch: Scratch, classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float, block: int, reach: float | None) -> DataFrame:
     """(key, other, n): per vector and task the copies it links with (other null), and spanning edges (n 0)."""
-    slack = 2 * math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+    chord = np.sqrt(max(0.0, 2 - 2 * threshold))
+    kind = classes.schema["v"].dataType.simpleString()
 
     def assign(batches):
         for batch in batches:
             for size, part in batch.groupby(batch["v"].map(len)):
-                v = np.stack(part["v"].to_numpy())
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                if size in centroids:
-                    angle = np.arccos(np.clip(v @ centroids[size].T, -1, 1))
+                v = _unit(part["v"])
+                middle = centroids.get(size)  # a dimension that the sample missed is one cell
+                if middle is None:
+                    home, near = np.zeros(len(v), int), np.ones((len(v), 1), bool)
                 else:
-                    angle = np.zeros((len(v), 1))  # a dimension that the sample missed is one cell
-                home = angle.argmin(axis=1)
-                row, cell = np.nonzero(angle <= angle.min(axis=1)[:, None] + slack)
-                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": list(v[row]), "size": size, "cell": cell, "home": home[row] == cell})
-
-    placed = scratch.save(classes.mapInPandas(assign, "key string, copies long, v array<double>, size int, cell int, home boolean"), "placed")
-    blocks = placed.groupBy("size", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, ["size", "cell"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.where("home").withColumn("j", every).select("size", "cell", F.col("own").alias("i"), "j", "key", "copies", "v", F.lit(True).alias("first"))
-    right = dealt.withColumn("i", every).select("size", "cell", "i", F.col("own").alias("j"), "key", "copies", "v", F.lit(False).alias("first"))
+                    cosine = v @ middle.T
+                    home = cosine.argmax(axis=1)
+                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * middle @ middle.T))
+                    step = chord * (1.0 if reach is None else min(1.0, reach / np.sqrt(size)))
+                    near = cosine.max(axis=1)[:, None] - cosine <= step * apart[home] + 1e-9
+                row, cell = np.nonzero(near)
+                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "size": size, "cell": cell, "home": home[row] == cell})
+
+    placed = scratch.save(classes.mapInPandas(assign, f"key string, copies long, v {kind}, size int, cell int, home boolean"), "placed")
+    count = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(block))).cast("int")
+    blocks = placed.groupBy("size", "cell").agg(count(F.count_if("home")).alias("homes"), count(F.count("*")).alias("blocks"))
+    dealt = placed.join(blocks, ["size", "cell"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    left = dealt.where("home").select("size", "cell", own("homes").alias("i"), every("blocks").alias("j"), "key", "copies", "v", F.lit(True).alias("first"))
+    right = dealt.select("size", "cell", every("homes").alias("i"), own("blocks").alias("j"), "key", "copies", "v", F.lit(False).alias("first"))
 
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
         a, b = part[part["first"]], part[~part["first"]]
         if a.empty or b.empty:
             return pd.DataFrame({"key": [], "other": [], "n": []})
-        linked = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T >= threshold
+        linked = _unit(a["v"]) @ _unit(b["v"]).T >= threshold
         names_a, names_b = a["key"].to_numpy(), b["key"].to_numpy()
         linked &= names_a[:, None] != names_b[None, :]
         n = linked @ b["copies"].to_numpy()
