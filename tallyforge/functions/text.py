@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,10 +40,11 @@ def injections(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(matches(text, p), F.lit(n)) for n, p in patterns.INJECTIONS]))
 
 
-@F.pandas_udf("string")
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+def _nfkc(text: Column) -> Column:
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(compose, "string")(text)
 
 
 def normalise(text: Column) -> Column:
@@ -106,10 +106,13 @@ def _first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def first_json_object(texts: pd.Series) -> pd.Series:
+def first_json_object(text: Column) -> Column:
     """The first well-formed JSON object within a text, keys sorted; null without one."""
-    return texts.map(_first_object)
+
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(_first_object)
+
+    return F.pandas_udf(find, "string")(text)
 
 
 def answer_json(text: Column) -> Column:

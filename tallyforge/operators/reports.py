@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,4)"
 
 
-def money(c: Column) -> Column:
+def money(c: Column, kind: str = MONEY) -> Column:
     """The exact sum of ``c``, 0 of nothing."""
-    return F.coalesce(F.sum(c.cast(MONEY)), F.lit(0).cast("decimal(28,4)")).cast("double")
+    return F.coalesce(F.sum(c.cast(kind)).cast("double"), F.lit(0.0))
 
 
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -19,7 +19,7 @@ def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
 
 def median_of(df: DataFrame, value: str) -> DataFrame:
     """One row: the exact median, from the counts of the distinct values."""
-    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).agg(F.percentile(value, 0.5, "_n").alias("median"))
+    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias("median"))
 
 
 def overview(df: DataFrame, month: str, amount: str, is_refund: Column) -> DataFrame:
@@ -126,7 +126,7 @@ def by_team(refunds: DataFrame, team: str, amount: str) -> DataFrame:
 def by_driver(refunds: DataFrame, drivers: str, avoidable: str) -> DataFrame:
     """Per driver: refunds, gross value (each refund whole, so rows add up to more) and pro-rated value (adds up to the total)."""
     each = refunds.where(F.size(drivers) > 0).select(F.explode(drivers).alias("driver"), F.col(avoidable).alias("_v"), F.size(drivers).alias("_n"))
-    return each.groupBy("driver").agg(F.count("*").alias("refunds"), money(F.col("_v")).alias("gross_value"), money(F.col("_v") / F.col("_n")).alias("prorated_value"))
+    return each.groupBy("driver").agg(F.count("*").alias("refunds"), money(F.col("_v")).alias("gross_value"), money(F.col("_v") / F.col("_n"), "decimal(24,10)").alias("prorated_value"))
 
 
 def lot_scores(df: DataFrame, lot: list[str], is_refund: Column, least: int = 30) -> DataFrame:
