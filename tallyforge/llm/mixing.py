@@ -80,33 +80,42 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return F.aggregate(literal, F.lit(1.0), move)
 
 
+def _state(spread: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens by domain, and the Gram matrix of the rows whose rate is above zero."""
+    k = len(DOMAINS)
+    rows = spread.select("tokens", "p", _rate(steps).alias("r"))
+    alive = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+    mass = [F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(k)]
+    gram = [F.sum(alive * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i + 1)]
+    row = rows.agg(*mass, *gram).first()
+    have = np.array([row[f"m{i}"] or 0.0 for i in range(k)])
+    return have, np.array([[row[f"g{max(i, j)}{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+
 def fit_rates(spread: DataFrame, targets: dict[str, float], max_steps: int = 40, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps that give the rates, and the target tokens by domain.
 
     ``spread``: (tokens, p). The mixture's size is such that the first domain
-    keeps its present tokens. A domain without any mass has no target.
+    keeps its present tokens. A domain without any mass has no target. A step
+    that would not lower the squared distance is halved until it does.
     """
-    k = len(DOMAINS)
-    mass = [F.sum(F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(k)]
-    gram = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i + 1)]
-    row = spread.agg(*mass, *gram).first()
-    now = np.array([row[f"m{i}"] or 0.0 for i in range(k)])
-    if now.sum() <= 0:
-        return [], now
+    have, gram = _state(spread, [])
+    if have.sum() <= 0:
+        return [], have
     weights = np.array([targets[d] for d in DOMAINS])
-    want = weights * (now[0] / weights[0] if now[0] > 0 and weights[0] > 0 else now.sum())
-    want[now <= 0] = 0
-    g = np.array([[row[f"g{max(i, j)}{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(g, rcond=1e-9)
+    want = weights * (have[0] / weights[0] if have[0] > 0 and weights[0] > 0 else have.sum())
+    want[have <= 0] = 0
     steps: list[np.ndarray] = []
-    have = now
+    move = None
     for _ in range(max_steps):
         if np.abs(have - want).max() <= tolerance * want.sum():
             break
-        steps.append(inverse @ (want - have))
-        moved = spread.withColumn("r", _rate(steps))
-        row = moved.agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(k)]).first()
-        have = np.array([row[f"m{i}"] or 0.0 for i in range(k)])
+        move = np.linalg.pinv(gram, rcond=1e-9) @ (want - have) if move is None else move / 2
+        there, gram_there = _state(spread, [*steps, move])
+        if np.linalg.norm(there - want) < np.linalg.norm(have - want):
+            steps, have, gram, move = [*steps, move], there, gram_there, None
+        elif np.abs(move).max() < 1e-9:
+            break
     return steps, want
 
 
