@@ -69,15 +69,16 @@ def posteriors(docs: DataFrame, model: PipelineModel | None) -> DataFrame:
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
-    """The rate after these steps, from each document's posterior alone."""
+    """The rate after these steps, from each document's posterior alone; the posterior is read once and carried along."""
     if not steps:
         return F.lit(1.0)
     literal = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
 
-    def move(rate: Column, s: Column) -> Column:
-        return F.greatest(F.lit(0.0), rate + sum((s[k] * F.col("p")[k] for k in range(1, len(DOMAINS))), s[0] * F.col("p")[0]))
+    def move(at: Column, s: Column) -> Column:
+        change = sum((s[k] * at["p"][k] for k in range(1, len(DOMAINS))), s[0] * at["p"][0])
+        return F.struct(F.greatest(F.lit(0.0), at["rate"] + change).alias("rate"), at["p"].alias("p"))
 
-    return F.aggregate(literal, F.lit(1.0), move)
+    return F.aggregate(literal, F.struct(F.lit(1.0).alias("rate"), F.col("p").alias("p")), move, lambda at: at["rate"])
 
 
 def _state(spread: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +152,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         scored = model.transform(scored.withColumn("_words", F.array_distinct("_words"))).withColumn("p", F.array(*[F.get(p, F.lit(k)) if k < classes else F.lit(0.0) for k in range(len(DOMAINS))]))
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(_rate(steps) + u).cast("int")
-    return scored.withColumn("_n", times).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")
+    return scored.select("_row", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
