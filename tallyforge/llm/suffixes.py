@@ -8,10 +8,11 @@ windows mostly share their anchor; each run of windows with one anchor is a
 *segment*, and its suffix (from the anchor on, then what lies before it) is
 sorted.
 
-Map tasks sort their suffixes, collapse equal ones, and exchange them front
+Texts are dealt to runs. A first exchange of anchor hashes alone tells each run
+which of its anchors another document may have; the rest cannot match and stay at
+home. Runs then sort their suffixes, collapse equal ones, and exchange them front
 coded: each entry is the length that it shares with the one before and the rest.
-Reduce tasks own the anchors of a hash range, drop anchors that only one document
-has, and merge the sorted runs with a loser tree that knows how much every
+Reduce tasks own the anchors of a hash range and merge the sorted runs with a loser tree that knows how much every
 contender shares with the last winner, so that shared prefixes are never compared
 again. In the merged order, equal suffixes and equal anchors are neighbours: a
 segment that an earlier document has whole goes, and where segments of one anchor
@@ -36,8 +37,9 @@ ANCHOR = 16
 _RIGHT, _LEFT = SPAN, SPAN - ANCHOR
 _KEY = _RIGHT + _LEFT + 2  # right part, left part, their lengths
 _PIECE = 4 << 20
-_RUN = 12 << 20
+_RUN = 8 << 20
 _POS_BITS = np.uint64(25)
+_HASH_BITS = 56
 _LAST = (1 << 63) - 1  # null doc_ids come after all others
 
 
@@ -264,76 +266,154 @@ def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
     return pd.DataFrame({"doc": doc, "crc": crc, "start": start, "end": end}) if len(doc) else None
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, crc, start, end): byte ranges whose windows start in a document with a smaller doc_id. ``docs``: doc, crc, data (bytes)."""
+def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in bounded buffers: bytes, piece starts, and for each piece its text's number and place in it. Long texts overlap by a window less one."""
+    pending: list[tuple[int, int, bytes]] = []
+    size = 0
+
+    def buffer() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.concatenate(([0], np.cumsum([len(p[2]) for p in pending])))
+        return np.frombuffer(b"".join(p[2] for p in pending), np.uint8), starts, np.array([p[0] for p in pending]), np.array([p[1] for p in pending])
+
+    for k, text in enumerate(texts):
+        for offset in range(0, len(text) - SPAN + 1, _PIECE):
+            piece = text[offset : offset + _PIECE + SPAN - 1]
+            pending.append((k, offset, piece))
+            size += len(piece)
+            if size >= _PIECE:
+                yield buffer()
+                pending.clear()
+                size = 0
+    if pending:
+        yield buffer()
+
+
+def _anchor_hashes(data: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    words = _words(data)
+    return _mix(words[anchor] * np.uint64(0x9E3779B97F4A7C15) + _mix(words[anchor + 8])) >> np.uint64(64 - _HASH_BITS)
+
+
+def _distinct_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchor hashes of some texts, and which of them two texts have."""
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for data, starts, number, _ in _pieces(texts):
+        first, _, anchor = segments(data, starts)
+        hashes.append(_anchor_hashes(data, anchor))
+        owners.append(number[np.searchsorted(starts, first, side="right") - 1])
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    if not len(h):
+        return h, np.zeros(0, bool)
+    begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[begins], np.minimum.reduceat(owner, begins) != np.maximum.reduceat(owner, begins)
+
+
+def _pack_hashes(hashes: np.ndarray, twice: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte, so that the high ones compress away."""
+    planes = np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _HASH_BITS // 8]
+    return zstandard.compress(struct.pack("<Q", len(hashes)) + np.ascontiguousarray(planes.T).tobytes() + np.packbits(twice).tobytes(), 3)
+
+
+def _unpack_hashes(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.decompress(payload)
+    (n,) = struct.unpack_from("<Q", data)
+    width = _HASH_BITS // 8
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(width, n).T
+    return np.cumsum(planes.view("<u8")[:, 0], dtype=np.uint64), np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + n * width), count=n).astype(bool)
+
+
+def _run_of(runs: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc", "crc"), F.lit(runs)).cast("int")
+
+
+def _plan(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows by run, the number of runs, and of anchor ranges."""
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.crc32(data).alias("crc"), data.alias("data"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    runs = max(parts, -(-size // _RUN))
+    return rows.withColumn("run", _run_of(runs)), runs, parts
 
-    def sort_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []  # keys, document of the run, position
-        ids: list[int] = []
-        crcs: list[int] = []
-        pending: list[tuple[int, int, bytes]] = []  # document of the run, offset, bytes
-        size = loaded = 0
-
-        def cut() -> None:
-            nonlocal loaded
-            if not pending:
-                return
-            data = np.frombuffer(b"".join(p[2] for p in pending), np.uint8)
-            starts = np.concatenate(([0], np.cumsum([len(p[2]) for p in pending])))
-            first, last, anchor = segments(data, starts)
-            piece = np.searchsorted(starts, first, side="right") - 1
-            base = np.array([p[1] for p in pending]) - starts[:-1]
-            held.append((keys_of(data, first, last, anchor), np.array([p[0] for p in pending])[piece], first + base[piece]))
-            pending.clear()
-            loaded = 0
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal size
-            cut()
-            if held:
-                keys, doc, pos = (np.concatenate([h[c] for h in held]) for c in range(3))
-                held.clear()
-                order = np.argsort(keys.view(f"S{_KEY}")[:, 0], kind="stable")
-                keys, doc, pos = keys[order], doc[order], pos[order]
-                new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, bool)
-                begins = np.flatnonzero(new)
-                counts = np.diff(np.append(begins, len(keys)))
-                distinct = keys[begins]
-                part = (_anchor_hash(distinct) >> np.uint64(20)) % np.uint64(parts)
-                by_part = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[by_part], np.arange(parts + 1))
-                id_array, crc_array = np.array(ids, np.int64), np.array(crcs, np.int64)
-                rank = np.argsort(id_array, kind="stable")
-                place = np.empty_like(rank)
-                place[rank] = np.arange(len(rank))
-                doc = place[doc]
-                for p in range(parts):
-                    own = by_part[ends[p] : ends[p + 1]]
-                    if len(own):
-                        at = _expand(begins[own], counts[own])
-                        yield pd.DataFrame({"part": [p], "payload": [_encode(distinct[own], counts[own], doc[at], pos[at], id_array[rank], crc_array[rank])]})
-            ids.clear()
-            crcs.clear()
-            size = 0
 
+def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
+    """(run, part, bits): which of a run's sorted anchor hashes of that range more than one document has."""
+
+    def list_anchors(batch: pd.DataFrame) -> pd.DataFrame:
+        hashes, twice = _distinct_anchors([bytes(x) for x in batch["data"]])
+        part = hashes % np.uint64(parts)
+        out = []
+        for p in range(parts):
+            own = part == p
+            if own.any():
+                out.append((int(batch["run"].iloc[0]), p, _pack_hashes(hashes[own], twice[own])))
+        return pd.DataFrame(out, columns=["run", "part", "payload"])
+
+    def find_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for doc, crc, data in zip(batch["doc"], batch["crc"], batch["data"]):
-                data = bytes(data)
-                if len(data) < SPAN:
-                    continue
-                ids.append(doc)
-                crcs.append(crc)
-                for offset in range(0, len(data) - SPAN + 1, _PIECE):
-                    piece = data[offset : offset + _PIECE + SPAN - 1]
-                    pending.append((len(ids) - 1, offset, piece))
-                    loaded += len(piece)
-                    size += len(piece)
-                    if loaded >= _PIECE:
-                        cut()
-                if size >= _RUN:
-                    yield from flush()
-        yield from flush()
+            for run, part, payload in zip(batch["run"], batch["part"], batch["payload"]):
+                held.setdefault(part, []).append((run, *_unpack_hashes(bytes(payload))))
+        for part, lists in held.items():
+            every = np.sort(np.concatenate([h for _, h, _ in lists]))
+            several = np.unique(every[1:][every[1:] == every[:-1]])
+            out = []
+            for run, hashes, twice in lists:
+                at = np.minimum(np.searchsorted(several, hashes), max(0, len(several) - 1))
+                shared = twice | (several[at] == hashes if len(several) else False)
+                out.append((run, part, np.packbits(shared).tobytes()))
+            yield pd.DataFrame(out, columns=["run", "part", "bits"])
+
+    listed = rows.groupBy("run").applyInPandas(list_anchors, "run int, part int, payload binary")
+    return listed.repartitionById(parts, F.col("part")).mapInPandas(find_shared, "run int, part int, bits binary")
+
+
+def repeated_ranges(rows: DataFrame, parts: int, ranges_per_frame: int = 100_000) -> DataFrame:
+    """(doc, crc, start, end): byte ranges whose windows start in a document with a smaller doc_id."""
+
+    def sort_suffixes(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"part": [], "payload": []})
+        if batch.empty or answers.empty:
+            return empty
+        texts = [bytes(x) for x in batch["data"]]
+        hashes, _ = _distinct_anchors(texts)
+        part = hashes % np.uint64(parts)
+        shared = np.zeros(len(hashes), bool)
+        for p, bits in zip(answers["part"], answers["bits"]):
+            own = np.flatnonzero(part == p)
+            shared[own] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), count=len(own)).astype(bool)
+        shared = hashes[shared]
+        if not len(shared):
+            return empty
+        held = []
+        for data, starts, number, offset in _pieces(texts):
+            first, last, anchor = segments(data, starts)
+            own = _anchor_hashes(data, anchor)
+            keep = shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own
+            first, last, anchor, own = first[keep], last[keep], anchor[keep], own[keep]
+            piece = np.searchsorted(starts, first, side="right") - 1
+            held.append((keys_of(data, first, last, anchor), number[piece], first + (offset - starts[:-1])[piece], own % np.uint64(parts)))
+        keys, doc, pos, part = (np.concatenate([h[c] for h in held]) for c in range(4))
+        order = np.argsort(keys.view(f"S{_KEY}")[:, 0], kind="stable")
+        keys, doc, pos, part = keys[order], doc[order], pos[order], part[order]
+        begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, np.int64)
+        counts, distinct, part = np.diff(np.append(begins, len(keys))), keys[begins], part[begins]
+        by_part = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[by_part], np.arange(parts + 1))
+        ids, crcs = batch["doc"].to_numpy(np.int64), batch["crc"].to_numpy(np.int64)
+        rank = np.argsort(ids, kind="stable")
+        place = np.empty_like(rank)
+        place[rank] = np.arange(len(rank))
+        doc = place[doc]
+        out = []
+        for p in range(parts):
+            own = by_part[ends[p] : ends[p + 1]]
+            if len(own):
+                at = _expand(begins[own], counts[own])
+                out.append((p, _encode(distinct[own], counts[own], doc[at], pos[at], ids[rank], crcs[rank])))
+        return pd.DataFrame(out, columns=["part", "payload"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, list[bytes]] = {}
@@ -342,11 +422,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                 found.setdefault(part, []).append(bytes(payload))
         for part in list(found):
             if (ranges := resolve(found.pop(part))) is not None:
-                for at in range(0, len(ranges), 100_000):
-                    yield ranges.iloc[at : at + 100_000]
+                for at in range(0, len(ranges), ranges_per_frame):
+                    yield ranges.iloc[at : at + ranges_per_frame]
 
-    runs = docs.mapInPandas(sort_suffixes, "part int, payload binary")
-    return runs.repartitionById(parts, F.col("part")).mapInPandas(merge, "doc long, crc long, start long, end long")
+    suffixes = rows.groupBy("run").cogroup(shared_anchors(rows, parts).groupBy("run")).applyInPandas(sort_suffixes, "part int, payload binary")
+    return suffixes.repartitionById(parts, F.col("part")).mapInPandas(merge, "doc long, crc long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -355,31 +435,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null and short texts lose nothing. Rows with one doc_id do not count against
     each other, repeated rows lose alike, and null doc_ids come after all
     others. Extra columns are ignored; an empty table gives an empty result.
+
+    Texts are dealt to runs of some megabytes by one shuffle, which all three
+    passes over them share.
     """
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.crc32(data).alias("crc"), data.alias("data"))
-    ranges = repeated_ranges(rows.select("doc", "crc", "data"))
-    by_doc = ranges.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    rows, runs, parts = _plan(docs)
+    ranges = repeated_ranges(rows, parts).withColumn("run", _run_of(runs))
 
-    @F.pandas_udf("n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
-    def apply(data: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+    def apply(batch: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
+        by_doc = {k: (g["start"].to_numpy(), g["end"].to_numpy()) for k, g in ranges.groupby(["doc", "crc"])}
         out = []
-        for text, found in zip(data, ranges):
+        for doc_id, doc, crc, text in zip(batch["doc_id"].astype("Int64"), batch["doc"], batch["crc"], batch["data"]):
             text = bytes(text)
-            if found is None or not len(found):
-                out.append((0, 0, text, []))
+            found = by_doc.get((doc, crc))
+            if found is None:
+                out.append((doc_id, len(text), 0, 0, text, []))
                 continue
             edges = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edges, [x["start"] for x in found], 1)
-            np.add.at(edges, [x["end"] for x in found], -1)
+            np.add.at(edges, found[0], 1)
+            np.add.at(edges, found[1], -1)
             gone = np.cumsum(edges[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
             spans = [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])]
-            out.append((int(gone.sum()), len(spans), np.frombuffer(text, np.uint8)[~gone].tobytes(), spans))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "spans"])
+            out.append((doc_id, len(text), int(gone.sum()), len(spans), np.frombuffer(text, np.uint8)[~gone].tobytes(), spans))
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]).astype({"doc_id": "Int64"})
 
-    joined = rows.join(by_doc, ["doc", "crc"], "left")
-    return joined.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), apply("data", "ranges").alias("r")).select("doc_id", "n_bytes", "r.*")
+    return rows.groupBy("run").cogroup(ranges.groupBy("run")).applyInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
