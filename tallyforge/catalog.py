@@ -34,10 +34,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-IS_REFUND = F.col("l_returnflag") == "R"
 MONEY = "decimal(18,4)"
 
 
+def is_refund() -> Column:
+    return F.col("l_returnflag") == "R"
+
+
 def tickets(spark: SparkSession, sf: str) -> DataFrame:
     line = read(spark, sf, "lineitem")
     return line.withColumn("month", temporal.month_key(F.col("l_shipdate"))).withColumn("amount", F.col("l_extendedprice") * F.col("l_discount"))
@@ -52,7 +55,7 @@ _MONTHLY = f"m AS (SELECT month, count(*) AS tickets, count(*) FILTER (WHERE is_
 count(DISTINCT month) FILTER (WHERE month <> 'unknown') AS months, median(amount) FILTER (WHERE is_refund) AS median_refund FROM t)
 SELECT *, refund_value / refunds AS average_refund, CAST(refunds AS DOUBLE) / tickets * 100 AS refund_rate_pct, refund_value / months * 3 AS value_per_quarter FROM o""")
 def q_overview_kpis(spark, sf):
-    return reports.overview(tickets(spark, sf), "month", "amount", IS_REFUND)
+    return reports.overview(tickets(spark, sf), "month", "amount", is_refund())
 
 
 @query(f"""WITH {_TICKETS} SELECT month, count(*) AS tickets, count(*) FILTER (WHERE is_refund) AS refunds, {_SUM} AS refund_value,
@@ -61,7 +64,7 @@ avg(CAST(CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS DOUBLE)) AS score
 CAST(count(*) FILTER (WHERE is_refund) AS DOUBLE) / count(*) * 100 AS refund_rate_pct FROM t GROUP BY month""")
 def q_monthly_summary(spark, sf):
     over = F.when(F.col("amount") > 500, F.col("amount") - 500)
-    return reports.monthly(tickets(spark, sf).withColumn("score", F.when(F.col("l_linestatus") == "F", F.col("l_linenumber"))), "month", "amount", IS_REFUND, over, "score")
+    return reports.monthly(tickets(spark, sf).withColumn("score", F.when(F.col("l_linestatus") == "F", F.col("l_linenumber"))), "month", "amount", is_refund(), over, "score")
 
 
 @query(f"""WITH {_TICKETS}, {_MONTHLY}, r AS (SELECT *, row_number() OVER (ORDER BY month) AS k, count(*) OVER () AS n FROM m),
@@ -70,14 +73,14 @@ g AS (SELECT months, tickets_2 / tickets_1 AS ticket_growth, refund_value_2 / re
 (refunds_2 / tickets_2) / (refunds_1 / tickets_1) AS rate_growth, (refund_value_2 / refunds_2) / (refund_value_1 / refunds_1) AS size_growth FROM h)
 SELECT *, (ticket_growth - 1) / (value_growth - 1) AS volume_share FROM g""")
 def q_trend_halves(spark, sf):
-    months = reports.monthly(tickets(spark, sf), "month", "amount", IS_REFUND, F.lit(None).cast("double"))
+    months = reports.monthly(tickets(spark, sf), "month", "amount", is_refund(), F.lit(None).cast("double"))
     return reports.trend_halves(months)
 
 
 @query(f"""WITH {_TICKETS}, r AS (SELECT coalesce(nullif(CASE WHEN l_linenumber = 7 THEN '' ELSE l_linestatus END, ''), '(blank)') AS reason, count(*) AS refunds, {_SUM} AS value FROM t WHERE is_refund GROUP BY 1)
 SELECT *, value / (SELECT CAST(sum(CAST(value AS {MONEY})) AS DOUBLE) FROM r) * 100 AS share_pct FROM r""")
 def q_reason_breakdown(spark, sf):
-    return reports.by_reason(tickets(spark, sf).where(IS_REFUND), F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_linestatus")), "amount")
+    return reports.by_reason(tickets(spark, sf).where(is_refund()), F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_linestatus")), "amount")
 
 
 @query("""SELECT count(*) AS compared, count(*) FILTER (WHERE l_returnflag = e) AS agree, CAST(count(*) FILTER (WHERE l_returnflag = e) AS DOUBLE) / count(*) * 100 AS agreement_pct
@@ -94,7 +97,7 @@ def q_miscoding_default(spark, sf):
 
 
 def agents(spark, sf):
-    return reports.by_agent(tickets(spark, sf), "l_suppkey", "amount", IS_REFUND, read(spark, sf, "supplier"), "s_suppkey", F.concat(F.lit("Nation "), "s_nationkey"))
+    return reports.by_agent(tickets(spark, sf), "l_suppkey", "amount", is_refund(), read(spark, sf, "supplier"), "s_suppkey", F.concat(F.lit("Nation "), "s_nationkey"))
 
 
 _AGENTS = f"""a AS (SELECT l_suppkey, coalesce('Nation ' || s_nationkey, '(unknown)') AS peer_group, tickets, refunds, value, CAST(refunds AS DOUBLE) / tickets * 100 AS refunds_per_100, value / tickets * 100 AS value_per_100
@@ -120,7 +123,7 @@ def q_peer_summary(spark, sf):
 SELECT team, refunds, value, CAST(refunds AS DOUBLE) / (SELECT sum(refunds) FROM r) * 100 AS refund_share_pct, value / (SELECT CAST(sum(CAST(value AS {MONEY})) AS DOUBLE) FROM r) * 100 AS value_share_pct FROM r WHERE team IS NOT NULL""")
 def q_team_totals(spark, sf):
     teams = read(spark, sf, "supplier").where("s_nationkey <> 3").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("team"))
-    return reports.by_team(tickets(spark, sf).where(IS_REFUND).join(teams, "l_suppkey", "left"), "team", "amount")
+    return reports.by_team(tickets(spark, sf).where(is_refund()).join(teams, "l_suppkey", "left"), "team", "amount")
 
 
 @query(f"""WITH {_TICKETS}, d AS (SELECT amount, [x FOR x IN [CASE WHEN l_quantity > 40 THEN 'LARGE' END, CASE WHEN l_tax > 0.06 THEN 'TAXED' END, CASE WHEN l_linestatus = 'F' THEN 'FINAL' END] IF x IS NOT NULL] AS ds FROM t WHERE is_refund),
@@ -128,7 +131,7 @@ e AS (SELECT unnest(ds) AS driver, amount, len(ds) AS n FROM d)
 SELECT driver, count(*) AS refunds, CAST(sum(CAST(amount AS {MONEY})) AS DOUBLE) AS gross_value, CAST(sum(CAST(amount / n AS DECIMAL(24,10))) AS DOUBLE) AS prorated_value FROM e GROUP BY 1""")
 def q_driver_values(spark, sf):
     drivers = quality.flags([("LARGE", F.col("l_quantity") > 40), ("TAXED", F.col("l_tax") > 0.06), ("FINAL", F.col("l_linestatus") == "F")])
-    return reports.by_driver(tickets(spark, sf).where(IS_REFUND).withColumn("drivers", drivers), "drivers", "amount")
+    return reports.by_driver(tickets(spark, sf).where(is_refund()).withColumn("drivers", drivers), "drivers", "amount")
 
 
 @query("""WITH l AS (SELECT l_partkey, count(*) AS tickets, count(*) FILTER (WHERE l_returnflag = 'R') AS refunds FROM lineitem GROUP BY 1),
@@ -136,7 +139,7 @@ o AS (SELECT CAST(sum(refunds) AS DOUBLE) / sum(tickets) AS p, count(*) FILTER (
 z AS (SELECT l_partkey, tickets, refunds, CAST(refunds AS DOUBLE) / tickets * 100 AS refund_rate_pct, (CAST(refunds AS DOUBLE) / tickets - p) / sqrt(p * (1 - p) / tickets) AS z_score, k FROM l, o WHERE tickets >= 30)
 SELECT l_partkey, tickets, refunds, refund_rate_pct, z_score, z_score > CASE WHEN k > 20 THEN 2.5758 ELSE 1.96 END AS significant FROM z""")
 def q_lot_zscore(spark, sf):
-    return reports.lot_scores(tickets(spark, sf), ["l_partkey"], IS_REFUND)
+    return reports.lot_scores(tickets(spark, sf), ["l_partkey"], is_refund())
 
 
 def two_systems(spark, sf):
