@@ -124,12 +124,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = simhash_components(docs.where("doc_id is not null"))
     kept = found.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    columns = docs.columns
-    stays = docs.join(kept, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    single = stays.join(repeated, "doc_id", "left_anti")
-    several = stays.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c not in ("doc_id", "text")])).alias("row"))
-    return single.select(columns).union(several.select("doc_id", "row.*").select(columns)).union(docs.where("doc_id is null").select(columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    single = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return single.select("doc_id", "row.*").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
