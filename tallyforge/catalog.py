@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import patterns
 from tallyforge.functions import text as T
-from tallyforge.operators import allocation, decisions, evaluation, quality, reports, retrieval, temporal
+from tallyforge.operators import allocation, decisions, evaluation, quality, reports, retrieval, simple, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -628,3 +628,81 @@ def q_opportunity(spark, sf):
 @query("""SELECT conv_id, turn, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[\\s?!.]+$', '') AS asked FROM conversations""")
 def q_normalise_query(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", T.normalise_query(F.col("text")).alias("asked"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice IS NULL OR o_custkey % 9 = 0 THEN 0.0 WHEN o_orderkey % 4 = 0 THEN o_totalprice / 100 ELSE o_totalprice END AS clean_refund FROM orders""")
+def q_clean_refund_simple(spark, sf):
+    amount = F.when(F.col("o_custkey") % 9 != 0, F.col("o_totalprice"))
+    system = F.when(F.col("o_orderkey") % 4 == 0, "LEGACY_FD").otherwise("helpdesk")
+    return read(spark, sf, "orders").select("o_orderkey", simple.clean_refund(amount, system).alias("clean_refund"))
+
+
+@query("""SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus <> 'P') AS status, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders GROUP BY 1""")
+def q_latest_values(spark, sf):
+    rows = read(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"))
+    return simple.latest_values(rows, "o_custkey", ["o_orderdate", "o_orderkey"], ["status", "priority"])
+
+
+@query("""SELECT CAST(count(*) FILTER (WHERE value > 10) AS DOUBLE) / count(*) AS slow_rate, CAST(count(*) FILTER (WHERE event_type = 'error' AND user_id % 2 = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE user_id % 2 = 0), 0) AS even_error_rate, NULL::DOUBLE AS no_rate FROM events""")
+def q_derived_rates(spark, sf):
+    even = F.col("user_id") % 2 == 0
+    return evaluation.rates(read(spark, sf, "events"), {"slow_rate": (F.col("value") > 10, F.lit(True)), "even_error_rate": (F.col("event_type") == "error", even), "no_rate": (F.lit(True), F.col("user_id") < 0)})
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def q_strata_counts(spark, sf):
+    return evaluation.strata(read(spark, sf, "documents"), "source")
+
+
+@query(f"""WITH {_TEXTS}, {_LABELLED}, b AS (SELECT o_orderkey, {_BUCKET} AS bucket FROM y WHERE expected <> predicted)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY o_orderkey) AS pick FROM b) WHERE pick <= 4""")
+def q_first_per_bucket(spark, sf):
+    wrong = labelled(spark, sf).where("expected <> predicted").select("o_orderkey", decisions.error_bucket(F.col("expected"), F.col("predicted")).alias("bucket"))
+    return evaluation.first_per_bucket(wrong, "bucket", ["o_orderkey"])
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = (SELECT o_custkey FROM orders ORDER BY o_orderdate DESC, o_custkey DESC LIMIT 1)""")
+def q_latest_run(spark, sf):
+    return evaluation.latest_run(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", "o_orderdate").select("o_orderkey", "o_custkey")
+
+
+@query("""WITH p AS (SELECT o_orderkey, [{'k': 'a', 'v': o_orderkey % 7}, {'k': 'b', 'v': o_orderkey % 5}, {'k': 'c', 'v': o_orderkey % 3}, {'k': 'd', 'v': 1}, {'k': 'e', 'v': o_orderkey % 11}] AS es FROM orders),
+u AS (SELECT o_orderkey, e.k AS k, e.v AS v, row_number() OVER (PARTITION BY o_orderkey ORDER BY e.v DESC, e.k) AS rn FROM (SELECT o_orderkey, unnest(es) AS e FROM p))
+SELECT o_orderkey, string_agg(k || '=' || v, ',' ORDER BY rn) AS top FROM u WHERE rn <= 4 GROUP BY 1""")
+def q_top_probabilities(spark, sf):
+    k = F.col("o_orderkey")
+    entries = F.create_map(F.lit("a"), k % 7, F.lit("b"), k % 5, F.lit("c"), k % 3, F.lit("d"), F.lit(1).cast("long"), F.lit("e"), k % 11)
+    top = F.transform(evaluation.top_probabilities(entries), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return read(spark, sf, "orders").select("o_orderkey", F.array_join(top, ",").alias("top"))
+
+
+@query("""WITH l AS (SELECT doc_id, toxic FROM labels), c AS (SELECT doc_id, n_chars > 1500 AS said FROM documents WHERE doc_id % 3 <> 0)
+SELECT l.doc_id, toxic, said, c.doc_id IS NOT NULL AS classified FROM l LEFT JOIN c ON c.doc_id = l.doc_id WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)""")
+def q_scoring_set(spark, sf):
+    docs = read(spark, sf, "documents")
+    found = docs.where("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") > 1500).alias("said"))
+    scored, without = evaluation.scoring_set(read(spark, sf, "labels").select("doc_id", "toxic"), docs, found, "doc_id")
+    return scored.withColumn("classified", F.lit(True)).unionByName(without.withColumn("said", F.lit(None).cast("boolean")).withColumn("classified", F.lit(False)))
+
+
+@query("""SELECT conv_id, turn, s AS section_id, t AS title, CASE s WHEN '1' THEN 'first line\nsecond' ELSE role END AS body FROM conversations, (VALUES ('1', 'Hours'), ('2', 'Roles')) v(s, t)""".replace("'first line\nsecond'", "'first line' || chr(10) || 'second'"))
+def q_section_split(spark, sf):
+    document = F.concat(F.lit("preamble\n1. Hours\nfirst line\nsecond\n2. Roles\n"), "role")
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", F.explode(T.sections(document)).alias("s"))
+    return rows.select("conv_id", "turn", "s.section_id", "s.title", F.col("s.text").alias("body"))
+
+
+@query("""SELECT conv_id, turn, contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(substring(text, 3, 30)), '\\s+', ' ', 'g'))) AND length(trim(regexp_replace(lower(substring(text, 3, 30)), '\\s+', ' ', 'g'))) > 0 AS found FROM conversations""")
+def q_quote_verification(spark, sf):
+    quote = F.regexp_replace(F.substring("text", 3, 30), " ", "\n ")
+    return read(spark, sf, "conversations").select("conv_id", "turn", T.quote_found(F.col("text"), quote).alias("found"))
+
+
+@query(f"""WITH {_REFUNDS}, d AS (SELECT *, o_orderstatus, o_orderdate FROM r JOIN orders ON o_orderkey = l_orderkey)
+SELECT count(*) FILTER (WHERE o_orderstatus = 'P' AND amount > 0) AS refund_on_open, count(*) FILTER (WHERE replaced AND code = 'GW-OTHER') AS dual_on_default, CAST(count(*) FILTER (WHERE l_quantity < 5) AS DOUBLE) / count(*) * 100 AS blank_score_pct FROM d""")
+def q_row_findings(spark, sf):
+    rows = refund_rows(spark, sf).join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.agg(
+        F.count_if((F.col("o_orderstatus") == "P") & (F.col("amount") > 0)).alias("refund_on_open"), F.count_if(F.col("replaced") & (F.col("code") == decisions.DROPDOWN_DEFAULT)).alias("dual_on_default"),
+        (reports.ratio(F.count_if(F.col("l_quantity") < 5), F.count("*")) * 100).alias("blank_score_pct"),
+    )

@@ -131,3 +131,19 @@ def faq(question: Column) -> Column:
             hit = hit | F.contains(q, F.lit(w))
         cases.append(F.when(hit, F.struct(F.lit(name).alias("answer"), F.lit(section).alias("section"))))
     return F.coalesce(*cases)
+
+
+def sections(document: Column) -> Column:
+    """array of (section_id, title, text) of a document whose sections start with a line such as ``5. Refunds``."""
+    parts = F.regexp_extract_all(F.concat(F.lit("\n"), document), F.lit(r"(?s)\n(\d+\.[ \t]+[^\n]*(?:\n(?!\d+\.[ \t])[^\n]*)*)"), F.lit(1))
+    take = lambda p, k: F.trim(F.regexp_extract(p, r"(?s)^(\d+)\.[ \t]+([^\n]*)\n?(.*)$", k))
+    return F.transform(parts, lambda p: F.struct(take(p, 1).alias("section_id"), take(p, 2).alias("title"), take(p, 3).alias("text")))
+
+
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def quote_found(source: Column, quote: Column) -> Column:
+    """Whether a source has a quote, whatever the white space and case."""
+    return F.coalesce((F.length(_flat(quote)) > 0) & F.contains(_flat(source), _flat(quote)), F.lit(False))

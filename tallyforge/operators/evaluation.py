@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.reports import ratio
@@ -45,8 +45,6 @@ def nearest_rank(df: DataFrame, by: str, value: str, percents: tuple[float, ...]
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
     sizes = counts.groupBy(by).agg(F.sum("_n").alias("_all"))
-    from pyspark.sql import Window
-
     ends = counts.withColumn("_end", F.sum("_n").over(Window.partitionBy(by).orderBy(value))).join(sizes, by)
     picks = [F.min(F.when(F.col("_end") > F.bround(F.lit(p) * (F.col("_all") - 1), 0), F.col(value))).alias(f"p{round(p * 100)}") for p in percents]
     return ends.groupBy(by).agg(F.first("_all").alias("n"), *picks)
@@ -57,3 +55,35 @@ def scored(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     labelled = df.where(F.col(expected).isNotNull())
     row = labelled.agg(F.count("*").alias("scored"), F.count_if(F.col(expected) == F.col(predicted)).alias("correct"))
     return row.withColumn("accuracy", ratio(F.col("correct"), F.col("scored"))).withColumn("interval", wilson(F.col("correct"), F.col("scored"))).select("scored", "correct", "accuracy", F.col("interval.low").alias("low"), F.col("interval.high").alias("high"))
+
+
+def scoring_set(labels: DataFrame, tickets: DataFrame, classifications: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled tickets with their classification, and those that have none; the latter are listed, not scored."""
+    known = labels.join(tickets.select(key), key, "left_semi")
+    return known.join(classifications, key), known.join(classifications.select(key), key, "left_anti")
+
+
+def strata(df: DataFrame, stratum: str) -> DataFrame:
+    return df.groupBy(stratum).agg(F.count("*").alias("n"))
+
+
+def first_per_bucket(df: DataFrame, bucket: str, order: list[str], n: int = 4) -> DataFrame:
+    """The first ``n`` rows of each bucket; Spark's group limit drops the others before the shuffle."""
+    return df.withColumn("pick", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).where(F.col("pick") <= n)
+
+
+def latest_run(df: DataFrame, run: str, created: str) -> DataFrame:
+    """The rows of the run that was created last; of equals the one whose id sorts last."""
+    newest = df.agg(F.max(F.struct(created, run))[run].alias(run))
+    return df.join(newest, run, "left_semi")
+
+
+def top_probabilities(probabilities: Column, n: int = 4) -> Column:
+    """The ``n`` likeliest entries of a map, as an array of (key, value), equals by key."""
+    entries = F.transform(F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
+def rates(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row of rates by name, (rows that hit) over (rows that count); null where none counts."""
+    return df.agg(*[ratio(F.count_if(hit & base), F.count_if(base)).alias(name) for name, (hit, base) in pairs.items()])

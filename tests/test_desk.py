@@ -109,3 +109,15 @@ def test_stream(spark, folder, tmp_path):
     intake.write_stream(totals, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     closed = spark.read.parquet(str(tmp_path / "out"))
     assert closed.agg(F.sum("tickets")).first()[0] >= 3
+
+
+def test_flat_variant(spark, folder):
+    from tallyforge.operators import simple
+
+    raw = files.read_raw(spark, folder)
+    rows = simple.flatten(support_desk.typed_tickets(raw["tickets"]).withColumnRenamed("order_id_source", "order_id"), raw["orders"], raw["customers"], raw["products"], raw["agents"]).collect()
+    found = {r["ticket_id"]: r for r in rows}
+    assert len(found) == 4 and [found[f"T-{i}"]["clean_refund"] for i in (1, 2, 3, 4)] == [900, 0, 1999, 2499]
+    assert found["T-1"]["agent_name"] == "Asha Rao" and found["T-1"]["customer_name"] == "One" and found["T-1"]["agent_team"] == "Returns"
+    assert found["T-1"]["is_dual_remedy"] and found["T-1"]["avoidability"]["value"] == 900 and not found["T-2"]["is_refund"]
+    assert found["T-4"]["handle_hours"] == pytest.approx(6.5) and found["T-1"]["product_family"] == "ear"
