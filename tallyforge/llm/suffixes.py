@@ -12,7 +12,8 @@ Texts are dealt to runs. A first exchange of anchor hashes alone tells each run
 which of its anchors another document may have; the rest cannot match and stay at
 home. Runs then sort their suffixes, collapse equal ones, and exchange them front
 coded: each entry is the length that it shares with the one before and the rest.
-Reduce tasks own the anchors of a hash range and merge the sorted runs with a loser tree that knows how much every
+The windows of an anchor that many runs have are segments of their own and spread
+over all tasks. Reduce tasks own the anchors of a hash range and merge the sorted runs with a loser tree that knows how much every
 contender shares with the last winner, so that shared prefixes are never compared
 again. In the merged order, equal suffixes and equal anchors are neighbours: a
 segment that an earlier document has whole goes, and where segments of one anchor
@@ -40,6 +41,8 @@ _PIECE = 4 << 20
 _RUN = 8 << 20
 _POS_BITS = np.uint64(25)
 _HASH_BITS = 56
+#: An anchor that more runs than this have is not gathered in one task: its windows are dealt singly.
+CROWD = 64
 _LAST = (1 << 63) - 1  # null doc_ids come after all others
 
 
@@ -338,8 +341,8 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.withColumn("run", _run_of(runs)), runs, parts
 
 
-def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
-    """(run, part, bits): which of a run's sorted anchor hashes of that range more than one document has."""
+def shared_anchors(rows: DataFrame, parts: int, crowd: int) -> DataFrame:
+    """(run, part, bits): which of a run's sorted anchor hashes of that range more than one document has, and then which more than ``crowd`` runs have."""
 
     def list_anchors(batch: pd.DataFrame) -> pd.DataFrame:
         hashes, twice = _distinct_anchors([bytes(x) for x in batch["data"]])
@@ -357,20 +360,27 @@ def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
             for run, part, payload in zip(batch["run"], batch["part"], batch["payload"]):
                 held.setdefault(part, []).append((run, *_unpack_hashes(bytes(payload))))
         for part, lists in held.items():
-            every = np.sort(np.concatenate([h for _, h, _ in lists]))
-            several = np.unique(every[1:][every[1:] == every[:-1]])
+            names, counts = np.unique(np.concatenate([h for _, h, _ in lists]), return_counts=True)
             out = []
             for run, hashes, twice in lists:
-                at = np.minimum(np.searchsorted(several, hashes), max(0, len(several) - 1))
-                shared = twice | (several[at] == hashes if len(several) else False)
-                out.append((run, part, np.packbits(shared).tobytes()))
+                n = counts[np.searchsorted(names, hashes)]
+                out.append((run, part, np.packbits(np.concatenate((twice | (n > 1), n > crowd))).tobytes()))
             yield pd.DataFrame(out, columns=["run", "part", "bits"])
 
     listed = rows.groupBy("run").applyInPandas(list_anchors, "run int, part int, payload binary")
     return listed.repartitionById(parts, F.col("part")).mapInPandas(find_shared, "run int, part int, bits binary")
 
 
-def repeated_ranges(rows: DataFrame, parts: int, ranges_per_frame: int = 100_000) -> DataFrame:
+def _key_hash(keys: np.ndarray) -> np.ndarray:
+    padded = np.zeros((len(keys), -(-_KEY // 8) * 8), np.uint8)
+    padded[:, :_KEY] = keys
+    out = np.zeros(len(keys), np.uint64)
+    for word in padded.view("<u8").T:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out >> np.uint64(64 - _HASH_BITS)
+
+
+def repeated_ranges(rows: DataFrame, parts: int, crowd: int = CROWD, ranges_per_frame: int = 100_000) -> DataFrame:
     """(doc, crc, start, end): byte ranges whose windows start in a document with a smaller doc_id."""
 
     def sort_suffixes(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -380,10 +390,12 @@ def repeated_ranges(rows: DataFrame, parts: int, ranges_per_frame: int = 100_000
         texts = [bytes(x) for x in batch["data"]]
         hashes, _ = _distinct_anchors(texts)
         part = hashes % np.uint64(parts)
-        shared = np.zeros(len(hashes), bool)
+        shared, crowded = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
         for p, bits in zip(answers["part"], answers["bits"]):
             own = np.flatnonzero(part == p)
-            shared[own] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), count=len(own)).astype(bool)
+            both = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), count=2 * len(own)).astype(bool)
+            shared[own], crowded[own] = both[: len(own)], both[len(own) :]
+        crowded = crowded[shared]
         shared = hashes[shared]
         if not len(shared):
             return empty
@@ -391,10 +403,18 @@ def repeated_ranges(rows: DataFrame, parts: int, ranges_per_frame: int = 100_000
         for data, starts, number, offset in _pieces(texts):
             first, last, anchor = segments(data, starts)
             own = _anchor_hashes(data, anchor)
-            keep = shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own
-            first, last, anchor, own = first[keep], last[keep], anchor[keep], own[keep]
+            at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+            keep = shared[at] == own
+            first, last, anchor, own, alone = first[keep], last[keep], anchor[keep], own[keep], crowded[at[keep]]
+            # the windows of a crowded anchor are segments of their own, dealt by all that they hold
+            times = np.where(alone, last - first + 1, 1)
+            anchor, own, split = np.repeat(anchor, times), np.repeat(own, times), np.repeat(alone, times)
+            first, last = _expand(first, times), np.repeat(last, times)
+            last = np.where(split, first, last)
             piece = np.searchsorted(starts, first, side="right") - 1
-            held.append((keys_of(data, first, last, anchor), number[piece], first + (offset - starts[:-1])[piece], own % np.uint64(parts)))
+            keys = keys_of(data, first, last, anchor)
+            range_ = np.where(split, _key_hash(keys), own) % np.uint64(parts)
+            held.append((keys, number[piece], first + (offset - starts[:-1])[piece], range_))
         keys, doc, pos, part = (np.concatenate([h[c] for h in held]) for c in range(4))
         order = np.argsort(keys.view(f"S{_KEY}")[:, 0], kind="stable")
         keys, doc, pos, part = keys[order], doc[order], pos[order], part[order]
@@ -425,11 +445,11 @@ def repeated_ranges(rows: DataFrame, parts: int, ranges_per_frame: int = 100_000
                 for at in range(0, len(ranges), ranges_per_frame):
                     yield ranges.iloc[at : at + ranges_per_frame]
 
-    suffixes = rows.groupBy("run").cogroup(shared_anchors(rows, parts).groupBy("run")).applyInPandas(sort_suffixes, "part int, payload binary")
+    suffixes = rows.groupBy("run").cogroup(shared_anchors(rows, parts, crowd).groupBy("run")).applyInPandas(sort_suffixes, "part int, payload binary")
     return suffixes.repartitionById(parts, F.col("part")).mapInPandas(merge, "doc long, crc long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (bytes) and ``spans`` of each row of ``docs``.
 
     Null and short texts lose nothing. Rows with one doc_id do not count against
@@ -440,7 +460,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     passes over them share.
     """
     rows, runs, parts = _plan(docs)
-    ranges = repeated_ranges(rows, parts).withColumn("run", _run_of(runs))
+    ranges = repeated_ranges(rows, parts, crowd).withColumn("run", _run_of(runs))
 
     def apply(batch: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
         by_doc = {k: (g["start"].to_numpy(), g["end"].to_numpy()) for k, g in ranges.groupby(["doc", "crc"])}
