@@ -8,20 +8,25 @@ windows mostly share their anchor; each run of windows with one anchor is a
 *segment*, and its suffix (from the anchor on, then what lies before it) is
 sorted.
 
+Equal texts are collapsed first, by their digests: the one with the smallest doc_id
+stands for all, since it starts every window of the others earlier.
+
 Texts are dealt to runs. A first exchange of anchor hashes alone tells each run
 which of its anchors another document may have; the rest cannot match and stay at
 home. Runs then sort their suffixes, collapse equal ones, and exchange them front
 coded: each entry is the length that it shares with the one before and the rest.
 The windows of an anchor that many runs have are segments of their own and spread
-over all tasks. Reduce tasks own the anchors of a hash range and merge the sorted runs with a loser tree that knows how much every
-contender shares with the last winner, so that shared prefixes are never compared
-again. In the merged order, equal suffixes and equal anchors are neighbours: a
-segment that an earlier document has whole goes, and where segments of one anchor
-differ their windows are compared. Only byte ranges leave the tasks.
+over all tasks. Reduce tasks own the anchors of a hash range and merge the sorted
+runs with a loser tree that knows how much every contender shares with the last
+winner, so that shared prefixes are never compared again. In the merged order,
+equal suffixes and equal anchors are neighbours: a segment that an earlier
+document has whole goes, and where segments of one anchor differ their windows
+are compared. Only byte ranges leave the tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -40,9 +45,14 @@ _KEY = _RIGHT + _LEFT + 2  # right part, left part, their lengths
 _PIECE = 4 << 20
 _RUN = 8 << 20
 _POS_BITS = np.uint64(25)
-_HASH_BITS = 56
+_HASH_BITS = 48
+#: Windows of differing segments that are compared at a time; those of one anchor stay together.
+_WINDOWS = 200_000
 #: An anchor that more runs than this have is not gathered in one task: its windows are dealt singly.
-CROWD = 64
+#: A run sends equal suffixes once, so up to here an anchor weighs little; dealt singly, its windows weigh up to 18 times as much.
+CROWD = 1024
+#: Slices of an anchor range that its task merges one after the other.
+SLICES = 4
 _LAST = (1 << 63) - 1  # null doc_ids come after all others
 
 
@@ -202,6 +212,26 @@ def _expand(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - counts), counts)
 
 
+def _earlier_windows(keys: np.ndarray, first: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name of a segment, start and end in it, of the stretches whose windows another of these segments has from an earlier document."""
+    right, left = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64)
+    windows = left + right - SPAN + 1
+    steps = np.arange(_LEFT + _RIGHT)
+    source = np.where(steps < left[:, None], _RIGHT + steps, np.clip(steps - left[:, None], 0, _RIGHT - 1))
+    whole = np.take_along_axis(keys, source, axis=1)
+    owner = np.repeat(np.arange(len(keys)), windows)
+    offset = _expand(np.zeros(len(keys), np.int64), windows)
+    text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(whole, SPAN, axis=1)[owner, offset]).view(f"S{SPAN}")[:, 0]
+    same = np.unique(text, return_inverse=True)[1]
+    least = np.full(same.max() + 1, _LAST, np.int64)
+    np.minimum.at(least, same, first[owner])
+    edge = np.flatnonzero(least[same] < first[owner])
+    apart = (np.diff(edge) > 1) | (owner[edge[1:]] != owner[edge[:-1]])
+    some = [True] if len(edge) else []
+    starts, stops = edge[np.concatenate((some, apart)).astype(bool)], edge[np.concatenate((apart, some)).astype(bool)]
+    return names[owner[starts]], offset[starts], offset[stops] + SPAN
+
+
 def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
     """Byte ranges that go, from all runs of one set of anchors."""
     runs = [_decode(p) for p in payloads]
@@ -246,25 +276,14 @@ def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
     anchors = np.cumsum(anchor_new[heads]) - 1
     mixed = np.flatnonzero(np.bincount(anchors)[anchors] > 1)  # variants that share their anchor with others
     if len(mixed):
-        steps = np.arange(_LEFT + _RIGHT)
-        before = steps < left[mixed][:, None]
-        source = np.where(before, _RIGHT + steps, np.clip(steps - left[mixed][:, None], 0, _RIGHT - 1))
-        whole = np.take_along_axis(keys[mixed], source, axis=1)
-        owner = np.repeat(np.arange(len(mixed)), windows[mixed])
-        offset = _expand(np.zeros(len(mixed), np.int64), windows[mixed])
-        text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(whole, SPAN, axis=1)[owner, offset]).view(f"S{SPAN}")[:, 0]
-        same = np.unique(text, return_inverse=True)[1]
-        least = np.full(same.max() + 1, _LAST, np.int64)
-        np.minimum.at(least, same, first[mixed][owner])
-        goes = least[same] < first[mixed][owner]
-        edge = np.flatnonzero(goes)
-        if len(edge):
-            starts = edge[np.concatenate(([True], (np.diff(edge) > 1) | (owner[edge[1:]] != owner[edge[:-1]])))]
-            stops = edge[np.concatenate(((np.diff(edge) > 1) | (owner[edge[1:]] != owner[edge[:-1]]), [True]))]
-            ranges = pd.DataFrame({"v": mixed[owner[starts]], "a": offset[starts], "b": offset[stops] + SPAN})
-            own = ~later & np.isin(of, ranges["v"].to_numpy())
-            met = pd.DataFrame({"v": of[own], "doc": docs[own], "crc": crcs[own], "pos": pos[own]}).merge(ranges, on="v")
-            frames.append((met["doc"].to_numpy(), met["crc"].to_numpy(), (met["pos"] + met["a"]).to_numpy(), (met["pos"] + met["b"]).to_numpy()))
+        groups = np.flatnonzero(np.diff(anchors[mixed], prepend=-1))
+        before = (np.cumsum(windows[mixed]) - windows[mixed])[groups]
+        cuts = groups[np.flatnonzero(np.diff(before // _WINDOWS, prepend=-1))]
+        found = [_earlier_windows(keys[m], first[m], m) for m in np.split(mixed, cuts[1:])]
+        ranges = pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate("vab")})
+        own = ~later & np.isin(of, ranges["v"].to_numpy())
+        met = pd.DataFrame({"v": of[own], "doc": docs[own], "crc": crcs[own], "pos": pos[own]}).merge(ranges, on="v")
+        frames.append((met["doc"].to_numpy(), met["crc"].to_numpy(), (met["pos"] + met["a"]).to_numpy(), (met["pos"] + met["b"]).to_numpy()))
     doc, crc, start, end = (np.concatenate([f[c] for f in frames]) for c in range(4))
     return pd.DataFrame({"doc": doc, "crc": crc, "start": start, "end": end}) if len(doc) else None
 
@@ -327,10 +346,23 @@ def _unpack_hashes(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(planes.view("<u8")[:, 0], dtype=np.uint64), np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + n * width), count=n).astype(bool)
 
 
+def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The hash range of each hash; sorted hashes have sorted ranges, so that differences within a range stay small."""
+    return (hashes >> np.uint64(_HASH_BITS - 24)) * np.uint64(parts) >> np.uint64(24)
+
+
 def _run_of(runs: int) -> F.Column:
     return F.pmod(F.xxhash64("doc", "crc"), F.lit(runs)).cast("int")
 
 
+def equal_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, crc) of the first row of each text, and (doc, crc, start, end), the whole text, of rows that repeat an earlier document's text."""
+    digests = rows.where(F.octet_length("data") >= SPAN).select("doc", "crc", F.octet_length("data").cast("long").alias("end"), F.unhex(F.sha2("data", 256)).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.any_value("crc").alias("crc"))
+    copies = digests.join(first.select("digest", "first"), "digest").where("doc > first").select("doc", "crc", F.lit(0).cast("long").alias("start"), "end")
+    return first.select(F.col("first").alias("doc"), "crc"), copies
+
+
 def _plan(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """The rows by run, the number of runs, and of anchor ranges."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -341,17 +373,20 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.withColumn("run", _run_of(runs)), runs, parts
 
 
-def shared_anchors(rows: DataFrame, parts: int, crowd: int) -> DataFrame:
+def _first_texts(batch: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a run that are the first with their text."""
+    known = pd.MultiIndex.from_frame(first[["doc", "crc"]])
+    return batch[pd.MultiIndex.from_frame(batch[["doc", "crc"]]).isin(known)]
+
+
+def shared_anchors(rows: DataFrame, first: DataFrame, parts: int, crowd: int) -> DataFrame:
     """(run, part, bits): which of a run's sorted anchor hashes of that range more than one document has, and then which more than ``crowd`` runs have."""
 
-    def list_anchors(batch: pd.DataFrame) -> pd.DataFrame:
+    def list_anchors(batch: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        batch = _first_texts(batch, first)
         hashes, twice = _distinct_anchors([bytes(x) for x in batch["data"]])
-        part = hashes % np.uint64(parts)
-        out = []
-        for p in range(parts):
-            own = part == p
-            if own.any():
-                out.append((int(batch["run"].iloc[0]), p, _pack_hashes(hashes[own], twice[own])))
+        ends = np.searchsorted(_range_of(hashes, parts), np.arange(parts + 1, dtype=np.uint64))
+        out = [(int(batch["run"].iloc[0]), p, _pack_hashes(hashes[a:b], twice[a:b])) for p, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
         return pd.DataFrame(out, columns=["run", "part", "payload"])
 
     def find_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -367,7 +402,7 @@ def shared_anchors(rows: DataFrame, parts: int, crowd: int) -> DataFrame:
                 out.append((run, part, np.packbits(np.concatenate((twice | (n > 1), n > crowd))).tobytes()))
             yield pd.DataFrame(out, columns=["run", "part", "bits"])
 
-    listed = rows.groupBy("run").applyInPandas(list_anchors, "run int, part int, payload binary")
+    listed = rows.groupBy("run").cogroup(first.groupBy("run")).applyInPandas(list_anchors, "run int, part int, payload binary")
     return listed.repartitionById(parts, F.col("part")).mapInPandas(find_shared, "run int, part int, bits binary")
 
 
@@ -380,21 +415,24 @@ def _key_hash(keys: np.ndarray) -> np.ndarray:
     return out >> np.uint64(64 - _HASH_BITS)
 
 
-def repeated_ranges(rows: DataFrame, parts: int, crowd: int = CROWD, ranges_per_frame: int = 100_000) -> DataFrame:
-    """(doc, crc, start, end): byte ranges whose windows start in a document with a smaller doc_id."""
+def repeated_ranges(rows: DataFrame, first: DataFrame, parts: int, crowd: int = CROWD, ranges_per_frame: int = 100_000) -> DataFrame:
+    """(doc, crc, start, end): byte ranges of the ``first`` rows of each text whose windows start in a document with a smaller doc_id."""
 
     def sort_suffixes(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"part": [], "payload": []})
+        empty = pd.DataFrame({"part": [], "slice": [], "payload": []})
+        batch = _first_texts(batch, answers[answers["part"] < 0])
+        answers = answers[answers["part"] >= 0]
         if batch.empty or answers.empty:
             return empty
         texts = [bytes(x) for x in batch["data"]]
         hashes, _ = _distinct_anchors(texts)
-        part = hashes % np.uint64(parts)
+        ends = np.searchsorted(_range_of(hashes, parts), np.arange(parts + 1, dtype=np.uint64))
         shared, crowded = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
         for p, bits in zip(answers["part"], answers["bits"]):
-            own = np.flatnonzero(part == p)
-            both = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), count=2 * len(own)).astype(bool)
-            shared[own], crowded[own] = both[: len(own)], both[len(own) :]
+            own = slice(ends[p], ends[p + 1])
+            n = ends[p + 1] - ends[p]
+            both = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), count=2 * n).astype(bool)
+            shared[own], crowded[own] = both[:n], both[n:]
         crowded = crowded[shared]
         shared = hashes[shared]
         if not len(shared):
@@ -413,7 +451,7 @@ def repeated_ranges(rows: DataFrame, parts: int, crowd: int = CROWD, ranges_per_
             last = np.where(split, first, last)
             piece = np.searchsorted(starts, first, side="right") - 1
             keys = keys_of(data, first, last, anchor)
-            range_ = np.where(split, _key_hash(keys), own) % np.uint64(parts)
+            range_ = _range_of(np.where(split, _key_hash(keys), own), parts * SLICES)
             held.append((keys, number[piece], first + (offset - starts[:-1])[piece], range_))
         keys, doc, pos, part = (np.concatenate([h[c] for h in held]) for c in range(4))
         order = np.argsort(keys.view(f"S{_KEY}")[:, 0], kind="stable")
@@ -421,32 +459,32 @@ def repeated_ranges(rows: DataFrame, parts: int, crowd: int = CROWD, ranges_per_
         begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, np.int64)
         counts, distinct, part = np.diff(np.append(begins, len(keys))), keys[begins], part[begins]
         by_part = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[by_part], np.arange(parts + 1))
+        ends = np.searchsorted(part[by_part], np.arange(parts * SLICES + 1))
         ids, crcs = batch["doc"].to_numpy(np.int64), batch["crc"].to_numpy(np.int64)
         rank = np.argsort(ids, kind="stable")
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
         doc = place[doc]
         out = []
-        for p in range(parts):
+        for p in range(parts * SLICES):
             own = by_part[ends[p] : ends[p + 1]]
             if len(own):
                 at = _expand(begins[own], counts[own])
-                out.append((p, _encode(distinct[own], counts[own], doc[at], pos[at], ids[rank], crcs[rank])))
-        return pd.DataFrame(out, columns=["part", "payload"])
+                out.append((p // SLICES, p, _encode(distinct[own], counts[own], doc[at], pos[at], ids[rank], crcs[rank])))
+        return pd.DataFrame(out, columns=["part", "slice", "payload"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, payload in zip(batch["part"], batch["payload"]):
-                found.setdefault(part, []).append(bytes(payload))
-        for part in list(found):
-            if (ranges := resolve(found.pop(part))) is not None:
+        """The blocks come sorted by slice."""
+        blocks = ((k, bytes(payload)) for batch in batches for k, payload in zip(batch["slice"], batch["payload"]))
+        for _, own in itertools.groupby(blocks, key=lambda x: x[0]):
+            if (ranges := resolve([payload for _, payload in own])) is not None:
                 for at in range(0, len(ranges), ranges_per_frame):
                     yield ranges.iloc[at : at + ranges_per_frame]
 
-    suffixes = rows.groupBy("run").cogroup(shared_anchors(rows, parts, crowd).groupBy("run")).applyInPandas(sort_suffixes, "part int, payload binary")
-    return suffixes.repartitionById(parts, F.col("part")).mapInPandas(merge, "doc long, crc long, start long, end long")
+    answers = shared_anchors(rows, first, parts, crowd).select("run", "part", "bits", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("crc"))
+    both = answers.union(first.select("run", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("bits"), "doc", "crc"))
+    suffixes = rows.groupBy("run").cogroup(both.groupBy("run")).applyInPandas(sort_suffixes, "part int, slice int, payload binary")
+    return suffixes.repartitionById(parts, F.col("part")).sortWithinPartitions("slice").mapInPandas(merge, "doc long, crc long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -460,7 +498,8 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     passes over them share.
     """
     rows, runs, parts = _plan(docs)
-    ranges = repeated_ranges(rows, parts, crowd).withColumn("run", _run_of(runs))
+    first, copies = equal_texts(rows)
+    ranges = repeated_ranges(rows, first.withColumn("run", _run_of(runs)), parts, crowd).union(copies).withColumn("run", _run_of(runs))
 
     def apply(batch: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
         by_doc = {k: (g["start"].to_numpy(), g["end"].to_numpy()) for k, g in ranges.groupby(["doc", "crc"])}
