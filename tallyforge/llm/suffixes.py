@@ -312,7 +312,9 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 def _anchor_hashes(data: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     words = _words(data)
-    return _mix(words[anchor] * np.uint64(0x9E3779B97F4A7C15) + _mix(words[anchor + 8])) >> np.uint64(64 - _HASH_BITS)
+    chosen = _mix(words[anchor] * np.uint64(0x9E3779B97F4A7C15) + _mix(words[anchor + 8]))
+    # anchors have the smallest of many hashes, so these are spread anew
+    return _mix(chosen * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _HASH_BITS)
 
 
 def _distinct_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
