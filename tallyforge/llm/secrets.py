@@ -5,9 +5,10 @@ hexadecimal strings. Weak candidates (short assigned values, opaque strings,
 user or client identifiers) mean little alone. They are joined with their
 complementary parts by interval: within a scope of ``reach`` code points of the
 same text, a weak secret needs an identifier or an endpoint beside it, a weak
-identifier needs a secret. Scopes are cut into bins of that width, so the join
-is an equality join on text and bin with a distance test, and a bin can hold
-only as many parts as fit into it.
+identifier needs a secret. Texts are cut into bins of that width; a weak span is
+listed under every bin it touches and a part under every bin within reach of it,
+so the join is an equality join on text and bin with a distance test, and spans
+of any length meet all that lies within reach of either end.
 
 Only offsets are shuffled, never texts.
 """
@@ -119,10 +120,14 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
         scanned.where(F.size("_weak") + F.size("_i") > 0)
         .select("doc_id", "_text", F.explode(listed).alias("part"))
         .select("doc_id", "_text", "part.*")
-        .withColumn("bin", F.floor(F.col("span.start") / reach))
     )
-    weak = exploded.where("weak").alias("w")
-    beside = exploded.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).alias("p")
+
+    def binned(parts: DataFrame, margin: int) -> DataFrame:
+        at = lambda c: F.floor(c / reach)
+        return parts.withColumn("bin", F.explode(F.sequence(at(F.col("span.start") - margin), at(F.col("span.end") + margin))))
+
+    weak = binned(exploded.where("weak"), 0).alias("w")
+    beside = binned(exploded, reach).alias("p")
     apart = F.greatest(F.col("p.span.start") - F.col("w.span.end"), F.col("w.span.start") - F.col("p.span.end"))
     complementary = ((F.col("w.role") == "secret") & (F.col("p.role") != "secret")) | ((F.col("w.role") == "identifier") & (F.col("p.role") == "secret"))
     same = F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w._text") == F.col("p._text")) & (F.col("w.bin") == F.col("p.bin"))

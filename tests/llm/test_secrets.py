@@ -46,6 +46,23 @@ def test_weak_parts_need_each_other(spark):
     assert got == {1: ["identifier", "weak_secret"], 2: [], 3: [], 4: ["weak_secret"], 5: ["opaque"], 6: []}
 
 
+def test_parts_within_reach_meet_at_any_bins_and_lengths(spark):
+    weak, url = "password=short7x", "https://example.com/" + "a" * 450
+    blob = "aB3/" * 120
+    rows = [
+        (1, "-" * 190 + weak + " " * (404 - 190 - len(weak)) + "https://x.org"),  # starts two bins apart
+        (2, url + " " + weak),  # a long part before
+        (3, blob + " user=bob"),  # a long weak span before
+        (4, weak + " " * 200 + "https://x.org"),  # just in reach
+        (5, weak + " " * 201 + "https://x.org"),  # just out of it
+        (6, url + " " * 201 + weak),
+    ]
+    got = {i: [s[3] for s in every if s not in base] for i, _, base, every in spans(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {1: ["weak_secret"], 2: ["weak_secret"], 3: ["opaque", "identifier"], 4: ["weak_secret"], 5: [], 6: []}
+    masked = secrets.redact(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert all(weak not in r["text"] for r in masked)
+
+
 def test_redaction_and_edges(odd):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
