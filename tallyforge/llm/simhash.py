@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.shared import Scratch, table
+from tallyforge.llm.shingles import shingle_components
 
 SEED = 42
 
@@ -119,14 +120,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (columns doc_id, text and any others) with one document of each group left, the smallest doc_id.
 
-    Rows that repeat the kept doc_id are near-duplicates too: the one with the
-    smallest text stays. Rows with a null doc_id stay.
+    Groups are linked by a similarity of 0.8 or more of their five-word shingles
+    (see ``shingles``), not by the two bits of ``simhash_components``. Rows that
+    repeat the kept doc_id are near-duplicates too: the one with the smallest
+    text stays. Rows with a null doc_id stay.
     """
-    found = simhash_components(docs.where("doc_id is not null"))
-    kept = found.where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    found = shingle_components(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"))
+    kept = found.where("id = component").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("_times"))
+    stay = docs.join(kept, "doc_id")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    single = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-    return single.select("doc_id", "row.*").select(docs.columns).union(docs.where("doc_id is null"))
+    single = stay.where("_times > 1").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")
+    return single.select(docs.columns).union(stay.where("_times = 1").select(docs.columns)).union(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
