@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import table
 
 DIM = 512
+#: For keeping or dropping texts: a text that shares no n-gram with a prototype has a cosine of 0 give or take 1/sqrt(dim).
+WIDE_DIM = 65_536
+_DEVIATIONS = 4
 ORDER = 3
 MAX_TRAINING = 50_000
 UNKNOWN = "und"
@@ -30,7 +33,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 10)
 def _letter_vector(code: int, dim: int) -> np.ndarray:
     return (np.random.default_rng([code, dim]).integers(0, 2, dim, dtype=np.int8) * 2 - 1).astype(np.int8)
 
@@ -73,6 +76,14 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+def _learning_rows(docs: DataFrame, max_training: int) -> DataFrame:
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    n = rows.count()
+    if n > max_training:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(max_training / n * (1 << 30)))
+    return rows
+
+
 def train_prototypes(docs: DataFrame, dim: int = DIM, max_training: int = MAX_TRAINING) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from rows with text and lang that are not held out.
 
@@ -80,10 +91,7 @@ def train_prototypes(docs: DataFrame, dim: int = DIM, max_training: int = MAX_TR
     smaller table is used whole. Each text counts with its unit bundle. What
     reaches the driver is one vector per language.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    n = rows.count()
-    if n > max_training:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(max_training / n * (1 << 30)))
+    rows = _learning_rows(docs, max_training)
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -136,11 +144,83 @@ def identify(docs: DataFrame, dim: int = DIM, max_training: int = MAX_TRAINING)
     return docs.withColumn("found", predict_language(F.col("text"), train_prototypes(docs, dim, max_training), dim))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
-    """Rows whose language is found; a text without letters or unlike every prototype goes."""
-    columns = docs.columns
-    found = identify(docs)
-    return found.where((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= min_score)).select(columns)
+def _dots(matrix: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """The dot product of each n-gram's vector with each row of ``matrix``; some n-grams at a time, as wide vectors are large."""
+    parts = [gram_vectors(packed[at : at + 64], matrix.shape[1]).astype(np.float32) @ matrix.T for at in range(0, len(packed), 64)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(matrix)), np.float32)
+
+
+def train_wide(docs: DataFrame, dim: int = WIDE_DIM, max_training: int = MAX_TRAINING) -> dict[str, np.ndarray]:
+    """Prototypes as of ``train_prototypes``, in many dimensions.
+
+    N-grams are counted first and each is made a vector once, and a text's length
+    is taken from its counts, as the vectors are all but orthogonal.
+    """
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            weights: dict[str, dict[int, float]] = {}
+            for lang, text in zip(batch["lang"], batch["text"]):
+                g, n = gram_counts(text)
+                if len(g):
+                    held = weights.setdefault(lang, {})
+                    for gram, weight in zip(g.tolist(), (n / np.linalg.norm(n)).tolist()):
+                        held[gram] = held.get(gram, 0.0) + weight
+            for lang, held in weights.items():
+                yield pd.DataFrame({"lang": lang, "gram": list(held), "weight": list(held.values())})
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, rows in batch.groupby("lang"):
+                grams, n = rows["gram"].to_numpy(), rows["weight"].to_numpy(np.float32)
+                for at in range(0, len(grams), 64):
+                    total[lang] = total.get(lang, 0) + n[at : at + 64] @ gram_vectors(grams[at : at + 64], dim).astype(np.float32)
+        for lang, bundle in total.items():
+            yield pd.DataFrame({"lang": [lang], "bundle": [bundle.astype(np.float64).tobytes()]})
+
+    rows = _learning_rows(docs, max_training).select("lang", "text")
+    weights = rows.mapInPandas(weigh, "lang string, gram long, weight double").groupBy("lang", "gram").agg(F.sum("weight").alias("weight"))
+    out: dict[str, np.ndarray] = {}
+    for row in weights.repartition(6).mapInPandas(add_up, "lang string, bundle binary").collect():  # six vectors per language at most
+        out[row["lang"]] = out.get(row["lang"], 0) + np.frombuffer(row["bundle"])
+    return {lang: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for lang, v in sorted(out.items())}
+
+
+def best_score(text: F.Column, prototypes: dict[str, np.ndarray]) -> F.Column:
+    """The highest cosine with a prototype, as ``predict_language`` has it; null for a text without letters or where there are no prototypes."""
+    matrix = np.stack(list(prototypes.values())) if prototypes else np.zeros((0, 1), np.float32)
+
+    @F.pandas_udf("double")
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[int, np.ndarray] = {}
+        for texts in batches:
+            scores: list[float | None] = []
+            for text in texts:
+                g, n = gram_counts(text)
+                if not len(g) or not len(matrix):
+                    scores.append(None)
+                    continue
+                new = np.array([x for x in g.tolist() if x not in known], np.int64)
+                if len(known) + len(new) > 1 << 18:
+                    known, new = {}, g
+                known.update(zip(new.tolist(), _dots(matrix, new)))
+                cosines = n @ np.stack([known[x] for x in g.tolist()]) / (np.linalg.norm(n) * np.sqrt(matrix.shape[1]))
+                scores.append(min(1.0, float(cosines.max())))
+            yield pd.Series(scores, dtype="float64")
+
+    return best(text)
+
+
+def keep_identified(docs: DataFrame, min_score: float | None = None, dim: int = WIDE_DIM) -> DataFrame:
+    """Rows whose language is found; a text without letters or unlike every prototype goes.
+
+    ``min_score``: the least cosine; unless given, four deviations of what texts
+    without a known n-gram have by chance in ``dim`` dimensions.
+    """
+    least = _DEVIATIONS / dim**0.5 if min_score is None else min_score
+    score = F.coalesce(best_score(F.col("text"), train_wide(docs, dim)), F.lit(-1.0))
+    return docs.where((score >= least) & ~F.isnan(score))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

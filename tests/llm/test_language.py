@@ -36,3 +36,16 @@ def test_bundle_by_hand():
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame([(i, "aa bb" if zlib.crc32(str(i).encode()) % 5 else "zz yy", "x" if zlib.crc32(str(i).encode()) % 5 else "y") for i in range(60)], "doc_id long, text string, lang string")
     assert list(language.train_prototypes(docs)) == ["x"]
+
+
+def test_unlearned_scripts_go_and_one_clean_word_stays(spark, documents):
+    learnt = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    rng = np.random.default_rng(4)
+    scripts = [(0x10A0, 38), (0x0531, 38), (0x05D0, 27), (0x0E01, 46), (0xAC00, 2000)]  # Georgian, Armenian, Hebrew, Thai, Hangul
+    word = lambda at, n: "".join(chr(at + int(k)) for k in rng.integers(0, n, 7))
+    alien = [(-1 - i, " ".join(word(*scripts[i % 5]) for _ in range(1 + i)), None) for i in range(100)]
+    words = learnt.selectExpr("lang", "explode(split(lower(text), '[^a-z]+')) as w").where("length(w) >= 4").groupBy("lang", "w").count().where("count >= 20").orderBy("w").limit(100)
+    single = [(-1000 - i, r["w"], None) for i, r in enumerate(words.collect())]
+    rows = spark.createDataFrame(alien + single, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.keep_identified(learnt.union(rows)).where("doc_id < 0").collect()}
+    assert all(i <= -1000 for i in kept) and len(kept) >= 0.98 * len(single)
