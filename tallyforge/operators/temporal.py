@@ -46,20 +46,36 @@ def point_in_time(left: DataFrame, roster: DataFrame, key: str, at: str, start:
 
     Open bounds are null; a bound is compared as a time, so a date covers until
     its midnight. Of several covering rows the one that starts last counts; where
-    none covers, the row that starts last at all. A key's roster is gathered into
-    one array, as it is a few assignments, and searched within the row.
+    none covers, the row that starts last at all. An assignment is cut into the
+    aligned spans of 1, 2, 4, ... microseconds that make it up, at most two of a
+    size, and the last to start is kept per key and span; a row looks up the span
+    of each size that holds its time. So neither arrays of a key nor pairs of
+    rows are formed.
     """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    columns = left.columns
     entry = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(value).alias("v"))
-    held = roster.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
-    when = F.col(at)
-    covers = F.filter("_all", lambda x: (x["s"].isNull() | (x["s"] <= when)) & (x["e"].isNull() | (when <= x["e"])))
-    return (
-        left.join(held, key, "left")
-        .withColumn("_in", covers)
-        .withColumn(value, F.when(F.size("_in") > 0, F.element_at("_in", -1)["v"]).when(F.size("_all") > 0, F.element_at("_all", -1)["v"]))
-        .withColumn("covered", F.coalesce(F.size("_in") > 0, F.lit(False)))
-        .drop("_all", "_in")
+    named = roster.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), micros(start).alias("_s"), micros(end).alias("_e"), entry.alias("_entry"))
+    totals = named.groupBy("_key").agg(F.max("_entry").alias("_latest"), F.max(F.when(F.col("_entry.s").isNull() & F.col("_entry.e").isNull(), F.col("_entry"))).alias("_always"))
+    times = left.select(F.col(key).alias("_key"), micros(at).alias("_at")).where("_key is not null and _at is not null").distinct()
+    domain = times.agg(F.min("_at").alias("_from"), F.max("_at").alias("_to")).where("_from is not null").withColumn("_sizes", F.expr("sequence(0, length(bin(_to - _from + 1)))"))
+    inside = named.crossJoin(domain).select(  # domain: one row
+        "_key", "_entry", "_sizes", (F.greatest(F.coalesce("_s", "_from"), "_from") - F.col("_from")).alias("_lo"), (F.least(F.coalesce("_e", "_to"), "_to") - F.col("_from") + 1).alias("_hi")
+    )
+    low, high = "shiftright(_lo + shiftleft(1L, l) - 1, l)", "shiftright(_hi, l)"
+    ends = f"array(if({low} < {high} and {low} % 2 = 1, {low}, null), if({low} < {high} and {high} % 2 = 1, {high} - 1, null))"
+    spans = (
+        inside.where("_lo < _hi")
+        .select("_key", "_entry", F.explode(F.expr(f"filter(flatten(transform(_sizes, l -> transform({ends}, n -> struct(l as size, n as node)))), x -> x.node is not null)")).alias("_span"))
+        .groupBy("_key", "_span.size", "_span.node")
+        .agg(F.max("_entry").alias("_entry"))
     )
+    asked = times.crossJoin(domain).select("_key", "_at", F.explode("_sizes").alias("size"), (F.col("_at") - F.col("_from")).alias("_off")).withColumn("node", F.expr("shiftright(_off, size)"))
+    held = asked.join(spans, ["_key", "size", "node"]).groupBy("_key", "_at").agg(F.max("_entry").alias("_held"))
+    row = left.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), micros(at).alias("_at"))
+    out = row.join(held, ["_key", "_at"], "left").join(totals, "_key", "left").withColumn("_in", F.when(F.col("_at").isNull(), F.col("_always")).otherwise(F.col("_held")))
+    picked = F.when(F.col("_in").isNotNull(), F.col("_in.v")).otherwise(F.col("_latest.v"))
+    return out.select("_row.*", picked.alias("_picked"), F.col("_in").isNotNull().alias("covered")).withColumn(value, F.col("_picked")).select(*columns, *([] if value in columns else [value]), "covered")
 
 
 def minutes_between(start: Column, end: Column) -> Column:
