@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.patterns import STOP_WORDS
 
 K1, B = 1.4, 0.75
+_BLOCK = 256
 
 
 def terms(text: Column) -> Column:
@@ -57,8 +58,17 @@ def cached_answer(asked: DataFrame, cache: DataFrame, least: float = 0.93) -> Da
     """The nearest cached entry of each question of the same scope with a cosine of at least ``least``.
 
     ``asked``: query_id, scope, v; ``cache``: entry_id, scope, v. A scope is one
-    policy version and intent and holds the entries that are still alive, so
-    candidates stay few.
+    policy version and intent and holds the entries that are still alive. The
+    questions and entries of a scope are dealt to blocks of about ``_BLOCK``, every
+    block of questions meets every block of entries, and the best of each meeting
+    are reduced to one per question, so a large scope spreads over many tasks.
     """
-    pairs = asked.join(cache.withColumnRenamed("v", "cv"), "scope").withColumn("similarity", cosine(F.col("v"), F.col("cv"))).where(F.col("similarity") >= least)
+    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / _BLOCK).alias(name))
+    sizes = blocks(asked, "_rows").join(blocks(cache, "_cols"), "scope")
+    dealt = lambda df, own, mine, each: (
+        df.join(sizes, "scope").withColumn(mine, F.pmod(F.xxhash64(own), F.col(f"{mine}s"))).withColumn(each, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{each}s") - 1))).drop("_rows", "_cols")
+    )
+    left = dealt(asked, "query_id", "_row", "_col")
+    right = dealt(cache.withColumnRenamed("v", "cv"), "entry_id", "_col", "_row")
+    pairs = left.join(right, ["scope", "_row", "_col"]).withColumn("similarity", cosine(F.col("v"), F.col("cv"))).where(F.col("similarity") >= least)
     return pairs.groupBy("query_id").agg(F.max_by("entry_id", F.struct("similarity", -F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
