@@ -5,20 +5,23 @@ hexadecimal strings. Weak candidates (short assigned values, opaque strings,
 user or client identifiers) mean little alone. They are joined with their
 complementary parts by interval: within a scope of ``reach`` code points of the
 same text, a weak secret needs an identifier or an endpoint beside it, a weak
-identifier needs a secret. Texts are cut into bins of that width; a weak span is
-listed under every bin it touches and a part under every bin within reach of it,
-so the join is an equality join on text and bin with a distance test, and spans
-of any length meet all that lies within reach of either end.
+identifier needs a secret.
 
-Only offsets are shuffled, never texts.
+A scope never leaves its text, so the interval join runs inside the row: parts
+are sorted by start, a running maximum of their ends is kept, and each candidate
+looks up by bisection how many parts start before its interval ends. It has a
+partner if the largest end among those reaches its interval. That takes n log n
+for n parts of a text and needs no shuffle at all, of texts or of offsets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import table
+from tallyforge.llm.shared import fresh, table
 
 
 def _either_case(words: str) -> str:
@@ -43,38 +46,78 @@ PARTS = {
     "endpoint": (r"[a-z][a-z0-9+.-]*://[^\x00-\x20\x22'<>]+", 0, 8),
 }
 REACH = 200
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_POWERS = [1 << k for k in range(31)]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _powers_up_to(n: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, _POWERS)), lambda p: p <= n)
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The fold of every element with all before it, in passes that double their stride."""
+    return _let(
+        values,
+        lambda v: F.aggregate(
+            _powers_up_to(F.size(v)),
+            v,
+            lambda a, p: F.transform(a, lambda x, i: F.when(i >= p, combine(x, F.get(a, i - p))).otherwise(x)),
+        ),
+    )
 
 
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
     """array of (start, rank, end, kind) of the leftmost non-overlapping matches long enough, in code points.
 
-    The pieces between the matches give the offsets: a match starts after all
-    pieces and matches before it.
+    The pieces between the matches give the offsets: a match ends after all
+    pieces and matches up to it.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.arrays_zip(
-        F.transform(F.slice(F.split(text, pattern), 1, F.size(whole)), F.length).alias("gap"),
-        F.transform(whole, F.length).alias("size"),
-        F.transform(measured, F.length).alias("measured"),
+    fits = lambda found: F.length(found) >= least
+    if kind == "opaque":  # a string of one sort of letters is a word or a number, not a key
+        fits = lambda found: (F.length(found) >= least) & found.rlike("[A-Z]") & found.rlike("[a-z]") & found.rlike("[0-9]")
+    pieces = F.struct(
+        F.transform(F.split(text, pattern), F.length).alias("gaps"),
+        F.transform(whole, F.length).alias("sizes"),
+        F.transform(measured, fits).alias("fit"),
     )
-    element = "start int, rank int, end int, kind string, fit boolean"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{element}>>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), (x["measured"] >= least).alias("fit"))
-        return F.struct(end.alias("at"), F.when(x["measured"] >= least, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    def placed(p: Column) -> Column:
+        ends = _running(F.transform(p["sizes"], lambda n, i: n + F.get(p["gaps"], i)), lambda a, b: a + b)
+        made = F.transform(
+            F.arrays_zip(ends.alias("end"), p["sizes"].alias("size"), p["fit"].alias("fit")),
+            lambda m: F.when(m["fit"], F.struct((m["end"] - m["size"]).alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"))),
+        )
+        return F.array_compact(made)
+
+    return F.when(text.rlike(pattern), _let(pieces, placed)).otherwise(F.array().cast(_SPAN))
 
-    found = F.aggregate(steps, zero, step, lambda acc: acc["found"])
-    plain = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return F.when(text.rlike(pattern), plain).otherwise(nothing)
 
+def _beside(spans: Column, parts: Column, reach: int, wanted: bool = True) -> Column:
+    """Those of ``spans`` that have one of ``parts`` within ``reach`` code points (-1: overlapping), or those that have none."""
 
-def _clear_of(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    def search(z: Column) -> Column:
+        def meets(s: Column) -> Column:
+            before = F.aggregate(  # how many parts start early enough
+                z["powers"], F.lit(0), lambda k, p: F.when((k + p <= F.size(z["starts"])) & (F.get(z["starts"], k + p - 1) <= s["end"] + reach), k + p).otherwise(k)
+            )
+            return _let(before, lambda k: (k > 0) & (F.get(z["ends"], k - 1) >= s["start"] - reach))
+
+        return F.filter(spans, lambda s: F.coalesce(meets(s), F.lit(False)) == F.lit(wanted))
+
+    ordered = lambda p: F.struct(
+        F.transform(p, lambda x: x["start"]).alias("starts"),
+        _running(F.transform(p, lambda x: x["end"]), lambda a, b: F.greatest(a, b)).alias("ends"),
+        F.reverse(_powers_up_to(F.size(p))).alias("powers"),
+    )
+    empty = spans if not wanted else F.array().cast(_SPAN)
+    return F.when((F.size(spans) > 0) & (F.size(parts) > 0), _let(_let(F.array_sort(parts), ordered), search)).otherwise(empty)
 
 
 def joined(spans: Column) -> Column:
@@ -82,83 +125,73 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _scan(text: Column, reach: int) -> Column:
+    """struct(base, spans) of a text that is not null."""
+    each = {kind: _spans(text, kind, rank, *rule) for rank, (kind, rule) in enumerate((BASE | PARTS).items())}
+
+    def candidates(f: Column) -> Column:
+        base = F.array_sort(F.concat(*[f[k] for k in BASE]))
+        taken = F.concat(base, f["weak_secret"])
+        secrets = F.concat(_beside(f["weak_secret"], base, -1, False), _beside(f["opaque"], taken, -1, False))
+        identifiers = _beside(f["identifier"], base, -1, False)
+        return F.struct(base.alias("base"), secrets.alias("secrets"), identifiers.alias("identifiers"), f["assign"].alias("assign"), f["access"].alias("access"), f["endpoint"].alias("endpoint"))
+
+    def linked(c: Column) -> Column:
+        of_secrets = _beside(c["secrets"], F.concat(c["identifiers"], c["endpoint"], c["access"]), reach)
+        of_identifiers = _beside(c["identifiers"], F.concat(c["secrets"], c["assign"]), reach)
+        return F.struct(c["base"].alias("base"), F.array_sort(F.concat(c["base"], of_secrets, of_identifiers)).alias("spans"))
+
+    return _let(_let(F.struct(*[c.alias(k) for k, c in each.items()]), candidates), linked)
+
+
 def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, sorted arrays of (start, rank, end, kind); end is exclusive.
 
-    A null text is empty and has no spans. Rows that repeat doc_id and text get
-    the same spans each; rows that share a doc_id alone are kept apart. A null
-    doc_id works like any other. Columns named base or spans are replaced; an
-    empty table gives an empty result.
+    A null text is empty and has no spans. Each row is judged by its own text
+    alone, so repeated rows and rows that share a doc_id, null or not, each get
+    their spans. Columns named base or spans are replaced, others of any name
+    stay; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(*[_spans(text, kind, rank, *rule) for rank, (kind, rule) in enumerate(BASE.items())])
-    parts = {kind: _spans(text, kind, len(BASE) + rank, *rule) for rank, (kind, rule) in enumerate(PARTS.items())}
-
-    def of_mixed_letters(s: Column) -> Column:
-        found = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return found.rlike("[A-Z]") & found.rlike("[a-z]") & found.rlike("[0-9]")
-
-    mixed = F.filter(parts["opaque"], of_mixed_letters)
-    keep = [c for c in docs.columns if c not in ("base", "spans")]
-    scanned = (
-        docs.select(*keep, F.xxhash64(text).alias("_text"), F.array_sort(base).alias("base"), parts["weak_secret"].alias("_s"), mixed.alias("_o"), parts["identifier"].alias("_i"), parts["endpoint"].alias("_e"))
-        .withColumn("_weak", F.concat(_clear_of(F.col("_s"), F.col("base")), _clear_of(F.col("_o"), F.concat("base", "_s"))))
-        .withColumn("_i", _clear_of(F.col("_i"), F.col("base")))
-    )
+    keep = [c for c in docs.columns if c.lower() not in ("base", "spans")]
+    (found,) = fresh(docs, "found")
+    scanned = docs.select(*[F.col(f"`{c}`") for c in keep], _scan(F.coalesce(F.col("text"), F.lit("")), reach).alias(found))
+    return scanned.select(*[F.col(f"`{c}`") for c in keep], F.col(found)["base"].alias("base"), F.col(found)["spans"].alias("spans"))
 
-    def role(name: str, spans: Column, weak: bool) -> Column:
-        return F.transform(spans, lambda s: F.struct(s.alias("span"), F.lit(name).alias("role"), F.lit(weak).alias("weak")))
 
-    listed = F.concat(
-        role("secret", F.col("_weak"), True),
-        role("identifier", F.col("_i"), True),
-        role("endpoint", F.col("_e"), False),
-        role("identifier", F.filter("base", lambda s: s["kind"] == "access"), False),
-        role("secret", F.filter("base", lambda s: s["kind"] == "assign"), False),
-    )
-    exploded = (
-        scanned.where(F.size("_weak") + F.size("_i") > 0)
-        .select("doc_id", "_text", F.explode(listed).alias("part"))
-        .select("doc_id", "_text", "part.*")
-    )
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with its sorted ``spans`` replaced by ``mask``; overlapping ones become one.
 
-    def binned(parts: DataFrame, margin: int) -> DataFrame:
-        at = lambda c: F.floor(c / reach)
-        return parts.withColumn("bin", F.explode(F.sequence(at(F.col("span.start") - margin), at(F.col("span.end") + margin))))
-
-    weak = binned(exploded.where("weak"), 0).alias("w")
-    beside = binned(exploded, reach).alias("p")
-    apart = F.greatest(F.col("p.span.start") - F.col("w.span.end"), F.col("w.span.start") - F.col("p.span.end"))
-    complementary = ((F.col("w.role") == "secret") & (F.col("p.role") != "secret")) | ((F.col("w.role") == "identifier") & (F.col("p.role") == "secret"))
-    same = F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w._text") == F.col("p._text")) & (F.col("w.bin") == F.col("p.bin"))
-    linked = (
-        weak.join(beside, same & complementary & (apart <= reach), "left_semi")
-        .groupBy("doc_id", "_text")
-        .agg(F.collect_set("span").alias("_linked"))
-        .select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "_linked")
-    )
-    with_links = scanned.join(linked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("_linked", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))))
-    return with_links.select(*keep, "base", spans.alias("spans"))
+    Pieces are cut from four bytes a code point, where a place is found at once.
+    """
+
+    def cut(z: Column) -> Column:
+        starts, ends, wide = z["starts"], z["ends"], z["wide"]
+        piece = lambda at, to: F.decode(F.substring(wide, at * 4 + 1, (to - at) * 4), "UTF-32")
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        pieces = F.array_compact(F.transform(starts, lambda s, i: F.when(s >= before(i), piece(before(i), s))))
+        rest = piece(F.get(ends, F.size(ends) - 1), F.floor(F.octet_length(wide) / 4).cast("int"))
+        return F.array_join(F.concat(pieces, F.array(rest)), mask)
+
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    parts = F.struct(F.transform(spans, lambda s: s["start"]).alias("starts"), ends.alias("ends"), F.encode(text, "UTF-32").alias("wide"))
+    return F.when(F.size(spans) > 0, _let(parts, cut)).otherwise(text)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", reach: int = REACH) -> DataFrame:
-    """``docs`` with every reported span of the text replaced by ``mask``; overlapping spans become one. n_chars follows, where it is a column."""
-    found = find_secrets(docs, reach)
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        meets = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(meets, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
-        )
+    """``docs`` with every reported span of the text replaced by ``mask``; overlapping spans become one. n_chars follows, where it is a column.
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(text))
+    A null text stays null, a text without spans stays as it is, with its
+    n_chars. Rows are masked one by one, so repeated rows and doc_ids, null ones
+    included, make no difference. All columns stay in their order, whatever their
+    names; an empty table gives an empty result.
+    """
+    text, spans = fresh(docs, "text", "spans")
+    scanned = docs.select("*", F.col("text").alias(text), _scan(F.coalesce(F.col("text"), F.lit("")), reach)["spans"].alias(spans))
+    changed = {"text": masked(F.col(text), F.col(spans), mask)}
+    out = scanned.withColumn("text", changed["text"])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(text, spans)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

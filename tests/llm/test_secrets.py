@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from tallyforge.llm import secrets
 
@@ -75,3 +77,81 @@ def test_redaction_and_edges(odd):
 def test_no_python_in_the_plan(odd):
     plan = secrets.find_secrets(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+LETTERS = re.compile("(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])", re.S)
+WEAK = [
+    ("weak_secret", re.compile(r"""(password|passwd|passphrase|passcode|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+    ("opaque", re.compile("[A-Za-z0-9+/]{32,}"), 0, 32),
+    ("identifier", re.compile(r"""(username|user|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", re.I | re.A), 2, 3),
+    ("endpoint", re.compile(r"[a-z][a-z0-9+.-]*://[^\x00-\x20\x22'<>]+"), 0, 8),
+]
+
+
+def brute_every(text, reach=200):
+    """All spans, by comparing every candidate with every part."""
+    base = brute(text)
+    found = {k: [(m.start(), 3 + i, m.end(), k) for m in p.finditer(text or "") if len(m[g]) >= least] for i, (k, p, g, least) in enumerate(WEAK)}
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    clear = lambda spans, others: [s for s in spans if not any(meets(s, o) for o in others)]
+    opaque = [s for s in found["opaque"] if LETTERS.match(text[s[0] : s[2]])]
+    secrets_ = clear(found["weak_secret"], base) + clear(opaque, base + found["weak_secret"])
+    identifiers = clear(found["identifier"], base)
+    of_secrets = identifiers + found["endpoint"] + [b for b in base if b[3] == "access"]
+    of_identifiers = secrets_ + [b for b in base if b[3] == "assign"]
+    near = lambda w, parts: any(max(p[0] - w[2], w[0] - p[2]) <= reach for p in parts)
+    return sorted(base + [s for s in secrets_ if near(s, of_secrets)] + [s for s in identifiers if near(s, of_identifiers)])
+
+
+def brute_masked(text, mask="[secret]"):
+    out, at = [], 0
+    for start, _, end, _ in brute_every(text):
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def mixtures(n=300, seed=3):
+    """Texts of parts of 1 to 5,000 code points with gaps about the reach."""
+    rng = random.Random(seed)
+    stuff = lambda k, letters="abcXYZ019": "".join(rng.choice(letters) for _ in range(k))
+    size = lambda: rng.choice([1, 5, 8, 15, 30, 60, 190, 200, 201, 450, 5000])
+    parts = [
+        lambda: f"password: {stuff(size())}", lambda: f"pwd={stuff(size(), 'gh')}", lambda: f"user={stuff(size(), 'xyz')}", lambda: "AKIA" + stuff(size(), "ABC123"),
+        lambda: "https://" + stuff(size(), "host./"), lambda: stuff(size()), lambda: stuff(size(), "0123abcdef"), lambda: stuff(size(), "é\U0001f600 "), lambda: f"'api_key' : \"{stuff(size())}\"",
+    ]
+    gap = lambda: rng.choice(["", " ", "-", " " * 60, "\n" * 199, " " * 200, " " * 201, "\U0001f600" * 150])
+    return ["".join(rng.choice(parts)() + gap() for _ in range(rng.randint(0, 9))) for _ in range(n)]
+
+
+def test_links_and_masks_equal_brute_force(spark):
+    texts = mixtures()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = 0
+    for _, text, base, every in spans(df):
+        assert base == brute(text)
+        assert every == brute_every(text)
+        linked += len(every) - len(base)
+    assert linked > 100
+    for r in secrets.redact(df).collect():
+        assert r["text"] == brute_masked(texts[r["doc_id"]])
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{k:016x} user=name{k} pwd=hidden{k}" for k in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    ((_, _, base, every),) = spans(df)
+    assert len(base) == 20_000 and len(every) == 60_000
+    assert len(secrets.redact(df).first()["text"]) == 20_000 * len("[secret] [secret] [secret]") + 19_999
+    assert time.perf_counter() - began < 60
+
+
+def test_clashing_names(spark):
+    row = spark.createDataFrame([(1, "user=bob password=short7x", "a", "b", "c", "d", "e", 3)], "doc_id long, text string, found string, _text string, _s string, _weak string, _linked string, n_chars long")
+    out = secrets.find_secrets(row)
+    assert out.columns == [*row.columns, "base", "spans"] and out.first()["_weak"] == "d" and len(out.first()["spans"]) == 2
+    assert secrets.redact(row).first().asDict() == row.first().asDict() | {"text": "[secret] [secret]", "n_chars": 17}
+    other = row.withColumnsRenamed({"found": "spans", "_s": "_spans"})
+    assert secrets.redact(other).first()["spans"] == "a" and secrets.redact(other).columns == other.columns
