@@ -247,8 +247,7 @@ linked AS (
   SELECT doc_id, rank, kind, span_start, span_end FROM weak w WHERE EXISTS (
     SELECT 1 FROM beside p WHERE p.doc_id = w.doc_id
       AND ((w.role = 'secret' AND p.role <> 'secret') OR (w.role = 'identifier' AND p.role = 'secret'))
-      AND greatest(p.span_start - w.span_end, w.span_start - p.span_end) <= {REACH}
-      AND abs(floor(p.span_start / {REACH}) - floor(w.span_start / {REACH})) <= 1)),
+      AND greatest(p.span_start - w.span_end, w.span_start - p.span_end) <= {REACH})),
 everything AS (SELECT * FROM base UNION ALL SELECT * FROM linked),
 label AS (SELECT *, kind || ':' || CAST(span_start AS BIGINT) || ':' || CAST(span_end AS BIGINT) AS said FROM everything)
 SELECT d.doc_id,

@@ -155,3 +155,14 @@ def test_clashing_names(spark):
     assert secrets.redact(row).first().asDict() == row.first().asDict() | {"text": "[secret] [secret]", "n_chars": 17}
     other = row.withColumnsRenamed({"found": "spans", "_s": "_spans"})
     assert secrets.redact(other).first()["spans"] == "a" and secrets.redact(other).columns == other.columns
+
+
+def test_the_sql_states_the_same_links():
+    import duckdb
+
+    texts = mixtures(200, 11)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    said = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, spans FROM ({secrets.SQL})").fetchall()}
+    assert said == {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_every(t)) for i, t in enumerate(texts)}
