@@ -1,20 +1,25 @@
 """Near-duplicates by exact similarity of word shingles.
 
 Two texts are linked where the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more. Candidates come from prefixes: with all shingles in one
-fixed order, frequent ones last, two such sets share a shingle among the first
-n - ceil(0.8 n) + 1 of each. Texts that meet in a prefix shingle are joined by
-equality and verified by their texts, so no link is lost and none is false.
-
-A shingle in the prefixes of more than ``crowd`` texts is not expanded into
-pairs at once: its texts are compared with a few of them first, and only those
-that are still in different components with one another, in salted blocks.
+shingles is 0.8 or more. Links may be found ahead by another method (see
+``simhash``) and are then taken once their sets agree; the rest, and all where
+there is none, come from prefixes: with all shingles in one fixed order,
+frequent ones last, two such sets share a shingle among the first
+n - ceil(0.8 n) + 1 of each. Texts that meet in a prefix shingle and are not
+connected yet are joined by equality, a pair's meetings are counted, and pairs
+whose count still allows the similarity are verified by their whole sets. So no
+link is lost and none is false.
+
+A prefix shingle of more than ``crowd`` texts is not expanded into pairs at
+once: its texts are compared with a few of them first, and only those that are
+still in different components with one another, in salted blocks.
+
+Equal texts are one *node*, named by a hash of their words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,60 +28,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.shared import Scratch
+from tallyforge.llm.shared import Scratch, beside
 
 WORDS = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
+SEED = 42
 #: Rows from which frequent shingles are estimated; they set the order only, which decides the cost and never the links.
-_SAMPLE, _FREQUENT, _LISTED = 10_000, 4, 50_000
+_SAMPLE, _FREQUENT, _LISTED = 20_000, 4, 200_000
 _PIVOTS = 3
 _BLOCK = 64
 
 
-def _words(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes]:
     """Runs without ASCII white space, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; a text with fewer words than a shingle has is one, an empty one has none."""
-    words = _words(text)
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; a text with fewer words than a shingle has is one, an empty one has none."""
+    words = words_of(text)
     if not words:
-        return np.empty(0, np.int64)
-    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words])
     stops = (ends[size - 1 :] - 1).tolist() or [len(joined)]
     starts = [0, *ends[: len(stops) - 1].tolist()]
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(stops)).view(np.int64))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
 
 
-_cached = lru_cache(maxsize=128)(shingle_set)
+def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct shingles, as signed numbers."""
+    return np.unique(shingle_hashes(text, size).view(np.int64))
 
 
-def similar(a: str | None, b: str | None) -> bool:
-    x, y = _cached(a), _cached(b)
-    both, part, whole = len(np.intersect1d(x, y, assume_unique=True)), *LEAST
-    return (part + whole) * both >= part * (len(x) + len(y))
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of some hashes: a bit is 1 if set in over half of them; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that several rows of a sample share, the most frequent last; at most 50,000 reach the driver."""
+    """Shingles that several rows of a sample share, the most frequent last; at most ``_LISTED`` reach the driver."""
     n = docs.count()
     rows = docs if n <= _SAMPLE else docs.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < int(_SAMPLE / n * (1 << 30)))
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                yield pd.DataFrame({"key": np.concatenate([shingle_set(t) for t in batch["text"].iloc[at : at + 64]])})
-
-    shared = rows.select("text").mapInPandas(explode, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
+    sets = F.pandas_udf(lambda texts: pd.Series([shingle_set(t) for t in texts]), "array<long>")
+    shared = rows.select(F.explode(sets("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
     top = shared.orderBy(F.col("n").desc(), "key").limit(_LISTED).collect()
     return np.array([r["key"] for r in reversed(top)], dtype=np.int64)
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, digest, n, keys): the number of shingles of each row and its prefix, rarest first."""
+def prints_of(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(id, mark, node, n, fp, keys) of rows (id, text), saved.
+
+    mark: hash of the text as it is; node: of its words, the same for no two
+    different ones; n: shingles; fp: their SimHash; keys: their prefix.
+    """
+    frequent = frequent_shingles(docs)
     by_key = np.argsort(frequent)
     ordered = frequent[by_key]
     part, whole = LEAST
@@ -85,77 +96,135 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for texts in batches:
             out = []
             for text in texts:
-                found = shingle_set(text)
+                hashes = shingle_hashes(text, WORDS)
+                found = np.unique(hashes.view(np.int64))
                 rank = np.full(len(found), -1)
                 if len(ordered) and len(found):
                     at = np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)
                     rank = np.where(ordered[at] == found, by_key[at], -1)
                 kept = found[np.lexsort((found, rank))][: len(found) + (-part * len(found)) // whole + 1] if len(found) else found
-                out.append((xxhash.xxh3_128_digest(b" ".join(_words(text))), len(found), kept))
-            yield pd.DataFrame(out, columns=["digest", "n", "keys"])
+                fp = np.array([majority(hashes)], np.uint64).view(np.int64)[0]
+                out.append((xxhash.xxh3_128_digest(b" ".join(words_of(text))), len(found), fp, kept))
+            yield pd.DataFrame(out, columns=["digest", "n", "fp", "keys"])
 
-    print_of = F.pandas_udf(fold, "digest binary, n int, keys array<long>")
-    return docs.select("id", print_of("text").alias("p")).select("id", "p.*")
+    seen = F.pandas_udf(fold, "digest binary, n int, fp long, keys array<long>")
+    prints = scratch.save(docs.select("id", F.xxhash64("text").alias("mark"), seen("text").alias("p")).select("id", "mark", F.xxhash64("p.digest").alias("node"), "p.*"), "prints")
+    two = prints.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("node", F.col("b").alias("digest"))
+    two = scratch.save(two, "two")  # different texts of one hash, hardly ever any
+    if two.isEmpty():
+        return prints.drop("digest")
+    again = prints.join(F.broadcast(two.select("node").distinct().withColumn("_twice", F.lit(True))), "node", "left")
+    return scratch.save(again.withColumn("node", F.when(F.col("_twice"), F.xxhash64(F.hex("digest"))).otherwise(F.col("node"))).drop("_twice", "digest"), "prints-again")
 
 
-def _fits(a: str, b: str) -> Column:
-    """Whether sizes, and what is left behind the shared shingle, allow the similarity at all."""
+def _sizes_fit(a: Column, b: Column) -> Column:
+    part, whole = LEAST
+    return F.least(a, b) * whole >= F.greatest(a, b) * part
+
+
+def _left(n: Column) -> Column:
+    """How many shingles are not in the prefix of a set of ``n``."""
+    return F.ceil(n * LEAST[0] / LEAST[1]).cast("int") - 1
+
+
+def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b), nodes, whose texts are similar. A set is made once for each node that is asked for."""
+    pairs = scratch.save(pairs.select("a", "b").where("a <> b").distinct(), f"{name}-pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rows = prints.select("node", "id", "mark").join(beside(scratch.save(asked, f"{name}-asked")), "node")
+    wanted = scratch.save(rows.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("row")).select("node", "row.*"), f"{name}-wanted")
+    set_of = F.pandas_udf(lambda texts: pd.Series([shingle_set(t).tobytes() for t in texts]), "binary")
+    sets = docs.withColumn("mark", F.xxhash64("text")).join(beside(wanted), ["id", "mark"]).select("node", set_of("text").alias("set"))
+    sets = scratch.save(sets.groupBy("node").agg(F.any_value("set").alias("set")), f"{name}-sets")
+
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        part, whole = LEAST
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            out.append((part + whole) * len(np.intersect1d(x, y, assume_unique=True)) >= part * (len(x) + len(y)))
+        return pd.Series(out, dtype=bool)
+
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return scratch.save(both.where(F.pandas_udf(alike, "boolean")("set_a", "set_b")).select("a", "b"), name)
+
+
+def _apart(scratch: Scratch, members: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(key, node, n, part, size) of keys that nodes of different components have; part is a node's component so far."""
+    found = connected_components(Scratch(scratch.spark, name), edges)
+    placed = members.join(beside(found), members["node"] == found["node"], "left").select(members["key"], members["node"], members["n"], F.coalesce("component", members["node"]).alias("part"))
+    open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    return scratch.save(placed.join(open_, "key"), name)
+
+
+def links(scratch: Scratch, docs: DataFrame, prints: DataFrame, edges: DataFrame, crowd: int = 64) -> DataFrame:
+    """Edges (a, b) between nodes that, with ``edges``, connect whatever all links connect."""
+    postings = prints.select("node", "n", F.explode("keys").alias("key"))
+    shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    members = scratch.save(postings.join(shared, "key", "left_semi").select("key", "node", "n").distinct(), "members")
+    open_ = _apart(scratch, members, edges, "open")
+    few, many = open_.where(F.col("size") <= crowd), open_.where(F.col("size") > crowd)
+    sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("node", "n") for s in ("a", "b")]
     part, whole = LEAST
-    na, nb, pa, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
-    return (F.least(na, nb) * whole >= F.greatest(na, nb) * part) & ((part + whole) * F.least(na - pa, nb - pb) >= part * (na + nb))
-
-
-def links(scratch: Scratch, docs: DataFrame, members: DataFrame, crowd: int = 64) -> DataFrame:
-    """Edges (a, b) between the ``rep`` of texts that connect whatever all links connect.
 
-    ``members``: (key, digest, rep, n, pos), a row for each prefix shingle of each text; ``docs``: (id, text).
-    """
-    digest_of = F.pandas_udf(lambda texts: pd.Series([xxhash.xxh3_128_digest(b" ".join(_words(t))) for t in texts]), "binary")
-    verified = F.pandas_udf(lambda a, b: pd.Series([similar(x, y) for x, y in zip(a, b)], dtype=bool), "boolean")
-    sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("digest", "rep") for s in ("a", "b")]
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
-        asked = pairs.select("digest_a", "rep_a").union(pairs.select("digest_b", "rep_b")).toDF("digest", "id").distinct()
-        texts = docs.join(asked.select("id").distinct(), "id", "left_semi").select("id", digest_of("text").alias("digest"), "text")
-        texts = scratch.save(texts.join(asked, ["id", "digest"], "left_semi").dropDuplicates(["digest"]).select("digest", "text"), f"{name}-texts")
-        side = lambda s: texts.toDF(f"digest_{s}", f"text_{s}")
-        both = pairs.join(side("a"), "digest_a").join(side("b"), "digest_b")
-        return scratch.save(both.where(verified("text_a", "text_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), name)
-
-    counts = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.save(members.join(counts, "key"), "members")
-    few, many = members.where(F.col("size") <= crowd), members.where(F.col("size") > crowd)
-    ahead = (F.col("a.digest") < F.col("b.digest")) & _fits("a", "b")
-    pairs = few.alias("a").join(few.alias("b"), "key").where(ahead).select(*sides)
-    for turn in range(_PIVOTS):
-        pivot = many.groupBy("key").agg(F.min_by(F.struct("digest", "rep", "n", "pos"), F.xxhash64("digest", F.lit(turn))).alias("p")).select("key", "p.*")
-        near = pivot.alias("a").join(many.alias("b"), "key").where((F.col("a.digest") != F.col("b.digest")) & _fits("a", "b"))
-        pairs = pairs.union(near.select(*sides))
-    edges = verify(pairs, "edges")
-    found = connected_components(Scratch(docs.sparkSession, "shingles"), edges)
-    split = many.join(found, many["rep"] == found["node"], "left").select(*many.columns, F.coalesce("component", "rep").alias("part"))
-    apart = split.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    def counted(met: DataFrame, beyond: Column) -> DataFrame:
+        """Pairs whose meetings, with ``beyond`` and what no prefix holds, are enough."""
+        n = met.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("met"), F.max(beyond).alias("beyond"))
+        most = F.col("met") + F.col("beyond") + F.greatest(_left(F.col("n_a")), _left(F.col("n_b")))
+        return n.where((part + whole) * most >= part * (F.col("n_a") + F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    fit = _sizes_fit(F.col("a.n"), F.col("b.n")) & (F.col("a.part") != F.col("b.part"))
+    # shingles of a crowd are not counted here: a pair may meet in as many as the one that has fewer of them
+    crowded = many.groupBy("node").agg(F.count("*").alias("crowded"))
+    told = few.join(beside(scratch.save(crowded, "crowded")), "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
+    met = told.alias("a").join(told.alias("b"), "key").where(fit & (F.col("a.node") < F.col("b.node")))
+    pairs = counted(met.select(*sides, F.least("a.crowded", "b.crowded").alias("beyond")), F.col("beyond"))
+    crowds = not many.isEmpty()
+    if crowds:
+        for turn in range(_PIVOTS):
+            pivot = many.groupBy("key").agg(F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
+            near = pivot.alias("a").join(many.alias("b"), "key").where(fit)
+            pairs = pairs.union(near.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
+    edges = scratch.save(edges.union(verified(scratch, docs, prints, pairs, "near")), "edges")
+    if not crowds:
+        return edges
+    # whoever shares a shingle of few was judged above, so these pairs have no other meetings than in crowds
+    rest = _apart(scratch, many.select("key", "node", "n"), edges, "rest")
+    if rest.isEmpty():
+        return edges
     blocks = F.ceil(F.col("size") / _BLOCK)
-    open_ = scratch.save(split.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("digest"), blocks)).withColumn("blocks", blocks), "open")
-    left = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
-    right = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
+    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left, right = dealt.withColumn("other", every).alias("a"), dealt.withColumn("with", every).alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.with")) & (F.col("a.other") == F.col("b.block"))
-    rest = left.join(right, meet & ahead & (F.col("a.part") != F.col("b.part"))).select(*sides)
-    return edges.union(verify(rest, "rest"))
+    met = left.join(right, meet).where(fit & (F.col("a.node") < F.col("b.node"))).select(*sides, F.lit(0).alias("beyond"))
+    return edges.union(verified(scratch, docs, prints, counted(met, F.col("beyond")), "far"))
+
 
+def shingle_rows(scratch: Scratch, docs: DataFrame, crowd: int = 64, ahead: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, mark, part) of rows (id, text), saved in ``scratch``: nodes that links connect have the same part.
 
-def shingle_components(docs: DataFrame, crowd: int = 64) -> DataFrame:
+    ``ahead`` may name pairs (a, b) of nodes that are worth a look first, from the prints.
+    """
+    own = Scratch(scratch.spark, "shingles")
+    prints = prints_of(own, docs)
+    suggested = ahead(prints) if ahead else prints.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    edges = links(own, docs, prints, verified(own, docs, prints, suggested, "ahead"), crowd)
+    found = own.save(connected_components(Scratch(scratch.spark, "shingles"), edges), "components")
+    placed = prints.join(beside(found), prints["node"] == found["node"], "left").select("id", "mark", F.coalesce("component", prints["node"]).alias("part"))
+    placed = scratch.save(placed, "parts")
+    own.drop()
+    return placed
+
+
+def shingle_components(docs: DataFrame, crowd: int = 64, ahead: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of rows (id, text): component is the smallest id reachable over links of similarity 0.8 or more.
 
     Texts with the same words are one; so are all that have none, null or blank.
-    Ids are not null. Repeated rows keep a row each; an empty table gives an empty result.
+    Ids are not null; different texts may share one. Repeated rows keep a row
+    each; an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "shingles")
-    prints = scratch.save(prefixes(docs, frequent_shingles(docs)), "prints")
-    distinct = scratch.save(prints.groupBy("digest").agg(F.min("id").alias("rep")), "distinct")
-    listed = prints.join(distinct, (prints["digest"] == distinct["digest"]) & (prints["id"] == distinct["rep"]), "left_semi")
-    members = listed.select("digest", F.col("id").alias("rep"), "n", F.posexplode("keys").alias("pos", "key")).distinct()
-    found = connected_components(scratch, links(scratch, docs, members, crowd))
-    classes = scratch.save(distinct.join(found, distinct["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "classes")
-    return prints.select("id", "digest").join(classes, "digest").select("id", "component")
+    rows = shingle_rows(Scratch(docs.sparkSession, "shingles"), docs, crowd, ahead)
+    least = rows.groupBy("part").agg(F.min("id").alias("component"))
+    return rows.join(least, "part").select("id", "component")

@@ -17,16 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.shared import Scratch, table
-from tallyforge.llm.shingles import shingle_components
-
-SEED = 42
+from tallyforge.llm.shared import Scratch, beside, fresh, table
+from tallyforge.llm.shingles import majority, shingle_hashes, shingle_rows
 
 
 def text_fingerprint(text: str | None, shingle_words: int = 3) -> int:
@@ -35,23 +32,7 @@ def text_fingerprint(text: str | None, shingle_words: int = 3) -> int:
     Words are runs without ASCII white space, A-Z lower-cased. A text with fewer
     words than a shingle has is one shingle.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle_words:
-        return digest(joined, SEED)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-shingle_words])).tolist()
-    stops = (ends[shingle_words - 1 :] - 1).tolist()
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return majority(shingle_hashes(text, shingle_words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -77,7 +58,9 @@ def links(scratch: Scratch, distinct: DataFrame, crowd: int = 64) -> DataFrame:
 
     ``distinct``: (fp, rep), one row per fingerprint.
     """
-    variants = distinct.select("fp", "rep", F.explode(variant_keys("fp")).alias("key"))
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    # a small table would be one task, and 64 times as many rows leave it
+    variants = distinct.repartition(parts, "fp").select("fp", "rep", F.explode(variant_keys("fp")).alias("key"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch.save(variants.join(shared, "key"), "members")
     few = members.where(F.col("n") <= crowd)
@@ -117,20 +100,47 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) pairs of nodes of ``prints`` (node, fp) that fingerprints within two bits suggest."""
+    scratch = Scratch(prints.sparkSession, "simhash")
+    nodes = prints.select("node", "fp").distinct()
+    distinct = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    equal = nodes.join(distinct, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return equal.union(links(scratch, distinct))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (columns doc_id, text and any others) with one document of each group left, the smallest doc_id.
 
-    Groups are linked by a similarity of 0.8 or more of their five-word shingles
-    (see ``shingles``), not by the two bits of ``simhash_components``. Rows that
-    repeat the kept doc_id are near-duplicates too: the one with the smallest
-    text stays. Rows with a null doc_id stay.
+    Texts are linked where their five-word shingles have a similarity of 0.8 or
+    more. SimHash finds the nearest of them by deletion variants; at 0.8 about
+    ten of 64 bits differ, which no variants can index, so what it leaves apart
+    is found through shingle prefixes (see ``shingles``). Every link is verified.
+
+    Texts with the same words link, blank and null ones with each other. Of
+    different texts of a group that share the smallest doc_id, one stays;
+    documents of different groups stay, whatever their doc_ids. Of rows that
+    repeat doc_id and text the one with the smallest other columns stays. Rows
+    with a null doc_id stay. An empty table gives an empty result.
     """
-    found = shingle_components(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"))
-    kept = found.where("id = component").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("_times"))
-    stay = docs.join(kept, "doc_id")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    single = stay.where("_times > 1").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")
-    return single.select(docs.columns).union(stay.where("_times = 1").select(docs.columns)).union(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = shingle_rows(scratch, docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), ahead=near_pairs)
+    least = rows.groupBy("part").agg(F.min("id").alias("id"))
+    first = rows.join(least, ["part", "id"]).groupBy("part", "id").agg(F.min("mark").alias("mark"), F.count("*").alias("times"))
+    first = scratch.save(first, "first")
+    key, mark, row = fresh(docs, "key", "mark", "row")
+    named = lambda df: df.select(F.col("id").alias(key), F.col("mark").alias(mark))
+    gone = scratch.save(named(rows.join(first, ["part", "id", "mark"], "left_anti").distinct()), "gone")
+    again = scratch.save(named(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1")).join(gone, [key, mark], "left_anti"), "again")
+    scratch.drop("parts")
+    told = docs.withColumn(key, F.col("doc_id")).withColumn(mark, F.xxhash64("text"))
+    kept = told.join(beside(gone), [key, mark], "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    repeated = kept.join(beside(again), [key, mark], "left_semi").groupBy(key, mark).agg(F.min(F.struct(*rest)).alias(row), F.any_value("text").alias("text"))
+    single = repeated.select(*[F.col("text") if c == "text" else F.col(row)[c].alias(c) for c in docs.columns])
+    return kept.join(beside(again), [key, mark], "left_anti").select(docs.columns).union(single)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
