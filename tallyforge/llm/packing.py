@@ -27,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import table
 
@@ -132,6 +133,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def token_count(text: Column, vocabulary: str | None = None) -> Column:
+    """Tokens of a document of this text, with the separator."""
+    path = vocabulary or default_vocabulary()
+
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(ids) for ids in tokenizer(path).batch(texts.tolist())], dtype="int64")
+
+    return F.pandas_udf(count, "long")(text)
+
+
 class SumOfSquares:
     """Open windows by fill level. A piece is (doc_id, start, ids, doc_tokens)."""
 
