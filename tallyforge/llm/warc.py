@@ -6,39 +6,47 @@ line separator is that byte. The last byte of a member is the high byte of the
 uncompressed length, zero below 16 MiB; a longer record keeps its last byte and
 the separator is then zero padding after the member, which gzip readers skip.
 
-Reading inflates a member at a time, takes the block by its Content-Length,
-and verifies the payload digest.
+Archives are bounded: records are dealt to as many files as their payloads need
+at ``ARCHIVE_BYTES`` each. Spark reads a file as one binary row, which limits
+archives from elsewhere to 2 GB each; from there on a file moves in chunks. The
+reader takes one chunk after the other, inflates a member at a time, takes the
+block by its Content-Length, and verifies the payload digest. A revisit has no
+payload of its own: what it says of its payload is held against the record that
+it refers to, by a join on record ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Scratch, table
+from tallyforge.llm.shared import Scratch, beside, table
 
 MIN_REVISIT_BYTES = 1000
 RECORDS = "record_id string, record_type string, target_uri string, refers_to string, content_length long, payload_bytes long, payload_digest string, verified boolean, payload binary"
-_DATE = "2024-01-01T00:00:00Z"
+ARCHIVE_BYTES = 64 << 20
+CHUNK = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def member(record_type: str, record_id: str, uri: str, payload: bytes, digest_hex: str, length: int, refers_to: str | None) -> bytes:
-    """A record as a gzip member; a revisit has no payload of its own but its digest and length."""
+def member(record_type: str, record_id: str, uri: str, payload: bytes, digest_hex: str, length: int, refers_to: str | None, date: str | None = None) -> bytes:
+    """A record as a gzip member; a revisit has no payload of its own but its digest and length. ``date``: that of writing unless given."""
     block = b"" if record_type == "revisit" else payload
     digest = base64.b32encode(bytes.fromhex(digest_hex)).decode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {record_type}",
         f"WARC-Record-ID: <{record_id}>",
-        f"WARC-Date: {_DATE}",
+        f"WARC-Date: {date or datetime.now(UTC).strftime('%Y-%m-%dT%H:%M:%SZ')}",
         f"WARC-Target-URI: {''.join(c for c in uri if c >= ' ')}",
         "Content-Type: text/html",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -88,13 +96,15 @@ def read_records(chunks: Iterator[bytes], step: int = 1 << 16) -> Iterator[tuple
         yield headers, bytes(data[start : start + length])
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Writes a record per row of ``pages`` (page_id, url, html), an archive per partition.
+def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record per row of ``pages`` (page_id, url, html) to archives of about ``archive_bytes`` of payload.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` the one
     with the largest page_id is the response, the others revisit it; rows that
     repeat that page_id are responses too. A null html is empty, a null url is
     an empty URI. A null page_id revisits a page with an id, where there is one.
+    Records are named after their page_id. Extra columns are ignored, whatever
+    their names; an empty table gives archives without records.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("length"))
@@ -105,7 +115,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
         .where("n > 1 and first_id is not null")
         .select("digest", "length", "first_id")
     )
-    told = rows.join(repeated, ["digest", "length"], "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False)))
+    repeated = Scratch(pages.sparkSession, "warc").save(repeated, "repeated")
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")  # one for all tasks and their repetitions
+    told = rows.join(beside(repeated), ["digest", "length"], "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False)))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,49 +125,68 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
             for page, url, text, digest, length, first, revisit in zip(batch["page_id"], batch["url"], batch["html"], batch["digest"], batch["length"], batch["first_id"], batch["revisit"]):
                 name = lambda x: f"urn:page:{x}"
                 own = name(page) if page is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, url + digest)}"
-                data = member("revisit" if revisit else "response", own, url, (text or "").encode("utf-8", "surrogatepass"), digest, length, name(first) if revisit else None)
+                data = member("revisit" if revisit else "response", own, url, (text or "").encode("utf-8", "surrogatepass"), digest, length, name(first) if revisit else None, date)
                 out.append(data[:-1] if data[-1] == 0 else data)
             yield pd.DataFrame({"value": out})
 
     payload = F.when(~F.col("revisit"), F.col("html"))
     told = told.select(F.col("page_id").cast("string").alias("page_id"), "url", payload.alias("html"), "digest", "length", F.col("first_id").cast("string").alias("first_id"), "revisit")
+    size = told.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    told = told.repartition(max(1, -(-size // archive_bytes)), F.xxhash64("page_id", "url", "digest"))
     told.mapInPandas(encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").mode("overwrite").text(folder)
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """A row per record of the archives in ``folder``, its payload digest verified (null for revisits, which have no payload here)."""
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """A row per record of the archives in ``folder``, its payload digest verified; for revisits that is left open (null), see ``resolve``.
+
+    Payloads are empty bytes where a record has none. Empty files have no
+    records; a damaged archive raises ValueError.
+    """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
-        for batch in batches:
-            for content in batch["content"]:
-                view = memoryview(content)
-                rows = []
-                size = 0
-                for headers, block in read_records(bytes(view[i : i + (1 << 20)]) for i in range(0, len(view), 1 << 20)):
-                    stated = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    revisit = headers["WARC-Type"] == "revisit"
-                    length = int(headers["WARC-Refers-To-Payload-Length"]) if revisit else len(block)
-                    verified = None if revisit else hashlib.sha1(block).hexdigest() == stated
-                    refers = headers.get("WARC-Refers-To", "<>")[1:-1] or None
-                    rows.append((headers["WARC-Record-ID"][1:-1], headers["WARC-Type"], headers["WARC-Target-URI"], refers, len(block), length, stated, verified, block if with_payload else None))
-                    size += len(block) if with_payload else 100
-                    if size > 1 << 24:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, size = [], 0
-                if rows:
+        pieces = ((path, bytes(piece)) for batch in batches for path, piece in zip(batch["path"], batch["piece"]))
+        rows, size = [], 0
+        for _, own in itertools.groupby(pieces, key=lambda x: x[0]):
+            for headers, block in read_records(piece for _, piece in own):
+                stated = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                revisit = headers["WARC-Type"] == "revisit"
+                length = int(headers["WARC-Refers-To-Payload-Length"]) if revisit else len(block)
+                verified = None if revisit else hashlib.sha1(block).hexdigest() == stated
+                refers = headers.get("WARC-Refers-To", "<>")[1:-1] or None
+                rows.append((headers["WARC-Record-ID"][1:-1], headers["WARC-Type"], headers["WARC-Target-URI"], refers, len(block), length, stated, verified, block if with_payload else None))
+                size += len(block) if with_payload else 200
+                if size > 1 << 23:
                     yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    files = spark.read.format("binaryFile").load(folder).where("length > 0")
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / chunk)))
+    pieces = files.select("path", "content", steps.alias("k")).select("path", F.substring("content", (F.col("k") * chunk + 1).cast("int"), F.lit(chunk)).alias("piece"))
+    return pieces.mapInPandas(decode, RECORDS)
+
 
-    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
-    return files.mapInPandas(decode, RECORDS)
+def resolve(records: DataFrame) -> DataFrame:
+    """``records`` with ``verified`` also for revisits: whether the record that they refer to is there and has the payload that they state."""
+    targets = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(F.bool_and("verified").alias("_whole"))
+    # a target that many revisit may be told twice where rows repeat; one agreeing is enough
+    told = records.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct().join(targets, "refers_to")
+    fits = (F.col("_digest") == F.col("payload_digest")) & (F.col("_bytes") == F.col("payload_bytes")) & F.col("_whole")
+    kept = told.where(fits).select("refers_to", "payload_digest", "payload_bytes").distinct().withColumn("_fits", F.lit(True))
+    out = records.join(kept, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    return out.withColumn("verified", F.when(F.col("record_type") == "revisit", F.coalesce("_fits", F.lit(False))).otherwise(F.col("verified"))).select(records.columns)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{Scratch(spark, 'warc').path}/archives"
+    scratch = Scratch(spark, "warc")
+    folder = f"{scratch.path}/archives"
     write_archives(table(spark, sf_dir, "pages"), folder)
     page = lambda c: F.regexp_extract(c, "^urn:page:(.*)$", 1).try_cast("long")
-    records = read_archives(spark, folder)
-    checked = F.when(F.coalesce("verified", F.lit(True)), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its digest")))
+    records = resolve(scratch.save(read_archives(spark, folder).drop("payload"), "records"))
+    scratch.drop("archives")
+    checked = F.when(F.col("verified"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its digest")))
     return records.select(page("record_id").alias("page_id"), "payload_bytes", checked.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 

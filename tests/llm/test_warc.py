@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -44,3 +45,32 @@ def test_reader_frames_and_checks():
         list(warc.read_records([gzip.compress(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabc\r\n\r\n")]))
     with pytest.raises(ValueError, match="version"):
         list(warc.read_records([gzip.compress(b"HTTP/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")]))
+
+
+def test_archives_are_bounded_and_read_in_chunks(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefgh \0\n") for _ in range(n))
+    rows = [(k, f"http://x/{k}", text(rng.choice([0, 10, 3000, 40_000])), "a", "b") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, length string")
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(df, folder, archive_bytes=100_000)
+    files = list((tmp_path / "w").glob("part-*"))
+    assert len([f for f in files if f.stat().st_size]) > 3 and max(f.stat().st_size for f in files) < 300_000
+    for chunk in (977, 1 << 20):
+        found = {r["record_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, folder, with_payload=True, chunk=chunk).collect()}
+        assert found == {f"urn:page:{k}": html for k, _, html, _, _ in rows}
+    cut = tmp_path / "cut"
+    cut.mkdir()
+    (cut / "part-0").write_bytes(max(files, key=lambda f: f.stat().st_size).read_bytes()[:-50])
+    with pytest.raises(Exception, match="ends within"):
+        warc.read_archives(spark, f"file://{cut}").collect()
+
+
+def test_revisits_are_held_against_what_they_refer_to(spark, tmp_path):
+    page = b"z" * 1200
+    digest = hashlib.sha1(page).hexdigest()
+    other = hashlib.sha1(b"other").hexdigest()
+    records = [("response", "urn:page:9", page, digest, 1200, None), ("revisit", "urn:page:1", b"", digest, 1200, "urn:page:9"), ("revisit", "urn:page:2", b"", other, 1200, "urn:page:9"), ("revisit", "urn:page:3", b"", digest, 1201, "urn:page:9"), ("revisit", "urn:page:4", b"", digest, 1200, "urn:page:8"), ("response", "urn:page:5", b"damaged", digest, 7, None), ("revisit", "urn:page:6", b"", digest, 7, "urn:page:5")]
+    (tmp_path / "part-0").write_bytes(b"".join(warc.member(kind, name, "u", payload, d, n, refers, "2020-02-02T00:00:00Z") for kind, name, payload, d, n, refers in records))
+    found = {r["record_id"]: r["verified"] for r in warc.resolve(warc.read_archives(spark, f"file://{tmp_path}")).collect()}
+    assert found == {f"urn:page:{k}": k in (9, 1) for k in (9, 1, 2, 3, 4, 5, 6)}
