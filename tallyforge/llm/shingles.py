@@ -10,9 +10,12 @@ connected yet are joined by equality, a pair's meetings are counted, and pairs
 whose count still allows the similarity are verified by their whole sets. So no
 link is lost and none is false.
 
-A prefix shingle of more than ``crowd`` texts is not expanded into pairs at
-once: its texts are compared with a few of them first, and only those that are
-still in different components with one another, in salted blocks.
+A prefix shingle of more than ``crowd`` texts is not expanded into pairs. Its
+texts are compared with a few of them first, which connects a crowd of near
+copies. Of those that are still in different components, whoever is not in the
+largest one is joined with the others, and only where places allow it: the first
+shingle that two similar sets share stands, on average, within the first ninth
+of them, so of two texts one must have it there.
 
 Equal texts are one *node*, named by a hash of their words.
 """
@@ -37,7 +40,6 @@ SEED = 42
 #: Rows from which frequent shingles are estimated; they set the order only, which decides the cost and never the links.
 _SAMPLE, _FREQUENT, _LISTED = 20_000, 4, 200_000
 _PIVOTS = 3
-_BLOCK = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -150,56 +152,60 @@ def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFr
     return scratch.save(both.where(F.pandas_udf(alike, "boolean")("set_a", "set_b")).select("a", "b"), name)
 
 
+def _places_fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+    """Whether two sets may be similar whose first common shingle stands at these places of their order."""
+    part, whole = LEAST
+    return ((part + whole) * (na - pa) >= part * (na + nb)) & ((part + whole) * (nb - pb) >= part * (na + nb))
+
+
 def _apart(scratch: Scratch, members: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """(key, node, n, part, size) of keys that nodes of different components have; part is a node's component so far."""
+    """(key, node, n, pos, part, size) of keys that nodes of different components have; part is a node's component so far."""
     found = connected_components(Scratch(scratch.spark, name), edges)
-    placed = members.join(beside(found), members["node"] == found["node"], "left").select(members["key"], members["node"], members["n"], F.coalesce("component", members["node"]).alias("part"))
+    m = F.col
+    placed = members.alias("m").join(beside(found).alias("f"), m("m.node") == m("f.node"), "left").select("m.key", "m.node", "m.n", "m.pos", F.coalesce("f.component", "m.node").alias("part"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
     return scratch.save(placed.join(open_, "key"), name)
 
 
 def links(scratch: Scratch, docs: DataFrame, prints: DataFrame, edges: DataFrame, crowd: int = 64) -> DataFrame:
     """Edges (a, b) between nodes that, with ``edges``, connect whatever all links connect."""
-    postings = prints.select("node", "n", F.explode("keys").alias("key"))
+    postings = prints.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = scratch.save(postings.join(shared, "key", "left_semi").select("key", "node", "n").distinct(), "members")
+    members = scratch.save(postings.join(shared, "key", "left_semi").select("key", "node", "n", "pos").distinct(), "members")
     open_ = _apart(scratch, members, edges, "open")
     few, many = open_.where(F.col("size") <= crowd), open_.where(F.col("size") > crowd)
-    sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("node", "n") for s in ("a", "b")]
     part, whole = LEAST
+    at = lambda side, c: F.col(f"{side}.{c}")
+    sizes = _sizes_fit(at("a", "n"), at("b", "n")) & (at("a", "part") != at("b", "part"))
+    places = _places_fit(at("a", "n"), at("a", "pos"), at("b", "n"), at("b", "pos"))
+    ends = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
 
-    def counted(met: DataFrame, beyond: Column) -> DataFrame:
-        """Pairs whose meetings, with ``beyond`` and what no prefix holds, are enough."""
-        n = met.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("met"), F.max(beyond).alias("beyond"))
-        most = F.col("met") + F.col("beyond") + F.greatest(_left(F.col("n_a")), _left(F.col("n_b")))
-        return n.where((part + whole) * most >= part * (F.col("n_a") + F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-    fit = _sizes_fit(F.col("a.n"), F.col("b.n")) & (F.col("a.part") != F.col("b.part"))
     # shingles of a crowd are not counted here: a pair may meet in as many as the one that has fewer of them
     crowded = many.groupBy("node").agg(F.count("*").alias("crowded"))
     told = few.join(beside(scratch.save(crowded, "crowded")), "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
-    met = told.alias("a").join(told.alias("b"), "key").where(fit & (F.col("a.node") < F.col("b.node")))
-    pairs = counted(met.select(*sides, F.least("a.crowded", "b.crowded").alias("beyond")), F.col("beyond"))
+    met = told.alias("a").join(told.alias("b"), "key").where(sizes & (at("a", "node") < at("b", "node")))
+    met = met.select(*ends, at("a", "n").alias("na"), at("b", "n").alias("nb"), F.least("a.crowded", "b.crowded").alias("beyond"), places.alias("fits"))
+    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max("beyond").alias("beyond"), F.bool_or("fits").alias("fits"))
+    most = F.col("met") + F.col("beyond") + F.greatest(_left(F.col("na")), _left(F.col("nb")))
+    # a pair whose first meeting is in a crowd is found there
+    pairs = counted.where(F.col("fits") & ((part + whole) * most >= part * (F.col("na") + F.col("nb")))).select("a", "b")
     crowds = not many.isEmpty()
     if crowds:
         for turn in range(_PIVOTS):
-            pivot = many.groupBy("key").agg(F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
-            near = pivot.alias("a").join(many.alias("b"), "key").where(fit)
-            pairs = pairs.union(near.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
+            pivot = many.groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "part"), F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
+            pairs = pairs.union(pivot.alias("a").join(many.alias("b"), "key").where(sizes & places).select(*ends))
     edges = scratch.save(edges.union(verified(scratch, docs, prints, pairs, "near")), "edges")
     if not crowds:
         return edges
-    # whoever shares a shingle of few was judged above, so these pairs have no other meetings than in crowds
-    rest = _apart(scratch, many.select("key", "node", "n"), edges, "rest")
+    rest = _apart(scratch, many.select("key", "node", "n", "pos"), edges, "rest")
     if rest.isEmpty():
         return edges
-    blocks = F.ceil(F.col("size") / _BLOCK)
-    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left, right = dealt.withColumn("other", every).alias("a"), dealt.withColumn("with", every).alias("b")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.with")) & (F.col("a.other") == F.col("b.block"))
-    met = left.join(right, meet).where(fit & (F.col("a.node") < F.col("b.node"))).select(*sides, F.lit(0).alias("beyond"))
-    return edges.union(verified(scratch, docs, prints, counted(met, F.col("beyond")), "far"))
+    largest = rest.groupBy("key", "part").agg(F.count("*").alias("in")).groupBy("key").agg(F.max(F.struct("in", "part")).alias("most")).select("key", F.col("most.part").alias("main"))
+    small = rest.join(largest, "key").where("part <> main").drop("main")
+    early = (part + whole) * F.col("pos") <= (whole - part) * F.col("n")
+    one = small.where(early).alias("a").join(rest.alias("b"), "key").where(sizes & places).select(*ends)
+    other = small.where(~early).alias("a").join(rest.where(early).alias("b"), "key").where(sizes & places).select(*ends)
+    return edges.union(verified(scratch, docs, prints, one.union(other), "far"))
 
 
 def shingle_rows(scratch: Scratch, docs: DataFrame, crowd: int = 64, ahead: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
