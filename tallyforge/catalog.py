@@ -197,10 +197,10 @@ def q_integrity_orphans(spark, sf):
     ])
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey FROM lineitem l LEFT JOIN orders o ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' WHERE o_custkey IS DISTINCT FROM l_suppkey AND l_linenumber = 1""")
+@query("""SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey FROM lineitem l LEFT JOIN orders o ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' WHERE o_custkey IS DISTINCT FROM l_suppkey""")
 def q_mismatched_link(spark, sf):
     orders = read(spark, sf, "orders").where("o_orderstatus <> 'P'")
-    return quality.mismatched_link(read(spark, sf, "lineitem").where("l_linenumber = 1"), "l_orderkey", "l_suppkey", orders, "o_orderkey", "o_custkey").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return quality.mismatched_link(read(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", orders, "o_orderkey", "o_custkey").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
 @query("""WITH h AS (SELECT l_returnflag AS s, epoch(l_shipdate - o_orderdate) / 3600.0 AS h FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -314,7 +314,7 @@ def q_union_dedupe(spark, sf):
     return allocation.union_distinct([part("o_orderpriority = '1-URGENT'", "urgent"), part("o_totalprice > 400000", "large"), part("o_orderdate >= timestamp_ntz '2000-01-01'", "recent")], "o_orderkey")
 
 
-@query()
+@query("""SELECT doc_id, lang, pick FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS pick FROM documents) WHERE pick <= 20""")
 def q_hash_sample(spark, sf):
     return allocation.stratified_hash_sample(read(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 20)
 
@@ -371,20 +371,20 @@ def requests(spark, sf):
 
 
 _CHECKS = [
-    ("SEC-001-injection", 1, "injected"),
-    ("POL-dual-remedy", 2, "(action = 'refund' AND replaced) OR (action = 'replacement' AND prior_count > 0)"),
-    ("POL-duplicate-order-refund", 2, "action = 'refund' AND prior_count > 0 AND coalesce(prior_value + amount > order_value + 0.01, FALSE)"),
-    ("POL-duplicate-order-refund", 1, "action = 'refund' AND prior_count > 0 AND NOT coalesce(prior_value + amount > order_value + 0.01, FALSE)"),
-    ("POL-goodwill-cap", 2, "goodwill AND coalesce(amount > 500, FALSE)"),
-    ("POL-goodwill-cap", 1, "goodwill AND NOT coalesce(amount > 500, FALSE)"),
-    ("POL-warranty-tier", 1, "action = 'replacement' AND code = 'PRODUCT_FAULT_IN_WARRANTY' AND tier IS NULL"),
-    ("POL-warranty-tier", 2, "action = 'replacement' AND code = 'PRODUCT_FAULT_IN_WARRANTY' AND tier < 2"),
-    ("POL-reason-code", 1, "action = 'refund' AND code = ''"),
-    ("POL-reason-code", 2, "action = 'refund' AND code = 'NONSENSE'"),
-    ("CTL-amount-required", 1, "action IN ('refund', 'goodwill_credit') AND amount IS NULL"),
-    ("CTL-critical-amount", 1, "action <> 'store_note' AND amount >= 5000"),
-    ("CTL-auto-approve-ceiling", 1, "action <> 'store_note' AND amount > 500 AND amount < 5000"),
-    ("CTL-refund-exceeds-order", 2, "action = 'refund' AND amount > order_value + 0.01"),
+    ("SEC-001-prompt-injection", 1, "injected"),
+    ("POL-5-001-dual-remedy-prohibited", 2, "(action = 'refund' AND replaced) OR (action = 'replacement' AND prior_count > 0)"),
+    ("POL-5-004-no-second-refund-same-order", 2, "action = 'refund' AND prior_count > 0 AND coalesce(prior_value + amount > order_value + 0.01, FALSE)"),
+    ("POL-5-004-no-second-refund-same-order", 1, "action = 'refund' AND prior_count > 0 AND NOT coalesce(prior_value + amount > order_value + 0.01, FALSE)"),
+    ("POL-5-002-goodwill-cap-500", 2, "goodwill AND coalesce(amount > 500, FALSE)"),
+    ("POL-5-002-goodwill-cap-500", 1, "goodwill AND NOT coalesce(amount > 500, FALSE)"),
+    ("POL-6-001-warranty-replacement-tier2", 1, "action = 'replacement' AND code = 'PRODUCT_FAULT_IN_WARRANTY' AND tier IS NULL"),
+    ("POL-6-001-warranty-replacement-tier2", 2, "action = 'replacement' AND code = 'PRODUCT_FAULT_IN_WARRANTY' AND tier < 2"),
+    ("POL-5-003-reason-code-in-taxonomy", 1, "action = 'refund' AND code = ''"),
+    ("POL-5-003-reason-code-in-taxonomy", 2, "action = 'refund' AND code = 'NONSENSE'"),
+    ("CTL-001-amount-required", 1, "action IN ('refund', 'goodwill_credit') AND amount IS NULL"),
+    ("CTL-003-critical-amount-manager", 1, "action <> 'store_note' AND amount >= 5000"),
+    ("CTL-002-auto-approve-ceiling", 1, "action <> 'store_note' AND amount > 500 AND amount < 5000"),
+    ("CTL-004-refund-exceeds-order-value", 2, "action = 'refund' AND amount > order_value + 0.01"),
 ]
 _CASES = ", ".join(f"CASE WHEN {w} THEN '{r}' END" for r, _, w in _CHECKS)
 _RANKS = ", ".join(f"CASE WHEN {w} THEN {k} ELSE 0 END" for _, k, w in _CHECKS)
@@ -396,7 +396,7 @@ g AS (SELECT *, action = 'goodwill_credit' OR code = 'GOODWILL_GESTURE' AS goodw
 c AS (SELECT *, [x FOR x IN [{_CASES}] IF x IS NOT NULL] AS rs, greatest({_RANKS}) AS worst FROM g)
 SELECT o_orderkey, CASE WHEN worst = 2 THEN 'DENY' WHEN worst = 1 AND approved_by IS NULL THEN 'REQUIRES_HUMAN_REVIEW' ELSE 'ALLOW' END AS decision, array_to_string(rs, ',') AS rules,
 CASE WHEN action = 'store_note' THEN 'low' WHEN amount IS NULL THEN 'high' WHEN amount >= 5000 THEN 'critical' WHEN amount > 500 THEN 'high' ELSE 'medium' END AS risk,
-CASE WHEN worst = 1 THEN CASE WHEN list_contains(rs, 'CTL-critical-amount') THEN 'Manager' ELSE 'Team Lead' END END AS approver, action IN ('refund', 'goodwill_credit') AND amount IS NULL AS fail_closed, FALSE AS approver_verified FROM c""")
+CASE WHEN worst = 1 THEN CASE WHEN list_contains(rs, 'CTL-003-critical-amount-manager') THEN 'Manager' ELSE 'Team Lead' END END AS approver, action IN ('refund', 'goodwill_credit') AND amount IS NULL AS fail_closed, FALSE AS approver_verified FROM c""")
 def q_outbound_authorisation(spark, sf):
     c = F.col
     found = decisions.authorise(c("action"), c("amount"), c("code"), c("replaced"), c("prior_count"), c("prior_value"), c("order_value"), c("tier"), c("injected"), c("approved_by"))
@@ -404,12 +404,12 @@ def q_outbound_authorisation(spark, sf):
     return rows.select("o_orderkey", "d.decision", F.array_join("d.rules", ",").alias("rules"), "d.risk", "d.approver", "d.fail_closed", "d.approver_verified")
 
 
-@query(f"""WITH {_REFUNDS}, q AS (SELECT DISTINCT l_orderkey, l_linenumber FROM r WHERE l_linenumber = 2)
+@query(f"""WITH {_REFUNDS}, q AS (SELECT DISTINCT l_orderkey, l_linenumber FROM r)
 SELECT q.l_orderkey, q.l_linenumber, count(r.amount) AS prior_count, coalesce(CAST(sum(r.l_quantity) AS DOUBLE), 0) AS prior_value, coalesce(bool_or(r.replaced), FALSE) AS prior_replaced
 FROM q LEFT JOIN r ON r.l_orderkey = q.l_orderkey AND r.l_linenumber <> q.l_linenumber GROUP BY 1, 2""")
 def q_prior_refunds(spark, sf):
     rows = refund_rows(spark, sf)
-    asked = rows.where("l_linenumber = 2").select("l_orderkey", "l_linenumber").distinct()
+    asked = rows.select("l_orderkey", "l_linenumber").distinct()
     return decisions.prior_refunds(asked, rows, "l_orderkey", "l_linenumber", "l_quantity", "replaced")
 
 
@@ -482,13 +482,13 @@ def q_inbound_route(spark, sf):
     return messages(spark, sf).select("o_orderkey", decisions.inbound_route(F.col("message"), F.col("replaced")).alias("route"))
 
 
-_DENIED = "(replacement not applicable|explained policy, (refund|rfnd) only|(rplc|replacement) request rejected|replacement declined)"
-_NO_PICKUP = "(without pickup as goodwill|rfnd processed without pickup)"
+def _says(phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(notes), '{p}')" for p in phrases) + ")"
 
 
-@query(f"""WITH {_TEXTS}, l AS (SELECT *, {_REASON} AS note, {_DUAL} AS stated, {_hit('notes', _DENIED)} AS denied FROM x),
-m AS (SELECT *, CASE WHEN o_orderstatus = 'F' AND note = 'UNKNOWN' THEN 'CANCELLED_BEFORE_DISPATCH' ELSE note END AS reason FROM l)
-SELECT o_orderkey, reason, CASE WHEN replaced AND denied AND NOT stated THEN 'AMBIGUOUS' WHEN replaced OR stated OR {_hit('notes', _NO_PICKUP)} THEN 'POTENTIALLY_AVOIDABLE' WHEN reason = 'UNKNOWN' THEN 'AMBIGUOUS' ELSE 'POLICY_COMPLIANT' END AS avoidability FROM m""")
+@query(f"""WITH {_TEXTS}, l AS (SELECT *, {_REASON} AS note, {_says(patterns.RUBRIC_DUAL)} AS stated, {_says(patterns.RUBRIC_NOT_DUAL)} AS denied, {_says(patterns.RUBRIC_NO_RETURN)} AS no_return FROM x),
+m AS (SELECT *, CASE WHEN o_orderstatus = 'F' AND note = 'UNKNOWN' THEN 'CANCELLED_BEFORE_DISPATCH' ELSE note END AS read FROM l)
+SELECT o_orderkey, CASE WHEN NOT (replaced OR stated) AND no_return AND read = 'UNKNOWN' THEN 'RETURN_PICKUP_FAILURE' ELSE read END AS reason, CASE WHEN replaced AND denied AND NOT stated THEN 'AMBIGUOUS' WHEN replaced OR stated OR no_return THEN 'POTENTIALLY_AVOIDABLE' WHEN read = 'UNKNOWN' THEN 'AMBIGUOUS' ELSE 'POLICY_COMPLIANT' END AS avoidability FROM m""")
 def q_rubric_label(spark, sf):
     code = F.when(F.col("o_orderstatus") == "F", "CANCEL")
     return messages(spark, sf).withColumn("l", decisions.rubric_label(code, F.col("message"), F.col("notes"), F.col("replaced"))).select("o_orderkey", "l.*")
@@ -576,12 +576,12 @@ def q_cost_rollup(spark, sf):
     return reports.call_costs(calls, ["role"], "tokens_in", "tokens_out", F.col("upstream"), (0.6, 1.8), 88.0)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS entry_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 <> 0),
-s AS (SELECT query_id, entry_id, list_cosine_similarity(q.v, e.v) AS similarity FROM q JOIN e USING (scope)),
+@query("""WITH q AS (SELECT vec_id AS query_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS entry_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT query_id, entry_id, list_cosine_similarity(q.v, e.v) AS similarity FROM q JOIN e USING (scope) WHERE query_id <> entry_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rn FROM s WHERE similarity >= 0.3) SELECT query_id, entry_id, round(similarity, 6) AS similarity FROM r WHERE rn = 1""")
 def q_cached_answer(spark, sf):
     v = read(spark, sf, "embeddings").withColumnRenamed("label", "scope").withColumnRenamed("embedding", "v")
-    found = retrieval.cached_answer(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "entry_id"), 0.3)
+    found = retrieval.cached_answer(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "entry_id"), 0.3, skip_own=True)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -597,7 +597,9 @@ def q_json_extract(spark, sf):
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), T.answer_json(said).alias("answer"))
 
 
-@query()
+# The conversations are NFKC already, so that composing, which SQL lacks, changes nothing; tests compose others.
+@query(f"""WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279) || chr(173), ''), '[^\\P{{C}}\\n\\t]', '', 'g'), '{patterns.FENCE}', '[removed-delimiter]', 'gi') AS t FROM conversations)
+SELECT conv_id, turn, '<<<UNTRUSTED_CUSTOMER_MESSAGE_BEGIN>>>' || chr(10) || CASE WHEN length(t) > 4000 THEN substring(t, 1, 4000) || chr(10) || '[truncated]' ELSE t END || chr(10) || '<<<UNTRUSTED_CUSTOMER_MESSAGE_END>>>' AS fenced FROM c""")
 def q_sanitise_text(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", T.wrap_untrusted(F.col("text"), "customer message").alias("fenced"))
 

@@ -21,6 +21,16 @@ REASONS = (
 DUAL_REMEDY = r"(refund\s*\+\s*replacement|replacement\s*\+\s*refund|both\s*refund\s*(and|&)\s*repl|refund\s*(and|&)\s*replacement\s*(both|given)|rfnd\s*\+\s*rplc|replacement\s*dispatched|new\s*unit\s*(also\s*)?(going|sent|shipped)|fresh\s*unit\s*shipped|dispatched\s*a\s*new\s*one|new\s*set)"
 NO_DUAL_REMEDY = r"(replacement\s*not\s*applicable|rplc\s*(request\s*)?rejected|replacement\s*(request\s*)?rejected|explained\s*policy,?\s*(refund|rfnd)\s*only|replacement\s*declined|opted\s*for\s*(a\s*)?refund|out\s*of\s*stock|did\s*not\s*want\s*replacement|offered\s*earlier)"
 
+# What the labelling rubric reads in notes, word for word and without regard to case.
+RUBRIC_DUAL = (
+    "refund + replacement both", "both refund and replacement", "both refund & replacement", "full refund issued and replacement dispatched",
+    "credited full amount, new unit", "amount returned to card; fresh unit", "reversed the payment and dispatched a new one",
+)
+RUBRIC_NOT_DUAL = (
+    "replacement not applicable", "explained policy, refund only", "explained policy, rfnd only", "rplc request rejected", "replacement request rejected", "replacement declined",
+)
+RUBRIC_NO_RETURN = ("without pickup as goodwill", "rfnd processed without pickup")
+
 # Intents of a message, first match wins.
 INTENTS = (
     ("refund_status", r"\b(where is my refund|refund not (credited|received)|refund (status|pending|delay)|still waiting for my refund|money for the return)\b"),

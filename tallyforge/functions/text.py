@@ -89,6 +89,16 @@ def token_estimate(characters: Column, messages: Column) -> Column:
     return (F.floor(characters / 3.6) + 8 * messages).cast("long")
 
 
+def within_budget(tokens: Column, used: Column, budget: int) -> Column:
+    """Whether a call of so many tokens still fits a run's budget; a budget of 0 is none."""
+    return F.lit(budget == 0) | (used + tokens <= budget)
+
+
+def evidence_json(source: Column, spans: Column) -> Column:
+    """Nested evidence as JSON: of ``spans`` (array of structs with ``quote`` and any others) those whose quote the source has word for word."""
+    return F.to_json(F.filter(spans, lambda s: (F.length(s["quote"]) > 0) & F.contains(source, s["quote"])))
+
+
 def grounded(source: Column, quotes: Column) -> Column:
     """The quotes that the source has word for word."""
     return F.filter(quotes, lambda q: (F.length(q) > 0) & F.contains(source, q))
@@ -133,11 +143,32 @@ def faq(question: Column) -> Column:
     return F.coalesce(*cases)
 
 
-def sections(document: Column) -> Column:
-    """array of (section_id, title, text) of a document whose sections start with a line such as ``5. Refunds``."""
-    parts = F.regexp_extract_all(F.concat(F.lit("\n"), document), F.lit(r"(?s)\n(\d+\.[ \t]+[^\n]*(?:\n(?!\d+\.[ \t])[^\n]*)*)"), F.lit(1))
-    take = lambda p, k: F.trim(F.regexp_extract(p, r"(?s)^(\d+)\.[ \t]+([^\n]*)\n?(.*)$", k))
-    return F.transform(parts, lambda p: F.struct(take(p, 1).alias("section_id"), take(p, 2).alias("title"), take(p, 3).alias("text")))
+_HEADING = r"(\d{1,2})\.\s+([A-Z][^\n]{3,90})"
+
+
+def sections(document: Column, known: tuple[str, ...] = tuple(map(str, range(1, 11)))) -> Column:
+    """array of (section_id, title, text) of a document with headings such as ``5. Refunds``.
+
+    A heading has a number of ``known`` that no earlier heading has, and a title
+    that starts with a capital. Other numbered lines, such as those of a list,
+    belong to the section they stand in; what comes before the first heading to
+    none.
+    """
+    flat = F.concat(F.lit("\n"), F.regexp_replace(document, r"[ \t]+", " "))
+    pieces = F.slice(F.split(flat, r"\n(?=\s*\d{1,2}\.\s+[A-Z][^\n]{3,90})"), 2, 1 << 30)
+    take = lambda p, k: F.regexp_extract(p, rf"(?s)^\s*{_HEADING}(.*)$", k)
+    found = "array<struct<section_id:string,title:string,text:string>>"
+
+    def add(acc: Column, p: Column) -> Column:
+        new = take(p, 1).isin(*known) & ~F.exists(acc, lambda s: s["section_id"] == take(p, 1))
+        own = F.struct(take(p, 1).alias("section_id"), F.trim(take(p, 2)).alias("title"), take(p, 3).alias("text"))
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["section_id"].alias("section_id"), last["title"].alias("title"), F.concat(last["text"], F.lit("\n"), p).alias("text"))
+        return F.when(new, F.array_append(acc, own)).when(F.size(acc) == 0, acc).otherwise(F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer))
+
+    clean = lambda t: F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    joined = F.aggregate(pieces, F.array().cast(found), add)
+    return F.transform(joined, lambda s: F.struct(s["section_id"].alias("section_id"), s["title"].alias("title"), clean(s["text"]).alias("text")))
 
 
 def _flat(text: Column) -> Column:

@@ -41,7 +41,7 @@ def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> Dat
 
 def stratified_hash_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, seed: int = 42) -> DataFrame:
     """Up to ``per_stratum`` rows of each stratum, by a seeded hash of ``key``: the same rows on every run."""
-    draw = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    draw = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
     return df.withColumn("pick", F.row_number().over(draw)).where(F.col("pick") <= per_stratum)
 
 

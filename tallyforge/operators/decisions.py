@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import patterns
 from tallyforge.functions import text as T
 
-# Fixed values of the policy.
+# Fixed values of the policy: the rules' identifiers stand where they are tested, in ``authorise``.
 GOODWILL_CAP = 500.0
 CRITICAL_AMOUNT = 5000.0
 AUTO_APPROVE_MAX = 500.0
@@ -118,31 +119,31 @@ def authorise(
     known = [*REASON_CODES, *valid_codes]
     allow, review, deny = 0, 1, 2
     checks = [
-        ("SEC-001-injection", review, _true(injected)),
-        ("POL-dual-remedy", deny, (refund & _true(replaced)) | (replacement & (prior > 0))),
-        ("POL-duplicate-order-refund", deny, refund & (prior > 0) & exceeds_with_prior),
-        ("POL-duplicate-order-refund", review, refund & (prior > 0) & ~exceeds_with_prior),
-        ("POL-goodwill-cap", deny, goodwill & _true(amount > GOODWILL_CAP)),
-        ("POL-goodwill-cap", review, goodwill & ~_true(amount > GOODWILL_CAP)),
-        ("POL-warranty-tier", review, warranty & agent_tier.isNull()),
-        ("POL-warranty-tier", deny, warranty & _true(agent_tier < WARRANTY_TIER)),
-        ("POL-reason-code", review, refund & (code == "")),
-        ("POL-reason-code", deny, refund & (code != "") & ~code.isin(*known)),
-        ("CTL-amount-required", review, (refund | credit) & amount.isNull()),
-        ("CTL-critical-amount", review, high_risk & _true(amount >= CRITICAL_AMOUNT)),
-        ("CTL-auto-approve-ceiling", review, high_risk & _true((amount > AUTO_APPROVE_MAX) & (amount < CRITICAL_AMOUNT))),
-        ("CTL-refund-exceeds-order", deny, refund & _true(amount > order_value + TOLERANCE)),
+        ("SEC-001-prompt-injection", review, _true(injected)),
+        ("POL-5-001-dual-remedy-prohibited", deny, (refund & _true(replaced)) | (replacement & (prior > 0))),
+        ("POL-5-004-no-second-refund-same-order", deny, refund & (prior > 0) & exceeds_with_prior),
+        ("POL-5-004-no-second-refund-same-order", review, refund & (prior > 0) & ~exceeds_with_prior),
+        ("POL-5-002-goodwill-cap-500", deny, goodwill & _true(amount > GOODWILL_CAP)),
+        ("POL-5-002-goodwill-cap-500", review, goodwill & ~_true(amount > GOODWILL_CAP)),
+        ("POL-6-001-warranty-replacement-tier2", review, warranty & agent_tier.isNull()),
+        ("POL-6-001-warranty-replacement-tier2", deny, warranty & _true(agent_tier < WARRANTY_TIER)),
+        ("POL-5-003-reason-code-in-taxonomy", review, refund & (code == "")),
+        ("POL-5-003-reason-code-in-taxonomy", deny, refund & (code != "") & ~code.isin(*known)),
+        ("CTL-001-amount-required", review, (refund | credit) & amount.isNull()),
+        ("CTL-003-critical-amount-manager", review, high_risk & _true(amount >= CRITICAL_AMOUNT)),
+        ("CTL-002-auto-approve-ceiling", review, high_risk & _true((amount > AUTO_APPROVE_MAX) & (amount < CRITICAL_AMOUNT))),
+        ("CTL-004-refund-exceeds-order-value", deny, refund & _true(amount > order_value + TOLERANCE)),
         ("ROUTER-requires-human", review, human),
         ("ROUTER-unavailable", review, degraded & high_risk),
     ]
     made = F.array_compact(F.array(*[F.when(_true(when), F.struct(F.lit(rank).alias("rank"), F.lit(rule).alias("rule"))) for rule, rank, when in checks]))
-    found = F.when(available, made).otherwise(F.array(F.struct(F.lit(review).alias("rank"), F.lit("POL-unavailable").alias("rule"))))
+    found = F.when(available, made).otherwise(F.array(F.struct(F.lit(review).alias("rank"), F.lit("SYS-001-policy-available").alias("rule"))))
     worst = F.coalesce(F.array_max(F.transform(found, lambda c: c["rank"])), F.lit(allow))
     held = worst == review
     lifted = held & available & _true(F.length(approved_by) > 0)
     rank = F.when(lifted, allow).otherwise(worst)
     has = lambda rule: F.exists(found, lambda c: c["rule"] == rule)
-    approver = F.when(held, F.when(~available, "Team Lead").when(has("CTL-critical-amount"), "Manager").otherwise("Team Lead"))
+    approver = F.when(held, F.when(~available, "Team Lead").when(has("CTL-003-critical-amount-manager"), "Manager").otherwise("Team Lead"))
     floor = F.when(~high_risk, 0).when(amount.isNull(), 2).when(amount >= CRITICAL_AMOUNT, 3).when(amount > AUTO_APPROVE_MAX, 2).otherwise(1)
     raised = F.coalesce(*[F.when(router_risk == r, F.lit(i)) for i, r in enumerate(RISKS)], F.lit(0)) if router_risk is not None else F.lit(0)
     risk = F.when(available, F.greatest(floor, raised)).otherwise(3)
@@ -195,8 +196,6 @@ def route_simple(amount: Column, replaced: Column, code: Column, message: Column
 
 def fallback_route(message: Column, injected: Column) -> Column:
     """struct(intent, personal, risk, needs_llm, needs_policy, needs_human, cacheable), the safe decision while no router answers."""
-    from tallyforge.functions import patterns
-
     intent = T.intent(message)
     personal = T.matches(message, patterns.PERSONAL)
     money = intent.isin(*patterns.MONEY_INTENTS)
@@ -239,21 +238,40 @@ def error_bucket(expected: Column, predicted: Column) -> Column:
     )
 
 
-# Assumed, as no source states it: what the dropdown's codes mean.
-DROPDOWN_REASONS = {"DUP-PAYMENT": "DUPLICATE_OR_FAILED_PAYMENT", "CANCEL": "CANCELLED_BEFORE_DISPATCH", "DOA": "PRODUCT_FAULT_DOA", "WARRANTY": "PRODUCT_FAULT_IN_WARRANTY", "TRANSIT-DMG": "DAMAGED_IN_TRANSIT", "WRONG-ITEM": "WRONG_ITEM_SHIPPED", "RETURN-QC-OK": "RETURN_RECEIVED_QC_PASSED"}
+# The reasons that the dropdown's codes stand for; its default stands for none.
+DROPDOWN_REASONS = {
+    "DOA-REPL": "PRODUCT_FAULT_DOA", "LOST-TRANSIT": "NOT_DELIVERED_OR_LOST", "DUP-PAYMENT": "DUPLICATE_OR_FAILED_PAYMENT", "CANCEL": "CANCELLED_BEFORE_DISPATCH",
+    "PRICE-ADJ": "PRICE_OR_PROMO_ADJUSTMENT", "RETURN-QC-OK": "RETURN_RECEIVED_QC_PASSED", "WTY-BUYBACK": "PRODUCT_FAULT_IN_WARRANTY",
+}
+# Assumed, as no source states it: the code that a reason should have been given.
+EXPECTED_CODES = {reason: code for code, reason in DROPDOWN_REASONS.items()} | {"GOODWILL_GESTURE": DROPDOWN_DEFAULT}
+
+
+def expected_code(reason: Column) -> Column:
+    """The dropdown's code for a normalised reason, null where it has none."""
+    return F.coalesce(*[F.when(reason == r, F.lit(c)) for r, c in EXPECTED_CODES.items()])
 
 
 def rubric_label(code: Column, message: Column, notes: Column, flag: Column) -> Column:
     """struct(reason, avoidability): a rule-made label, not ground truth. A note that reads clearly beats the dropdown."""
+    said = F.lower(F.coalesce(notes, F.lit("")))
+
+    def says(phrases: tuple[str, ...]) -> Column:
+        hit = F.lit(False)
+        for p in phrases:
+            hit = hit | F.contains(said, F.lit(p))
+        return hit
+
     note = T.refund_reason(message, notes)
     dropdown = F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in DROPDOWN_REASONS.items()])
-    reason = F.when(dropdown.isNotNull(), F.when(note.isin("UNKNOWN", "AMBIGUOUS"), dropdown).otherwise(note)).otherwise(note)
-    stated, denied = T.dual_remedy(notes), T.matches(notes, "(replacement not applicable|explained policy, (refund|rfnd) only|(rplc|replacement) request rejected|replacement declined)")
+    read = F.when(dropdown.isNotNull() & note.isin("UNKNOWN", "AMBIGUOUS"), dropdown).otherwise(note)
+    dual, denied, no_return = says(patterns.RUBRIC_DUAL), says(patterns.RUBRIC_NOT_DUAL), says(patterns.RUBRIC_NO_RETURN)
+    remedy = _true(flag) | dual
     avoid = (
-        F.when(_true(flag) & denied & ~stated, "AMBIGUOUS").when(_true(flag) | stated, "POTENTIALLY_AVOIDABLE")
-        .when(T.matches(notes, "(without pickup as goodwill|rfnd processed without pickup)"), "POTENTIALLY_AVOIDABLE")
-        .when(reason.isin("UNKNOWN", "AMBIGUOUS"), "AMBIGUOUS").otherwise("POLICY_COMPLIANT")
+        F.when(_true(flag) & denied & ~dual, "AMBIGUOUS").when(remedy | no_return, "POTENTIALLY_AVOIDABLE")
+        .when(read.isin("UNKNOWN", "AMBIGUOUS"), "AMBIGUOUS").otherwise("POLICY_COMPLIANT")
     )
+    reason = F.when(~remedy & no_return & (read == "UNKNOWN"), "RETURN_PICKUP_FAILURE").otherwise(read)
     return F.struct(reason.alias("reason"), avoid.alias("avoidability"))
 
 

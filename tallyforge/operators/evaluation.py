@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators import ranks
 from tallyforge.operators.reports import ratio
 
 
@@ -40,14 +41,10 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, by: str, value: str, percents: tuple[float, ...]) -> DataFrame:
     """Per group the values at rank round(p * (n - 1)), halves to even, counted from 0.
 
-    From counts by distinct value: a group's rows are combined before the
-    shuffle and its distinct values are read in one ordered pass.
+    A group without values has no row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
-    sizes = counts.groupBy(by).agg(F.sum("_n").alias("_all"))
-    ends = counts.withColumn("_end", F.sum("_n").over(Window.partitionBy(by).orderBy(value))).join(sizes, by)
-    picks = [F.min(F.when(F.col("_end") > F.bround(F.lit(p) * (F.col("_all") - 1), 0), F.col(value))).alias(f"p{round(p * 100)}") for p in percents]
-    return ends.groupBy(by).agg(F.first("_all").alias("n"), *picks)
+    picks = [ranks.at_rank(value, F.bround(F.lit(p) * (F.col("whole") - 1), 0)).alias(f"p{round(p * 100)}") for p in percents]
+    return ranks.cumulative(df, [by], value).groupBy(by).agg(F.max("whole").alias("n"), *picks)
 
 
 def scored(df: DataFrame, expected: str, predicted: str) -> DataFrame:

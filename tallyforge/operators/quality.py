@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import ranks
+
 #: Order of findings in a ledger.
 SEVERITIES = ("critical", "high", "medium", "info")
 
@@ -96,14 +98,11 @@ def timestamp_assessment(df: DataFrame, system: str, started: str, ended: str, t
     shifted median is below ``least``; a system without rows proves nothing.
     """
     hours = (F.unix_timestamp(F.col(ended).cast("timestamp")) - F.unix_timestamp(F.col(started).cast("timestamp"))) / 3600.0
-    rows = df.select(F.col(system).alias("s"), hours.alias("h"))
-    own = F.when(F.col("s") == tested, F.col("h"))
-    other = F.when(F.col("s") != tested, F.col("h"))
-    return rows.agg(
-        F.count_if(F.col("h") < 0).alias("negative_rows"),
-        F.median(own).alias("median_tested"),
-        F.median(other).alias("median_others"),
-    ).withColumn("conclusive", F.coalesce((F.col("negative_rows") > 0) | (F.col("median_tested") - shift_hours < least), F.lit(False)))
+    rows = df.select((F.col(system) == tested).alias("tested"), hours.alias("h"))
+    middle = ranks.medians(rows.where("tested is not null"), ["tested"], "h").agg(  # one row
+        F.max(F.when(F.col("tested"), F.col("median"))).alias("median_tested"), F.max(F.when(~F.col("tested"), F.col("median"))).alias("median_others")
+    )
+    return rows.agg(F.count_if(F.col("h") < 0).alias("negative_rows")).crossJoin(middle).withColumn("conclusive", F.coalesce((F.col("negative_rows") > 0) | (F.col("median_tested") - shift_hours < least), F.lit(False)))
 
 
 def ledger(findings: DataFrame) -> DataFrame:

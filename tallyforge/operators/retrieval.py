@@ -54,7 +54,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cached_answer(asked: DataFrame, cache: DataFrame, least: float = 0.93) -> DataFrame:
+def cached_answer(asked: DataFrame, cache: DataFrame, least: float = 0.93, skip_own: bool = False) -> DataFrame:
     """The nearest cached entry of each question of the same scope with a cosine of at least ``least``.
 
     ``asked``: query_id, scope, v; ``cache``: entry_id, scope, v. A scope is one
@@ -62,6 +62,7 @@ def cached_answer(asked: DataFrame, cache: DataFrame, least: float = 0.93) -> Da
     questions and entries of a scope are dealt to blocks of about ``_BLOCK``, every
     block of questions meets every block of entries, and the best of each meeting
     are reduced to one per question, so a large scope spreads over many tasks.
+    ``skip_own``: an entry of the question's own id is no answer to it.
     """
     blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / _BLOCK).alias(name))
     sizes = blocks(asked, "_rows").join(blocks(cache, "_cols"), "scope")
@@ -70,5 +71,8 @@ def cached_answer(asked: DataFrame, cache: DataFrame, least: float = 0.93) -> Da
     )
     left = dealt(asked, "query_id", "_row", "_col")
     right = dealt(cache.withColumnRenamed("v", "cv"), "entry_id", "_col", "_row")
-    pairs = left.join(right, ["scope", "_row", "_col"]).withColumn("similarity", cosine(F.col("v"), F.col("cv"))).where(F.col("similarity") >= least)
+    pairs = left.join(right, ["scope", "_row", "_col"])
+    if skip_own:
+        pairs = pairs.where("query_id <> entry_id")
+    pairs = pairs.withColumn("similarity", cosine(F.col("v"), F.col("cv"))).where(F.col("similarity") >= least)
     return pairs.groupBy("query_id").agg(F.max_by("entry_id", F.struct("similarity", -F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))

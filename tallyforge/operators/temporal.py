@@ -29,16 +29,18 @@ def as_of_or_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, r
         .select("_key", "_day", "_carry")
     )
     totals = named.groupBy("_key").agg(F.count("*").alias("_n"), F.max("_stamp").alias("_latest"))
-    columns = left.columns
-    l = left.select(F.col(key).alias("_key"), F.col(left_ts).alias("_ts"), day(left_ts).alias("_day"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.lit(1).alias("_side"), F.struct(*columns).alias("_row"))
-    r = named.where("_ts is not null").select("_key", "_ts", "_day", "_value", F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
-    seen = l.unionByName(r).withColumn("_own", F.last(F.when(F.col("_side") == 0, F.struct(F.col("_ts").alias("ts"), F.col("_value").alias("value"))), ignorenulls=True).over(row)).where("_side = 1")
+    columns = [c for c in left.columns if c != value]
+    none = F.lit(None).cast(right.schema[value].dataType)
+    l = left.select(*columns, F.col(key).alias("_key"), F.col(left_ts).alias("_ts"), day(left_ts).alias("_day"), none.alias("_value"), F.lit(1).alias("_side"))
+    r = named.where("_ts is not null").select("_key", "_ts", "_day", "_value", F.lit(0).alias("_side"))
+    own = F.last(F.when(F.col("_side") == 0, F.struct(F.col("_ts").alias("ts"), F.col("_value").alias("value"))), ignorenulls=True).over(row)
+    seen = l.unionByName(r, allowMissingColumns=True).withColumn("_own", own).where("_side = 1")
     out = seen.join(carry, ["_key", "_day"], "left").join(totals, "_key", "left")
     held = F.coalesce(F.when(F.col("_ts").isNotNull(), F.coalesce("_own", "_carry")))
     n = F.coalesce("_n", F.lit(0))
     link = F.when(n == 0, "unresolved").when(n == 1, "unique").when(held.isNotNull(), "as_of").otherwise("latest")
     picked = F.when(n > 0, F.when((n > 1) & held.isNotNull(), held["value"]).otherwise(F.col("_latest.value")))
-    return out.select("_row.*", picked.alias(value), link.alias("link"))
+    return out.select(*columns, picked.alias(value), link.alias("link"))
 
 
 def point_in_time(left: DataFrame, roster: DataFrame, key: str, at: str, start: str, end: str, value: str) -> DataFrame:
@@ -72,10 +74,11 @@ def point_in_time(left: DataFrame, roster: DataFrame, key: str, at: str, start:
     )
     asked = times.crossJoin(domain).select("_key", "_at", F.explode("_sizes").alias("size"), (F.col("_at") - F.col("_from")).alias("_off")).withColumn("node", F.expr("shiftright(_off, size)"))
     held = asked.join(spans, ["_key", "size", "node"]).groupBy("_key", "_at").agg(F.max("_entry").alias("_held"))
-    row = left.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), micros(at).alias("_at"))
-    out = row.join(held, ["_key", "_at"], "left").join(totals, "_key", "left").withColumn("_in", F.when(F.col("_at").isNull(), F.col("_always")).otherwise(F.col("_held")))
-    picked = F.when(F.col("_in").isNotNull(), F.col("_in.v")).otherwise(F.col("_latest.v"))
-    return out.select("_row.*", picked.alias("_picked"), F.col("_in").isNotNull().alias("covered")).withColumn(value, F.col("_picked")).select(*columns, *([] if value in columns else [value]), "covered")
+    row = left.withColumns({"_key": F.col(key), "_at": micros(at)})
+    out = row.join(held, ["_key", "_at"], "left").join(totals, "_key", "left")
+    inside = F.when(F.col("_at").isNull(), F.col("_always")).otherwise(F.col("_held"))
+    picked = F.when(inside.isNotNull(), inside["v"]).otherwise(F.col("_latest")["v"])
+    return out.select(*[c for c in columns if c != value], picked.alias(value), inside.isNotNull().alias("covered")).select(*columns, *([] if value in columns else [value]), "covered")
 
 
 def minutes_between(start: Column, end: Column) -> Column:

@@ -148,3 +148,53 @@ def test_forced_section(spark):
     assert [r["item_id"] for r in found.orderBy("rank").collect()] == ["2", "3"]
     forced = retrieval.force_include(found, asked, F.lit("5"), F.col("money"), 2)
     assert [r["item_id"] for r in forced.orderBy("rank").collect()] == ["5", "2"]
+
+
+def test_ranks_equal_sorting(spark):
+    import statistics
+
+    from tallyforge.operators import ranks
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.5, 1.5, 2.0, rng.random() * 9, None])) for _ in range(400)] + [("c", 4.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    groups = {g: sorted(v for h, v in rows if h == g and v is not None) for g, _ in rows}
+    for ranges in (2, 200):
+        ends = {(r["g"], r["v"]): (r["end"], r["whole"]) for r in ranks.cumulative(df, ["g"], "v", ranges).collect()}
+        assert ends == {(g, v): (sum(x <= v for x in vs), len(vs)) for g, vs in groups.items() for v in vs}
+    assert {r["g"]: r["median"] for r in ranks.medians(df, ["g"], "v").collect()} == {g: statistics.median(vs) for g, vs in groups.items() if vs}
+    assert ranks.medians(df.where("v is null"), [], "v").first()["median"] is None
+    assert ranks.medians(df.where("g = 'd'"), ["g"], "v").count() == 0
+
+
+def test_sections_take_only_their_headings(spark):
+    document = "cover\n 1. Scope of this\n1. first thing\n2. second thing\n\n\n\n11. Not A Known One\n5.  Refund rules \nrefunds here\n1. Again Scope\n5. Again Refunds\nend"
+    found = one(spark, T.sections(F.lit(document)).alias("s"))["s"]
+    assert [(s["section_id"], s["title"]) for s in found] == [("1", "Scope of this"), ("5", "Refund rules")]
+    assert found[0]["text"] == "1. first thing\n2. second thing\n\n11. Not A Known One"
+    assert found[1]["text"] == "refunds here\n1. Again Scope\n5. Again Refunds\nend"
+    assert one(spark, T.sections(F.lit("no headings\n3 things")).alias("s"))["s"] == []
+
+
+@pytest.mark.parametrize(
+    ("code", "message", "notes", "flag", "want"),
+    [
+        ("CANCEL", None, "goodwill", False, ("GOODWILL_GESTURE", "POLICY_COMPLIANT")),
+        ("CANCEL", None, "ok", False, ("CANCELLED_BEFORE_DISPATCH", "POLICY_COMPLIANT")),
+        ("GW-OTHER", None, "ok", False, ("UNKNOWN", "AMBIGUOUS")),
+        (None, None, "ok", True, ("UNKNOWN", "POTENTIALLY_AVOIDABLE")),
+        (None, None, "replacement declined", True, ("UNKNOWN", "AMBIGUOUS")),
+        (None, None, "Both refund & replacement; replacement declined", True, ("UNKNOWN", "POTENTIALLY_AVOIDABLE")),
+        (None, None, "new unit shipped", False, ("UNKNOWN", "AMBIGUOUS")),
+        ("DOA-REPL", None, None, None, ("PRODUCT_FAULT_DOA", "POLICY_COMPLIANT")),
+        (None, None, "RFND processed without pickup", None, ("RETURN_PICKUP_FAILURE", "POTENTIALLY_AVOIDABLE")),
+    ],
+)
+def test_rubric(spark, code, message, notes, flag, want):
+    s = lambda v: F.lit(v).cast("string")
+    assert tuple(one(spark, decisions.rubric_label(s(code), s(message), s(notes), F.lit(flag).cast("boolean")).alias("l"))["l"]) == want
+
+
+def test_budget_and_evidence(spark):
+    row = one(spark, T.within_budget(F.lit(5), F.lit(95), 100), T.within_budget(F.lit(6), F.lit(95), 100), T.within_budget(F.lit(6), F.lit(95), 0), T.evidence_json(F.lit("the unit is dead"), F.expr("array(named_struct('quote', 'unit is', 'field', 'notes'), named_struct('quote', 'alive', 'field', 'notes'), named_struct('quote', '', 'field', 'x'))")))
+    assert list(row) == [True, False, True, '[{"quote":"unit is","field":"notes"}]']
