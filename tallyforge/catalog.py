@@ -708,3 +708,94 @@ def q_row_findings(spark, sf):
         F.count_if((F.col("o_orderstatus") == "P") & (F.col("amount") > 0)).alias("refund_on_open"), F.count_if(F.col("replaced") & (F.col("code") == decisions.DROPDOWN_DEFAULT)).alias("dual_on_default"),
         (reports.ratio(F.count_if(F.col("l_quantity") < 5), F.count("*")) * 100).alias("blank_score_pct"),
     )
+
+
+def order_refunds(spark, sf):
+    """Orders as refunds, and a classification for two of three of them."""
+    o, key, cust = read(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    refunds = o.select(
+        key.alias("ticket_id"), (F.col("o_totalprice") / 500).alias("amount"), (F.col("o_orderstatus") == "P").alias("replacement_issued"), (key % 2 + 1).alias("n_in_group"), (key % 50).cast("double").alias("excess"),
+        pick(("chat", "voice", "fax"), key).alias("channel"), pick(("GW-OTHER", "CANCEL", None), key).alias("source_code"),
+    )
+    found = o.where(cust % 3 != 0).select(
+        key.alias("ticket_id"), F.col("o_orderdate").alias("created_at"), pick(("GOODWILL_GESTURE", "RETURN_PICKUP_FAILURE", "CANCELLED_BEFORE_DISPATCH", "REFUND_SERVICE_FAILURE", "UNKNOWN"), cust).alias("reason_code"),
+        (cust % 17 == 0).alias("dual_remedy"), (cust % 19 == 0).alias("refund_without_return"), pick(("valid", "repaired", "failed"), key).alias("validation_status"), (cust % 7 == 0).alias("review_required"),
+    )
+    return refunds, found
+
+
+_CLASSIFIED = """r AS (SELECT o_orderkey AS ticket_id, o_totalprice / 500 AS amount, o_orderstatus = 'P' AS flag, o_orderkey % 2 + 1 AS n, CAST(o_orderkey % 50 AS DOUBLE) AS excess, ['chat', 'voice', 'fax'][o_orderkey % 3 + 1] AS channel, ['GW-OTHER', 'CANCEL', NULL][o_orderkey % 3 + 1] AS source_code,
+o_custkey % 3 <> 0 AS known, CASE WHEN o_custkey % 3 <> 0 THEN ['GOODWILL_GESTURE', 'RETURN_PICKUP_FAILURE', 'CANCELLED_BEFORE_DISPATCH', 'REFUND_SERVICE_FAILURE', 'UNKNOWN'][o_custkey % 5 + 1] END AS reason, o_custkey % 3 <> 0 AND o_custkey % 17 = 0 AS dual, o_custkey % 3 <> 0 AND o_custkey % 19 = 0 AS no_return,
+o_custkey % 3 <> 0 AND o_orderkey % 3 < 2 AND o_custkey % 7 <> 0 AS valid FROM orders),
+d AS (SELECT *, [x FOR x IN [CASE WHEN (flag OR dual) AND amount > 0 THEN {'d': 'DUAL_REMEDY', 'v': amount} END, CASE WHEN n >= 2 AND excess > 0 THEN {'d': 'DUPLICATE_REFUND_SAME_ORDER', 'v': excess} END,
+CASE WHEN valid AND reason = 'GOODWILL_GESTURE' AND amount > 500 THEN {'d': 'GOODWILL_OVER_CAP', 'v': amount - 500} END, CASE WHEN valid AND (no_return OR reason = 'RETURN_PICKUP_FAILURE') AND amount > 0 THEN {'d': 'REFUND_WITHOUT_RETURN', 'v': amount} END] IF x IS NOT NULL] AS hits FROM r),
+c AS (SELECT *, CASE WHEN len(hits) > 0 THEN 'POTENTIALLY_AVOIDABLE' WHEN NOT valid THEN 'REVIEW_REQUIRED' WHEN reason = 'UNKNOWN' THEN 'AMBIGUOUS' ELSE 'POLICY_COMPLIANT' END AS label, coalesce(list_max([h.v FOR h IN hits]), 0) AS value, CASE reason WHEN 'GOODWILL_GESTURE' THEN 'GW-OTHER' WHEN 'CANCELLED_BEFORE_DISPATCH' THEN 'CANCEL' END AS expected FROM d)"""
+
+
+@query(f"""WITH {_CLASSIFIED} SELECT ticket_id, reason, valid, label, CAST(value AS DOUBLE) AS value, array_to_string([h.d FOR h IN hits], ',') AS drivers, CASE WHEN valid AND reason = 'REFUND_SERVICE_FAILURE' THEN CASE channel WHEN 'chat' THEN 30.0 WHEN 'voice' THEN 90.0 ELSE 60.0 END ELSE 0.0 END AS contact_cost FROM c""")
+def q_classified_refunds(spark, sf):
+    rows = decisions.classified(*order_refunds(spark, sf))
+    cost = decisions.contact_cost(F.col("valid"), F.col("reason_code"), F.col("channel"), {"chat": 30.0, "voice": 90.0}, 60.0)
+    return rows.select("ticket_id", F.col("reason_code").alias("reason"), "valid", F.col("avoidability.label").alias("label"), F.col("avoidability.value").alias("value"), F.array_join("avoidability.drivers", ",").alias("drivers"), cost.alias("contact_cost"))
+
+
+@query(f"""WITH {_CLASSIFIED}, g AS (SELECT reason, count(*) AS refunds, CAST(sum(CAST(amount AS {MONEY})) AS DOUBLE) AS value, count(*) FILTER (WHERE label = 'POTENTIALLY_AVOIDABLE') AS avoidable, coalesce(CAST(sum(CAST(value AS {MONEY})) FILTER (WHERE label = 'POTENTIALLY_AVOIDABLE') AS DOUBLE), 0) AS avoidable_value, max(expected) AS expected_code,
+CAST(count(*) FILTER (WHERE source_code = expected) AS DOUBLE) / nullif(count(*) FILTER (WHERE source_code IS NOT NULL AND expected IS NOT NULL), 0) * 100 AS agreement_pct FROM c WHERE reason IS NOT NULL GROUP BY 1)
+SELECT reason, refunds, value, CAST(refunds AS DOUBLE) / (SELECT sum(refunds) FROM g) * 100 AS count_share_pct, value / (SELECT CAST(sum(CAST(value AS {MONEY})) AS DOUBLE) FROM g) * 100 AS value_share_pct, value / refunds AS average, avoidable, avoidable_value, expected_code, agreement_pct FROM g""")
+def q_reasons_normalised(spark, sf):
+    rows = decisions.classified(*order_refunds(spark, sf)).withColumn("worth", F.col("avoidability.value"))
+    return reports.reasons(rows, F.col("reason_code"), "amount", F.col("source_code"), decisions.expected_code(F.col("reason_code")), F.col("avoidability.label"), "worth")
+
+
+@query(f"""WITH {_CLASSIFIED}, m AS (SELECT count(*) AS refunds, count(*) FILTER (WHERE source_code = 'GW-OTHER') AS on_default, CAST(sum(CAST(amount AS {MONEY})) FILTER (WHERE source_code = 'GW-OTHER') AS DOUBLE) AS on_default_value, CAST(sum(CAST(amount AS {MONEY})) AS DOUBLE) AS v,
+count(*) FILTER (WHERE source_code IS NOT NULL AND expected IS NOT NULL) AS comparable, count(*) FILTER (WHERE source_code = expected) AS agree, count(*) FILTER (WHERE source_code = 'GW-OTHER' AND reason = 'GOODWILL_GESTURE') AS genuine_goodwill FROM c)
+SELECT refunds, on_default, CAST(on_default AS DOUBLE) / refunds * 100 AS on_default_pct, on_default_value, on_default_value / v * 100 AS on_default_value_pct, comparable, CAST(agree AS DOUBLE) / comparable * 100 AS agreement_pct, genuine_goodwill FROM m""")
+def q_miscoding_summary(spark, sf):
+    rows = decisions.classified(*order_refunds(spark, sf))
+    return reports.miscoding(rows, F.col("source_code"), decisions.DROPDOWN_DEFAULT, F.col("reason_code"), decisions.expected_code(F.col("reason_code")), "amount")
+
+
+@query("""WITH k AS (SELECT conv_id, turn, length(text) AS tokens_in, turn * 10 + 1 AS tokens_out, length(text) * 0.6 / 1e6 AS cost, CASE WHEN turn = 1 THEN 0.001 END AS upstream, length(text) % 90 AS latency, turn <> 2 AS ok, turn % 2 AS retries, turn = 3 AS hit FROM conversations),
+s AS (SELECT count(*) AS calls, count(*) FILTER (WHERE ok) AS succeeded, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, avg(latency) AS mean_latency_ms, CAST(sum(retries) AS BIGINT) AS retries, count(*) FILTER (WHERE hit) AS cache_hits, CAST(sum(CAST(upstream AS DECIMAL(24,10))) AS DOUBLE) AS cost FROM k)
+SELECT calls, succeeded, calls - succeeded AS failed, tokens_in, tokens_out, CAST(tokens_in AS DOUBLE) / calls AS mean_tokens_in, CAST(tokens_out AS DOUBLE) / calls AS mean_tokens_out, mean_latency_ms, retries, cache_hits, CAST(cache_hits AS DOUBLE) / calls AS cache_hit_rate, cost, cost * 88 AS cost_local, cost * 88 / 40 AS cost_each, cost * 88 / 40 * (650.0 * 52 / 12) AS month_all, cost * 88 / 40 * (650.0 * 52 / 12) * 0.25 AS month_refunds FROM s""")
+def q_cost_summary(spark, sf):
+    n, turn = F.length("text"), F.col("turn")
+    calls = read(spark, sf, "conversations").select(
+        n.cast("long").alias("tokens_in"), (turn * 10 + 1).alias("tokens_out"), (n * 0.6 / 1e6).alias("cost"), F.when(turn == 1, 0.001).alias("upstream"), (n % 90).alias("latency_ms"), F.when(turn != 2, "success").otherwise("error").alias("status"), (turn % 2).alias("retries"), (turn == 3).alias("cache_hit"),
+    )
+    return reports.cost_summary(calls, 88.0, 40, 25, 100, 650)
+
+
+@query("""WITH q AS (SELECT l_orderkey AS order_id, l_linenumber AS ticket_id, l_suppkey AS requested_by, l_partkey FROM lineitem),
+p AS (SELECT s_suppkey, s_nationkey AS tier, s_name AS team FROM supplier WHERE s_suppkey % 4 <> 0), o AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P'),
+w AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS v, count(*) FILTER (WHERE l_tax >= 0.07) AS r FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, l_linenumber, count(*) AS n, sum(l_quantity) AS v, count(*) FILTER (WHERE l_tax >= 0.07) AS r FROM lineitem GROUP BY 1, 2)
+SELECT q.order_id, q.ticket_id, q.requested_by, q.l_partkey, p.tier AS agent_tier, p.team AS agent_team, o.o_totalprice AS order_value, w.n - b.n AS prior_count, CASE WHEN w.n > b.n THEN w.v - b.v ELSE 0 END AS prior_value, w.r > b.r AS prior_replaced
+FROM q LEFT JOIN p ON s_suppkey = requested_by LEFT JOIN o ON o_orderkey = q.order_id JOIN w ON w.l_orderkey = q.order_id JOIN b ON b.l_orderkey = q.order_id AND b.l_linenumber = q.ticket_id""")
+def q_action_context(spark, sf):
+    line = read(spark, sf, "lineitem")
+    asked = line.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("ticket_id"), F.col("l_suppkey").alias("requested_by"), "l_partkey")
+    refunds = line.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("ticket_id"), F.col("l_quantity").alias("amount"), (F.col("l_tax") >= 0.07).alias("replacement_issued"))
+    orders = read(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("order_value"))
+    agents_ = read(spark, sf, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("agent_id"), F.lit("2020-01-01").cast("date").alias("from_date"), F.col("s_nationkey").alias("tier"), F.col("s_name").alias("team"))
+    return decisions.action_context(asked, orders, refunds, agents_)
+
+
+_SECTION_TEXTS = {"2": "support hours chat voice", "3": "first response targets and breach credit", "4": "billing invoices", "5": "refund rules and replacement", "6": "warranty team", "8": "survey score", "10": "reporting definitions"}
+_PRIORS = ", ".join(f"('{k}', '{s}', {1.6 - 0.4 * i:.1f})" for k, v in patterns.INTENT_SECTIONS.items() for i, s in enumerate(v))
+_SECTION_ROWS = ", ".join(f"('{k}', '{t}')" for k, t in _SECTION_TEXTS.items())
+
+
+@query(f"""WITH {_TEXTS}, b AS (SELECT * FROM (VALUES {_SECTION_ROWS}) v(item_id, text)), i AS (SELECT o_orderkey AS query_id, message AS text, {_INTENT} AS intent FROM x),
+c AS (SELECT item_id, {_TERM_SQL} AS t FROM b), z AS (SELECT item_id, len(t) AS len FROM c), st AS (SELECT count(*) AS n, avg(len) AS m FROM z), tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(t) AS term FROM c) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT tf.term, tf.item_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / m)) AS w FROM tf JOIN df USING (term) JOIN z USING (item_id), st),
+q AS (SELECT query_id, unnest(list_distinct({_TERM_SQL})) AS term FROM i), s AS (SELECT query_id, item_id, sum(w) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
+p AS (SELECT query_id, item_id, CAST(weight AS DOUBLE) AS weight FROM i JOIN (VALUES {_PRIORS}) v(intent, item_id, weight) USING (intent)),
+a AS (SELECT query_id, item_id, coalesce(score, 0) + coalesce(weight, 0) AS score FROM s FULL JOIN p USING (query_id, item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM a WHERE score > 0),
+f AS (SELECT i.query_id, i.intent IN ('refund', 'billing', 'cancellation', 'replacement') AND NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = i.query_id AND rank <= 2 AND item_id = '5') AS lacks FROM i)
+SELECT query_id, item_id, rank, round(score, 4) AS score FROM (SELECT r.query_id, item_id, rank + CASE WHEN lacks THEN 1 ELSE 0 END AS rank, score FROM r JOIN f USING (query_id) WHERE rank <= 2 UNION ALL SELECT query_id, '5', 1, 0.0 FROM f WHERE lacks) WHERE rank <= 2""")
+def q_policy_sections(spark, sf):
+    asked = messages(spark, sf).select(F.col("o_orderkey").alias("query_id"), F.col("message").alias("text"), T.intent(F.col("message")).alias("intent"))
+    corpus = spark.createDataFrame(list(_SECTION_TEXTS.items()), "item_id string, text string")
+    return retrieval.policy_sections(asked, corpus, 2).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))

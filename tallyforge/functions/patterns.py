@@ -44,6 +44,21 @@ INTENTS = (
     ("policy_question", r"\b(what is (the|your)|how long|policy|how many days|am i eligible|do you (offer|allow))\b"),
     ("product_info", r"\b(compatib|does it (work|support)|specification|pre-?sales|which model)\b"),
 )
+# The policy's sections that belong to an intent, the most telling first, and the one with all refund rules.
+INTENT_SECTIONS = {
+    "refund": ("5", "6", "10"),
+    "refund_status": ("5", "10"),
+    "replacement": ("5", "6"),
+    "warranty": ("5", "6"),
+    "delivery": ("5", "2"),
+    "billing": ("5", "4"),
+    "cancellation": ("5",),
+    "policy_question": ("5", "3", "2", "8"),
+    "product_info": ("2",),
+    "sla": ("3", "10"),
+    "other": ("5", "3", "10"),
+}
+REFUND_RULES = "5"
 MONEY_INTENTS = ("refund", "billing", "cancellation", "replacement")
 PERSONAL = r"\b(my|mine|i (have|had|was|am|ordered|bought|paid)|order [a-z]{0,2}\d|vr\d{5,}|tk-\d+|c1\d{5})\b"
 

@@ -280,3 +280,37 @@ def idempotency(requests: DataFrame, key: str, payload_hash: str, order: str) ->
     first = requests.groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(payload_hash).alias("h"))).alias("_first"))
     same = F.col(payload_hash).eqNullSafe(F.col("_first.h"))
     return requests.join(first, key).withColumn("outcome", F.when(F.col(order) == F.col("_first.o"), "claimed").when(same, "replayed").otherwise("conflict")).drop("_first")
+
+
+def classified(refunds: DataFrame, classifications: DataFrame) -> DataFrame:
+    """``refunds`` with their ticket's classification and the avoidability that follows from both.
+
+    ``refunds``: ticket_id, amount, replacement_issued, n_in_group, excess, channel.
+    ``classifications``: ticket_id, reason_code, dual_remedy, refund_without_return,
+    confidence, validation_status, review_required; of several for one ticket the
+    largest ``created_at`` counts, then the one that sorts last. Adds ``classification`` (null
+    where there is none), ``reason_code``, ``valid``, ``avoidability``. A refund
+    without a valid classification is judged by the rules that need none.
+    """
+    rest = [c for c in classifications.columns if c not in ("ticket_id", "created_at")]
+    newest = classifications.groupBy("ticket_id").agg(F.max(F.struct("created_at", *rest)).alias("classification"))
+    rows = refunds.join(newest, "ticket_id", "left")
+    c = lambda name: F.col("classification")[name]
+    valid = _true(c("validation_status").isin("valid", "repaired")) & ~F.coalesce(c("review_required"), F.lit(False))
+    rows = rows.withColumn("valid", F.col("classification").isNotNull() & valid)
+    found = avoidability(F.col("amount"), F.col("replacement_issued"), c("dual_remedy"), F.col("n_in_group"), F.col("excess"), F.col("valid"), c("reason_code"), c("refund_without_return"))
+    return rows.withColumn("reason_code", c("reason_code")).withColumn("avoidability", found)
+
+
+def action_context(requests: DataFrame, orders: DataFrame, refunds: DataFrame, agents: DataFrame) -> DataFrame:
+    """``requests`` (order_id, ticket_id, requested_by) with tier and team of who asks, the order's value, and its refunds on other tickets.
+
+    An agent with several posts counts with the one that started last, and of
+    equal ones the one that sorts last; an order that is told twice with its
+    largest value. Unknown agents and orders leave nulls.
+    """
+    posts = agents.groupBy(F.col("agent_id").alias("requested_by")).agg(F.max(F.struct("from_date", "tier", "team")).alias("_post"))
+    values = orders.groupBy("order_id").agg(F.max("order_value").alias("order_value"))
+    rows = requests.join(posts, "requested_by", "left").join(values, "order_id", "left")
+    rows = rows.withColumn("agent_tier", F.col("_post.tier")).withColumn("agent_team", F.col("_post.team")).drop("_post")
+    return prior_refunds(rows, refunds, "order_id", "ticket_id", "amount", "replacement_issued")

@@ -171,3 +171,63 @@ def call_costs(calls: DataFrame, by: list[str], tokens_in: str, tokens_out: str,
         F.count("*").alias("calls"), F.coalesce(F.sum(tokens_in), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum(tokens_out), F.lit(0)).alias("tokens_out"),
         F.coalesce(F.sum(cost.cast("decimal(24,10)")), F.lit(0)).cast("double").alias("cost"),
     ).withColumn("cost_local", F.col("cost") * fx)
+
+
+def reasons(refunds: DataFrame, reason: Column, amount: str, source: Column, expected: Column, label: Column, avoidable: str) -> DataFrame:
+    """Per reason: count, value, their shares of the refunds in scope, average, what is avoidable, and how often the source code is the one to be expected.
+
+    Refunds without a reason are out of scope. A reason without an expected code
+    has no agreement, nor has one whose refunds all lack a source code. The
+    shares' denominators are 1 at least.
+    """
+    avoid = label == "POTENTIALLY_AVOIDABLE"
+    coded = source.isNotNull() & expected.isNotNull()
+    rows = refunds.where(reason.isNotNull()).groupBy(reason.alias("reason")).agg(
+        F.count("*").alias("refunds"), money(F.col(amount)).alias("value"), F.count_if(avoid).alias("avoidable"), money(F.when(avoid, F.col(avoidable))).alias("avoidable_value"),
+        F.max(expected).alias("expected_code"), ratio(F.count_if(coded & (source == expected)), F.count_if(coded), 100).alias("agreement_pct"),
+    )
+    whole = rows.agg(F.sum("refunds").alias("_n"), F.sum(F.col("value").cast(MONEY)).cast("double").alias("_v"))
+    at_least = lambda c: F.greatest(F.lit(1.0), F.col(c).cast("double"))
+    return rows.crossJoin(whole).select(  # by one row
+        "reason", "refunds", "value", ratio(F.col("refunds"), at_least("_n"), 100).alias("count_share_pct"), ratio(F.col("value"), at_least("_v"), 100).alias("value_share_pct"),
+        ratio(F.col("value"), F.col("refunds")).alias("average"), "avoidable", "avoidable_value", "expected_code", "agreement_pct",
+    )
+
+
+def miscoding(refunds: DataFrame, source: Column, default: str, reason: Column, expected: Column, amount: str) -> DataFrame:
+    """One row: refunds and value under the default code with their shares, and how many classified refunds carry the code to be expected."""
+    on = F.coalesce(source == default, F.lit(False))
+    both = reason.isNotNull() & expected.isNotNull() & source.isNotNull() & (source != "")
+    row = refunds.agg(
+        F.count("*").alias("refunds"), F.count_if(on).alias("on_default"), money(F.when(on, F.col(amount))).alias("on_default_value"), money(F.col(amount)).alias("_v"),
+        F.count_if(both).alias("comparable"), ratio(F.count_if(both & (source == expected)), F.count_if(both), 100).alias("agreement_pct"),
+        F.count_if(on & both & (reason == "GOODWILL_GESTURE")).alias("genuine_goodwill"),
+    )
+    at_least = lambda c: F.greatest(F.lit(1.0), F.col(c).cast("double"))
+    return row.select(
+        "refunds", "on_default", ratio(F.col("on_default"), at_least("refunds"), 100).alias("on_default_pct"), "on_default_value",
+        ratio(F.col("on_default_value"), at_least("_v"), 100).alias("on_default_value_pct"), "comparable", "agreement_pct", "genuine_goodwill",
+    )
+
+
+def cost_summary(calls: DataFrame, fx: float, classified: int, refunds: int, tickets: int, per_week: int) -> DataFrame:
+    """One row on calls (tokens_in, tokens_out, cost, upstream, latency_ms, status, retries, cache_hit): totals, averages, and the month's cost projected.
+
+    What the provider reported counts before the estimate. Without calls the
+    counts are zero and nothing else is told.
+    """
+    c = F.col
+    row = calls.agg(
+        F.count("*").alias("calls"), F.count_if(c("status") == "success").alias("succeeded"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
+        money(c("cost"), "decimal(24,10)").alias("_estimate"), money(c("upstream"), "decimal(24,10)").alias("_upstream"), F.avg("latency_ms").alias("mean_latency_ms"),
+        F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.count_if(c("cache_hit")).alias("cache_hits"),
+    )
+    row = row.withColumn("cost", F.when(c("_upstream") > 0, c("_upstream")).otherwise(c("_estimate"))).withColumn("cost_local", c("cost") * fx)
+    each = F.when(F.lit(classified > 0), c("cost_local") / max(1, classified)).otherwise(ratio(c("cost_local"), c("calls")))
+    share, month = refunds / tickets if tickets else 0.0, per_week * 52 / 12
+    some = lambda x: F.when(c("calls") > 0, x)
+    return row.select(
+        "calls", "succeeded", (c("calls") - c("succeeded")).alias("failed"), "tokens_in", "tokens_out", ratio(c("tokens_in"), c("calls")).alias("mean_tokens_in"), ratio(c("tokens_out"), c("calls")).alias("mean_tokens_out"),
+        "mean_latency_ms", "retries", "cache_hits", ratio(c("cache_hits"), c("calls")).alias("cache_hit_rate"), some(c("cost")).alias("cost"), some(c("cost_local")).alias("cost_local"), some(each).alias("cost_each"),
+        some(each * month).alias("month_all"), some(each * month * share).alias("month_refunds"),
+    )

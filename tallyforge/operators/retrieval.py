@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.patterns import STOP_WORDS
+from tallyforge.functions.patterns import INTENT_SECTIONS, MONEY_INTENTS, REFUND_RULES, STOP_WORDS
 
 K1, B = 1.4, 0.75
 _BLOCK = 256
@@ -41,6 +41,21 @@ def bm25(queries: DataFrame, corpus: DataFrame, top: int, prior: DataFrame | Non
     return scores.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+def section_priors(queries: DataFrame) -> DataFrame:
+    """(query_id, item_id, weight) of the sections that belong to the intent of each of ``queries`` (query_id, intent): 1.6 for the first, 0.4 less for each further."""
+    listed = F.coalesce(*[F.when(F.col("intent") == k, F.array(*map(F.lit, v))) for k, v in INTENT_SECTIONS.items()], F.array(*map(F.lit, INTENT_SECTIONS["other"])))
+    return queries.select("query_id", F.posexplode(listed).alias("at", "item_id")).select("query_id", "item_id", (1.6 - 0.4 * F.col("at")).alias("weight"))
+
+
+def policy_sections(queries: DataFrame, corpus: DataFrame, top: int = 3) -> DataFrame:
+    """The sections of ``corpus`` (item_id, text) for ``queries`` (query_id, text, intent): BM25 with the intent's priors, and the refund rules always where money is asked for."""
+    known = section_priors(queries).join(corpus.select("item_id"), "item_id", "left_semi")
+    found = bm25(queries.select("query_id", "text"), corpus, top, known)
+    rules = corpus.where(F.col("item_id") == REFUND_RULES).select("item_id").limit(1).withColumnRenamed("item_id", "_rules")
+    money = queries.crossJoin(rules).select("query_id", F.col("intent").isin(*MONEY_INTENTS).alias("money"))  # by one row at most
+    return force_include(found, money, F.lit(REFUND_RULES), F.col("money"), top)
+
+
 def force_include(found: DataFrame, queries: DataFrame, item: Column, needed: Column, top: int) -> DataFrame:
     """``found`` with ``item`` first, at score 0, for the queries that need it and lack it; their last item goes."""
     lacking = queries.where(needed).select("query_id").join(found.where(F.col("item_id") == item).select("query_id"), "query_id", "left_anti")

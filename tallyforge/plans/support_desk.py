@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import decisions, quality, reports, temporal
+from tallyforge.functions import text
+from tallyforge.operators import decisions, evaluation, quality, reports, temporal
 from tallyforge.operators.allocation import allocate_excess
 from tallyforge.sources.files import blank_to_null, to_date, to_number, to_stamp, to_whole
 
 BASE_SYSTEM, LEGACY_SYSTEM = "helpdesk", "legacy_fd"
+# Assumed, as no source states it: what a contact costs by channel, and over all.
+CONTACT_COSTS, BLENDED_CONTACT_COST = {"chat": 60.0, "voice": 120.0, "email": 45.0, "social": 50.0}, 70.0
 
 
 @dataclass
@@ -36,6 +39,12 @@ def typed_tickets(raw: DataFrame) -> DataFrame:
     )
 
 
+def first_read(orders: DataFrame) -> DataFrame:
+    """One row per order_id, the first in its file; a file is read by one task in its order (see ``read_csv``)."""
+    numbered = orders.withColumn("_o", F.monotonically_increasing_id())
+    return quality.dedupe_by_preference(numbered, ["order_id"], [F.col("_o")]).drop("_o", "duplicate_row_count")
+
+
 def resolve_orders(tickets: DataFrame, orders: DataFrame) -> DataFrame:
     """``order_id`` and ``order_link``: the quoted order, else the customer's order of that product as of the ticket."""
     pair = lambda a, b: F.concat_ws("\x1f", a, b)
@@ -48,7 +57,8 @@ def resolve_orders(tickets: DataFrame, orders: DataFrame) -> DataFrame:
     return quoted.unionByName(linked.withColumn("order_link", link).drop("link").withColumnRenamed("found", "order_id"))
 
 
-def build(raw: dict[str, DataFrame]) -> Desk:
+def build(raw: dict[str, DataFrame], classifications: DataFrame | None = None) -> Desk:
+    """The desk from its raw files; ``classifications`` as in ``decisions.classified``, where tickets have been classified."""
     typed = typed_tickets(raw["tickets"])
     unit = quality.detect_unit(typed, "ticket_id", "source_system", "amount", BASE_SYSTEM, LEGACY_SYSTEM)
     divisor = unit.first()["divisor"]
@@ -62,7 +72,7 @@ def build(raw: dict[str, DataFrame]) -> Desk:
     roster = raw["agents"].select("agent_id", to_date(F.col("from_date")).cast("timestamp_ntz").alias("from_date"), to_date(F.col("to_date")).cast("timestamp_ntz").alias("to_date"), F.struct(F.col("team").alias("team"), to_whole(F.col("tier"), 1).alias("tier"), F.col("name").alias("agent_name")).alias("post"))
     tickets = (
         temporal.point_in_time(linked, roster, "agent_id", "created_at", "from_date", "to_date", "post")
-        .join(value.dropDuplicates(["order_id"]), "order_id", "left")
+        .join(first_read(value), "order_id", "left")
         .withColumn("month", temporal.month_key(F.col("created_at")))
         .withColumn("quarter", temporal.quarter_key(F.col("created_at")))
         .withColumn("first_response_minutes", minutes)
@@ -85,21 +95,24 @@ def build(raw: dict[str, DataFrame]) -> Desk:
         ("NEGATIVE_DURATION", (F.col("first_response_minutes") < 0) | (F.col("handle_hours") < 0)),
         ("CSAT_MISSING", F.col("csat_score").isNull()),
     ]))
-    return Desk(typed, tickets, refunds_of(tickets), unit, divisor)
+    return Desk(typed, tickets, refunds_of(tickets, classifications), unit, divisor)
+
 
+NO_CLASSIFICATIONS = "ticket_id string, created_at timestamp_ntz, reason_code string, dual_remedy boolean, refund_without_return boolean, confidence double, validation_status string, review_required boolean"
 
-def refunds_of(tickets: DataFrame) -> DataFrame:
-    """Refunds with what exceeds their order's value and the avoidability that needs no classification."""
+
+def refunds_of(tickets: DataFrame, classifications: DataFrame | None = None) -> DataFrame:
+    """Refunds with what exceeds their order's value, their classification, and their avoidability."""
     paid = tickets.where("is_refund")
     reliable = F.col("order_link").isin("quoted", "fallback_unique")
     group = F.when(reliable & F.col("order_id").isNotNull(), F.col("order_id")).otherwise(F.concat(F.lit("\x1f"), F.col("ticket_id")))
     shared = allocate_excess(paid.withColumn("_group", group), "_group", "amount", F.col("order_value"), ["created_at", "ticket_id"]).drop("_group")
     ratio = F.round(F.when(F.col("order_value") != 0, F.col("amount") / F.col("order_value")), 4)
-    none = F.lit(None)
-    return shared.withColumn("refund_to_order_ratio", ratio).withColumn("is_full_refund", F.coalesce(ratio >= 0.999, F.lit(False))).withColumn(
-        "avoidability",
-        decisions.avoidability(F.col("amount"), F.col("replacement_issued"), none.cast("boolean"), F.col("n_in_group"), F.col("excess"), F.lit(False), none.cast("string"), none.cast("boolean")),
-    )
+    told = shared.withColumn("refund_to_order_ratio", ratio).withColumn("is_full_refund", F.coalesce(ratio >= 0.999, F.lit(False)))
+    known = tickets.sparkSession.createDataFrame([], NO_CLASSIFICATIONS) if classifications is None else classifications
+    judged = decisions.classified(told, known)
+    cost = decisions.contact_cost(F.col("valid"), F.col("reason_code"), F.col("channel"), CONTACT_COSTS, BLENDED_CONTACT_COST)
+    return judged.withColumn("contact_cost", cost)
 
 
 def report_overview(desk: Desk) -> DataFrame:
@@ -111,8 +124,66 @@ def report_monthly(desk: Desk) -> DataFrame:
     return reports.monthly(desk.tickets.join(avoidable, "ticket_id", "left"), "month", "amount", F.col("is_refund"), F.col("avoidable"), "csat_score")
 
 
-def report_reasons(desk: Desk) -> DataFrame:
-    return reports.by_reason(desk.refunds, F.col("source_reason_code"), "amount")
+def report_reasons(desk: Desk, basis: str = "source_dropdown") -> DataFrame:
+    """By the code that agents picked (``source_dropdown``), or by the classified reason (``normalised``), which covers classified refunds only."""
+    if basis == "source_dropdown":
+        return reports.by_reason(desk.refunds, F.col("source_reason_code"), "amount")
+    if basis != "normalised":
+        raise ValueError(f"unknown basis {basis}")
+    rows = desk.refunds.withColumn("_expected", decisions.expected_code(F.col("reason_code"))).withColumn("_avoidable", F.col("avoidability.value"))
+    return reports.reasons(rows, F.col("reason_code"), "amount", F.col("source_reason_code"), F.col("_expected"), F.col("avoidability.label"), "_avoidable").orderBy(F.col("value").desc(), "reason")
+
+
+def report_miscoding(desk: Desk) -> DataFrame:
+    return reports.miscoding(desk.refunds, F.col("source_reason_code"), decisions.DROPDOWN_DEFAULT, F.col("reason_code"), decisions.expected_code(F.col("reason_code")), "amount")
+
+
+def report_evaluation(desk: Desk, labels: DataFrame) -> dict[str, DataFrame]:
+    """Classifications against ``labels`` (ticket_id, expected), which must be independent of them: accuracy, classes, confusions, error buckets, and labels not scored."""
+    said = desk.refunds.where("classification is not null").select("ticket_id", F.col("reason_code").alias("predicted"))
+    scored, without = evaluation.scoring_set(labels, desk.tickets, said, "ticket_id")
+    counts = evaluation.confusion(scored, "expected", "predicted")
+    wrong = scored.where("expected is not null and not (expected <=> predicted)")
+    return {
+        "accuracy": evaluation.scored(scored, "expected", "predicted"),
+        "classes": evaluation.precision_recall(counts),
+        "confusions": evaluation.top_confusions(counts),
+        "errors": wrong.groupBy(decisions.error_bucket(F.col("expected"), F.col("predicted")).alias("bucket")).agg(F.count("*").alias("n")),
+        "not_scored": without,
+    }
+
+
+def report_cost(desk: Desk, calls: DataFrame, fx: float, per_week: int) -> dict[str, DataFrame]:
+    """Measured cost of model calls: the summary, and calls by model and by prompt."""
+    n = desk.tickets.agg(F.count("*").alias("tickets"), F.count_if("is_refund").alias("refunds")).first()
+    classified = desk.refunds.where("reason_code is not null").count()
+    return {
+        "summary": reports.cost_summary(calls, fx, classified, n["refunds"], n["tickets"], per_week),
+        "models": evaluation.strata(calls, "model"),
+        "prompts": evaluation.strata(calls, "prompt"),
+    }
+
+
+def findings(desk: Desk) -> DataFrame:
+    """What the data shows, by severity: (finding_id, severity, affected_rows)."""
+    t, r = desk.tickets, desk.refunds
+    one = lambda i, s, df: df.select(F.lit(i).alias("finding_id"), F.lit(s).alias("severity") if isinstance(s, str) else s.alias("severity"), "affected_rows")
+    count = lambda df, c: df.agg(F.count_if(c).alias("affected_rows"))
+    rows = [
+        one("DQ-001", "critical", desk.raw.agg(F.count_if((F.col("source_system") == LEGACY_SYSTEM) & F.col("amount").isNotNull()).alias("affected_rows"))),
+        one("DQ-002", "high", t.agg(F.coalesce(F.sum(F.col("duplicate_row_count") - 1), F.lit(0)).alias("affected_rows"))),
+        one("DQ-004", "medium", count(t, F.col("order_id_source").isNull())),
+        one("DQ-007", "high", count(r, F.col("n_in_group") > 1)),
+        one("DQ-008", "medium", count(t, F.col("is_refund") & ~F.col("is_attendance"))),
+        one("DQ-009", "medium", count(t, F.col("days_since_order") < 0)),
+        one("DQ-010", "info", count(t, F.col("csat_score").isNull())),
+        one("DQ-011", "info", t.limit(0).agg(F.count("*").alias("affected_rows"))),
+        one("DQ-012", "info", count(t, text.matches(F.col("agent_notes"), r"SOP\s*[\d.]+"))),
+    ]
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.unionByName(x)
+    return quality.ledger(out)
 
 
 def report_agents(desk: Desk) -> DataFrame:
@@ -134,16 +205,22 @@ def report_walk(desk: Desk, months: int) -> DataFrame:
     return reports.walk([("raw export", desk.raw, "amount"), ("one unit", converted, "amount"), ("one row per ticket", desk.tickets, "amount")], months)
 
 
-def evidence(desk: Desk, months: tuple[str, str] | None = None, avoidable_only: bool = False, agent: str | None = None, reason: str | None = None, least: float | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Refund rows behind a report, largest first; the filters are pushed below everything else."""
+def evidence_rows(desk: Desk, months: tuple[str, str] | None = None, avoidable_only: bool = False, agent: str | None = None, reason: str | None = None, least: float | None = None) -> DataFrame:
+    """Refund rows behind a report; the filters are pushed below everything else. Their count is the total that pages are of."""
     rows = desk.refunds
     for wanted, condition in (
         (months, F.col("month").between(*(months or ("", "")))),
         (avoidable_only, F.col("avoidability.value") > 0),
         (agent, F.col("agent_id") == agent),
-        (reason, F.col("source_reason_code") == reason),
-        (least, F.col("amount") >= (least or 0.0)),
+        (reason, F.coalesce("reason_code", "source_reason_code") == reason),
+        (least is not None, F.col("amount") >= (least or 0.0)),
     ):
         if wanted:
             rows = rows.where(condition)
+    return rows
+
+
+def evidence(desk: Desk, months: tuple[str, str] | None = None, avoidable_only: bool = False, agent: str | None = None, reason: str | None = None, least: float | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of ``evidence_rows``, largest first."""
+    rows = evidence_rows(desk, months, avoidable_only, agent, reason, least)
     return rows.orderBy(F.col("amount").desc_nulls_last(), "ticket_id").offset(offset).limit(limit)

@@ -121,3 +121,75 @@ def test_flat_variant(spark, folder):
     assert found["T-1"]["agent_name"] == "Asha Rao" and found["T-1"]["customer_name"] == "One" and found["T-1"]["agent_team"] == "Returns"
     assert found["T-1"]["is_dual_remedy"] and found["T-1"]["avoidability"]["value"] == 900 and not found["T-2"]["is_refund"]
     assert found["T-4"]["handle_hours"] == pytest.approx(6.5) and found["T-1"]["product_family"] == "ear"
+
+
+def test_classification_path(spark, folder):
+    import datetime as dt
+
+    day = lambda d: dt.datetime(2025, 4, d)
+    rows = [
+        ("T-1", day(1), "UNKNOWN", None, None, 0.9, "valid", False),
+        ("T-1", day(2), "PRODUCT_FAULT_DOA", True, False, 0.9, "valid", False),
+        ("T-3", day(1), "DUPLICATE_OR_FAILED_PAYMENT", False, False, 0.8, "repaired", False),
+        ("T-4", day(1), "GOODWILL_GESTURE", False, False, 0.9, "valid", False),
+    ]
+    found = spark.createDataFrame(rows, support_desk.NO_CLASSIFICATIONS)
+    desk = support_desk.build(files.read_raw(spark, folder), found)
+    got = {r["ticket_id"]: r for r in desk.refunds.collect()}
+    assert got["T-1"]["reason_code"] == "PRODUCT_FAULT_DOA" and got["T-1"]["avoidability"]["value"] == 900
+    assert got["T-3"]["avoidability"]["label"] == "POLICY_COMPLIANT"
+    assert got["T-4"]["avoidability"]["drivers"] == ["GOODWILL_OVER_CAP"] and got["T-4"]["avoidability"]["value"] == 1999
+    reasons = {r["reason"]: r for r in support_desk.report_reasons(desk, "normalised").collect()}
+    assert reasons["DUPLICATE_OR_FAILED_PAYMENT"]["agreement_pct"] == 100 and reasons["GOODWILL_GESTURE"]["agreement_pct"] == 0
+    assert reasons["PRODUCT_FAULT_DOA"]["expected_code"] == "DOA-REPL" and sum(r["count_share_pct"] for r in reasons.values()) == pytest.approx(100)
+    with pytest.raises(ValueError):
+        support_desk.report_reasons(desk, "other")
+    one = support_desk.report_miscoding(desk).first()
+    assert (one["refunds"], one["on_default"], one["on_default_value"], one["comparable"], one["genuine_goodwill"]) == (3, 1, 900.0, 3, 0)
+    labels = spark.createDataFrame([("T-1", "PRODUCT_FAULT_DOA"), ("T-4", "CUSTOMER_CHANGED_MIND"), ("T-2", "UNKNOWN"), ("T-9", "UNKNOWN"), ("T-3", None)], "ticket_id string, expected string")
+    told = support_desk.report_evaluation(desk, labels)
+    assert (told["accuracy"].first()["scored"], told["accuracy"].first()["correct"]) == (2, 1)
+    assert [tuple(r) for r in told["errors"].collect()] == [("over_assigned_goodwill", 1)] and [r["ticket_id"] for r in told["not_scored"].collect()] == ["T-2"]
+    assert support_desk.evidence_rows(desk, avoidable_only=True).count() == 2
+    calls = spark.createDataFrame([(100, 20, 0.1, None, 5.0, "success", 0, False, "m", "v1"), (300, 20, 0.3, None, 7.0, "error", 2, True, "m", "v2")], "tokens_in long, tokens_out long, cost double, upstream double, latency_ms double, status string, retries int, cache_hit boolean, model string, prompt string")
+    cost = support_desk.report_cost(desk, calls, 80.0, 600)
+    row = cost["summary"].first()
+    assert row["cost"] == pytest.approx(0.4) and row["cost_each"] == pytest.approx(0.4 * 80 / 3) and row["month_refunds"] == pytest.approx(0.4 * 80 / 3 * 2600 * 0.75)
+    assert cost["prompts"].count() == 2 and support_desk.report_cost(desk, calls.limit(0), 80.0, 600)["summary"].first()["cost"] is None
+    ledger = [(r["finding_id"], r["severity"], r["affected_rows"]) for r in support_desk.findings(desk).collect()]
+    assert ledger == [("DQ-001", "critical", 2), ("DQ-002", "high", 1), ("DQ-007", "high", 0), ("DQ-004", "medium", 1), ("DQ-008", "medium", 0), ("DQ-009", "medium", 0), ("DQ-010", "info", 1), ("DQ-011", "info", 0), ("DQ-012", "info", 0)]
+
+
+def test_contact_cost(spark):
+    from tallyforge.operators import decisions
+
+    c = [F.lit(True), F.lit("REFUND_SERVICE_FAILURE"), F.lit("chat")]
+    row = spark.range(1).select(decisions.contact_cost(*c, {"chat": 30.0}, 60.0), decisions.contact_cost(*c[:2], F.lit("fax"), {"chat": 30.0}, 60.0), decisions.contact_cost(F.lit(False), *c[1:], {"chat": 30.0}, 60.0)).first()
+    assert tuple(row) == (30.0, 60.0, 0.0)
+
+
+def test_rules_document(spark, tmp_path):
+    import json
+
+    from tallyforge.sources import rules
+
+    good = {"version": "3.2", "refunds": {"cap": 500, "source_quote": "no more\nthan 500"}, "teams": [{"lead_quote": "Team Lead approves"}, {"name": "x"}]}
+    (tmp_path / "r.json").write_text(json.dumps(good))
+    found = rules.read_rules(spark, str(tmp_path / "r.json"), "3.2")
+    document = spark.createDataFrame([("Goodwill: NO MORE  than 500 each.",)], "text string")
+    told = {r["path"]: r["found"] for r in rules.verify_quotes(spark, found, document).collect()}
+    assert told == {"refunds.source_quote": True, "teams[0].lead_quote": False}
+    (tmp_path / "bad.json").write_text("[1]")
+    for path, version in (("bad.json", None), ("none.json", None), ("r.json", "4")):
+        with pytest.raises(rules.RulesUnavailable):
+            rules.read_rules(spark, str(tmp_path / path), version)
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("cast(id as int) as id", "id * 2.0 as v").coalesce(1).write.format("jdbc").option("url", url).option("dbtable", "t").options(**options).save()
+    whole = files.read_jdbc(spark, url, "select * from t", **options)
+    assert whole.count() == 100
+    dealt = files.read_jdbc(spark, url, "select * from t where \"id\" >= 50", ("id", 50, 100, 4), **options)
+    assert dealt.rdd.getNumPartitions() == 4 and dealt.agg(F.sum("id")).first()[0] == sum(range(50, 100))
