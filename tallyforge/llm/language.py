@@ -33,7 +33,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-@lru_cache(maxsize=1 << 10)
+@lru_cache(maxsize=1 << 8)
 def _letter_vector(code: int, dim: int) -> np.ndarray:
     return (np.random.default_rng([code, dim]).integers(0, 2, dim, dtype=np.int8) * 2 - 1).astype(np.int8)
 
@@ -202,7 +202,7 @@ def best_score(text: F.Column, prototypes: dict[str, np.ndarray]) -> F.Column:
                     scores.append(None)
                     continue
                 new = np.array([x for x in g.tolist() if x not in known], np.int64)
-                if len(known) + len(new) > 1 << 18:
+                if len(known) + len(new) > 1 << 16:
                     known, new = {}, g
                 known.update(zip(new.tolist(), _dots(matrix, new)))
                 cosines = n @ np.stack([known[x] for x in g.tolist()]) / (np.linalg.norm(n) * np.sqrt(matrix.shape[1]))

@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Scratch, table
+from tallyforge.llm.shared import Scratch, batches, table
 
 #: Domains of a labelled document, in the order of the classifier's classes.
 DOMAINS = ("high", "low", "toxic")
@@ -160,7 +160,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    spread = scratch.save(posteriors(docs, fit_classifier(docs, labels, max_training), tokens), "posteriors")
+    with batches(scratch.spark):
+        spread = scratch.save(posteriors(docs, fit_classifier(docs, labels, max_training), tokens), "posteriors")
     found = fit(spread, targets or TARGETS)
     return spread.withColumn("rate", _rate(found.steps)).withColumn("residual", F.lit(found.residual))
 
@@ -182,7 +183,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     model = fit_classifier(docs, labels, max_training)
     scratch = Scratch(docs.sparkSession, "mix")
-    found = fit(scratch.save(posteriors(docs, model, tokens).select("tokens", "p"), "posteriors"), targets or TARGETS)
+    with batches(scratch.spark):
+        spread = scratch.save(posteriors(docs, model, tokens).select("tokens", "p"), "posteriors")
+    found = fit(spread, targets or TARGETS)
     scratch.drop()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
     drawn = scored(rows, model).withColumn("_times", draws(_rate(found.steps)))

@@ -8,8 +8,10 @@ and the file sizes let Spark choose a broadcast where a side is small.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows in a batch that goes to Python, for what is run within: whole texts at the usual 10,000 rows take hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def beside(df: DataFrame) -> DataFrame:
     """A saved table of narrow rows, for the small side of a join: broadcast if it is counted as small, else left to the planner."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

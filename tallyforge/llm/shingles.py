@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.shared import Scratch, beside
+from tallyforge.llm.shared import Scratch, batches, beside
 
 WORDS = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -79,7 +79,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     rows = docs if n <= _SAMPLE else docs.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < int(_SAMPLE / n * (1 << 30)))
     sets = F.pandas_udf(lambda texts: pd.Series([shingle_set(t) for t in texts]), "array<long>")
     shared = rows.select(F.explode(sets("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
-    top = shared.orderBy(F.col("n").desc(), "key").limit(_LISTED).collect()
+    with batches(docs.sparkSession):
+        top = shared.orderBy(F.col("n").desc(), "key").limit(_LISTED).collect()
     return np.array([r["key"] for r in reversed(top)], dtype=np.int64)
 
 
@@ -110,7 +111,8 @@ def prints_of(scratch: Scratch, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["digest", "n", "fp", "keys"])
 
     seen = F.pandas_udf(fold, "digest binary, n int, fp long, keys array<long>")
-    prints = scratch.save(docs.select("id", F.xxhash64("text").alias("mark"), seen("text").alias("p")).select("id", "mark", F.xxhash64("p.digest").alias("node"), "p.*"), "prints")
+    with batches(scratch.spark):
+        prints = scratch.save(docs.select("id", F.xxhash64("text").alias("mark"), seen("text").alias("p")).select("id", "mark", F.xxhash64("p.digest").alias("node"), "p.*"), "prints")
     two = prints.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("node", F.col("b").alias("digest"))
     two = scratch.save(two, "two")  # different texts of one hash, hardly ever any
     if two.isEmpty():
@@ -137,7 +139,8 @@ def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFr
     wanted = scratch.save(rows.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("row")).select("node", "row.*"), f"{name}-wanted")
     set_of = F.pandas_udf(lambda texts: pd.Series([shingle_set(t).tobytes() for t in texts]), "binary")
     sets = docs.withColumn("mark", F.xxhash64("text")).join(beside(wanted), ["id", "mark"]).select("node", set_of("text").alias("set"))
-    sets = scratch.save(sets.groupBy("node").agg(F.any_value("set").alias("set")), f"{name}-sets")
+    with batches(scratch.spark):
+        sets = scratch.save(sets.groupBy("node").agg(F.any_value("set").alias("set")), f"{name}-sets")
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         part, whole = LEAST
@@ -148,8 +151,9 @@ def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFr
         return pd.Series(out, dtype=bool)
 
     side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return scratch.save(both.where(F.pandas_udf(alike, "boolean")("set_a", "set_b")).select("a", "b"), name)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.pandas_udf(alike, "boolean")("set_a", "set_b"))
+    with batches(scratch.spark):
+        return scratch.save(both.select("a", "b"), name)
 
 
 def _places_fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.shared import Scratch, beside, fresh, table
+from tallyforge.llm.shared import Scratch, batches, beside, fresh, table
 from tallyforge.llm.shingles import majority, shingle_hashes, shingle_rows
 
 
@@ -90,7 +90,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(fingerprints(docs, id_col, text_col, shingle_words), "prints")
+    with batches(scratch.spark):
+        prints = scratch.save(fingerprints(docs, id_col, text_col, shingle_words), "prints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     found = connected_components(scratch, links(scratch, distinct.where("rep is not null"), crowd))
     classes = scratch.save(
