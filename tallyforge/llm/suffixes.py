@@ -48,9 +48,14 @@ _POS_BITS = np.uint64(25)
 _HASH_BITS = 48
 #: Windows of differing segments that are compared at a time; those of one anchor stay together.
 _WINDOWS = 200_000
-#: An anchor that more runs than this have is not gathered in one task: its windows are dealt singly.
+#: An anchor that more runs than this have, or that stands in more segments, is not gathered in one task: its windows are dealt singly.
 #: A run sends equal suffixes once, so up to here an anchor weighs little; dealt singly, its windows weigh up to 18 times as much.
 CROWD = 1024
+CROWD_SEGMENTS = 100_000
+#: Bytes of text for each anchor range, where the session has fewer shuffle partitions than that.
+_RANGE = 32 << 20
+#: Parts that the copies of one text are dealt to.
+_SALTS = 32
 #: Slices of an anchor range that its task merges one after the other.
 SLICES = 4
 _LAST = (1 << 63) - 1  # null doc_ids come after all others
@@ -317,8 +322,8 @@ def _anchor_hashes(data: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return _mix(chosen * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _HASH_BITS)
 
 
-def _distinct_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchor hashes of some texts, and which of them two texts have."""
+def _distinct_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct anchor hashes of some texts, which of them two texts have, and in how many segments they stand."""
     hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for data, starts, number, _ in _pieces(texts):
         first, _, anchor = segments(data, starts)
@@ -328,24 +333,27 @@ def _distinct_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
     if not len(h):
-        return h, np.zeros(0, bool)
+        return h, np.zeros(0, bool), np.zeros(0, np.int64)
     begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[begins], np.minimum.reduceat(owner, begins) != np.maximum.reduceat(owner, begins)
+    return h[begins], np.minimum.reduceat(owner, begins) != np.maximum.reduceat(owner, begins), np.diff(np.append(begins, len(h)))
 
 
-def _pack_hashes(hashes: np.ndarray, twice: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte, so that the high ones compress away."""
+def _pack_hashes(hashes: np.ndarray, twice: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte, so that the high ones compress away, and their segments up to 65,535."""
     planes = np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _HASH_BITS // 8]
-    return zstandard.compress(struct.pack("<Q", len(hashes)) + np.ascontiguousarray(planes.T).tobytes() + np.packbits(twice).tobytes(), 3)
+    counts = np.minimum(times, 65_535).astype("<u2")
+    return zstandard.compress(struct.pack("<Q", len(hashes)) + np.ascontiguousarray(planes.T).tobytes() + counts.tobytes() + np.packbits(twice).tobytes(), 3)
 
 
-def _unpack_hashes(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack_hashes(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.decompress(payload)
     (n,) = struct.unpack_from("<Q", data)
     width = _HASH_BITS // 8
     planes = np.zeros((n, 8), np.uint8)
     planes[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(width, n).T
-    return np.cumsum(planes.view("<u8")[:, 0], dtype=np.uint64), np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + n * width), count=n).astype(bool)
+    times = np.frombuffer(data, "<u2", n, 8 + n * width).astype(np.int64)
+    twice = np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + n * (width + 2)), count=n).astype(bool)
+    return np.cumsum(planes.view("<u8")[:, 0], dtype=np.uint64), twice, times
 
 
 def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -360,8 +368,11 @@ def _run_of(runs: int) -> F.Column:
 def equal_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, crc) of the first row of each text, and (doc, crc, start, end), the whole text, of rows that repeat an earlier document's text."""
     digests = rows.where(F.octet_length("data") >= SPAN).select("doc", "crc", F.octet_length("data").cast("long").alias("end"), F.unhex(F.sha2("data", 256)).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.any_value("crc").alias("crc"))
-    copies = digests.join(first.select("digest", "first"), "digest").where("doc > first").select("doc", "crc", F.lit(0).cast("long").alias("start"), "end")
+    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.any_value("crc").alias("crc"), F.count("*").alias("times"))
+    # a text with very many copies spreads over several tasks
+    repeated = first.where("times > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salted = digests.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).cast("int"))
+    copies = salted.join(repeated, ["digest", "salt"]).where("doc > first").select("doc", "crc", F.lit(0).cast("long").alias("start"), "end")
     return first.select(F.col("first").alias("doc"), "crc"), copies
 
 
@@ -369,9 +380,9 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """The rows by run, the number of runs, and of anchor ranges."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.crc32(data).alias("crc"), data.alias("data"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    runs = max(parts, -(-size // _RUN))
+    parts, runs = max(tasks, -(-size // _RANGE)), max(tasks, -(-size // _RUN))
     return rows.withColumn("run", _run_of(runs)), runs, parts
 
 
@@ -382,26 +393,30 @@ def _first_texts(batch: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
 
 
 def shared_anchors(rows: DataFrame, first: DataFrame, parts: int, crowd: int) -> DataFrame:
-    """(run, part, bits): which of a run's sorted anchor hashes of that range more than one document has, and then which more than ``crowd`` runs have."""
+    """(run, part, bits): which of a run's sorted anchor hashes of that range more than one document has, and then which are crowded: more than ``crowd`` runs have them, or they stand in more than ``CROWD_SEGMENTS`` segments."""
 
     def list_anchors(batch: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         batch = _first_texts(batch, first)
-        hashes, twice = _distinct_anchors([bytes(x) for x in batch["data"]])
+        hashes, twice, times = _distinct_anchors([bytes(x) for x in batch["data"]])
         ends = np.searchsorted(_range_of(hashes, parts), np.arange(parts + 1, dtype=np.uint64))
-        out = [(int(batch["run"].iloc[0]), p, _pack_hashes(hashes[a:b], twice[a:b])) for p, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+        out = [(int(batch["run"].iloc[0]), p, _pack_hashes(hashes[a:b], twice[a:b], times[a:b])) for p, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
         return pd.DataFrame(out, columns=["run", "part", "payload"])
 
     def find_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for run, part, payload in zip(batch["run"], batch["part"], batch["payload"]):
                 held.setdefault(part, []).append((run, *_unpack_hashes(bytes(payload))))
         for part, lists in held.items():
-            names, counts = np.unique(np.concatenate([h for _, h, _ in lists]), return_counts=True)
+            names, counts = np.unique(np.concatenate([h for _, h, _, _ in lists]), return_counts=True)
+            total = np.zeros(len(names), np.int64)
+            for _, hashes, _, times in lists:
+                total[np.searchsorted(names, hashes)] += times
+            crowded = (counts > crowd) | (total > CROWD_SEGMENTS)
             out = []
-            for run, hashes, twice in lists:
-                n = counts[np.searchsorted(names, hashes)]
-                out.append((run, part, np.packbits(np.concatenate((twice | (n > 1), n > crowd))).tobytes()))
+            for run, hashes, twice, _ in lists:
+                at = np.searchsorted(names, hashes)
+                out.append((run, part, np.packbits(np.concatenate((twice | (counts[at] > 1), crowded[at]))).tobytes()))
             yield pd.DataFrame(out, columns=["run", "part", "bits"])
 
     listed = rows.groupBy("run").cogroup(first.groupBy("run")).applyInPandas(list_anchors, "run int, part int, payload binary")
@@ -427,7 +442,7 @@ def repeated_ranges(rows: DataFrame, first: DataFrame, parts: int, crowd: int =
         if batch.empty or answers.empty:
             return empty
         texts = [bytes(x) for x in batch["data"]]
-        hashes, _ = _distinct_anchors(texts)
+        hashes, _, _ = _distinct_anchors(texts)
         ends = np.searchsorted(_range_of(hashes, parts), np.arange(parts + 1, dtype=np.uint64))
         shared, crowded = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
         for p, bits in zip(answers["part"], answers["bits"]):

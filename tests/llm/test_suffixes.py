@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tallyforge.llm import suffixes
@@ -78,3 +79,25 @@ def test_merge_order():
         merged = [runs[r][i] for r, i in zip(run, at)]
         assert merged == sorted(k for r in runs for k in r)
         assert list(have[1:]) == [common(a, b) for a, b in zip(merged, merged[1:])]
+
+
+def test_texts_of_several_pieces(spark):
+    """Texts longer than a piece and a run; what repeats is known by construction."""
+    rng = random.Random(3)
+    big = rng.randbytes(5 << 20).hex()
+    assert len(big) > 2 * suffixes._PIECE
+    edge = big[suffixes._PIECE - 300 : suffixes._PIECE + 300]
+    rows = [(1, big), (2, "start " + edge + " end"), (3, big), (4, big[5_000_000:9_000_000] + "?" * 10)]
+    found = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1]["n_removed"] == 0 and bytes(found[1]["kept"]).decode() == big
+    assert found[2]["n_removed"] == 600 and bytes(found[2]["kept"]) == b"start  end"
+    assert found[3]["n_removed"] == len(big) and found[3]["n_spans"] == 1 and not found[3]["kept"]
+    assert found[4]["n_removed"] == 4_000_000 and bytes(found[4]["kept"]) == b"?" * 10
+
+
+def test_packed_hashes():
+    rng = random.Random(8)
+    hashes = np.array(sorted({rng.getrandbits(48) for _ in range(300)}), np.uint64)
+    twice, times = np.array([rng.random() < 0.5 for _ in hashes]), np.array([rng.choice([1, 2, 70_000]) for _ in hashes])
+    got = suffixes._unpack_hashes(suffixes._pack_hashes(hashes, twice, times))
+    assert (got[0] == hashes).all() and (got[1] == twice).all() and (got[2] == np.minimum(times, 65_535)).all()
