@@ -8,9 +8,16 @@ where such a difference, turned at random, could change the nearest centroid at
 ``reach`` standard deviations. ``reach=None`` visits whatever any difference
 could change, which loses no link but in high dimensions visits nearly all cells.
 
-A cell is cut into blocks of bounded size; a task multiplies two blocks, adds up
-link counts per vector and passes on edges that span what is linked, not the
-linked pairs.
+Cells grow in number with the vectors. Beyond ``FAN`` of them each is cut by a
+second codebook, fitted on what the first leaves over and shared by all cells,
+so that what is sent to tasks stays bounded while a cell keeps its size.
+
+The vectors at home in a cell form blocks of bounded size. A task holds one
+block, and whoever else lives in or visits the cell streams past it: the block's
+vectors count their links with all of them, a visitor counts those that do not
+visit its own home, where they meet again. So a pair that meets at all is
+counted once at either end. What is passed on are counts and edges that span
+what is linked, not the linked pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +33,9 @@ from tallyforge.llm.shared import Scratch, table
 THRESHOLD = 0.95
 SAMPLE = 20_000
 CELL = 500
-MAX_CELLS = 1024
-BLOCK = 512
+#: Centroids of a codebook; cells are as many as two of them give.
+FAN = 1024
+BLOCK = 4096
 REACH = 2.5
 
 
@@ -81,11 +89,12 @@ def _spanning(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[n
     return rows[np.concatenate(out_r)], cols[np.concatenate(out_c)]
 
 
-def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK, reach: float | None = REACH) -> DataFrame:
+def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK, reach: float | None = REACH, cell: int = CELL, fan: int = FAN) -> DataFrame:
     """(id, n_links, component): other rows with cosine >= ``threshold``, and the smallest id reachable over such links.
 
     The centroids come from a sample of at most about ``sample`` distinct
-    vectors; every vector is compared. Vectors that are null, empty, zero, or hold
+    vectors, for cells of about ``cell`` vectors; every vector is compared. A
+    pair that does not meet (see the module's text) is missed at both ends. Vectors that are null, empty, zero, or hold
     null or non-finite components link with nothing, and neither do vectors of
     different length. Repeated rows are rows: equal vectors link with each other.
     A null id keeps its row and counts as a partner. Extra columns are ignored;
@@ -101,7 +110,7 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     links = None
     if n:
         drawn = classes.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
-        links = _links(scratch, classes.select("key", "copies", "v"), _centroids(drawn, n), threshold, block, reach)
+        links = _links(scratch, classes.select("key", "copies", "v"), _codebooks(drawn, n, cell, fan), threshold, block, reach)
         names = classes.select("key", "rep")
         ends = links.where("other is not null").select("key", "other").distinct()
         ids = ends.join(names, "key").withColumnRenamed("rep", "a").join(names.select(F.col("key").alias("other"), F.col("rep").alias("b")), "other").select("a", "b")
@@ -113,71 +122,123 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
 
 
-def _centroids(drawn: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centroids by dimension, fitted on the driver from the bounded sample."""
+def _codebooks(drawn: DataFrame, n: int, cell: int, fan: int) -> dict[int, tuple[np.ndarray, np.ndarray | None]]:
+    """By dimension the centroids and, where more cells are needed, what is added to each of them; fitted on the driver from the bounded sample."""
     by_size: dict[int, list] = {}
-    for row in drawn.select("v").toLocalIterator():
-        by_size.setdefault(len(row["v"]), []).append(row["v"])
+    for v in drawn.select("v").toPandas()["v"]:
+        by_size.setdefault(len(v), []).append(v)
     out = {}
     for size, found in by_size.items():
-        unit = np.array(found, dtype=np.float64)
-        unit /= np.abs(unit).max(axis=1, keepdims=True)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        out[size] = spherical_kmeans(unit, max(1, min(MAX_CELLS, n // CELL)))
+        unit = _unit(pd.Series(found))
+        cells = max(1, n // cell)
+        middle = spherical_kmeans(unit, min(fan, cells))
+        added = None
+        if cells > fan:
+            rest = unit - middle[(unit @ middle.T).argmax(axis=1)]
+            length = np.linalg.norm(rest, axis=1, keepdims=True)
+            added = spherical_kmeans(rest / np.maximum(length, 1e-9), min(fan, -(-cells // fan))) * np.median(length)
+        out[size] = (middle, added)
     return out
 
 
+def _near(v: np.ndarray, middle: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each vector, and which ones a partner no farther than ``step`` may have as its nearest."""
+    cosine = v @ middle.T
+    home = cosine.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * middle @ middle.T))
+    return home, cosine.max(axis=1)[:, None] - cosine <= step * apart[home] + 1e-9
+
+
+def _cells(v: np.ndarray, books: tuple[np.ndarray, np.ndarray | None] | None, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home of each vector; and row and cell of every visit, the one at home included."""
+    if books is None:  # a dimension that the sample missed is one cell
+        return np.zeros(len(v), np.int64), np.arange(len(v)), np.zeros(len(v), np.int64)
+    middle, added = books
+    home, near = _near(v, middle, step)
+    row, first = np.nonzero(near)
+    if added is None:
+        return home.astype(np.int64), row, first.astype(np.int64)
+    homes, rows, cells = np.empty(len(v), np.int64), [], []
+    for c in np.unique(first):
+        own = row[first == c]
+        inner = middle[c] + added
+        inner /= np.maximum(np.linalg.norm(inner, axis=1, keepdims=True), 1e-9)
+        second, close = _near(v[own], inner, step)
+        at_home = home[own] == c
+        homes[own[at_home]] = c * len(added) + second[at_home]
+        r, k = np.nonzero(close)
+        rows.append(own[r])
+        cells.append(c * len(added) + k)
+    return homes, np.concatenate(rows), np.concatenate(cells)
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     v = np.stack(vectors.to_numpy()).astype(np.float64)
     v /= np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _links(scratch: Scratch, classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float, block: int, reach: float | None) -> DataFrame:
+def _links(scratch: Scratch, classes: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray | None]], threshold: float, block: int, reach: float | None) -> DataFrame:
     """(key, other, n): per vector and task the copies it links with (other null), and spanning edges (n 0)."""
     chord = np.sqrt(max(0.0, 2 - 2 * threshold))
     kind = classes.schema["v"].dataType.simpleString()
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def assign(batches):
         for batch in batches:
             for size, part in batch.groupby(batch["v"].map(len)):
-                v = _unit(part["v"])
-                middle = centroids.get(size)  # a dimension that the sample missed is one cell
-                if middle is None:
-                    home, near = np.zeros(len(v), int), np.ones((len(v), 1), bool)
-                else:
-                    cosine = v @ middle.T
-                    home = cosine.argmax(axis=1)
-                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * middle @ middle.T))
-                    step = chord * (1.0 if reach is None else min(1.0, reach / np.sqrt(size)))
-                    near = cosine.max(axis=1)[:, None] - cosine <= step * apart[home] + 1e-9
-                row, cell = np.nonzero(near)
-                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "size": size, "cell": cell, "home": home[row] == cell})
-
-    placed = scratch.save(classes.mapInPandas(assign, f"key string, copies long, v {kind}, size int, cell int, home boolean"), "placed")
-    count = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(block))).cast("int")
-    blocks = placed.groupBy("size", "cell").agg(count(F.count_if("home")).alias("homes"), count(F.count("*")).alias("blocks"))
-    dealt = placed.join(blocks, ["size", "cell"])
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    left = dealt.where("home").select("size", "cell", own("homes").alias("i"), every("blocks").alias("j"), "key", "copies", "v", F.lit(True).alias("first"))
-    right = dealt.select("size", "cell", every("homes").alias("i"), own("blocks").alias("j"), "key", "copies", "v", F.lit(False).alias("first"))
-
-    def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = part[part["first"]], part[~part["first"]]
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "other": [], "n": []})
-        linked = _unit(a["v"]) @ _unit(b["v"]).T >= threshold
-        names_a, names_b = a["key"].to_numpy(), b["key"].to_numpy()
-        linked &= names_a[:, None] != names_b[None, :]
-        n = linked @ b["copies"].to_numpy()
-        some = n > 0
-        ends_a, ends_b = _spanning(linked, names_a, names_b)
-        counts = pd.DataFrame({"key": names_a[some], "other": None, "n": n[some]})
-        return pd.concat([counts, pd.DataFrame({"key": ends_a, "other": ends_b, "n": 0})], ignore_index=True)
-
-    pairs = left.union(right).groupBy("size", "cell", "i", "j").applyInPandas(multiply, "key string, other string, n long")
-    return scratch.save(pairs, "links")
+                home, row, cell = _cells(_unit(part["v"]), books.get(size), chord * (1.0 if reach is None else min(1.0, reach / np.sqrt(size))))
+                at_home = home[row] == cell
+                order = np.argsort(row, kind="stable")
+                visits = np.split(cell[order], np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
+                visits = [visits[r] if h else None for r, h in zip(row, at_home)]
+                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "size": size, "cell": cell, "home": home[row], "visits": visits})
+
+    placed = scratch.save(classes.mapInPandas(assign, f"key string, copies long, v {kind}, size int, cell long, home long, visits array<long>"), "placed")
+    at_home = F.col("home") == F.col("cell")
+    blocks = placed.where(at_home).groupBy("size", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, ["size", "cell"])  # a cell where nobody lives has nothing to count
+    row = ["size", "cell", "block", "first", "key", "copies", "v", "home", "visits"]
+    held = dealt.where(at_home).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("first", F.lit(0)).select(row)
+    passing = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("first", F.lit(1)).withColumn("visits", F.lit(None).cast("array<long>")).select(row)
+    group = ["size", "cell", "block"]
+    streams = held.union(passing).repartition(parts, *group).sortWithinPartitions(*group, "first")
+
+    def multiply(batches):
+        current, homes, held = None, [], None
+        for batch in batches:
+            for name, part in batch.groupby(group, sort=False):
+                if name != current:
+                    current, homes, held = name, [], None
+                own = part[part["first"] == 0]
+                if len(own):
+                    homes.append(own)
+                others = part[part["first"] == 1]
+                for at in range(0, len(others), block):
+                    if not homes:  # no vector was dealt to this block
+                        break
+                    if held is None:
+                        held = pd.concat(homes, ignore_index=True)
+                        unit, names, copies = _unit(held["v"]), held["key"].to_numpy(), held["copies"].to_numpy()
+                        visited, visitor = np.concatenate(held["visits"].tolist()), np.repeat(np.arange(len(held)), held["visits"].map(len))
+                    yield count_links(name[1], unit, names, copies, visited, visitor, others.iloc[at : at + block])
+
+    def count_links(cell, unit, names, copies, visited, visitor, others):
+        linked = unit @ _unit(others["v"]).T >= threshold
+        passing, home = others["key"].to_numpy(), others["home"].to_numpy()
+        linked &= names[:, None] != passing[None, :]
+        n, some = linked @ others["copies"].to_numpy(), np.zeros(len(others), np.int64)
+        for h in np.unique(home[linked.any(axis=0)]):
+            if h != cell:  # a visitor meets those who visit its home there
+                stays = np.ones(len(names), bool)
+                stays[visitor[visited == h]] = False
+                some[home == h] = (copies * stays) @ linked[:, home == h]
+        ends_a, ends_b = _spanning(linked, names, passing)
+        return pd.concat([
+            pd.DataFrame({"key": names[n > 0], "other": None, "n": n[n > 0]}), pd.DataFrame({"key": passing[some > 0], "other": None, "n": some[some > 0]}), pd.DataFrame({"key": ends_a, "other": ends_b, "n": 0}),
+        ], ignore_index=True)
+
+    return scratch.save(streams.mapInPandas(multiply, "key string, other string, n long"), "links")
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,24 @@ def test_recall(spark, tables):
     got = {r["id"]: r["n_links"] for r in embeddings.cosine_components(df).collect()}
     assert all(got[i] <= n for i, n in want.items())
     assert sum(got.values()) >= 0.9 * sum(want.values())
+
+
+@pytest.mark.parametrize("reach", [embeddings.REACH, None])
+def test_two_codebooks_and_many_blocks(spark, reach):
+    """More cells than one codebook has, crowds of more than a block; without a reach every link is found, with it most, and at both ends."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for size in [1] * 60 + [2] * 60 + [4] * 40 + [30, 120]:
+        centre = rng.normal(size=16)
+        for _ in range(size):
+            rows.append((len(rows), (centre + rng.normal(size=16) * 0.15).astype(np.float32).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["id"]: (r["n_links"], r["component"]) for r in embeddings.cosine_components(df, block=32, cell=10, fan=6, reach=reach).collect()}
+    want = {i: (n, c) for i, n, c in brute(rows)}
+    if reach is None:
+        assert got == want
+    else:
+        assert all(got[i][0] <= want[i][0] for i in want) and sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+        unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+        alone = [(i, j) for i in want for j in want if i < j and unit[i] @ unit[j] >= 0.95 and want[i][0] == want[j][0] == 1]
+        assert alone and all(got[i][0] == got[j][0] for i, j in alone)
