@@ -22,6 +22,8 @@ DIM = 512
 #: For keeping or dropping texts: a text that shares no n-gram with a prototype has a cosine of 0 give or take 1/sqrt(dim).
 WIDE_DIM = 65_536
 _DEVIATIONS = 4
+#: N-grams whose products with the prototypes a task remembers.
+_KNOWN = 1 << 20
 ORDER = 3
 MAX_TRAINING = 50_000
 UNKNOWN = "und"
@@ -193,20 +195,24 @@ def best_score(text: F.Column, prototypes: dict[str, np.ndarray]) -> F.Column:
 
     @F.pandas_udf("double")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[int, np.ndarray] = {}
+        known, dots = np.empty(0, np.int64), np.zeros((0, len(matrix)), np.float32)
         for texts in batches:
             scores: list[float | None] = []
-            for text in texts:
-                g, n = gram_counts(text)
-                if not len(g) or not len(matrix):
-                    scores.append(None)
-                    continue
-                new = np.array([x for x in g.tolist() if x not in known], np.int64)
-                if len(known) + len(new) > 1 << 16:
-                    known, new = {}, g
-                known.update(zip(new.tolist(), _dots(matrix, new)))
-                cosines = n @ np.stack([known[x] for x in g.tolist()]) / (np.linalg.norm(n) * np.sqrt(matrix.shape[1]))
-                scores.append(min(1.0, float(cosines.max())))
+            for at in range(0, len(texts), 64):
+                counted = [gram_counts(t) for t in texts.iloc[at : at + 64]]
+                grams = np.unique(np.concatenate([g for g, _ in counted]))
+                new = np.setdiff1d(grams, known, assume_unique=True)
+                if len(known) + len(new) > _KNOWN:
+                    known, dots, new = known[:0], dots[:0], grams
+                if len(new) and len(matrix):
+                    order = np.argsort(np.concatenate((known, new)), kind="stable")
+                    known, dots = np.concatenate((known, new))[order], np.concatenate((dots, _dots(matrix, new)))[order]
+                for g, n in counted:
+                    if not len(g) or not len(matrix):
+                        scores.append(None)
+                        continue
+                    cosines = n @ dots[np.searchsorted(known, g)] / (np.linalg.norm(n) * np.sqrt(matrix.shape[1]))
+                    scores.append(min(1.0, float(cosines.max())))
             yield pd.Series(scores, dtype="float64")
 
     return best(text)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,70 @@ def test_equal_texts_and_edits(spark):
     b = a[:2000] + "changed here" + a[2010:]
     row = spark.createDataFrame([(fp.fingerprint(a), fp.fingerprint(b))], "a string, b string").select(fp.likeness(F.col("a"), F.col("b"))).first()
     assert row[0] > 0.85
+
+
+def slow_fingerprint(text):
+    """The same hash written down byte by byte, with whole numbers."""
+    data, wide, narrow = (text or "").encode(), (1 << 64) - 1, (1 << 32) - 1
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rolled = []
+    for i in range(len(data)):
+        x = sum((data[i - k] + 1) * pow(0x01000193, k) for k in range(7) if i >= k) & narrow
+        x ^= x >> 15
+        x = x * 0x85EBCA6B & narrow
+        rolled.append(x ^ x >> 13)
+    mixed = [(m := x * 0xC2B2AE3D27D4EB4F & wide) ^ m >> 29 for x in rolled]
+
+    def cuts(block):
+        return [i for i, x in enumerate(rolled) if x % block == block - 1]
+
+    def digits(ends):
+        chunks, chunk = [], []
+        for i, m in enumerate(mixed):
+            chunk.append(m)
+            if i in ends:
+                chunks.append(chunk)
+                chunk = []
+        chunks += [chunk] if chunk else []
+        said = lambda sums: letters[(sum(sums) & wide) * 0x9E3779B97F4A7C15 % (1 << 64) >> 58]
+        every = [said(c) for c in chunks]
+        kept = [k for k in range(len(every)) if not (k >= 3 and len(every) > 3 and every[k] == every[k - 1] == every[k - 2] == every[k - 3])]
+        if len(kept) > 64:
+            return "".join(every[k] for k in kept[:63]) + said([m for c in chunks[kept[63] :] for m in c])
+        return "".join(every[k] for k in kept)
+
+    block = 4
+    while block * 64 < len(data):
+        block *= 2
+    while block > 4 and len(cuts(block)) < 32:
+        block //= 2
+    if not data:
+        return "4::"
+    return f"{block}:{digits(set(cuts(block)))}:{digits(set(cuts(2 * block)))}"
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    (m, x1, x2), (n, y1, y2) = a.split(":"), b.split(":")
+    m, n = int(m), int(n)
+    x, y = (x1, y1) if m == n else (x1, y2) if m == 2 * n else (x2, y1) if 2 * m == n else ("", "")
+    if not x and not y:
+        return 0.0
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+    return 1.0 - row[-1] / max(len(x), len(y))
+
+
+def test_fingerprints_and_likeness_equal_the_slow_way(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "abcdefg", "x" * 3000, "line\n" * 400, "é\U0001f600" * 300] + ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([50, 300, 2000, 6000]))) for _ in range(12)]
+    texts += [t[: len(t) // 2] + "edited" + t[len(t) // 2 + rng.randint(0, 9) :] for t in texts[6:]] + [t * 2 for t in texts[6:12]]
+    prints = [fp.fingerprint(t) for t in texts]
+    assert prints == [slow_fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in prints for b in prints]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fp.likeness(F.col("a"), F.col("b")).alias("l")).collect()
+    assert all(abs(r["l"] - slow_likeness(r["a"], r["b"])) < 1e-12 for r in got) and any(0.3 < r["l"] < 1 for r in got)

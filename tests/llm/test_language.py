@@ -49,3 +49,33 @@ def test_unlearned_scripts_go_and_one_clean_word_stays(spark, documents):
     rows = spark.createDataFrame(alien + single, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in language.keep_identified(learnt.union(rows)).where("doc_id < 0").collect()}
     assert all(i <= -1000 for i in kept) and len(kept) >= 0.98 * len(single)
+
+
+def slow_bundle(text, dim):
+    """The bundle of a text, trigram by trigram; runs of other characters are one boundary, as are both ends."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not letters.strip():
+        return None
+    line = f" {' '.join(letters.split())} "
+    vector = lambda c: language._letter_vector(0 if c == " " else ord(c), dim).astype(float)
+    return sum(np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in zip(line, line[1:], line[2:]))
+
+
+def test_predictions_equal_the_slow_way(spark, documents, odd):
+    dim = 128
+    docs = documents.select("doc_id", F.substring("text", 1, 300).alias("text"), "lang").orderBy("doc_id").limit(80).union(odd.where("doc_id <> 6 or doc_id is null").select("doc_id", "text", "lang"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    sums = {}
+    for r in docs.collect():
+        bundle = slow_bundle(r["text"], dim)
+        if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None and bundle is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + bundle / np.linalg.norm(bundle)
+    prototypes = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    for r in language.identify(docs, dim).collect():
+        bundle = slow_bundle(r["text"], dim)
+        if bundle is None:
+            assert tuple(r["found"]) == ("und", 0.0)
+            continue
+        cosine = {k: float(v @ bundle / np.linalg.norm(bundle)) for k, v in prototypes.items()}
+        assert abs(r["found"]["score"] - min(1, max(0, max(cosine.values())))) < 1e-5
+        assert cosine[r["found"]["lang"]] > max(cosine.values()) - 1e-5
