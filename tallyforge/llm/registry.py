@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import embeddings, fingerprints, language, mixing, packing, secrets, simhash, suffixes, urls, warc
+from tallyforge.llm import embeddings, exact, fingerprints, infill, language, mixing, packing, resampling, secrets, simhash, suffixes, urls, warc
 
-_MODULES = (secrets, fingerprints, urls, simhash, suffixes, embeddings, mixing, warc, packing, language)
+_MODULES = (secrets, fingerprints, urls, simhash, suffixes, embeddings, mixing, warc, packing, language, exact, resampling, infill)
 
 
 def queries() -> dict:
