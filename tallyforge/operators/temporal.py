@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,37 +46,94 @@ def as_of_or_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, r
     return out.select(*columns, picked.alias(value), link.alias("link"))
 
 
-def point_in_time(left: DataFrame, roster: DataFrame, key: str, at: str, start: str, end: str, value: str) -> DataFrame:
+#: Microseconds of the time spans that ``point_in_time`` cuts a key's work into.
+SLAB = 24 * 3600 * 1_000_000
+_FOREVER = float("inf")
+
+
+def _last_open(events: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, _t, _held): for the asked times among ``events`` the entry that starts last of those that are open then; none, no row.
+
+    ``events``: by, _t, _ask, _until, _entry; an entry is open from _t (null:
+    always) to _until (null: for ever), both included. Each partition's rows come
+    sorted by group and time and pass once. What is carried along is a stack of
+    open entries, later starts above: whoever ends no later than one above can
+    never be the answer again and goes when that one comes, and whoever has
+    closed goes when it is found on top. So a group of any length needs memory
+    for its nested entries only.
+    """
+    n = len(by)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stack, carried = None, [], None  # stack: (until, place of the entry in ``pool``)
+        for batch in batches:
+            entries = batch.column("_entry")
+            carried = entries.slice(0, 0) if carried is None else carried
+            pool, rows, found = pa.concat_arrays([carried, entries]), [], []
+            groups = zip(*[batch.column(k).to_pylist() for k in range(n)])
+            times = (batch.column(c).to_pylist() for c in ("_t", "_ask", "_until"))
+            for i, (key, t, ask, until) in enumerate(zip(groups, *times)):
+                if key != group:
+                    group, stack = key, []
+                if ask:
+                    while stack and stack[-1][0] < t:
+                        stack.pop()
+                    if stack:
+                        rows.append(i)
+                        found.append(stack[-1][1])
+                else:
+                    until = _FOREVER if until is None else until
+                    while stack and stack[-1][0] <= until:
+                        stack.pop()
+                    stack.append((until, len(carried) + i))
+            told = batch.select([*by, "_t"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*told.columns, pool.take(pa.array(found, pa.int64()))], [*by, "_t", "_held"])
+            carried = pool.take(pa.array([at for _, at in stack], pa.int64()))
+            stack = [(until, at) for at, (until, _) in enumerate(stack)]
+
+    ordered = events.select(*by, "_t", "_ask", "_until", "_entry").repartition(*by).sortWithinPartitions(*by, F.col("_t").asc_nulls_first(), "_ask", "_entry")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema if f.name in (*by, "_t")]
+    return ordered.mapInArrow(walk, ", ".join([*kinds, f"_held {ordered.schema['_entry'].dataType.simpleString()}"]))
+
+
+def point_in_time(left: DataFrame, roster: DataFrame, key: str, at: str, start: str, end: str, value: str, slab: int = SLAB) -> DataFrame:
     """``left`` with the ``value`` of the roster row of its key that covers its time.
 
     Open bounds are null; a bound is compared as a time, so a date covers until
-    its midnight. Of several covering rows the one that starts last counts; where
-    none covers, the row that starts last at all. An assignment is cut into the
-    aligned spans of 1, 2, 4, ... microseconds that make it up, at most two of a
-    size, and the last to start is kept per key and span; a row looks up the span
-    of each size that holds its time. So neither arrays of a key nor pairs of
-    rows are formed.
+    its midnight. Of several covering rows the one that starts last counts, of
+    these the one with the later end, then the larger value; where none covers,
+    the row that is last in that order.
+
+    Time is cut into slabs, and a key's work with it, so that a key with many
+    rows spreads. An assignment comes to the slab it starts in and to the slab it
+    ends in. The slabs between are swept first, a slab for a moment, over one
+    assignment for each first and last slab of a key; a slab that is asked for
+    gets the one that covers it whole. Then starts and asked times of each slab
+    are swept in order. So an assignment makes three rows at most, however long
+    it is, and neither arrays of a key nor pairs of rows are formed.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slab_of = lambda c: F.expr(f"({c} - pmod({c}, {slab}L)) div {slab}L")
     columns = left.columns
     entry = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(value).alias("v"))
     named = roster.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), micros(start).alias("_s"), micros(end).alias("_e"), entry.alias("_entry"))
+    named = named.withColumns({"_a": slab_of("_s"), "_b": slab_of("_e")})
     totals = named.groupBy("_key").agg(F.max("_entry").alias("_latest"), F.max(F.when(F.col("_entry.s").isNull() & F.col("_entry.e").isNull(), F.col("_entry"))).alias("_always"))
-    times = left.select(F.col(key).alias("_key"), micros(at).alias("_at")).where("_key is not null and _at is not null").distinct()
-    domain = times.agg(F.min("_at").alias("_from"), F.max("_at").alias("_to")).where("_from is not null").withColumn("_sizes", F.expr("sequence(0, length(bin(_to - _from + 1)))"))
-    inside = named.crossJoin(domain).select(  # domain: one row
-        "_key", "_entry", "_sizes", (F.greatest(F.coalesce("_s", "_from"), "_from") - F.col("_from")).alias("_lo"), (F.least(F.coalesce("_e", "_to"), "_to") - F.col("_from") + 1).alias("_hi")
-    )
-    low, high = "shiftright(_lo + shiftleft(1L, l) - 1, l)", "shiftright(_hi, l)"
-    ends = f"array(if({low} < {high} and {low} % 2 = 1, {low}, null), if({low} < {high} and {high} % 2 = 1, {high} - 1, null))"
-    spans = (
-        inside.where("_lo < _hi")
-        .select("_key", "_entry", F.explode(F.expr(f"filter(flatten(transform(_sizes, l -> transform({ends}, n -> struct(l as size, n as node)))), x -> x.node is not null)")).alias("_span"))
-        .groupBy("_key", "_span.size", "_span.node")
-        .agg(F.max("_entry").alias("_entry"))
-    )
-    asked = times.crossJoin(domain).select("_key", "_at", F.explode("_sizes").alias("size"), (F.col("_at") - F.col("_from")).alias("_off")).withColumn("node", F.expr("shiftright(_off, size)"))
-    held = asked.join(spans, ["_key", "size", "node"]).groupBy("_key", "_at").agg(F.max("_entry").alias("_held"))
+    times = left.select(F.col(key).alias("_key"), micros(at).alias("_t")).where("_key is not null and _t is not null").distinct().withColumn("_slab", slab_of("_t"))
+    asks = lambda df: df.withColumns({"_ask": F.lit(True), "_until": F.lit(None).cast("long"), "_entry": F.lit(None).cast(named.schema["_entry"].dataType)})
+
+    long_ones = named.where("_b is null or _a is null or _b > _a + 1").groupBy("_key", "_a", "_b").agg(F.max("_entry").alias("_entry"))
+    whole = long_ones.select("_key", (F.col("_a") + 1).alias("_t"), F.lit(False).alias("_ask"), (F.col("_b") - 1).alias("_until"), "_entry")
+    asked_slabs = asks(times.select("_key", F.col("_slab").alias("_t")).distinct())
+    covers = _last_open(whole.unionByName(asked_slabs), ["_key"])
+
+    event = lambda df, of, t, until, held: df.select("_key", F.col(of).alias("_slab"), t.alias("_t"), F.lit(False).alias("_ask"), until.alias("_until"), F.col(held).alias("_entry"))
+    own = (F.col("_s"), F.col("_e"), "_entry")
+    starts = event(named.where("_a is not null"), "_a", *own)
+    ends = event(named.where("_b is not null and (_a is null or _b > _a)"), "_b", *own)
+    between = event(covers, "_t", micros("_held.s"), micros("_held.e"), "_held")
+    held = _last_open(starts.unionByName(ends).unionByName(between).unionByName(asks(times)), ["_key", "_slab"]).select("_key", F.col("_t").alias("_at"), "_held")
+
     row = left.withColumns({"_key": F.col(key), "_at": micros(at)})
     out = row.join(held, ["_key", "_at"], "left").join(totals, "_key", "left")
     inside = F.when(F.col("_at").isNull(), F.col("_always")).otherwise(F.col("_held"))
