@@ -16,6 +16,9 @@ TOLERANCE = 0.01
 WARRANTY_TIER = 2
 SLA_MINUTES = {"chat": 15, "voice": 120, "social": 240, "email": 480}
 SLA_CREDIT = 350.0
+CONTACT_COSTS, BLENDED_CONTACT_COST = {"chat": 210.0, "email": 260.0, "voice": 520.0, "social": 240.0}, 290.0
+TRANSFER_COST, AGENT_HOUR_COST, SHIFT_HOURS = 305.0, 165.0, 8
+REPEAT_DAYS = 30
 DROPDOWN_DEFAULT = "GW-OTHER"
 REASON_CODES = (
     "GOODWILL_GESTURE PRODUCT_FAULT_DOA PRODUCT_FAULT_IN_WARRANTY DAMAGED_IN_TRANSIT NOT_DELIVERED_OR_LOST "

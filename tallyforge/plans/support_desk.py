@@ -11,10 +11,9 @@ from tallyforge.functions import text
 from tallyforge.operators import decisions, evaluation, quality, reports, temporal
 from tallyforge.operators.allocation import allocate_excess
 from tallyforge.sources.files import blank_to_null, to_date, to_number, to_stamp, to_whole
+from tallyforge.sources.rules import contact_costs
 
 BASE_SYSTEM, LEGACY_SYSTEM = "helpdesk", "legacy_fd"
-# Assumed, as no source states it: what a contact costs by channel, and over all.
-CONTACT_COSTS, BLENDED_CONTACT_COST = {"chat": 60.0, "voice": 120.0, "email": 45.0, "social": 50.0}, 70.0
 
 
 @dataclass
@@ -57,8 +56,12 @@ def resolve_orders(tickets: DataFrame, orders: DataFrame) -> DataFrame:
     return quoted.unionByName(linked.withColumn("order_link", link).drop("link").withColumnRenamed("found", "order_id"))
 
 
-def build(raw: dict[str, DataFrame], classifications: DataFrame | None = None) -> Desk:
-    """The desk from its raw files; ``classifications`` as in ``decisions.classified``, where tickets have been classified."""
+def build(raw: dict[str, DataFrame], classifications: DataFrame | None = None, rules: dict | None = None) -> Desk:
+    """The desk from its raw files; ``classifications`` as in ``decisions.classified``, where tickets have been classified.
+
+    ``rules``: the policy's rules document (``sources.rules``), whose cost
+    standards then count instead of those stated in ``decisions``.
+    """
     typed = typed_tickets(raw["tickets"])
     unit = quality.detect_unit(typed, "ticket_id", "source_system", "amount", BASE_SYSTEM, LEGACY_SYSTEM)
     divisor = unit.first()["divisor"]
@@ -95,13 +98,13 @@ def build(raw: dict[str, DataFrame], classifications: DataFrame | None = None) -
         ("NEGATIVE_DURATION", (F.col("first_response_minutes") < 0) | (F.col("handle_hours") < 0)),
         ("CSAT_MISSING", F.col("csat_score").isNull()),
     ]))
-    return Desk(typed, tickets, refunds_of(tickets, classifications), unit, divisor)
+    return Desk(typed, tickets, refunds_of(tickets, classifications, rules), unit, divisor)
 
 
 NO_CLASSIFICATIONS = "ticket_id string, created_at timestamp_ntz, reason_code string, dual_remedy boolean, refund_without_return boolean, confidence double, validation_status string, review_required boolean"
 
 
-def refunds_of(tickets: DataFrame, classifications: DataFrame | None = None) -> DataFrame:
+def refunds_of(tickets: DataFrame, classifications: DataFrame | None = None, rules: dict | None = None) -> DataFrame:
     """Refunds with what exceeds their order's value, their classification, and their avoidability."""
     paid = tickets.where("is_refund")
     reliable = F.col("order_link").isin("quoted", "fallback_unique")
@@ -111,7 +114,7 @@ def refunds_of(tickets: DataFrame, classifications: DataFrame | None = None) ->
     told = shared.withColumn("refund_to_order_ratio", ratio).withColumn("is_full_refund", F.coalesce(ratio >= 0.999, F.lit(False)))
     known = tickets.sparkSession.createDataFrame([], NO_CLASSIFICATIONS) if classifications is None else classifications
     judged = decisions.classified(told, known)
-    cost = decisions.contact_cost(F.col("valid"), F.col("reason_code"), F.col("channel"), CONTACT_COSTS, BLENDED_CONTACT_COST)
+    cost = decisions.contact_cost(F.col("valid"), F.col("reason_code"), F.col("channel"), *contact_costs(rules))
     return judged.withColumn("contact_cost", cost)
 
 

@@ -168,6 +168,23 @@ def test_contact_cost(spark):
     assert tuple(row) == (30.0, 60.0, 0.0)
 
 
+def test_contact_costs_of_the_policy_end_to_end(spark, folder, tmp_path):
+    import json
+
+    from tallyforge.sources import rules
+
+    raw = files.read_raw(spark, folder)
+    said = spark.createDataFrame([("T-3", None, "REFUND_SERVICE_FAILURE", False, False, 0.9, "valid", False), ("T-4", None, "REFUND_SERVICE_FAILURE", False, False, 0.9, "valid", False)], support_desk.NO_CLASSIFICATIONS)
+    costs = lambda **more: {r["ticket_id"]: r["contact_cost"] for r in support_desk.build(raw, said, **more).refunds.collect()}
+    assert costs() == {"T-1": 0.0, "T-3": 260.0, "T-4": 210.0}
+    assert rules.contact_costs(None) == ({"chat": 210.0, "email": 260.0, "voice": 520.0, "social": 240.0}, 290.0)
+    stated = {"refunds": {}, "cost_standards": {"cost_per_contact_inr": {"chat": 211}, "blended_cost_per_contact_inr": 291}}
+    (tmp_path / "r.json").write_text(json.dumps(stated))
+    assert costs(rules=rules.read_rules(spark, str(tmp_path / "r.json"))) == {"T-1": 0.0, "T-3": 291.0, "T-4": 211.0}
+    with pytest.raises(rules.RulesUnavailable):
+        rules.contact_costs({"cost_standards": {"cost_per_contact_inr": 3}})
+
+
 def test_rules_document(spark, tmp_path):
     import json
 
