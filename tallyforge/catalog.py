@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import patterns
 from tallyforge.functions import text as T
-from tallyforge.operators import allocation, decisions, evaluation, quality, reports, retrieval, simple, temporal
+from tallyforge.operators import allocation, contacts, decisions, evaluation, limits, quality, reports, retrieval, simple, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -799,3 +799,48 @@ def q_policy_sections(spark, sf):
     asked = messages(spark, sf).select(F.col("o_orderkey").alias("query_id"), F.col("message").alias("text"), T.intent(F.col("message")).alias("intent"))
     corpus = spark.createDataFrame(list(_SECTION_TEXTS.items()), "item_id string, text string")
     return retrieval.policy_sections(asked, corpus, 2).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT event_type, count(*) AS n, {_rank_sql(0.5)} AS p50, {_rank_sql(0.95)} AS p95, {_rank_sql(0.99)} AS p99 FROM s WHERE rn <= 2000 GROUP BY 1""")
+def q_recent_percentiles(spark, sf):
+    return evaluation.recent_nearest_rank(read(spark, sf, "events"), "event_type", "value", ["ts", "event_id"], (0.5, 0.95, 0.99), 2000)
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, ts, CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 3 WHEN 'purchase' THEN 2 END AS most, 86400 AS seconds FROM events),
+w AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) // seconds * seconds AS start FROM e),
+r AS (SELECT *, CASE WHEN most IS NOT NULL THEN row_number() OVER (PARTITION BY event_type, user_id, start ORDER BY ts, event_id) END AS nth FROM w)
+SELECT event_id, CASE WHEN most IS NOT NULL THEN start END AS window_start, nth, coalesce(nth <= most, TRUE) AS allowed,
+CASE WHEN nth > most THEN greatest(1, CAST(ceil(start + seconds - epoch_us(ts) / 1000000.0) AS BIGINT)) END AS retry_after_seconds FROM r""")
+def q_rate_limit(spark, sf):
+    most, seconds = limits.by_class({"view": (5, 86_400), "click": (3, 86_400), "purchase": (2, 86_400)}, F.col("event_type"))
+    found = limits.admitted(read(spark, sf, "events"), ["event_type", "user_id"], "ts", ["event_id"], most, seconds)
+    return found.select("event_id", "window_start", "nth", "allowed", "retry_after_seconds")
+
+
+_CONTACTS = "t AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate AS created, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL (o_orderkey % 9 - 1) DAY END AS resolved FROM orders)"
+
+
+def contacts_of_orders(spark, sf):
+    o = read(spark, sf, "orders")
+    resolved = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 9 - 1).cast("int")))
+    rows = o.select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").alias("created"), resolved.alias("resolved"))
+    return contacts.repeat_contacts(rows, ["o_custkey", "o_orderpriority"], "created", "resolved")
+
+
+_REPEATS = f"""{_CONTACTS}, r AS (SELECT a.o_orderkey,
+CASE WHEN a.resolved IS NOT NULL THEN (SELECT count(*) FROM t b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderkey <> a.o_orderkey AND b.created > a.resolved AND b.created <= a.resolved + INTERVAL 30 DAY) END AS contacts_after,
+(SELECT count(*) FROM t b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderkey <> a.o_orderkey AND b.resolved < a.created AND b.resolved >= a.created - INTERVAL 30 DAY) AS resolutions_before FROM t a)"""
+
+
+@query(f"WITH {_REPEATS} SELECT * FROM r")
+def q_repeat_contacts(spark, sf):
+    return contacts_of_orders(spark, sf).select("o_orderkey", "contacts_after", "resolutions_before")
+
+
+@query(f"""WITH {_REPEATS} SELECT count(contacts_after) AS resolved, count(*) FILTER (WHERE contacts_after = 0) AS first_contact, CAST(count(*) FILTER (WHERE contacts_after = 0) AS DOUBLE) / count(contacts_after) AS fcr,
+count(*) FILTER (WHERE resolutions_before > 0) AS repeat_contacts, coalesce(sum(CASE o_orderkey % 5 WHEN 0 THEN 210 WHEN 1 THEN 260 WHEN 2 THEN 520 WHEN 3 THEN 240 ELSE 290 END) FILTER (WHERE resolutions_before > 0), 0)::DOUBLE AS repeat_cost FROM r""")
+def q_first_contact_resolution(spark, sf):
+    channel = F.element_at(F.array(*map(F.lit, ("chat", "email", "voice", "social", "fax"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    cost = decisions.channel_cost(channel, decisions.CONTACT_COSTS, decisions.BLENDED_CONTACT_COST)
+    return contacts.first_contact_resolution(contacts_of_orders(spark, sf), F.lit(True), cost)

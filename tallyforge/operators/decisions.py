@@ -80,9 +80,12 @@ def avoidability(amount: Column, flag: Column, ai_dual: Column, order_tickets: C
     return F.struct(label.alias("label"), _largest(found).alias("value"), F.transform(found, lambda h: h["driver"]).alias("drivers"), sections.alias("sections"))
 
 
+def channel_cost(channel: Column, costs: dict[str, float], blended: float) -> Column:
+    return F.coalesce(*[F.when(channel == k, F.lit(v)) for k, v in costs.items()], F.lit(blended))
+
+
 def contact_cost(valid: Column, reason: Column, channel: Column, costs: dict[str, float], blended: float) -> Column:
-    cost = F.coalesce(*[F.when(channel == k, F.lit(v)) for k, v in costs.items()], F.lit(blended))
-    return F.when(_true(valid) & _true(reason == "REFUND_SERVICE_FAILURE"), cost).otherwise(0.0)
+    return F.when(_true(valid) & _true(reason == "REFUND_SERVICE_FAILURE"), channel_cost(channel, costs, blended)).otherwise(0.0)
 
 
 def classification_review(status: Column, reason: Column, confidence: Column, grounded: Column, injected: Column) -> Column:

@@ -47,6 +47,12 @@ def nearest_rank(df: DataFrame, by: str, value: str, percents: tuple[float, ...]
     return ranks.cumulative(df, [by], value).groupBy(by).agg(F.max("whole").alias("n"), *picks)
 
 
+def recent_nearest_rank(df: DataFrame, by: str, value: str, order: list[str], percents: tuple[float, ...], last: int = 2000) -> DataFrame:
+    """``nearest_rank`` over the ``last`` samples of each group in ``order``; samples without a value are none."""
+    samples = df.where(F.col(value).isNotNull()).select(by, value, *[c for c in order if c not in (by, value)])
+    return nearest_rank(ranks.newest(samples, [by], order, last), by, value, percents)
+
+
 def scored(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     """One row: rows scored, correct, accuracy and its interval."""
     labelled = df.where(F.col(expected).isNotNull())

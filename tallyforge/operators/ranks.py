@@ -8,12 +8,15 @@ task sees a whole group, however large.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 200
+#: Rows that a task keeps of all groups together before it passes them on.
+_KEPT = 500_000
 
 
 def cumulative(df: DataFrame, by: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
@@ -44,3 +47,30 @@ def medians(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     middle = (F.col("whole") - 1) / 2
     ends = cumulative(df, by, value).groupBy(*by).agg(at_rank(value, F.floor(middle)).alias("_low"), at_rank(value, F.ceil(middle)).alias("_high"))
     return ends.select(*by, (F.col("_low") * 0.5 + F.col("_high") * 0.5).alias("median"))
+
+
+def newest(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The last ``n`` rows of each group in ``order`` (ascending; nulls are the oldest), whole groups where they have fewer.
+
+    Partial, then merged: a task keeps the last ``n`` of each group that it meets
+    and passes on no others, so what is shuffled grows with groups and tasks, not
+    with rows, and a group with most of the rows costs no more than another. A
+    task that meets very many groups passes on what it has and starts again.
+    ``order`` should tell rows apart; a null group is a group.
+    """
+    columns = df.columns
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            both = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = both.sort_values(list(order), ascending=False, na_position="last", kind="stable").groupby(list(by), dropna=False, sort=False).head(n)
+            held = last
+            if len(held) > _KEPT:
+                yield held[columns]
+                held = None
+        if held is not None:
+            yield held[columns]
+
+    last = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return df.mapInPandas(keep, df.schema).withColumn("_last", F.row_number().over(last)).where(F.col("_last") <= n).drop("_last")
