@@ -105,6 +105,49 @@ def timestamp_assessment(df: DataFrame, system: str, started: str, ended: str, t
     return rows.agg(F.count_if(F.col("h") < 0).alias("negative_rows")).crossJoin(middle).withColumn("conclusive", F.coalesce((F.col("negative_rows") > 0) | (F.col("median_tested") - shift_hours < least), F.lit(False)))
 
 
+#: Hours by which a time in UTC lies behind the desk's own.
+UTC_SHIFT = -5.5
+
+
+def timestamp_shift(df: DataFrame, system: str, started: str, ended: str, tested: str, least: float = -3.0) -> DataFrame:
+    """One row: medians of hours of ``tested`` and of the other systems, their difference, and whether that shows a shift.
+
+    Conclusive if there are negative durations, or ``tested`` lies more than
+    ``least`` hours apart. A system without durations proves nothing.
+    """
+    hours = (F.unix_timestamp(F.col(ended).cast("timestamp")) - F.unix_timestamp(F.col(started).cast("timestamp"))) / 3600.0
+    rows = df.select((F.col(system) == tested).alias("tested"), hours.alias("h"))
+    side = lambda t: F.max(F.when(F.col("tested") == F.lit(t), F.col("median")))
+    middle = ranks.medians(rows.where("tested is not null"), ["tested"], "h").agg(side(True).alias("median_tested"), side(False).alias("median_others"))
+    wide = rows.agg(F.count_if(F.col("h") < 0).alias("negative_rows")).crossJoin(middle)  # one row each
+    shift = F.col("median_tested") - F.col("median_others")
+    return wide.withColumn("shift", shift).withColumn("conclusive", F.coalesce((F.col("negative_rows") > 0) | (F.col("shift") < least), F.col("negative_rows") > 0))
+
+
+def corroborate_unit(df: DataFrame, key: str, system: str, amount: str, base: str, other: str, divisor: int, listed: int = 10) -> DataFrame:
+    """One row beside ``detect_unit``: what else speaks for the divisor.
+
+    The ratios found, smallest first (``listed`` at most); whether every amount
+    of ``other`` divides; both systems' medians, the other one converted, and how
+    they agree. all_divisible, converted_median and agreement are null where the
+    divisor is 1, that is where nothing was found.
+    """
+    value = lambda s: F.max(F.when(F.col(system) == s, F.col(amount)))
+    pairs = df.groupBy(key).agg(value(base).alias("b"), value(other).alias("o")).where("b > 0 and o is not null")
+    ratios = pairs.select(F.round(F.col("o") / F.col("b"), 6).alias("ratio")).distinct().orderBy("ratio").limit(listed).agg(F.sort_array(F.collect_list("ratio")).alias("ratios"))
+    medians = ranks.medians(df.where(F.col(system).isin(base, other)), [system], amount)
+    side = lambda s, name: F.max(F.when(F.col(system) == s, F.col("median"))).alias(name)
+    middle = medians.agg(side(other, "legacy_median"), side(base, "base_median"))
+    divides = df.agg(F.coalesce(F.bool_and(F.when((F.col(system) == other) & F.col(amount).isNotNull(), F.col(amount) % divisor == 0)), F.lit(True)).alias("divides"))
+    found = F.lit(divisor > 1)
+    wide = ratios.crossJoin(middle).crossJoin(divides)  # one row each
+    converted = F.col("legacy_median") / divisor
+    return wide.select(
+        "ratios", F.when(found, F.col("divides")).alias("all_divisible"), "legacy_median", "base_median",
+        F.when(found, F.round(converted, 2)).alias("converted_median"), F.when(found, F.round(F.try_divide(converted, F.col("base_median")), 4)).alias("agreement"),
+    )
+
+
 def ledger(findings: DataFrame) -> DataFrame:
     """Findings (finding_id, severity, ...) by severity, then id."""
     rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(SEVERITIES)], F.lit(len(SEVERITIES)))

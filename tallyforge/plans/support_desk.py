@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions import text
 from tallyforge.operators import decisions, evaluation, quality, reports, temporal
 from tallyforge.operators.allocation import allocate_excess
-from tallyforge.sources.files import blank_to_null, to_date, to_number, to_stamp, to_whole
+from tallyforge.plans import findings as ledgers
+from tallyforge.sources.files import blank_to_null, replace_table, to_date, to_number, to_stamp, to_whole
 from tallyforge.sources.rules import contact_costs
 
 BASE_SYSTEM, LEGACY_SYSTEM = "helpdesk", "legacy_fd"
@@ -25,6 +25,7 @@ class Desk:
     refunds: DataFrame
     unit: DataFrame
     divisor: int
+    source: dict[str, DataFrame]
 
 
 def typed_tickets(raw: DataFrame) -> DataFrame:
@@ -98,7 +99,21 @@ def build(raw: dict[str, DataFrame], classifications: DataFrame | None = None, r
         ("NEGATIVE_DURATION", (F.col("first_response_minutes") < 0) | (F.col("handle_hours") < 0)),
         ("CSAT_MISSING", F.col("csat_score").isNull()),
     ]))
-    return Desk(typed, tickets, refunds_of(tickets, classifications, rules), unit, divisor)
+    return Desk(typed, tickets, refunds_of(tickets, classifications, rules), unit, divisor, raw)
+
+
+def saved(desk: Desk, folder: str) -> Desk:
+    """The desk read back from ``folder``, where its tables are written once; reports then read these instead of joining anew.
+
+    Refunds are written from the saved tickets' own plan, so they hold what
+    ``build`` found. The tables are replaced if they are there.
+    """
+    spark = desk.tickets.sparkSession
+    back = {}
+    for name in ("raw", "tickets", "refunds", "unit"):
+        replace_table(getattr(desk, name), f"{folder}/{name}")
+        back[name] = spark.read.schema(getattr(desk, name).schema).parquet(f"{folder}/{name}")
+    return Desk(back["raw"], back["tickets"], back["refunds"], back["unit"], desk.divisor, desk.source)
 
 
 NO_CLASSIFICATIONS = "ticket_id string, created_at timestamp_ntz, reason_code string, dual_remedy boolean, refund_without_return boolean, confidence double, validation_status string, review_required boolean"
@@ -168,25 +183,41 @@ def report_cost(desk: Desk, calls: DataFrame, fx: float, per_week: int) -> dict[
 
 
 def findings(desk: Desk) -> DataFrame:
-    """What the data shows, by severity: (finding_id, severity, affected_rows)."""
-    t, r = desk.tickets, desk.refunds
-    one = lambda i, s, df: df.select(F.lit(i).alias("finding_id"), F.lit(s).alias("severity") if isinstance(s, str) else s.alias("severity"), "affected_rows")
-    count = lambda df, c: df.agg(F.count_if(c).alias("affected_rows"))
-    rows = [
-        one("DQ-001", "critical", desk.raw.agg(F.count_if((F.col("source_system") == LEGACY_SYSTEM) & F.col("amount").isNotNull()).alias("affected_rows"))),
-        one("DQ-002", "high", t.agg(F.coalesce(F.sum(F.col("duplicate_row_count") - 1), F.lit(0)).alias("affected_rows"))),
-        one("DQ-004", "medium", count(t, F.col("order_id_source").isNull())),
-        one("DQ-007", "high", count(r, F.col("n_in_group") > 1)),
-        one("DQ-008", "medium", count(t, F.col("is_refund") & ~F.col("is_attendance"))),
-        one("DQ-009", "medium", count(t, F.col("days_since_order") < 0)),
-        one("DQ-010", "info", count(t, F.col("csat_score").isNull())),
-        one("DQ-011", "info", t.limit(0).agg(F.count("*").alias("affected_rows"))),
-        one("DQ-012", "info", count(t, text.matches(F.col("agent_notes"), r"SOP\s*[\d.]+"))),
+    """What the data shows, by severity: (finding_id, severity, affected_rows, affected_value, evidence).
+
+    Reads each of the desk's tables once for all its findings; let ``saved``
+    write the desk first, so that its joins run once too.
+    """
+    t, s = desk.tickets, desk.source
+    named = lambda rows, **columns: rows.select(*[F.col(c).alias(n) for n, c in columns.items()])
+    quoted = t.where("order_id_source is not null")
+    stated = quality.dedupe_by_preference(named(s["orders"], order_id="order_id", _customer="customer_id", _sku="sku"), ["order_id"], [F.col("_customer"), F.col("_sku")])
+    differs = quoted.join(stated, quoted["order_id_source"] == stated["order_id"], "left").agg(
+        F.struct(F.count_if(~F.col("customer_id").eqNullSafe(F.col("_customer"))).alias("customer"), F.count_if(~F.col("product_sku").eqNullSafe(F.col("_sku"))).alias("product")).alias("mismatch")
+    )
+    checks = [
+        ("ticket_customer", t, "customer_id", s["customers"], "customer_id"),
+        ("ticket_order", quoted, "order_id_source", s["orders"], "order_id"),
+        ("ticket_product", t, "product_sku", s["products"], "sku"),
+        ("ticket_agent", t, "agent_id", s["agents"], "agent_id"),
+        ("order_customer", s["orders"], "customer_id", s["customers"], "customer_id"),
+        ("order_product", s["orders"], "sku", s["products"], "sku"),
     ]
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionByName(x)
-    return quality.ledger(out)
+    shift = quality.timestamp_shift(t, "source_system", "first_response_at", "resolved_at", LEGACY_SYSTEM)
+    wide = ledgers.side_by_side([
+        ledgers.of_raw(desk.raw, "source_system", "amount", LEGACY_SYSTEM, desk.divisor),
+        ledgers.of_tickets(t),
+        ledgers.of_refunds(desk.refunds),
+        desk.unit.drop("severity"),
+        quality.corroborate_unit(desk.raw, "ticket_id", "source_system", "amount", BASE_SYSTEM, LEGACY_SYSTEM, desk.divisor),
+        shift.select(F.struct("*").alias("shift")),
+        ledgers.of_roster(s["agents"], "agent_id", to_date(F.col("to_date"))),
+        ledgers.of_keys(checks),
+        ledgers.of_surplus([("orders", s["orders"], "order_id"), ("customers", s["customers"], "customer_id"), ("products", s["products"], "sku")]),
+        ledgers.first_keys(t.where("was_duplicated"), "ticket_id"),
+        differs,
+    ])
+    return ledgers.ledger(wide)
 
 
 def report_agents(desk: Desk) -> DataFrame:

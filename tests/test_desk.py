@@ -156,8 +156,26 @@ def test_classification_path(spark, folder):
     row = cost["summary"].first()
     assert row["cost"] == pytest.approx(0.4) and row["cost_each"] == pytest.approx(0.4 * 80 / 3) and row["month_refunds"] == pytest.approx(0.4 * 80 / 3 * 2600 * 0.75)
     assert cost["prompts"].count() == 2 and support_desk.report_cost(desk, calls.limit(0), 80.0, 600)["summary"].first()["cost"] is None
-    ledger = [(r["finding_id"], r["severity"], r["affected_rows"]) for r in support_desk.findings(desk).collect()]
-    assert ledger == [("DQ-001", "critical", 2), ("DQ-002", "high", 1), ("DQ-007", "high", 0), ("DQ-004", "medium", 1), ("DQ-008", "medium", 0), ("DQ-009", "medium", 0), ("DQ-010", "info", 1), ("DQ-011", "info", 0), ("DQ-012", "info", 0)]
+
+
+def test_findings(spark, desk, tmp_path):
+    import json
+
+    kept = support_desk.saved(desk, str(tmp_path))
+    rows = support_desk.findings(kept).collect()
+    ledger = [(r["finding_id"], r["severity"], r["affected_rows"], r["affected_value"]) for r in rows]
+    assert ledger == [
+        ("DQ-001", "critical", 2, 3399.0), ("DQ-002", "high", 1, 900.0), ("DQ-007", "high", 0, 0.0), ("DQ-004", "medium", 1, None), ("DQ-008", "medium", 0, None), ("DQ-009", "medium", 0, None),
+        ("DQ-000", "info", 4, 5398.0), ("DQ-003", "info", 0, None), ("DQ-005", "info", 2, None), ("DQ-006", "info", 0, None), ("DQ-010", "info", 1, None), ("DQ-011", "info", 0, None), ("DQ-012", "info", 0, None),
+    ]
+    proof = {r["finding_id"]: json.loads(r["evidence"]) for r in rows}
+    assert [s["value"] for s in proof["DQ-000"]["steps"]] == [342799.0, 6298.0, 5398.0] and proof["DQ-000"]["steps"][2]["delta"] == -900.0
+    assert proof["DQ-001"] == {"pairs": 1, "distinct_ratios": 1, "ratios": [100.0], "divisor": 100, "conclusive": True, "all_divisible": True, "legacy_median": 169950.0, "base_median": 1449.5, "converted_median": 1699.5, "agreement": 1.1725}
+    assert proof["DQ-002"] == {"duplicate_ids": 1, "redundant_rows": 1, "sample": ["T-1"]}
+    assert proof["DQ-004"]["links"] == {"quoted": 3, "fallback_unique": 0, "fallback_nearest": 1, "unresolved": 0}
+    assert proof["DQ-005"] == {"assignments": 3, "agents": 2, "several": 1, "open_ended": 2}
+    assert proof["DQ-006"]["quoted_order_mismatch"] == {"customer": 0, "product": 0} and set(proof["DQ-006"]["orphans"].values()) == {0}
+    assert support_desk.report_overview(kept).first() == support_desk.report_overview(desk).first()
 
 
 def test_contact_cost(spark):
