@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import table
+from tallyforge.llm.shared import Scratch, beside, table
 
 SPAN = 50
 ANCHOR = 16
@@ -56,6 +56,8 @@ CROWD_SEGMENTS = 100_000
 _RANGE = 32 << 20
 #: Parts that the copies of one text are dealt to.
 _SALTS = 32
+#: Rows that repeat doc_id and text more often are worked on once, and multiplied at the end.
+HOT = 64
 #: Slices of an anchor range that its task merges one after the other.
 SLICES = 4
 _LAST = (1 << 63) - 1  # null doc_ids come after all others
@@ -120,19 +122,19 @@ def _anchor_hash(keys: np.ndarray) -> np.ndarray:
     return _mix(two[:, 0] * np.uint64(0x9E3779B97F4A7C15) + _mix(two[:, 1]))
 
 
-def _encode(keys: np.ndarray, counts: np.ndarray, doc: np.ndarray, pos: np.ndarray, doc_ids: np.ndarray, crcs: np.ndarray) -> bytes:
+def _encode(keys: np.ndarray, counts: np.ndarray, doc: np.ndarray, pos: np.ndarray, doc_ids: np.ndarray, marks: np.ndarray) -> bytes:
     """A front-coded run: distinct sorted keys, and for each its occurrences (document of the run, position)."""
     shared = _shared(keys)
     rest = keys[np.arange(_KEY) >= shared[:, None]]
     used, doc = np.unique(doc, return_inverse=True)
     steps = np.diff(doc_ids[used], prepend=0)
-    parts = [shared, rest, counts.astype("<u4"), doc.astype("<u4"), pos.astype("<u4"), steps.astype("<i8"), crcs[used].astype("<u4")]
+    parts = [shared, rest, counts.astype("<u4"), doc.astype("<u4"), pos.astype("<u4"), steps.astype("<i8"), marks[used].astype("<i8")]
     blobs = [p.tobytes() for p in parts]
     return zstandard.compress(struct.pack("<7Q", *map(len, blobs)) + b"".join(blobs), 3)
 
 
 def _decode(payload: bytes) -> tuple[np.ndarray, ...]:
-    """keys, counts, doc_id and crc and position of each occurrence."""
+    """keys, counts, doc_id and mark and position of each occurrence."""
     data = zstandard.decompress(payload)
     at, blobs = 56, []
     for size in struct.unpack_from("<7Q", data):
@@ -140,12 +142,12 @@ def _decode(payload: bytes) -> tuple[np.ndarray, ...]:
         at += size
     shared, rest = np.frombuffer(blobs[0], np.uint8).astype(np.int64), np.frombuffer(blobs[1], np.uint8)
     counts, doc, pos = (np.frombuffer(b, "<u4").astype(np.int64) for b in blobs[2:5])
-    ids, crcs = np.cumsum(np.frombuffer(blobs[5], "<i8")), np.frombuffer(blobs[6], "<u4").astype(np.int64)
+    ids, marks = np.cumsum(np.frombuffer(blobs[5], "<i8")), np.frombuffer(blobs[6], "<i8")
     begins = np.concatenate(([0], np.cumsum(_KEY - shared)[:-1])) - shared
     keys, rows = np.empty((len(shared), _KEY), np.uint8), np.arange(len(shared))
     for c in range(_KEY):
         keys[:, c] = rest[begins[np.maximum.accumulate(np.where(shared <= c, rows, 0))] + c]
-    return keys, counts, ids[doc], crcs[doc], pos
+    return keys, counts, ids[doc], marks[doc], pos
 
 
 def merge_runs(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,11 +251,11 @@ def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
     np.maximum.at(high, group, np.concatenate(last_doc))
     several = (low < high)[group]
     kept, begin = [], 0
-    for keys, counts, docs, crcs, pos in runs:
+    for keys, counts, docs, marks, pos in runs:
         keep = several[begin : begin + len(keys)]
         begin += len(keys)
         occurs = np.repeat(keep, counts)
-        kept.append((keys[keep], counts[keep], docs[occurs], crcs[occurs], pos[occurs]))
+        kept.append((keys[keep], counts[keep], docs[occurs], marks[occurs], pos[occurs]))
     del runs, hashes, group, several
     if not sum(len(k[0]) for k in kept):
         return None
@@ -263,9 +265,9 @@ def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
     entry = np.cumsum([0] + [len(k[0]) for k in kept])[run] + at
     keys = np.concatenate([k[0] for k in kept])
     counts = np.concatenate([k[1] for k in kept])
-    docs, crcs, pos = (np.concatenate([k[c] for k in kept]) for c in (2, 3, 4))
+    docs, marks, pos = (np.concatenate([k[c] for k in kept]) for c in (2, 3, 4))
     order = _expand((np.cumsum(counts) - counts)[entry], counts[entry])
-    docs, crcs, pos, counts = docs[order], crcs[order], pos[order], counts[entry]
+    docs, marks, pos, counts = docs[order], marks[order], pos[order], counts[entry]
     variant_new, anchor_new = have < _KEY, have < ANCHOR
     variant = np.cumsum(variant_new) - 1
     heads = np.flatnonzero(variant_new)
@@ -276,7 +278,7 @@ def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
     first = np.full(len(heads), _LAST, np.int64)
     np.minimum.at(first, of, docs)
     later = docs > first[of]
-    frames = [(docs[later], crcs[later], pos[later], pos[later] + windows[of[later]] - 1 + SPAN)]
+    frames = [(docs[later], marks[later], pos[later], pos[later] + windows[of[later]] - 1 + SPAN)]
 
     anchors = np.cumsum(anchor_new[heads]) - 1
     mixed = np.flatnonzero(np.bincount(anchors)[anchors] > 1)  # variants that share their anchor with others
@@ -287,10 +289,10 @@ def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
         found = [_earlier_windows(keys[m], first[m], m) for m in np.split(mixed, cuts[1:])]
         ranges = pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate("vab")})
         own = ~later & np.isin(of, ranges["v"].to_numpy())
-        met = pd.DataFrame({"v": of[own], "doc": docs[own], "crc": crcs[own], "pos": pos[own]}).merge(ranges, on="v")
-        frames.append((met["doc"].to_numpy(), met["crc"].to_numpy(), (met["pos"] + met["a"]).to_numpy(), (met["pos"] + met["b"]).to_numpy()))
-    doc, crc, start, end = (np.concatenate([f[c] for f in frames]) for c in range(4))
-    return pd.DataFrame({"doc": doc, "crc": crc, "start": start, "end": end}) if len(doc) else None
+        met = pd.DataFrame({"v": of[own], "doc": docs[own], "mark": marks[own], "pos": pos[own]}).merge(ranges, on="v")
+        frames.append((met["doc"].to_numpy(), met["mark"].to_numpy(), (met["pos"] + met["a"]).to_numpy(), (met["pos"] + met["b"]).to_numpy()))
+    doc, mark, start, end = (np.concatenate([f[c] for f in frames]) for c in range(4))
+    return pd.DataFrame({"doc": doc, "mark": mark, "start": start, "end": end}) if len(doc) else None
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -362,34 +364,54 @@ def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _run_of(runs: int) -> F.Column:
-    return F.pmod(F.xxhash64("doc", "crc"), F.lit(runs)).cast("int")
+    return F.pmod(F.xxhash64("doc", "mark"), F.lit(runs)).cast("int")
 
 
 def equal_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, crc) of the first row of each text, and (doc, crc, start, end), the whole text, of rows that repeat an earlier document's text."""
-    digests = rows.where(F.octet_length("data") >= SPAN).select("doc", "crc", F.octet_length("data").cast("long").alias("end"), F.unhex(F.sha2("data", 256)).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.any_value("crc").alias("crc"), F.count("*").alias("times"))
+    """(doc, mark) of the first row of each text, and (doc, mark, start, end), the whole text, of rows that repeat an earlier document's text."""
+    digests = rows.where(F.octet_length("data") >= SPAN).select("doc", "mark", F.octet_length("data").cast("long").alias("end"), F.unhex(F.sha2("data", 256)).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.any_value("mark").alias("mark"), F.count("*").alias("times"))
     # a text with very many copies spreads over several tasks
     repeated = first.where("times > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     salted = digests.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).cast("int"))
-    copies = salted.join(repeated, ["digest", "salt"]).where("doc > first").select("doc", "crc", F.lit(0).cast("long").alias("start"), "end")
-    return first.select(F.col("first").alias("doc"), "crc"), copies
+    copies = salted.join(repeated, ["digest", "salt"]).where("doc > first").select("doc", "mark", F.lit(0).cast("long").alias("start"), "end")
+    return first.select(F.col("first").alias("doc"), "mark"), copies
 
 
-def _plan(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """The rows by run, the number of runs, and of anchor ranges."""
+def _mark(data: F.Column) -> F.Column:
+    """What tells texts of one doc_id apart, null ones being one; ``_plan`` mends the cases where it does not."""
+    return F.xxhash64(data)
+
+
+def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """The rows by run, (doc, mark, times) of rows that are there very often, the number of runs, and of anchor ranges.
+
+    Rows with one doc and mark have one text, for sure: where two texts share
+    them, as a second hash shows, all texts with that mark get one of their
+    digest. Of rows that repeat doc and text more than ``HOT`` times one is left.
+    """
+    scratch = Scratch(docs.sparkSession, "suffixes")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.crc32(data).alias("crc"), data.alias("data"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), _mark(data).alias("mark"), data.alias("data"))
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts, runs = max(tasks, -(-size // _RANGE)), max(tasks, -(-size // _RUN))
-    return rows.withColumn("run", _run_of(runs)), runs, parts
+    counted = rows.select("doc", "mark", F.crc32("data").alias("other")).groupBy("doc", "mark").agg(F.count("*").alias("times"), F.min("other").alias("low"), F.max("other").alias("high"))
+    odd = scratch.save(counted.where((F.col("times") > HOT) | (F.col("low") != F.col("high"))), "odd")
+    hot = None
+    if not odd.isEmpty():
+        double = odd.where("low <> high").select("mark", F.lit(True).alias("double")).distinct()
+        rows = rows.join(beside(double), "mark", "left").withColumn("mark", F.when(F.col("double"), F.xxhash64(F.sha2("data", 256))).otherwise(F.col("mark"))).drop("double")
+        hot = beside(odd.where("low = high").select("doc", "mark", "times"))
+        single = rows.join(hot, ["doc", "mark"], "left_semi").groupBy("doc", "mark").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("data").alias("data"))
+        rows = rows.join(hot, ["doc", "mark"], "left_anti").unionByName(single)
+    return rows.withColumn("run", _run_of(runs)), hot, runs, parts
 
 
 def _first_texts(batch: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a run that are the first with their text."""
-    known = pd.MultiIndex.from_frame(first[["doc", "crc"]])
-    return batch[pd.MultiIndex.from_frame(batch[["doc", "crc"]]).isin(known)]
+    """The rows of a run that are the first with their text, each once."""
+    known = pd.MultiIndex.from_frame(first[["doc", "mark"]])
+    return batch[pd.MultiIndex.from_frame(batch[["doc", "mark"]]).isin(known)].drop_duplicates(["doc", "mark"])
 
 
 def shared_anchors(rows: DataFrame, first: DataFrame, parts: int, crowd: int) -> DataFrame:
@@ -433,7 +455,7 @@ def _key_hash(keys: np.ndarray) -> np.ndarray:
 
 
 def repeated_ranges(rows: DataFrame, first: DataFrame, parts: int, crowd: int = CROWD, ranges_per_frame: int = 100_000) -> DataFrame:
-    """(doc, crc, start, end): byte ranges of the ``first`` rows of each text whose windows start in a document with a smaller doc_id."""
+    """(doc, mark, start, end): byte ranges of the ``first`` rows of each text whose windows start in a document with a smaller doc_id."""
 
     def sort_suffixes(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"part": [], "slice": [], "payload": []})
@@ -477,7 +499,7 @@ def repeated_ranges(rows: DataFrame, first: DataFrame, parts: int, crowd: int =
         counts, distinct, part = np.diff(np.append(begins, len(keys))), keys[begins], part[begins]
         by_part = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[by_part], np.arange(parts * SLICES + 1))
-        ids, crcs = batch["doc"].to_numpy(np.int64), batch["crc"].to_numpy(np.int64)
+        ids, marks = batch["doc"].to_numpy(np.int64), batch["mark"].to_numpy(np.int64)
         rank = np.argsort(ids, kind="stable")
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
@@ -487,7 +509,7 @@ def repeated_ranges(rows: DataFrame, first: DataFrame, parts: int, crowd: int =
             own = by_part[ends[p] : ends[p + 1]]
             if len(own):
                 at = _expand(begins[own], counts[own])
-                out.append((p // SLICES, p, _encode(distinct[own], counts[own], doc[at], pos[at], ids[rank], crcs[rank])))
+                out.append((p // SLICES, p, _encode(distinct[own], counts[own], doc[at], pos[at], ids[rank], marks[rank])))
         return pd.DataFrame(out, columns=["part", "slice", "payload"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -498,10 +520,10 @@ def repeated_ranges(rows: DataFrame, first: DataFrame, parts: int, crowd: int =
                 for at in range(0, len(ranges), ranges_per_frame):
                     yield ranges.iloc[at : at + ranges_per_frame]
 
-    answers = shared_anchors(rows, first, parts, crowd).select("run", "part", "bits", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("crc"))
-    both = answers.union(first.select("run", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("bits"), "doc", "crc"))
+    answers = shared_anchors(rows, first, parts, crowd).select("run", "part", "bits", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("mark"))
+    both = answers.union(first.select("run", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("bits"), "doc", "mark"))
     suffixes = rows.groupBy("run").cogroup(both.groupBy("run")).applyInPandas(sort_suffixes, "part int, slice int, payload binary")
-    return suffixes.repartitionById(parts, F.col("part")).sortWithinPartitions("slice").mapInPandas(merge, "doc long, crc long, start long, end long")
+    return suffixes.repartitionById(parts, F.col("part")).sortWithinPartitions("slice").mapInPandas(merge, "doc long, mark long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -514,18 +536,19 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     Texts are dealt to runs of some megabytes by one shuffle, which all three
     passes over them share.
     """
-    rows, runs, parts = _plan(docs)
+    rows, hot, runs, parts = _plan(docs)
+    told_apart = [] if hot is None else ["doc", "mark"]
     first, copies = equal_texts(rows)
     ranges = repeated_ranges(rows, first.withColumn("run", _run_of(runs)), parts, crowd).union(copies).withColumn("run", _run_of(runs))
 
     def apply(batch: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
-        by_doc = {k: (g["start"].to_numpy(), g["end"].to_numpy()) for k, g in ranges.groupby(["doc", "crc"])}
+        by_doc = {k: (g["start"].to_numpy(), g["end"].to_numpy()) for k, g in ranges.groupby(["doc", "mark"])}
         out = []
-        for doc_id, doc, crc, text in zip(batch["doc_id"].astype("Int64"), batch["doc"], batch["crc"], batch["data"]):
+        for doc_id, doc, mark, text in zip(batch["doc_id"].astype("Int64"), batch["doc"], batch["mark"], batch["data"]):
             text = bytes(text)
-            found = by_doc.get((doc, crc))
+            found = by_doc.get((doc, mark))
             if found is None:
-                out.append((doc_id, len(text), 0, 0, text, []))
+                out.append((doc_id, len(text), 0, 0, text, [], doc, mark))
                 continue
             edges = np.zeros(len(text) + 1, np.int64)
             np.add.at(edges, found[0], 1)
@@ -533,10 +556,16 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
             gone = np.cumsum(edges[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
             spans = [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])]
-            out.append((doc_id, len(text), int(gone.sum()), len(spans), np.frombuffer(text, np.uint8)[~gone].tobytes(), spans))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]).astype({"doc_id": "Int64"})
-
-    return rows.groupBy("run").cogroup(ranges.groupBy("run")).applyInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+            out.append((doc_id, len(text), int(gone.sum()), len(spans), np.frombuffer(text, np.uint8)[~gone].tobytes(), spans, doc, mark))
+        columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
+        return pd.DataFrame(out, columns=[*columns, "doc", "mark"]).astype({"doc_id": "Int64"})[columns + told_apart]
+
+    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
+    if hot is None:
+        return rows.groupBy("run").cogroup(ranges.groupBy("run")).applyInPandas(apply, kept)
+    told = rows.groupBy("run").cogroup(ranges.groupBy("run")).applyInPandas(apply, f"{kept}, doc long, mark long")
+    again = told.join(hot, ["doc", "mark"], "left").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.coalesce("times", F.lit(1)).cast("int"))))
+    return again.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans")
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

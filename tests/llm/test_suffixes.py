@@ -101,3 +101,70 @@ def test_packed_hashes():
     twice, times = np.array([rng.random() < 0.5 for _ in hashes]), np.array([rng.choice([1, 2, 70_000]) for _ in hashes])
     got = suffixes._unpack_hashes(suffixes._pack_hashes(hashes, twice, times))
     assert (got[0] == hashes).all() and (got[1] == twice).all() and (got[2] == np.minimum(times, 65_535)).all()
+
+
+def _with_crc(prefix: bytes, want: int) -> bytes:
+    """``prefix`` and some letters, so that the crc32 is ``want``: a crc is linear over the bits that may flip."""
+    import zlib
+
+    base, bits = prefix + b"a" * 48, [(len(prefix) + i, 1 << b) for i in range(48) for b in (0, 1)]  # a, b, c and `
+    rows = []
+    for i, bit in bits:
+        flipped = bytearray(base)
+        flipped[i] ^= bit
+        rows.append(zlib.crc32(bytes(flipped)) ^ zlib.crc32(base))
+    goal, chosen, pivots = zlib.crc32(base) ^ want, 0, {}
+    for k, value in enumerate(rows):
+        made = 1 << k
+        while value:
+            top = value.bit_length()
+            if top not in pivots:
+                pivots[top] = (value, made)
+                break
+            value, made = value ^ pivots[top][0], made ^ pivots[top][1]
+    while goal:
+        value, made = pivots[goal.bit_length()]
+        goal, chosen = goal ^ value, chosen ^ made
+    out = bytearray(base)
+    for k, (i, bit) in enumerate(bits):
+        if chosen >> k & 1:
+            out[i] ^= bit
+    return bytes(out)
+
+
+def test_texts_without_id_that_share_a_crc(spark):
+    import zlib
+
+    passage = "a passage of more than fifty characters that two documents have in common, word by word"
+    long = passage + " and then something else"
+    short = _with_crc(b"", zlib.crc32(long.encode())).decode()
+    assert zlib.crc32(short.encode()) == zlib.crc32(long.encode())
+    check(spark.createDataFrame([(1, passage), (None, long), (None, short)], "doc_id long, text string"))
+
+
+def test_texts_that_share_a_mark(spark, monkeypatch):
+    """The identity's first hash has two values here; the second finds the texts out."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffixes, "_mark", lambda data: F.crc32(data) % 2)
+    rng = random.Random(11)
+    passages = ["".join(rng.choice("abcd ") for _ in range(80)) for _ in range(6)]
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(passages) + rng.choice(["", "x" * 9]) + rng.choice(passages)) for _ in range(60)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_very_many_rows_of_one_text_and_no_id(spark):
+    passage = "a passage of more than fifty characters that is here ten thousand times, and once before"
+    rows = [(None, passage)] * 10_000 + [(None, None)] * 3000 + [(7, passage + " more")] * 200 + [(3, passage[5:] + " other")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(frame).collect())
+    assert got == brute(rows)
+    worked, hot, _, _ = suffixes._plan(frame)
+    assert worked.count() == 4 and hot.count() == 3
+
+
+def test_an_anchor_in_very_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CROWD_SEGMENTS", 3)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    check(spark.createDataFrame([(i, f"{rng.random()} " + passage[rng.randrange(30) :] + f" {rng.random()}") for i in range(40)], "doc_id long, text string"))
