@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import patterns
 from tallyforge.functions import text as T
-from tallyforge.operators import allocation, contacts, decisions, evaluation, limits, quality, reports, retrieval, simple, temporal
+from tallyforge.operators import allocation, contacts, decisions, evaluation, limits, postings, quality, reports, retrieval, simple, temporal
+from tallyforge.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -537,16 +538,28 @@ def q_error_buckets(spark, sf):
 _TERM_SQL = "[t FOR t IN regexp_extract_all(lower(text), '[a-z0-9]+') IF len(t) > 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in patterns.STOP_WORDS) + ")]"
 
 
-@query(f"""WITH c AS (SELECT item_id, {_TERM_SQL} AS t FROM benchmark), z AS (SELECT item_id, len(t) AS len FROM c), st AS (SELECT count(*) AS n, avg(len) AS m FROM z),
+_BM25 = f"""WITH c AS (SELECT item_id, {_TERM_SQL} AS t FROM benchmark), z AS (SELECT item_id, len(t) AS len FROM c), st AS (SELECT count(*) AS n, avg(len) AS m FROM z),
 tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(t) AS term FROM c) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT tf.term, tf.item_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / m)) AS w FROM tf JOIN df USING (term) JOIN z USING (item_id), st),
 q AS (SELECT conv_id * 100 + turn AS query_id, unnest(list_distinct({_TERM_SQL})) AS term FROM conversations WHERE role = 'user'),
 s AS (SELECT query_id, item_id, CAST(sum(CAST(w AS DECIMAL(18,9))) AS DOUBLE) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)
-SELECT query_id, rank, round(score, 4) AS score FROM r WHERE rank <= 3""")
+SELECT query_id, item_id, rank, round(score, 4) AS score FROM r WHERE rank <= 3"""
+
+
+def user_turns(spark, sf):
+    return read(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
+
+
+@query(_BM25)
 def q_bm25_topk(spark, sf):
-    asked = read(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
-    return retrieval.bm25(asked, read(spark, sf, "benchmark"), 3).select("query_id", "rank", F.round("score", 4).alias("score"))
+    return retrieval.bm25(user_turns(spark, sf), read(spark, sf, "benchmark"), 3).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query(_BM25)
+def q_bm25_index(spark, sf):
+    index = postings.write_index(read(spark, sf, "benchmark"), Scratch(spark, "bm25").path)
+    return postings.search(user_turns(spark, sf), index, 3).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query("SELECT c_custkey, 'px_' || substring(sha256('salt:' || c_name), 1, 12) AS alias, substring(sha256(c_name || chr(31) || c_mktsegment || chr(31)), 1, 32) AS fingerprint FROM customer")

@@ -17,14 +17,8 @@ def terms(text: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, top: int, prior: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, score, rank): the best ``top`` items of each query with a score above 0.
-
-    ``queries``: query_id, text; ``corpus``: item_id, text; ``prior``: query_id,
-    item_id, weight, added to the score. A query's repeated terms count once. The
-    corpus's statistics are aggregates; queries meet items through shared terms,
-    in an equality join that only carries ids and weights.
-    """
+def term_weights(corpus: DataFrame) -> DataFrame:
+    """(term, item_id, w): what a query that has the term gains from the item; ``corpus``: item_id, text."""
     words = corpus.select("item_id", terms(F.col("text")).alias("t"))
     size = words.select("item_id", F.size("t").alias("len"))
     stats = size.agg(F.count("*").alias("n_items"), F.avg("len").alias("mean_len"))
@@ -32,9 +26,22 @@ def bm25(queries: DataFrame, corpus: DataFrame, top: int, prior: DataFrame | Non
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    index = tf.join(df, "term").join(size, "item_id").crossJoin(stats).select("term", "item_id", weight.alias("w"))  # stats: one row
+    return tf.join(df, "term").join(size, "item_id").crossJoin(stats).select("term", "item_id", weight.alias("w"))  # stats: one row
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, top: int, prior: DataFrame | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank): the best ``top`` items of each query with a score above 0.
+
+    ``queries``: query_id, text; ``corpus``: item_id, text; ``prior``: query_id,
+    item_id, weight, added to the score. A query's repeated terms count once. The
+    corpus's statistics are aggregates; queries meet items through shared terms,
+    in an equality join that only carries ids and weights. Scores are sums of
+    decimals, so equal texts have equal scores; ties go to the smaller item_id.
+    Every item that shares a term is met: ``postings`` has an index that skips
+    most of them.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    scores = asked.join(index, "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
+    scores = asked.join(term_weights(corpus), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w").cast("decimal(18,9)")).cast("double").alias("score"))
     if prior is not None:
         scores = scores.join(prior, ["query_id", "item_id"], "full").select("query_id", "item_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("weight", F.lit(0.0))).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
