@@ -604,10 +604,13 @@ def q_evidence_grounding(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.grounded(F.col("text"), quotes), "|").alias("kept"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 4 = 0 THEN NULL ELSE '{"k":' || json_extract_string(props, '$.k') || '}' END AS answer FROM events""")
+# by event: no object; one in a fence after reasoning; a broken one before a good one; a list; an object, prose with braces, and another
+@query("""WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"k":' || json_extract_string(props, '$.k') || '}' AS told FROM events)
+SELECT event_id, k, CASE event_id % 5 WHEN 1 THEN told WHEN 4 THEN told END AS answer, CASE event_id % 5 WHEN 1 THEN told END AS widest FROM e""")
 def q_json_extract(spark, sf):
-    said = F.when(F.col("event_id") % 4 == 0, F.lit("no object {here")).otherwise(F.concat(F.lit("<think>{a}</think> so ```json\n{ oops "), "props", F.lit("\n``` {}")))
-    return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), T.answer_json(said).alias("answer"))
+    told = [F.lit("no object {here"), F.concat(F.lit("<think>{a}</think> so ```json\n"), "props", F.lit("\n``` {}")), F.concat(F.lit("{oops} "), "props"), F.concat(F.lit("["), "props", F.lit("]")), F.concat(F.lit("yes: "), "props", F.lit(', not "{" or {}'))]
+    said = F.element_at(F.array(*told), (F.col("event_id") % 5 + 1).cast("int"))
+    return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), T.answer_json(said).alias("answer"), T.answer_json(said, widest=True).alias("widest"))
 
 
 # The conversations are NFKC already, so that composing, which SQL lacks, changes nothing; tests compose others.

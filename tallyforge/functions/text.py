@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 
 import pandas as pd
@@ -104,31 +103,49 @@ def grounded(source: Column, quotes: Column) -> Column:
     return F.filter(quotes, lambda q: (F.length(q) > 0) & F.contains(source, q))
 
 
-def _first_object(text: str | None) -> str | None:
-    at = (text or "").find("{")
-    decoder = json.JSONDecoder()
-    while at >= 0:
-        try:
-            found, _ = decoder.raw_decode(text, at)
-            return json.dumps(found, sort_keys=True, separators=(",", ":"))
-        except ValueError:
-            at = text.find("{", at + 1)
-    return None
+def _first_closed(text: Column) -> Column:
+    """From the first brace to the one that closes it, whatever braces stand in strings; null where none does.
+
+    The text is cut into strings, braces and what lies between, after escaped
+    characters are blanked, and depth and length are folded over these pieces.
+    """
+    rest = F.regexp_extract(text, r"(?s)\{.*\z", 0)
+    pieces = F.regexp_extract_all(F.regexp_replace(rest, r"(?s)\\.", "  "), F.lit(r'(?s)"[^"]*+(?:"|\z)|[{}]|[^"{}]++'), F.lit(0))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        length = at["length"] + F.length(piece)
+        moved = F.struct(depth.alias("depth"), length.alias("length"), ((piece == "}") & (depth == 0)).alias("closed"))
+        return F.when(at["closed"], at).otherwise(moved)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("closed"))
+    return F.aggregate(pieces, start, step, lambda at: F.when(at["closed"], F.substring(rest, F.lit(1), at["length"])))
 
 
-def first_json_object(text: Column) -> Column:
-    """The first well-formed JSON object within a text, keys sorted; null without one."""
+def _object(text: Column) -> Column:
+    """A text that is one JSON object, as compact JSON with sorted keys; null for any other text."""
+    alone = F.get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>"), F.lit(0))
+    single = F.size(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")) == 1
+    return F.when(single & F.schema_of_variant(alone).startswith("OBJECT"), F.to_json(alone))
 
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(_first_object)
 
-    return F.pandas_udf(find, "string")(text)
+def _is_json(text: Column) -> Column:
+    return F.coalesce(F.size(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")) == 1, F.lit(False))
 
 
-def answer_json(text: Column) -> Column:
-    """A model's JSON answer: reasoning tags and code fences removed, then the first object."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"```(?:json)?", "")
-    return first_json_object(bare)
+def answer_json(text: Column, widest: bool = False) -> Column:
+    """The object of a model's JSON answer, as compact JSON with sorted keys, or null.
+
+    Reasoning tags go, of fenced blocks the first counts. An answer that is JSON
+    as a whole must be an object. Otherwise the object is what the first brace
+    opens, up to the brace that closes it; if that is not well-formed there is
+    none, whatever follows. ``widest``, the simpler variant: up to the last brace.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"^\s+|\s+$", "")
+    block = r"(?is)```(?:json)?\s*(.*?)```"
+    inner = F.when(bare.rlike(block), F.regexp_replace(F.regexp_extract(bare, block, 1), r"^\s+|\s+$", "")).otherwise(bare)
+    within = F.nullif(F.regexp_extract(inner, r"(?s)\{.*\}", 0), F.lit("")) if widest else _first_closed(inner)
+    return F.when(inner == "", None).when(_is_json(inner), _object(inner)).otherwise(_object(within))
 
 
 def faq(question: Column) -> Column:
@@ -172,9 +189,16 @@ def sections(document: Column, known: tuple[str, ...] = tuple(map(str, range(1,
 
 
 def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def quote_found(source: Column, quote: Column) -> Column:
-    """Whether a source has a quote, whatever the white space and case."""
-    return F.coalesce((F.length(_flat(quote)) > 0) & F.contains(_flat(source), _flat(quote)), F.lit(False))
+    """Whether a source has a quote, by its letters and digits alone: case, white space, punctuation and quote marks do not count.
+
+    A quote may join clauses that the source has apart: it is found too if it has
+    stretches of over 40 characters between its words of four or more, and the
+    source has all of these.
+    """
+    needle, hay = _flat(quote), _flat(source)
+    clauses = F.filter(F.split(needle, r" (?=[a-z0-9]{4})"), lambda c: F.length(c) > 40)
+    return F.coalesce((F.length(needle) > 0) & (F.contains(hay, needle) | ((F.size(clauses) > 0) & F.forall(clauses, lambda c: F.contains(hay, c)))), F.lit(False))

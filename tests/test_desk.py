@@ -213,11 +213,14 @@ def test_rules_document(spark, tmp_path):
     found = rules.read_rules(spark, str(tmp_path / "r.json"), "3.2")
     document = spark.createDataFrame([("Goodwill: NO MORE  than 500 each.",)], "text string")
     told = {r["path"]: r["found"] for r in rules.verify_quotes(spark, found, document).collect()}
-    assert told == {"refunds.source_quote": True, "teams[0].lead_quote": False}
+    assert told == {"$.refunds.source_quote": True, "$.teams[0].lead_quote": False}
     (tmp_path / "bad.json").write_text("[1]")
-    for path, version in (("bad.json", None), ("none.json", None), ("r.json", "4")):
+    for path in ("bad.json", "none.json"):
         with pytest.raises(rules.RulesUnavailable):
-            rules.read_rules(spark, str(tmp_path / path), version)
+            rules.read_rules(spark, str(tmp_path / path))
+    with pytest.warns(UserWarning, match="version 3.2"):
+        assert rules.read_rules(spark, str(tmp_path / "r.json"), "4") == good
+    assert rules.quotes(spark, {"refunds": {"quote": "no", "source_quote": 3, "deep": [[{"x_quote": "yes"}]]}}).collect() == [("$.refunds.deep[0][0].x_quote", "yes")]
 
 
 def test_jdbc(spark, tmp_path):
