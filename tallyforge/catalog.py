@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import patterns
 from tallyforge.functions import text as T
-from tallyforge.operators import allocation, contacts, decisions, evaluation, limits, postings, quality, reports, retrieval, simple, temporal
+from tallyforge.operators import allocation, contacts, decisions, evaluation, limits, nearest, postings, quality, reports, retrieval, simple, temporal
 from tallyforge.scratch import Scratch
+from tallyforge.sources import loads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -598,6 +599,16 @@ def q_cached_answer(spark, sf):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(ORACLES["q_cached_answer"])
+def q_cached_index(spark, sf):
+    v = read(spark, sf, "embeddings").withColumnRenamed("label", "scope").withColumnRenamed("embedding", "v")
+    entries, path = v.withColumnRenamed("vec_id", "entry_id"), Scratch(spark, "vectors").path
+    nearest.write_index(entries.where("entry_id % 3 <> 0"), path)
+    index = nearest.append(entries.where("entry_id % 3 = 0"), path)
+    found = nearest.nearest(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), index, 0.3, skip_own=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("""SELECT conv_id, turn, array_to_string([q FOR q IN [substring(text, 5, 12), 'not in there', ''] IF length(q) > 0 AND contains(text, q)], '|') AS kept FROM conversations""")
 def q_evidence_grounding(spark, sf):
     quotes = F.array(F.substring("text", 5, 12), F.lit("not in there"), F.lit(""))
@@ -710,9 +721,14 @@ def q_section_split(spark, sf):
     return rows.select("conv_id", "turn", "s.section_id", "s.title", F.col("s.text").alias("body"))
 
 
-@query("""SELECT conv_id, turn, contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(substring(text, 3, 30)), '\\s+', ' ', 'g'))) AND length(trim(regexp_replace(lower(substring(text, 3, 30)), '\\s+', ' ', 'g'))) > 0 AS found FROM conversations""")
+_LETTERS = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_QUOTED = _LETTERS.format("CASE turn % 2 WHEN 0 THEN substring(text, 3, 30) ELSE 'not ' || substring(text, 3, 20) END")
+
+
+@query(f"""SELECT conv_id, turn, coalesce(contains({_LETTERS.format('text')}, {_QUOTED}) AND length({_QUOTED}) > 0, FALSE) AS found FROM conversations""")
 def q_quote_verification(spark, sf):
-    quote = F.regexp_replace(F.substring("text", 3, 30), " ", "\n ")
+    part = F.when(F.col("turn") % 2 == 0, F.substring("text", 3, 30)).otherwise(F.concat(F.lit("not "), F.substring("text", 3, 20)))
+    quote = F.upper(F.regexp_replace(part, "[ ,.]", " \u2014\n"))
     return read(spark, sf, "conversations").select("conv_id", "turn", T.quote_found(F.col("text"), quote).alias("found"))
 
 
@@ -860,3 +876,26 @@ def q_first_contact_resolution(spark, sf):
     channel = F.element_at(F.array(*map(F.lit, ("chat", "email", "voice", "social", "fax"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     cost = decisions.channel_cost(channel, decisions.CONTACT_COSTS, decisions.BLENDED_CONTACT_COST)
     return contacts.first_contact_resolution(contacts_of_orders(spark, sf), F.lit(True), cost)
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM r WHERE place BETWEEN 101 AND 150""")
+def q_page_seek(spark, sf):
+    orders, order, after = read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)], None
+    for _ in range(2):
+        after = allocation.seek(orders, order, 50, after).after
+    third = allocation.seek(orders, order, 50, after)
+    return third.rows.withColumn("total", F.lit(third.total).cast("long"))
+
+
+_LOADED = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, count(*) AS listed, CAST(sum({k}) AS BIGINT) AS keys FROM {n}" for n, k in _LOADED.items()))
+def q_load_tables(spark, sf):
+    root = Scratch(spark, "loads").path
+    told = loads.load(spark, root, {n: read(spark, sf, n) for n in _LOADED})["tables"]
+    rows = [df.agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.lit(told[n]["rows"]).cast("long").alias("listed"), F.sum(_LOADED[n]).cast("long").alias("keys")) for n, df in loads.read(spark, root).items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

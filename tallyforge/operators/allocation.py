@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -60,5 +63,36 @@ def leftover(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return df.join(taken.select(key), key, "left_anti")
 
 
+@dataclass
+class Page:
+    """Rows of a page, how many rows there are in all, and where the next page begins (null: there is none)."""
+
+    rows: DataFrame
+    total: int
+    after: tuple[Any, ...] | None
+
+
+def seek(df: DataFrame, order: list[tuple[str, bool]], limit: int, after: tuple[Any, ...] | None = None) -> Page:
+    """The ``limit`` rows that follow the key ``after``, and the number of all rows, from one pass.
+
+    ``order``: (column, descending); nulls come last; the columns together should
+    tell rows apart. ``after``: their values in the last row of the page before.
+    However deep the page, each task keeps ``limit`` rows at most and nothing is
+    sorted but those; the rows are counted as they pass.
+    """
+    columns = [c for c, _ in order]
+    beyond, same = F.lit(False), F.lit(True)
+    for (c, down), value in zip(order, after or ()):
+        own = F.lit(False) if value is None else (F.col(c) < F.lit(value) if down else F.col(c) > F.lit(value)) | F.col(c).isNull()
+        beyond, same = beyond | (same & F.coalesce(own, F.lit(False))), same & F.col(c).eqNullSafe(F.lit(value))
+    told = Observation()
+    passed = df.observe(told, F.count(F.lit(1)).alias("n"))
+    wanted = passed.where(beyond) if after else passed
+    found = wanted.orderBy(*[F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]).limit(limit).collect()  # a page
+    total = told.get["n"] if found or not df.isEmpty() else 0
+    rows = df.sparkSession.createDataFrame(found, df.schema)
+    return Page(rows, total, tuple(found[-1][c] for c in columns) if len(found) == limit else None)
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
