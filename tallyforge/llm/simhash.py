@@ -121,15 +121,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with the same words link, blank and null ones with each other. Of
     different texts of a group that share the smallest doc_id, one stays;
     documents of different groups stay, whatever their doc_ids. Of rows that
-    repeat doc_id and text the one with the smallest other columns stays. Rows
-    with a null doc_id stay. An empty table gives an empty result.
+    repeat doc_id and text the one whose other columns come first as JSON stays.
+    Rows with a null doc_id stay. Other columns may have any names and types. An
+    empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = shingle_rows(scratch, docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), ahead=near_pairs)
     least = rows.groupBy("part").agg(F.min("id").alias("id"))
     first = rows.join(least, ["part", "id"]).groupBy("part", "id").agg(F.min("mark").alias("mark"), F.count("*").alias("times"))
     first = scratch.save(first, "first")
-    key, mark, row = fresh(docs, "key", "mark", "row")
+    key, mark, row, order = fresh(docs, "key", "mark", "row", "order")
+    own = [F.col(f"`{c}`") for c in docs.columns]
     named = lambda df: df.select(F.col("id").alias(key), F.col("mark").alias(mark))
     gone = scratch.save(named(rows.join(first, ["part", "id", "mark"], "left_anti").distinct()), "gone")
     again = scratch.save(named(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1")).join(gone, [key, mark], "left_anti"), "again")
@@ -137,11 +139,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     told = docs.withColumn(key, F.col("doc_id")).withColumn(mark, F.xxhash64("text"))
     kept = told.join(beside(gone), [key, mark], "left_anti")
     if again.isEmpty():
-        return kept.select(docs.columns)
-    rest = [c for c in docs.columns if c != "text"]
-    repeated = kept.join(beside(again), [key, mark], "left_semi").groupBy(key, mark).agg(F.min(F.struct(*rest)).alias(row), F.any_value("text").alias("text"))
-    single = repeated.select(*[F.col("text") if c == "text" else F.col(row)[c].alias(c) for c in docs.columns])
-    return kept.join(beside(again), [key, mark], "left_anti").select(docs.columns).union(single)
+        return kept.select(*own)
+    rest = F.to_json(F.struct(*[c for c, name in zip(own, docs.columns) if name != "text"]))
+    repeated = kept.join(beside(again), [key, mark], "left_semi").withColumn(order, rest).groupBy(key, mark).agg(F.min_by(F.struct(*own), order).alias(row))
+    single = repeated.select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return kept.join(beside(again), [key, mark], "left_anti").select(*own).union(single)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,20 +7,23 @@ confidence become rules. Each mined rule is indexed under its rarest token, so a
 url meets only the rules one of whose tokens it holds, and is then tested for
 the rest. The rule with the highest confidence, then support, decides.
 
-FP-growth lists every frequent combination, of whatever length, so transactions
-are cut before it sees them, in ways that change no verdict: infrequent tokens
-are in no rule; tokens that the same labelled urls have are one *class*, since
-rules on either are worth the same; a token that has one verdict without any
-exception is a rule by itself, which no longer rule outranks. What is left is
-bounded by ``MAX_CLASSES`` a url, the classes whose verdicts stray most from the
-average first. That is a bound on what is fitted, as the rule length is; judging
-covers all urls.
+A rule has ``MAX_TOKENS`` tokens at most and at least ``MIN_COUNT`` labelled urls
+behind it. FP-growth lists every frequent combination, of whatever length, so
+transactions are cut before it sees them, in ways that change no verdict:
+infrequent tokens are in no rule; tokens that the same labelled urls have are one
+*class*, since rules on either are worth the same; a token that has one verdict
+without any exception is a rule by itself, which no longer rule outranks. Where
+more than ``WHOLE`` classes are left, they are put into small groups, and a url
+becomes one transaction for each choice of up to ``MAX_TOKENS`` of its groups,
+with the tokens of these alone. A rule is counted in the choice that its own
+tokens make, where all urls that hold it are, so counts stay exact, and no
+transaction has more than a few tokens.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import Scratch, fresh, table
@@ -36,7 +39,9 @@ RULES = (
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
 MAX_TOKENS = 3
-MAX_CLASSES = 12
+MIN_COUNT = 5
+#: Open classes up to which urls are mined whole, and classes of a group beyond.
+WHOLE, GROUP = 12, 2
 DEFAULT = "allow"
 _CHUNK = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,60 +73,84 @@ def tokens_of(host: Column, path: Column, query: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.filter(labels, lambda x: x != "h:"), segments, keys)))
 
 
-def token_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
-    """(token, class, n, verdict, share, stray) of the frequent tokens of ``labelled`` (tokens, verdict, n).
+def least_count(total: Column, min_support: float, min_count: int) -> Column:
+    """How many labelled urls a rule needs."""
+    return F.greatest(F.lit(min_count).cast("long"), F.ceil(F.lit(min_support) * total))
+
+
+def token_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT) -> DataFrame:
+    """(token, class, n, verdict, share, total) of the frequent tokens of ``labelled`` (tokens, verdict, n).
 
     class: the smallest of the tokens that the same rows have; n: rows with it;
-    verdict and share: its most frequent verdict and how frequent; stray: how far
-    that is from the share among all rows. There are at most the mean number of
+    verdict and share: its most frequent verdict and how frequent; total: all
+    labelled rows. There are at most the mean number of
     tokens by ``min_support`` of them.
     """
-    whole = labelled.groupBy("verdict").agg(F.sum("n").alias("v"))
-    total = whole.agg(F.sum("v").alias("total"))
+    total = labelled.agg(F.sum("n").alias("total"))
     marks = [F.bit_xor(F.xxhash64("tokens", "verdict", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]  # rows are distinct, so that marks tell sets of rows apart
     each = labelled.select("tokens", "verdict", "n", F.explode("tokens").alias("token"))
     by_token = each.groupBy("token").agg(F.sum("n").alias("n"), *marks)
-    by_verdict = each.groupBy("token", "verdict").agg(F.sum("n").alias("nv")).join(whole, "verdict").crossJoin(total)  # one row
+    by_verdict = each.groupBy("token", "verdict").agg(F.sum("n").alias("nv")).crossJoin(total)  # one row
     most = by_verdict.groupBy("token").agg(F.max(F.struct("nv", "verdict")).alias("most"), F.any_value("total").alias("total"))
-    frequent = by_token.join(most, "token").where(F.col("n") >= F.ceil(F.lit(min_support) * F.col("total")))
-    told = frequent.join(whole.withColumnRenamed("verdict", "mv"), F.col("most.verdict") == F.col("mv"))
-    share = F.col("most.nv") / F.col("n")
+    frequent = by_token.join(most, "token").where(F.col("n") >= least_count(F.col("total"), min_support, min_count))
     named = frequent.groupBy("n", "mark1", "mark2").agg(F.min("token").alias("class"))
-    return told.join(named, ["n", "mark1", "mark2"]).select("token", "class", "n", F.col("most.verdict").alias("verdict"), share.alias("share"), F.abs(share - F.col("v") / F.col("total")).alias("stray"), "total")
+    return frequent.join(named, ["n", "mark1", "mark2"]).select("token", "class", "n", F.col("most.verdict").alias("verdict"), (F.col("most.nv") / F.col("n")).alias("share"), "total")
+
+
+def _choices(groups: str, most: int) -> Column:
+    """Every choice of 1 to ``most`` of the sorted ``groups``."""
+    sets = [F.expr(f"transform({groups}, g -> array(g))")]
+    for _ in range(1, most):
+        larger = F.flatten(F.transform(sets[-1], lambda c: F.transform(F.filter(F.col(groups), lambda g: g > F.element_at(c, -1)), lambda g: F.array_append(c, g))))
+        sets.append(larger)
+    return F.concat(*sets)
 
 
-def mine_rules(labelled: DataFrame, classes: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_classes: int = MAX_CLASSES) -> DataFrame:
+def mine_rules(labelled: DataFrame, classes: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, min_count: int = MIN_COUNT, whole: int = WHOLE) -> DataFrame:
     """(tokens, anchor, verdict, confidence, support) from ``labelled`` (tokens, verdict, n) and its ``classes``; tokens are classes, anchor is the rarest.
 
     Rules have up to ``max_tokens`` tokens. Without frequent tokens there are none.
     """
     one = classes.where("token = class")
     pure = one.where("share = 1").select(F.array("class").alias("tokens"), F.col("class").alias("anchor"), "verdict", F.lit(1.0).alias("confidence"), (F.col("n") / F.col("total")).alias("support"))
-    open_ = F.broadcast(one.where("share < 1").select("class", "stray", F.col("class").alias("token")))  # bounded, see token_classes
-    met = labelled.select("tokens", "verdict", F.explode("tokens").alias("token")).join(open_, "token").groupBy("tokens", "verdict")
-    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("stray")).alias("stray"), "class"))), 1, max_classes)
-    cut = met.agg(F.transform(first, lambda x: x["class"]).alias("open"))
-    sets = labelled.join(cut, ["tokens", "verdict"], "left").select(F.concat(F.coalesce("open", F.array().cast("array<string>")), F.array(F.concat(F.lit("="), "verdict"))).alias("items"), "n")
+    ranked = one.where("share < 1").select("class", F.col("class").alias("token"), (F.row_number().over(Window.orderBy("class")) - 1).alias("rank"))  # bounded, see token_classes
+    n_open = ranked.count()
+    if not n_open:
+        return pure
+    open_ = ranked.withColumn("group", F.lit(0) if n_open <= whole else F.floor(F.col("rank") / GROUP).cast("int"))
+    met = labelled.select("tokens", "verdict", "n", F.explode("tokens").alias("token")).join(F.broadcast(open_), "token").groupBy("tokens", "verdict", "n")
+    held = met.agg(F.array_sort(F.collect_list(F.struct("group", "class"))).alias("held")).withColumn("groups", F.array_distinct(F.transform("held", lambda h: h["group"])))
+    chosen = held.select("verdict", "n", "held", F.explode(_choices("groups", max_tokens)).alias("choice")).withColumn("name", F.array_join("choice", "-"))
+    item = lambda h: F.concat("name", F.lit("|"), h["group"], F.lit("|"), h["class"])
+    tokens = F.transform(F.filter("held", lambda h: F.array_contains("choice", h["group"])), item)
+    sets = chosen.select(F.concat(tokens, F.array(F.concat("name", F.lit("|="), "verdict"))).alias("items"), "n")
     # a set counts as often as rows have it; many copies are made in many tasks
     chunks = sets.select("items", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CHUNK))).alias("chunk")).repartition("items", "chunk")
     items = chunks.select("items", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(_CHUNK), F.col("n") - F.col("chunk") * _CHUNK).cast("int")))).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    size = sets.agg(F.sum("n").alias("made")).crossJoin(classes.agg(F.max("total").alias("total"))).select("made", "total", least_count(F.col("total"), min_support, min_count).alias("least")).first()  # one row each
+    model = FPGrowth(itemsCol="items", minSupport=(size["least"] - 0.5) / size["made"], minConfidence=min_confidence).fit(items)
+    part = lambda x, k: F.get(F.split(x, r"\|", 3), F.lit(k))
+    own = F.array_join(F.array_sort(F.array_distinct(F.transform("antecedent", lambda x: part(x, 1).cast("int")))), "-")
     rules = (
-        model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= max_tokens))
-        .select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 2)").alias("verdict"), "confidence", "support")
-    )
+        model.associationRules.where(part(F.col("consequent")[0], 1).startswith("=") & (F.size("antecedent") <= max_tokens))
+        .where(own == part(F.col("consequent")[0], 0))  # else the choice lacks urls that hold the rule
+        .select(
+            F.array_sort(F.transform("antecedent", lambda x: part(x, 2))).alias("tokens"), F.expr("substring(split(consequent[0], '[|]', 2)[1], 2)").alias("verdict"),
+            "confidence", (F.round(F.col("support") * size["made"]) / size["total"]).alias("support"),
+        )
+    )
     counted = one.select(F.col("class").alias("token"), "n")
     anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(counted, "token").groupBy("tokens").agg(F.min(F.struct("n", "token")).alias("rarest"))
     return rules.join(anchors, "tokens").select("tokens", F.col("rarest.token").alias("anchor"), "verdict", "confidence", "support").union(pure)
 
 
-def mined_verdicts(scratch: Scratch, sets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_classes: int = MAX_CLASSES) -> DataFrame | None:
+def mined_verdicts(scratch: Scratch, sets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, min_count: int = MIN_COUNT, whole: int = WHOLE) -> DataFrame | None:
     """(tokens, verdict) of the sets of ``sets`` (tokens, verdict, n) that have no verdict and meet a mined rule; None where nothing is labelled."""
     labelled = sets.where("verdict is not null and size(tokens) > 0")
     if labelled.isEmpty():
         return None
-    classes = scratch.save(token_classes(labelled, min_support), "classes")
-    rules = scratch.save(mine_rules(labelled, classes, min_support, min_confidence, max_tokens, max_classes), "rules")
+    classes = scratch.save(token_classes(labelled, min_support, min_count), "classes")
+    rules = scratch.save(mine_rules(labelled, classes, min_support, min_confidence, max_tokens, min_count, whole), "rules")
     known = F.broadcast(classes.select("token", "class"))  # bounded, see token_classes
     asked = sets.where("verdict is null and size(tokens) > 0").select("tokens", F.explode("tokens").alias("token")).join(known, "token")
     held = asked.groupBy("tokens").agg(F.collect_set("class").alias("held"))
@@ -186,7 +215,7 @@ sets AS (
 counts AS (SELECT items, verdict, count(*) AS n, sum(count(*)) OVER (PARTITION BY items) AS whole FROM sets GROUP BY items, verdict),
 mined AS (
   SELECT items, verdict, CAST(c.n AS DOUBLE) / CAST(whole AS DOUBLE) AS confidence, CAST(c.n AS DOUBLE) / CAST(total.n AS DOUBLE) AS support
-  FROM counts c, total WHERE c.n >= ceil({MIN_SUPPORT} * total.n) AND CAST(c.n AS DOUBLE) / CAST(whole AS DOUBLE) >= {MIN_CONFIDENCE}),
+  FROM counts c, total WHERE c.n >= greatest({MIN_COUNT}, ceil({MIN_SUPPORT} * total.n)) AND CAST(c.n AS DOUBLE) / CAST(whole AS DOUBLE) >= {MIN_CONFIDENCE}),
 held AS (SELECT row, list(token) AS have FROM tokens GROUP BY row),
 best AS (
   SELECT h.row, arg_max(m.verdict, (m.confidence, m.support, m.verdict)) AS verdict

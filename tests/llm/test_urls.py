@@ -40,7 +40,7 @@ def test_mined_verdicts(spark):
     assert urls.judge(df).count() == len(rows) and urls.judge(df.limit(0)).count() == 0
 
 
-def brute_verdicts(rows, support=0.01, confidence=0.9, most=3):
+def brute_verdicts(rows, support=0.01, confidence=0.9, most=3, least=5):
     """Verdicts of urls that no rule decides, from all combinations of up to three tokens."""
     learnt = [(t, v) for t, v in rows if v and t]
     sets = {}
@@ -52,7 +52,7 @@ def brute_verdicts(rows, support=0.01, confidence=0.9, most=3):
     for c, seen in sets.items():
         whole = sum(seen.values())
         for verdict, n in seen.items():
-            if n >= math.ceil(support * len(learnt)) and n / whole >= confidence:
+            if n >= max(least, math.ceil(support * len(learnt))) and n / whole >= confidence:
                 rules[c, verdict] = (n / whole, n / len(learnt), verdict)
     out = []
     for tokens, verdict in rows:
@@ -80,6 +80,25 @@ def test_mined_rules_equal_brute_force(spark, seed):
     assert [got.get(t) if v is None else None for t, v in rows] == want and any(want)
 
 
+def test_more_open_tokens_than_are_mined_whole(spark):
+    """Twenty open tokens; the verdict is the parity of three of them, so that neither one nor two tell it, but all three do."""
+    rng = random.Random(21)
+    names = [f"q:{c}" for c in "abcdefghijklmnopqrst"]
+    rows = []
+    for k in range(500):
+        tokens = tuple(sorted(t for t in names if rng.random() < 0.45))
+        odd = sum(t in tokens for t in ("q:a", "q:b", "q:c")) % 2
+        rows.append((tokens, None if k % 4 == 0 else "block" if odd else "allow"))
+    want = brute_verdicts(rows)
+    got = mined(spark, rows)
+    assert [got.get(t) if v is None else None for t, v in rows] == want and "block" in want
+
+
+def test_one_url_makes_no_rule(spark):
+    rows = [(("h:rare",), "block")] * 4 + [(("h:often",), "block")] * 5 + [((f"h:{i}",), "allow") for i in range(40)] + [(("h:rare",), None), (("h:often",), None)]
+    assert mined(spark, rows) == {("h:often",): "block"}
+
+
 @pytest.mark.parametrize("noise", [0.0, 0.1])
 def test_many_keys_end_in_seconds(spark, noise):
     rng = random.Random(1)
