@@ -59,8 +59,55 @@ def member(record_type: str, record_id: str, uri: str, payload: bytes, digest_he
     return deflate.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
 
 
+def headers_of(head: bytes) -> dict[str, str]:
+    """Header values by lower-cased name, whatever the space after the colon; a line that begins with space goes on with the one before."""
+    version, *lines = head.decode("utf-8", "surrogateescape").split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError("a member does not start with a WARC version")
+    found: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += f" {line.strip()}"
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    if not found.get("content-length", "").isdigit():
+        raise ValueError("a record does not state its length")
+    return found
+
+
+def _sha1(stated: str | None) -> str | None:
+    """A stated SHA-1 as hexadecimal digits, be it in these or in base 32; null of other digests."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower().replace("-", "") != "sha1":
+        return None
+    try:
+        return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+    except ValueError:
+        return None
+
+
+def record_of(headers: dict[str, str], block: bytes) -> tuple:
+    """A row of ``RECORDS``: the payload is the block, of an HTTP message what follows its head."""
+    inside = lambda name: (headers.get(name) or "").strip().removeprefix("<").removesuffix(">") or None
+    kind, http = headers.get("warc-type", ""), headers.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    stated = _sha1(headers.get("warc-payload-digest"))
+    length, verified = len(payload), None
+    if kind == "revisit":
+        told = headers.get("warc-refers-to-payload-length", "")
+        length = int(told) if told.isdigit() else None
+    elif stated is not None:
+        verified = hashlib.sha1(payload).hexdigest() == stated
+    elif (whole := _sha1(headers.get("warc-block-digest"))) is not None:
+        verified = hashlib.sha1(block).hexdigest() == whole
+    return inside("warc-record-id"), kind, headers.get("warc-target-uri"), inside("warc-refers-to"), len(block), length, stated, verified, payload
+
+
 def read_records(chunks: Iterator[bytes], step: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive that comes in chunks.
+    """(headers by lower-cased name, block) of each record of an archive that comes in chunks.
 
     No more is inflated at once than ``step`` bytes of input give. The block is
     framed by Content-Length; a truncated or overlong record raises ValueError.
@@ -86,11 +133,8 @@ def read_records(chunks: Iterator[bytes], step: int = 1 << 16) -> Iterator[tuple
             data += inflate.decompress(pending[:step])
             pending = inflate.unused_data + pending[step:] if inflate.eof else pending[step:]
             if headers is None and (end := data.find(b"\r\n\r\n")) >= 0:
-                lines = bytes(data[:end]).decode("utf-8", "surrogatepass").split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError("a member does not start with a WARC version")
-                headers = dict(x.split(": ", 1) for x in lines[1:])
-                start, length = end + 4, int(headers["Content-Length"])
+                headers = headers_of(bytes(data[:end]))
+                start, length = end + 4, int(headers["content-length"])
         if headers is None or len(data) != start + length + 4 or data[start + length :] != b"\r\n\r\n":
             raise ValueError("a record does not have the length it states")
         yield headers, bytes(data[start : start + length])
@@ -107,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     their names; an empty table gives archives without records.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("length"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("length"), F.monotonically_increasing_id().alias("place"))
     repeated = (
         rows.where(F.col("length") >= min_revisit_bytes)
         .groupBy("digest", "length")
@@ -130,16 +174,20 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
             yield pd.DataFrame({"value": out})
 
     payload = F.when(~F.col("revisit"), F.col("html"))
-    told = told.select(F.col("page_id").cast("string").alias("page_id"), "url", payload.alias("html"), "digest", "length", F.col("first_id").cast("string").alias("first_id"), "revisit")
+    told = told.select(F.col("page_id").cast("string").alias("page_id"), "url", payload.alias("html"), "digest", "length", F.col("first_id").cast("string").alias("first_id"), "revisit", "place")
     size = told.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    told = told.repartition(max(1, -(-size // archive_bytes)), F.xxhash64("page_id", "url", "digest"))
+    told = told.repartition(max(1, -(-size // archive_bytes)), F.xxhash64("place"))  # pages that repeat spread too
     told.mapInPandas(encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").mode("overwrite").text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False, chunk: int = CHUNK) -> DataFrame:
     """A row per record of the archives in ``folder``, its payload digest verified; for revisits that is left open (null), see ``resolve``.
 
-    Payloads are empty bytes where a record has none. Empty files have no
+    Archives from elsewhere are read too: records of any type (warcinfo, request,
+    metadata and others), payloads of HTTP messages without their head. Where a
+    record states no SHA-1 of its payload, that of its block is verified; where it
+    states none, ``verified`` is null, as is a revisit's length that is not
+    stated, and what other headers leave out. Payloads are empty bytes where a record has none. Empty files have no
     records; a damaged archive raises ValueError.
     """
 
@@ -149,12 +197,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False,
         rows, size = [], 0
         for _, own in itertools.groupby(pieces, key=lambda x: x[0]):
             for headers, block in read_records(piece for _, piece in own):
-                stated = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                revisit = headers["WARC-Type"] == "revisit"
-                length = int(headers["WARC-Refers-To-Payload-Length"]) if revisit else len(block)
-                verified = None if revisit else hashlib.sha1(block).hexdigest() == stated
-                refers = headers.get("WARC-Refers-To", "<>")[1:-1] or None
-                rows.append((headers["WARC-Record-ID"][1:-1], headers["WARC-Type"], headers["WARC-Target-URI"], refers, len(block), length, stated, verified, block if with_payload else None))
+                row = record_of(headers, block)
+                rows.append(row if with_payload else (*row[:-1], None))
                 size += len(block) if with_payload else 200
                 if size > 1 << 23:
                     yield pd.DataFrame(rows, columns=names)
@@ -173,9 +217,10 @@ def resolve(records: DataFrame) -> DataFrame:
     targets = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(F.bool_and("verified").alias("_whole"))
     # a target that many revisit may be told twice where rows repeat; one agreeing is enough
     told = records.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct().join(targets, "refers_to")
-    fits = (F.col("_digest") == F.col("payload_digest")) & (F.col("_bytes") == F.col("payload_bytes")) & F.col("_whole")
-    kept = told.where(fits).select("refers_to", "payload_digest", "payload_bytes").distinct().withColumn("_fits", F.lit(True))
-    out = records.join(kept, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    fits = (F.col("_digest") == F.col("payload_digest")) & (F.col("_bytes") == F.coalesce("payload_bytes", "_bytes")) & F.col("_whole")
+    length = F.coalesce("payload_bytes", F.lit(-1))  # not every writer states it
+    kept = told.where(fits).select("refers_to", "payload_digest", length.alias("_length")).distinct().withColumn("_fits", F.lit(True))
+    out = records.withColumn("_length", length).join(kept, ["refers_to", "payload_digest", "_length"], "left")
     return out.withColumn("verified", F.when(F.col("record_type") == "revisit", F.coalesce("_fits", F.lit(False))).otherwise(F.col("verified"))).select(records.columns)
 
 

@@ -74,3 +74,43 @@ def test_revisits_are_held_against_what_they_refer_to(spark, tmp_path):
     (tmp_path / "part-0").write_bytes(b"".join(warc.member(kind, name, "u", payload, d, n, refers, "2020-02-02T00:00:00Z") for kind, name, payload, d, n, refers in records))
     found = {r["record_id"]: r["verified"] for r in warc.resolve(warc.read_archives(spark, f"file://{tmp_path}")).collect()}
     assert found == {f"urn:page:{k}": k in (9, 1) for k in (9, 1, 2, 3, 4, 5, 6)}
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """Other record types, HTTP messages, header names of any case, without a space, folded; digests in other forms or none."""
+    import base64
+
+    digest = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    page = b"<html>\r\n\r\nbody</html>"
+    message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+
+    def record(block, *lines):
+        return gzip.compress(b"\r\n".join([b"WARC/1.0", *lines, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    kind = lambda k, name: (b"WARC-Type: " + k, b"WARC-Record-ID: <urn:" + name + b">")
+    http, said = b"content-type:application/http; msgtype=response", f"WARC-Payload-Digest: {digest(page)}".encode()
+    parts = [
+        record(b"software: x\r\n", *kind(b"warcinfo", b"info"), b"Content-Type: application/warc-fields"),
+        record(b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", *kind(b"request", b"ask"), b"WARC-TARGET-URI:http://a/", b"Content-Type: application/http; msgtype=request"),
+        record(message, *kind(b"response", b"one"), b"Warc-Target-Uri:http://a/\r\n  folded", http, said),
+        record(message, *kind(b"response", b"hex"), http, b"WARC-Payload-Digest: sha1:" + hashlib.sha1(page).hexdigest().upper().encode()),
+        record(message, *kind(b"response", b"bad"), http, f"WARC-Payload-Digest: {digest(b'other')}".encode()),
+        record(message, *kind(b"response", b"md5"), http, b"WARC-Payload-Digest: md5:abc"),
+        record(b"x: y", *kind(b"metadata", b"meta"), f"WARC-Block-Digest: {digest(b'x: y')}".encode()),
+        record(b"HTTP/1.1 304 Not Modified\r\n\r\n", *kind(b"revisit", b"two"), http, said, b"WARC-Refers-To: <urn:one>"),
+    ]
+    (tmp_path / "crawl.warc.gz").write_bytes(b"".join(parts))
+    found = {r["record_id"]: r for r in warc.resolve(warc.read_archives(spark, f"file://{tmp_path}", with_payload=True)).collect()}
+    assert {k: r["verified"] for k, r in found.items()} == {"urn:info": None, "urn:ask": None, "urn:one": True, "urn:hex": True, "urn:bad": False, "urn:md5": None, "urn:meta": True, "urn:two": True}
+    assert bytes(found["urn:one"]["payload"]) == page and found["urn:one"]["target_uri"] == "http://a/ folded" and found["urn:info"]["target_uri"] is None
+    assert found["urn:two"]["payload_bytes"] is None and found["urn:one"]["payload_bytes"] == len(page)
+    with pytest.raises(ValueError, match="state its length"):
+        list(warc.read_records([gzip.compress(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n")]))
+
+
+def test_a_page_that_repeats_spreads_over_archives(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "z" * 900)] * 800, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(df, f"file://{tmp_path}/w", archive_bytes=90_000)
+    sizes = sorted(len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("part-*") if f.stat().st_size)
+    assert len(sizes) > 5 and sizes[-1] < 3 * sum(sizes) / len(sizes)
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").where("verified").count() == 800
