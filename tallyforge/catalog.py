@@ -899,3 +899,36 @@ def q_load_tables(spark, sf):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+_RUPEES = "CASE WHEN c_acctbal < 0 AND round_even(c_acctbal, 0) = 0 THEN '-0' ELSE format('{:,}', CAST(round_even(c_acctbal, 0) AS BIGINT)) END"
+
+
+@query(f"SELECT c_custkey, coalesce('\u20b9' || {_RUPEES}, '\u2014') AS amount, CASE WHEN c_acctbal > 0 THEN format('{{:.1f}}%', c_acctbal / 7) ELSE '\u2014' END AS share FROM customer")
+def q_board_figures(spark, sf):
+    c = F.col("c_acctbal")
+    return read(spark, sf, "customer").select("c_custkey", T.rupees(c).alias("amount"), T.percent(F.when(c > 0, c / 7)).alias("share"))
+
+
+@query(f"""WITH q AS (SELECT conv_id * 100 + turn AS query_id, {_TERM_SQL} AS said FROM conversations WHERE role = 'user'), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_TERM_SQL} AS t FROM benchmark WHERE item_id IN (5, 6, 10))
+SELECT query_id, item_id, 1.0::DOUBLE AS score, array_to_string(list_sort(list_distinct(list_intersect(said, t))), ' ') AS matched FROM q, b""")
+def q_classification_sections(spark, sf):
+    corpus = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    found = retrieval.classification_sections(user_turns(spark, sf), corpus)
+    return found.withColumn("matched", F.array_join("matched", " "))
+
+
+@query(f"""WITH {_SYSTEMS}, p AS (SELECT round(max(amount) FILTER (WHERE system = 'legacy') / max(amount) FILTER (WHERE system = 'helpdesk'), 6) AS r FROM s GROUP BY o_orderkey HAVING count(DISTINCT system) = 2),
+m AS (SELECT median(amount) FILTER (WHERE system = 'legacy') AS legacy_median, median(amount) FILTER (WHERE system = 'helpdesk') AS base_median, bool_and(amount % 100 = 0) FILTER (WHERE system = 'legacy') AS all_divisible FROM s)
+SELECT (SELECT string_agg(CAST(CAST(r AS BIGINT) AS VARCHAR), ',' ORDER BY r) FROM (SELECT DISTINCT r FROM p ORDER BY r LIMIT 10)) AS ratios, all_divisible, legacy_median, base_median, round(legacy_median / 100, 2) AS converted_median, round(legacy_median / 100 / base_median, 4) AS agreement FROM m""")
+def q_unit_corroboration(spark, sf):
+    found = quality.corroborate_unit(two_systems(spark, sf), "o_orderkey", "system", "amount", "helpdesk", "legacy", 100)
+    return found.withColumn("ratios", F.array_join(F.transform("ratios", lambda r: r.cast("long").cast("string")), ","))
+
+
+@query("""WITH h AS (SELECT l_returnflag AS s, epoch(l_shipdate - o_orderdate) / 3600.0 AS h FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+a AS (SELECT count(*) FILTER (WHERE h < 0) AS negative_rows, median(h) FILTER (WHERE s = 'A') AS median_tested, median(h) FILTER (WHERE s <> 'A') AS median_others FROM h)
+SELECT *, median_tested - median_others AS shift, negative_rows > 0 OR median_tested - median_others < -3 AS conclusive FROM a""")
+def q_timestamp_shift(spark, sf):
+    rows = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return quality.timestamp_shift(rows, "l_returnflag", "o_orderdate", "l_shipdate", "A")

@@ -59,6 +59,7 @@ INTENT_SECTIONS = {
     "other": ("5", "3", "10"),
 }
 REFUND_RULES = "5"
+CLASSIFICATION_SECTIONS = ("5", "6", "10")
 MONEY_INTENTS = ("refund", "billing", "cancellation", "replacement")
 PERSONAL = r"\b(my|mine|i (have|had|was|am|ordered|bought|paid)|order [a-z]{0,2}\d|vr\d{5,}|tk-\d+|c1\d{5})\b"
 

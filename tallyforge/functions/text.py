@@ -88,6 +88,19 @@ def token_estimate(characters: Column, messages: Column) -> Column:
     return (F.floor(characters / 3.6) + 8 * messages).cast("long")
 
 
+MISSING = "\u2014"
+
+
+def rupees(value: Column) -> Column:
+    """Whole rupees with thousands marked, halves to even; a dash for null."""
+    return F.coalesce(F.concat(F.lit("\u20b9"), F.format_number(value, 0)), F.lit(MISSING))
+
+
+def percent(value: Column) -> Column:
+    """One decimal place, halves to even; a dash for null."""
+    return F.coalesce(F.concat(F.replace(F.format_number(value, 1), F.lit(",")), F.lit("%")), F.lit(MISSING))
+
+
 def within_budget(tokens: Column, used: Column, budget: int) -> Column:
     """Whether a call of so many tokens still fits a run's budget; a budget of 0 is none."""
     return F.lit(budget == 0) | (used + tokens <= budget)

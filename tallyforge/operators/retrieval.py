@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.patterns import INTENT_SECTIONS, MONEY_INTENTS, REFUND_RULES, STOP_WORDS
+from tallyforge.functions.patterns import CLASSIFICATION_SECTIONS, INTENT_SECTIONS, MONEY_INTENTS, REFUND_RULES, STOP_WORDS
 
 K1, B = 1.4, 0.75
 _BLOCK = 256
@@ -63,6 +63,18 @@ def policy_sections(queries: DataFrame, corpus: DataFrame, top: int = 3) -> Data
     return force_include(found, money, F.lit(REFUND_RULES), F.col("money"), top)
 
 
+def classification_sections(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, item_id, score, matched): the sections that the classifying of a refund is always given, as far as ``corpus`` has them.
+
+    ``queries``: query_id, text. Each section scores 1; matched are the terms that
+    text and section share, sorted. The sections are few and go to every task.
+    """
+    given = corpus.where(F.col("item_id").isin(*CLASSIFICATION_SECTIONS)).select("item_id", F.array_distinct(terms(F.col("text"))).alias("_terms"))
+    said = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("_said"))
+    both = said.crossJoin(F.broadcast(given))  # three rows
+    return both.select("query_id", "item_id", F.lit(1.0).alias("score"), F.array_sort(F.array_intersect("_said", "_terms")).alias("matched"))
+
+
 def force_include(found: DataFrame, queries: DataFrame, item: Column, needed: Column, top: int) -> DataFrame:
     """``found`` with ``item`` first, at score 0, for the queries that need it and lack it; their last item goes."""
     lacking = queries.where(needed).select("query_id").join(found.where(F.col("item_id") == item).select("query_id"), "query_id", "left_anti")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.functions import text
+
 # The raw files and their columns.
 FILES = {
     "tickets": "ticket_id created_at first_response_at resolved_at status channel customer_id order_id product_sku category priority assigned_team agent_id transfers csat_score refund_amount_inr refund_reason_code replacement_issued customer_message agent_notes source_system".split(),
@@ -101,13 +103,19 @@ def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def markdown(title: str, sections: list[tuple[str, DataFrame]], limit: int = 50) -> str:
-    """A report of small aggregates; each section shows its first ``limit`` rows."""
+def markdown(title: str, sections: list[tuple[str, DataFrame]], limit: int = 50, money: tuple[str, ...] = (), shares: tuple[str, ...] = ()) -> str:
+    """A report of small aggregates, a table each. A table of more than ``limit`` rows says how many are not shown.
+
+    Columns named in ``money`` are written as rupees, those in ``shares`` as percentages.
+    """
     lines = [f"# {title}"]
     for name, df in sections:
-        rows = df.limit(limit).collect()
+        own = [text.rupees(F.col(c)).alias(c) if c in money else text.percent(F.col(c)).alias(c) if c in shares else F.col(f"`{c}`") for c in df.columns]
+        rows = df.select(*own).limit(limit + 1).collect()
         lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        lines += ["| " + " | ".join(_cell(v) for v in row) + " |" for row in rows]
+        lines += ["| " + " | ".join(_cell(v) for v in row) + " |" for row in rows[:limit]]
+        if len(rows) > limit:
+            lines += ["", f"{df.count() - limit:,} more rows are not shown."]
     return "\n".join(lines) + "\n"
 
 
@@ -118,5 +126,11 @@ def _cell(value: object) -> str:
 
 
 def board_json(sections: dict[str, DataFrame], limit: int = 500) -> str:
-    """Small aggregates as one JSON document."""
-    return json.dumps({name: [r.asDict(recursive=True) for r in df.limit(limit).collect()] for name, df in sections.items()}, default=str, sort_keys=True)
+    """Small aggregates as one JSON document; a section of more than ``limit`` rows is an error, since a document that lacks rows would not show it."""
+    out = {}
+    for name, df in sections.items():
+        rows = df.limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"section {name} has more than {limit} rows")
+        out[name] = [r.asDict(recursive=True) for r in rows]
+    return json.dumps(out, default=str, sort_keys=True)

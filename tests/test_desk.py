@@ -90,6 +90,10 @@ def test_sinks(spark, desk, tmp_path):
     assert files.read_table(spark, str(tmp_path / "table"), ["reason"]).count() == 3
     assert "GW-OTHER" in files.markdown("Reasons", [("By reason", reasons)])
     assert "GW-OTHER" in files.board_json({"reasons": reasons})
+    told = files.markdown("Reasons", [("By reason", reasons)], limit=2, money=("value",), shares=("share_pct",))
+    assert "1 more rows are not shown" in told and "\u20b92,499" in told and "46.3%" in told
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        files.board_json({"reasons": reasons}, limit=2)
 
 
 def test_records(spark, tmp_path):
