@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import patterns
 from tallyforge.functions import text as T
 from tallyforge.operators import allocation, contacts, decisions, evaluation, limits, nearest, postings, quality, reports, retrieval, simple, temporal
+from tallyforge.plans import support_desk
 from tallyforge.scratch import Scratch
 from tallyforge.sources import loads
 
@@ -932,3 +933,61 @@ SELECT *, median_tested - median_others AS shift, negative_rows > 0 OR median_te
 def q_timestamp_shift(spark, sf):
     rows = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return quality.timestamp_shift(rows, "l_returnflag", "o_orderdate", "l_shipdate", "A")
+
+
+_DESK = """t AS (SELECT o_orderkey AS id, o_custkey, o_orderstatus, o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS amount, strftime(o_orderdate, '%Y-%m') AS month FROM orders),
+raw AS (SELECT id, 'helpdesk' AS system, amount FROM t UNION ALL SELECT id, 'legacy_fd', amount * 100 FROM t WHERE id % 7 = 0),
+o AS (SELECT id AS order_id, o_custkey AS customer_id, id % 50 AS sku FROM t WHERE o_orderstatus <> 'P'), c AS (SELECT c_custkey AS customer_id FROM customer WHERE c_nationkey <> 5), p AS (SELECT p_partkey AS sku FROM part WHERE p_size > 5),
+a AS (SELECT s_suppkey AS agent_id, s_suppkey % 3 = 0 AS ended FROM supplier UNION ALL SELECT s_suppkey, TRUE FROM supplier WHERE s_suppkey % 4 = 0)"""
+
+
+def desk_of_orders(spark, sf):
+    """Orders as tickets and refunds, some of them twice, with links, customers, products and agents that partly lack."""
+    key, n = F.col("ticket_id"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    t = read(spark, sf, "orders").select(F.col("o_orderkey").alias("ticket_id"), F.col("o_custkey").alias("customer_id"), "o_orderstatus", "o_orderdate", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("amount"))
+    row = t.select("ticket_id", "amount")
+    raw = row.withColumn("source_system", F.lit("helpdesk")).unionByName(row.where(key % 7 == 0).withColumn("amount", F.col("amount") * 100).withColumn("source_system", F.lit("legacy_fd")))
+    link = F.when(key % 8 == 0, "fallback_nearest").when(key % 8 == 4, "unresolved").otherwise("quoted")
+    tickets = t.select(
+        "ticket_id", "customer_id", "amount", temporal.month_key(F.col("o_orderdate")).alias("month"), F.col("amount").isNotNull().alias("is_refund"), (F.col("o_orderstatus") != "P").alias("is_attendance"),
+        (n(key % 7 == 0) + 1).alias("duplicate_row_count"), (key % 7 == 0).alias("was_duplicated"), F.when(key % 4 != 0, key).alias("order_id_source"), link.alias("order_link"), key.alias("order_id"), (key % 50).alias("product_sku"), (key % 100).alias("agent_id"),
+        (key % 13 - 1).alias("days_since_order"), F.when(key % 6 != 0, 5).alias("csat_score"), F.when(key % 10 == 0, "per SOP 2.7").otherwise("ok").alias("agent_notes"), F.when(key % 5 == 0, "legacy_fd").otherwise("helpdesk").alias("source_system"),
+        F.col("o_orderdate").alias("first_response_at"), (F.col("o_orderdate") + F.make_dt_interval((key % 9 - 1).cast("int"))).alias("resolved_at"),
+    )
+    refunds = tickets.where("is_refund").withColumn("n_in_group", key % 2 + 1).withColumn("excess", (key % 50).cast("double"))
+    agents = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("agent_id"), F.when(F.col("s_suppkey") % 3 == 0, "2024-01-01").otherwise("").alias("to_date"))
+    source = {
+        "orders": t.where("o_orderstatus <> 'P'").select(key.alias("order_id"), "customer_id", (key % 50).alias("sku")),
+        "customers": read(spark, sf, "customer").where("c_nationkey <> 5").select(F.col("c_custkey").alias("customer_id")),
+        "products": read(spark, sf, "part").where("p_size > 5").select(F.col("p_partkey").alias("sku")),
+        "agents": agents.unionByName(agents.where("agent_id % 4 = 0").withColumn("to_date", F.lit("2024-02-01"))),
+    }
+    unit = quality.detect_unit(raw, "ticket_id", "source_system", "amount", "helpdesk", "legacy_fd")
+    return support_desk.Desk(raw, tickets, refunds, unit, unit.first()["divisor"], source)
+
+
+_PROOF = {"DQ-000": "steps[2].delta", "DQ-001": "pairs", "DQ-002": "duplicate_ids", "DQ-003": "negative_rows", "DQ-004": "links.quoted", "DQ-005": "agents", "DQ-006": "quoted_order_mismatch.customer", "DQ-007": "left_out_unreliable", "DQ-010": "total"}
+_ORPHANS = """(SELECT count(*) FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.customer_id = o_custkey)) + (SELECT count(*) FROM t WHERE id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM o WHERE o.order_id = id))
++ (SELECT count(*) FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.sku = id % 50)) + (SELECT count(*) FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.agent_id = id % 100))
++ (SELECT count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.customer_id = o.customer_id)) + (SELECT count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.sku = o.sku))"""
+
+
+@query(f"""WITH {_DESK}, s AS (SELECT (SELECT CAST(sum(CAST(amount AS {MONEY})) AS DOUBLE) FROM raw) AS raw_total, (SELECT CAST(sum(CAST(CASE WHEN system = 'legacy_fd' THEN amount / 100 ELSE amount END AS {MONEY})) AS DOUBLE) FROM raw) AS unit_total,
+(SELECT CAST(sum(CAST(amount / 100 AS {MONEY})) FILTER (WHERE system = 'legacy_fd') AS DOUBLE) FROM raw) AS legacy_total, (SELECT CAST(sum(CAST(amount AS {MONEY})) AS DOUBLE) FROM t) AS single_total),
+f AS (SELECT 'DQ-000' AS finding_id, 'info' AS severity, (SELECT count(amount) FROM raw) AS affected_rows, round(single_total, 2) AS affected_value, round(single_total - unit_total, 2) AS proof FROM s
+UNION ALL SELECT 'DQ-001', 'critical', (SELECT count(amount) FROM raw WHERE system = 'legacy_fd'), round(legacy_total, 2), (SELECT count(amount) FROM t WHERE id % 7 = 0) FROM s
+UNION ALL SELECT 'DQ-002', 'high', (SELECT count(*) FROM t WHERE id % 7 = 0), round(abs(unit_total - single_total), 2), (SELECT count(*) FROM t WHERE id % 7 = 0) FROM s
+UNION ALL SELECT 'DQ-003', 'high', count(*) FILTER (WHERE id % 5 = 0), NULL, count(*) FILTER (WHERE id % 9 = 0) FROM t
+UNION ALL SELECT 'DQ-004', 'medium', count(*) FILTER (WHERE id % 4 = 0), NULL, count(*) FILTER (WHERE id % 4 <> 0) FROM t
+UNION ALL SELECT 'DQ-005', 'info', (SELECT count(*) FROM a JOIN (SELECT agent_id FROM a GROUP BY 1 HAVING count(*) > 1) m USING (agent_id)), NULL, (SELECT count(DISTINCT agent_id) FROM a)
+UNION ALL SELECT 'DQ-006', 'high', {_ORPHANS}, NULL, (SELECT count(*) FROM t LEFT JOIN o ON o.order_id = id WHERE id % 4 <> 0 AND o.customer_id IS DISTINCT FROM o_custkey)
+UNION ALL SELECT 'DQ-007', 'high', count(*) FILTER (WHERE id % 2 = 1), CAST(sum(id % 50) AS DOUBLE), count(*) FILTER (WHERE id % 4 = 0) FROM t WHERE amount IS NOT NULL
+UNION ALL SELECT 'DQ-008', 'medium', count(*) FILTER (WHERE amount IS NOT NULL AND o_orderstatus = 'P'), NULL, NULL FROM t
+UNION ALL SELECT 'DQ-009', 'medium', count(*) FILTER (WHERE id % 13 = 0), NULL, NULL FROM t
+UNION ALL SELECT 'DQ-010', 'info', count(*) FILTER (WHERE id % 6 = 0), NULL, count(*) FROM t
+UNION ALL SELECT 'DQ-011', 'info', 0, NULL, NULL
+UNION ALL SELECT 'DQ-012', 'info', count(*) FILTER (WHERE id % 10 = 0), NULL, NULL FROM t) SELECT finding_id, severity, CAST(affected_rows AS BIGINT) AS affected_rows, CAST(affected_value AS DOUBLE) AS affected_value, CAST(proof AS DOUBLE) AS proof FROM f""")
+def q_findings(spark, sf):
+    found = support_desk.findings(support_desk.saved(desk_of_orders(spark, sf), Scratch(spark, "desk").path))
+    proof = F.coalesce(*[F.when(F.col("finding_id") == k, F.get_json_object("evidence", f"$.{path}").cast("double")) for k, path in _PROOF.items()])
+    return found.select("finding_id", "severity", "affected_rows", "affected_value", proof.alias("proof"))
