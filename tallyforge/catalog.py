@@ -991,3 +991,27 @@ def q_findings(spark, sf):
     found = support_desk.findings(support_desk.saved(desk_of_orders(spark, sf), Scratch(spark, "desk").path))
     proof = F.coalesce(*[F.when(F.col("finding_id") == k, F.get_json_object("evidence", f"$.{path}").cast("double")) for k, path in _PROOF.items()])
     return found.select("finding_id", "severity", "affected_rows", "affected_value", proof.alias("proof"))
+
+
+_TURNS = f"""x AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN text ELSE substring(text, 1, 20) || ' ' || {_PHRASE_SQL}[(conv_id * 7 + turn) % {len(PHRASES)} + 1] || ' ' || substring(text, 21) END AS message,
+CASE WHEN turn % 2 = 0 THEN text ELSE text || chr(10) || {_PHRASE_SQL}[(conv_id + turn * 5) % {len(PHRASES)} + 1] END AS notes FROM conversations)"""
+
+
+def turns(spark, sf):
+    """Conversation turns as messages and notes, two of three with a phrase within."""
+    phrase = lambda at: F.element_at(F.array(*map(F.lit, PHRASES)), (at % len(PHRASES) + 1).cast("int"))
+    c, t, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    said = F.concat(F.substring(text, 1, 20), F.lit(" "), phrase(c * 7 + t), F.lit(" "), F.substring(text, F.lit(21), F.length(text)))
+    message = F.when((c + t) % 3 == 0, text).otherwise(said)
+    notes = F.when(t % 2 == 0, text).otherwise(F.concat(text, F.lit("\n"), phrase(c + t * 5)))
+    return read(spark, sf, "conversations").select("conv_id", "turn", message.alias("message"), notes.alias("notes"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, {_REASON} AS reason, {_DUAL} AS dual_remedy, {_INTENT} AS intent, {_hit('message', patterns.PERSONAL)} AS personal, array_to_string([f FOR f IN [{_FLAGS}] IF f IS NOT NULL], ',') AS flags, CASE {_FAQ} END AS faq FROM x")
+def q_turn_rules(spark, sf):
+    message, notes = F.col("message"), F.col("notes")
+    rows = turns(spark, sf).withColumn("f", T.faq(message))
+    return rows.select(
+        "conv_id", "turn", T.refund_reason(message, notes).alias("reason"), T.dual_remedy(notes).alias("dual_remedy"), T.intent(message).alias("intent"), T.matches(message, patterns.PERSONAL).alias("personal"),
+        F.array_join(T.injections(message), ",").alias("flags"), F.when(F.col("f").isNotNull(), F.concat_ws("|", "f.answer", "f.section")).alias("faq"),
+    )
