@@ -4,9 +4,11 @@ A rolling hash over seven bytes cuts the text wherever its low bits are all set,
 so cuts follow the content and survive edits elsewhere. Every chunk gives one
 base-64 digit; the fingerprint is ``block:digits:digits at twice the block``.
 The block size is the largest power of two that gives at least 32 digits of the
-expected 64 or so. As is usual for this hash, runs of a digit are cut to three
-and the 64th digit covers whatever chunks are left. Two fingerprints are compared by edit distance where their block
-sizes are equal or differ by a factor of two.
+expected 64 or so. All chunks are in the fingerprint, however many: equal chunks
+in a row are one digit, followed by ``*`` and their number, so a text of one line
+over and over has a short signature that tells how often. Two fingerprints are
+compared by edit distance, over whole signatures, where their block sizes are
+equal or differ by a factor of two.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import table
 
 WINDOW = 7
+#: Runs of chunks that a block size should give at most; where the next one has less than half as many cuts, it gives more.
 DIGITS = 64
 LEAST_BLOCK = 4
 _BASE64 = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
@@ -32,18 +35,30 @@ def _digit(sums: np.ndarray) -> np.ndarray:
     return _BASE64[((sums * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)).astype(np.intp)]
 
 
-def _digits(mixed: np.ndarray, cuts: np.ndarray) -> str:
-    """A digit per chunk, runs of one digit cut to three, the last of ``DIGITS`` for all that is left; chunks end after ``cuts``."""
+def _number(n: int) -> str:
+    """A whole number in base 64, the highest digit first."""
+    out = ""
+    while n:
+        n, digit = divmod(n, 64)
+        out = chr(_BASE64[digit]) + out
+    return out
+
+
+def _runs(mixed: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each run of equal chunks, and how many it has; chunks end after ``cuts``."""
     starts = np.concatenate(([0], cuts + 1))
     sums = np.add.reduceat(mixed, starts[starts < len(mixed)])
-    digits = _digit(sums)
-    same = digits[1:] == digits[:-1]
-    run = np.concatenate(([False] * min(3, len(digits)), same[2:] & same[1:-1] & same[:-2])) if len(digits) > 3 else np.zeros(len(digits), bool)
-    kept = np.flatnonzero(~run)
-    if len(kept) > DIGITS:
-        digits[kept[DIGITS - 1]] = _digit(sums[kept[DIGITS - 1] :].sum(keepdims=True))[0]
-        kept = kept[:DIGITS]
-    return digits[kept].tobytes().decode()
+    begins = np.flatnonzero(np.concatenate(([True], sums[1:] != sums[:-1])))
+    return sums[begins], np.diff(np.append(begins, len(sums)))
+
+
+def _digits(mixed: np.ndarray, cuts: np.ndarray) -> str:
+    """A digit for each run of equal chunks, with its length from two on."""
+    sums, times = _runs(mixed, cuts)
+    digits = _digit(sums).tobytes().decode()
+    if times.max() == 1:
+        return digits
+    return "".join(d if n == 1 else f"{d}*{_number(int(n))}" for d, n in zip(digits, times))
 
 
 def fingerprint(text: str | None) -> str:
@@ -66,6 +81,8 @@ def fingerprint(text: str | None) -> str:
     while len(cuts) < DIGITS // 2 and block > LEAST_BLOCK:
         block //= 2
         cuts = np.flatnonzero((rolled & np.uint32(block - 1)) == block - 1)
+    while len(_runs(mixed, cuts)[0]) > DIGITS and len(fewer := cuts[(rolled[cuts] & np.uint32(2 * block - 1)) == 2 * block - 1]) >= DIGITS // 2:
+        block, cuts = 2 * block, fewer
     wider = cuts[(rolled[cuts] & np.uint32(2 * block - 1)) == 2 * block - 1]
     return f"{block}:{_digits(mixed, cuts)}:{_digits(mixed, wider)}"
 

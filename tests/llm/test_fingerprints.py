@@ -68,11 +68,26 @@ def slow_fingerprint(text):
                 chunk = []
         chunks += [chunk] if chunk else []
         said = lambda sums: letters[(sum(sums) & wide) * 0x9E3779B97F4A7C15 % (1 << 64) >> 58]
-        every = [said(c) for c in chunks]
-        kept = [k for k in range(len(every)) if not (k >= 3 and len(every) > 3 and every[k] == every[k - 1] == every[k - 2] == every[k - 3])]
-        if len(kept) > 64:
-            return "".join(every[k] for k in kept[:63]) + said([m for c in chunks[kept[63] :] for m in c])
-        return "".join(every[k] for k in kept)
+        told, at = "", 0
+        while at < len(chunks):
+            n = 1
+            while at + n < len(chunks) and sum(chunks[at + n]) & wide == sum(chunks[at]) & wide:
+                n += 1
+            count, left = "", n if n > 1 else 0
+            while left:
+                count, left = letters[left % 64] + count, left // 64
+            told += said(chunks[at]) + (f"*{count}" if n > 1 else "")
+            at += n
+        return told
+
+    def count_runs(ends):
+        sums, total = [], 0
+        for i, m in enumerate(mixed):
+            total += m
+            if i in ends or i == len(mixed) - 1:
+                sums.append(total & wide)
+                total = 0
+        return sum(1 for k, x in enumerate(sums) if not k or x != sums[k - 1])
 
     block = 4
     while block * 64 < len(data):
@@ -81,6 +96,8 @@ def slow_fingerprint(text):
         block //= 2
     if not data:
         return "4::"
+    while count_runs(set(cuts(block))) > 64 and len(cuts(2 * block)) >= 32:
+        block *= 2
     return f"{block}:{digits(set(cuts(block)))}:{digits(set(cuts(2 * block)))}"
 
 
@@ -109,3 +126,12 @@ def test_fingerprints_and_likeness_equal_the_slow_way(spark):
     pairs = [(a, b) for a in prints for b in prints]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fp.likeness(F.col("a"), F.col("b")).alias("l")).collect()
     assert all(abs(r["l"] - slow_likeness(r["a"], r["b"])) < 1e-12 for r in got) and any(0.3 < r["l"] < 1 for r in got)
+
+
+def test_no_part_of_a_text_is_left_out():
+    lines = [f"line {i % 97} of a list\n" for i in range(3000)]
+    text = "".join(lines)
+    late = "".join(lines[:2990] + ["another line\n"] + lines[2991:])
+    assert fp.fingerprint(text) != fp.fingerprint(late)
+    assert len({fp.fingerprint("the same line\n" * n) for n in (100, 101, 150, 5000)}) == 4
+    assert len(fp.fingerprint("the same line\n" * 100_000)) < 100
