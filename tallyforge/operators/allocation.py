@@ -49,14 +49,18 @@ def stratified_hash_sample(df: DataFrame, stratum: str, key: str, per_stratum: i
 
 
 def union_distinct(parts: list[DataFrame], key: str) -> DataFrame:
-    """All rows of the parts, a key only once, from the first part that has it."""
+    """All rows of the parts, a key only once, from the first part that has it, there the one whose other columns are smallest.
+
+    Spark keeps a key's first row in each task before rows are shuffled, so a key
+    that most rows have costs no more than another.
+    """
     tagged = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
     out = tagged[0]
     for t in tagged[1:]:
         out = out.unionByName(t)
     rest = [c for c in parts[0].columns if c != key]
-    best = out.groupBy(key).agg(F.min(F.struct("_part", *rest)).alias("_row"))
-    return best.select(key, *[F.col("_row")[c].alias(c) for c in rest])
+    first = Window.partitionBy(key).orderBy("_part", *rest)
+    return out.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(key, *rest)
 
 
 def leftover(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:

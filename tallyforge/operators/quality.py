@@ -17,8 +17,10 @@ def dedupe_by_preference(df: DataFrame, keys: Sequence[str], order: Sequence[Col
     """One row per key, the first in ``order``, with ``duplicate_row_count`` and, for ``variant``, its sorted distinct values.
 
     The best row is an aggregate that combines before the shuffle, so a key that
-    holds a large part of the rows does not pile up in one task. ``order`` should
-    break every tie; descending sorts are written as negated columns.
+    holds a large part of the rows does not pile up in one task; as rows are not
+    fixed-width values, it is one by sorting, in the tasks before the shuffle and
+    after. ``order`` should break every tie; descending sorts are written as
+    negated columns.
     """
     rest = [c for c in df.columns if c not in keys]
     extra = [F.sort_array(F.collect_set(variant)).alias(f"{variant}_variants")] if variant else []
