@@ -11,11 +11,15 @@ whose count still allows the similarity are verified by their whole sets. So no
 link is lost and none is false.
 
 A prefix shingle of more than ``crowd`` texts is not expanded into pairs. Its
-texts are compared with a few of them first, which connects a crowd of near
-copies. Of those that are still in different components, whoever is not in the
-largest one is joined with the others, and only where places allow it: the first
-shingle that two similar sets share stands, on average, within the first ninth
-of them, so of two texts one must have it there.
+texts are compared with a few *pivots* first. The fewer shingles of its own a
+text has, the earlier the shared one stands in its order, so the texts where it
+stands first are in the middle of a crowd of near copies, and link with all that
+are similar to any of them, or nearly so. What these leave apart gets pivots from
+outside the largest component in the same way. Of those that are still in
+different components, whoever is not in the largest one is joined with the
+others, and only where places allow it: the first shingle that two similar sets
+share stands, on average, within the first ninth of them, so of two texts one
+must have it there.
 
 Equal texts are one *node*, named by a hash of their words.
 """
@@ -39,6 +43,7 @@ LEAST = (4, 5)
 SEED = 42
 #: Rows from which frequent shingles are estimated; they set the order only, which decides the cost and never the links.
 _SAMPLE, _FREQUENT, _LISTED = 20_000, 4, 200_000
+#: Pivots of a crowd at a time, the last drawn at random.
 _PIVOTS = 3
 
 
@@ -194,18 +199,39 @@ def links(scratch: Scratch, docs: DataFrame, prints: DataFrame, edges: DataFrame
     # a pair whose first meeting is in a crowd is found there
     pairs = counted.where(F.col("fits") & ((part + whole) * most >= part * (F.col("na") + F.col("nb")))).select("a", "b")
     crowds = not many.isEmpty()
-    if crowds:
+
+    def with_pivots(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+        """Pairs of a few of the ``candidates`` for each key with the ``rows`` of the key."""
+        found = None
         for turn in range(_PIVOTS):
-            pivot = many.groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "part"), F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
-            pairs = pairs.union(pivot.alias("a").join(many.alias("b"), "key").where(sizes & places).select(*ends))
+            drawn = F.xxhash64("node", F.lit(turn))
+            first = F.struct("pos", drawn.alias("drawn")) if turn < _PIVOTS - 1 else drawn
+            pivot = candidates.groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "part"), first).alias("p")).select("key", "p.*")
+            met = pivot.alias("a").join(rows.alias("b"), "key").where(sizes & places).select(*ends)
+            found = met if found is None else found.union(met)
+        return found
+
+    if crowds:
+        pairs = pairs.union(with_pivots(many, many))
     edges = scratch.save(edges.union(verified(scratch, docs, prints, pairs, "near")), "edges")
     if not crowds:
         return edges
-    rest = _apart(scratch, many.select("key", "node", "n", "pos"), edges, "rest")
+
+    def apart(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of keys that are still open, and those of them that are not in their key's largest component."""
+        rest = _apart(scratch, rows.select("key", "node", "n", "pos"), edges, name)
+        largest = rest.groupBy("key", "part").agg(F.count("*").alias("in")).groupBy("key").agg(F.max(F.struct("in", "part")).alias("most")).select("key", F.col("most.part").alias("main"))
+        return rest, rest.join(largest, "key").where("part <> main").drop("main")
+
+    rest, small = apart(many, "rest")
     if rest.isEmpty():
         return edges
-    largest = rest.groupBy("key", "part").agg(F.count("*").alias("in")).groupBy("key").agg(F.max(F.struct("in", "part")).alias("most")).select("key", F.col("most.part").alias("main"))
-    small = rest.join(largest, "key").where("part <> main").drop("main")
+    more = verified(scratch, docs, prints, with_pivots(small, rest), "again")
+    if not more.isEmpty():
+        edges = scratch.save(edges.union(more), "edges-again")
+        rest, small = apart(rest, "rest-again")
+        if rest.isEmpty():
+            return edges
     early = (part + whole) * F.col("pos") <= (whole - part) * F.col("n")
     one = small.where(early).alias("a").join(rest.alias("b"), "key").where(sizes & places).select(*ends)
     other = small.where(~early).alias("a").join(rest.where(early).alias("b"), "key").where(sizes & places).select(*ends)

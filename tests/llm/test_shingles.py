@@ -59,3 +59,20 @@ def test_the_stage_drops_copies_with_some_words_changed(spark):
     rows.append((5, " ".join(base[:500] + [f"y{k}" for k in range(500)])))
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 5]
+
+
+def test_a_crowd_of_near_copies_is_linked_without_its_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    seen = []
+    verify = shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda s, d, p, pairs, name: seen.append(pairs.distinct().count()) or verify(s, d, p, pairs, name))
+    found = {r["id"]: r["component"] for r in shingles.shingle_components(spark.createDataFrame(rows, "id long, text string"), 16).collect()}
+    assert found == brute_groups(rows) and len(set(found.values())) > 20
+    assert sum(seen) < 12 * len(rows)  # of 79,800 pairs
