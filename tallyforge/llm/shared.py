@@ -7,17 +7,14 @@ and the file sizes let Spark choose a broadcast where a side is small.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of a few numbers each that may be sent to every executor.
-BROADCAST_ROWS = 200_000
+from tallyforge.scratch import Scratch, beside, shared_folder
+
+__all__ = ["Scratch", "batches", "beside", "fresh", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +33,6 @@ def batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def beside(df: DataFrame) -> DataFrame:
-    """A saved table of narrow rows, for the small side of a join: broadcast if it is counted as small, else left to the planner."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have, whatever its own are."""
     taken = {c.lower() for c in df.columns}
@@ -51,41 +43,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (local tests) a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables of one operator run, under a folder of its own."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self.clear)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        schema, path = df.schema, f"{self.path}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def clear(self) -> None:
-        """At exit, when no result can be read any more; the session may be gone by then."""
-        if self.spark.sparkContext._jsc is not None:
-            try:
-                self.drop()
-            except Exception:  # noqa: BLE001
-                return
