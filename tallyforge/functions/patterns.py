@@ -61,7 +61,16 @@ INTENT_SECTIONS = {
 REFUND_RULES = "5"
 CLASSIFICATION_SECTIONS = ("5", "6", "10")
 MONEY_INTENTS = ("refund", "billing", "cancellation", "replacement")
-PERSONAL = r"\b(my|mine|i (have|had|was|am|ordered|bought|paid)|order [a-z]{0,2}\d|vr\d{5,}|tk-\d+|c1\d{5})\b"
+#: How orders, tickets and customers are named in the desk's data.
+IDENTIFIERS = (r"vr\d{5,}", r"tk-\d+", r"c1\d{5}")
+
+
+def personal(identifiers: tuple[str, ...] = IDENTIFIERS) -> str:
+    """Words that make a message about its writer's own case, or one of the ``identifiers``."""
+    return r"\b(my|mine|i (have|had|was|am|ordered|bought|paid)|order [a-z]{0,2}\d" + "".join(f"|{p}" for p in identifiers) + r")\b"
+
+
+PERSONAL = personal()
 
 # Attempts to steer a model by its input.
 FENCE = r"<<<\s*/?\s*UNTRUSTED[^>]*>>>"

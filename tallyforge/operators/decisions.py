@@ -200,10 +200,13 @@ def route_simple(amount: Column, replaced: Column, code: Column, message: Column
     )
 
 
-def fallback_route(message: Column, injected: Column) -> Column:
-    """struct(intent, personal, risk, needs_llm, needs_policy, needs_human, cacheable), the safe decision while no router answers."""
+def fallback_route(message: Column, injected: Column, identifiers: tuple[str, ...] = patterns.IDENTIFIERS) -> Column:
+    """struct(intent, personal, risk, needs_llm, needs_policy, needs_human, cacheable), the safe decision while no router answers.
+
+    ``identifiers``: patterns of how the desk names orders, tickets and customers.
+    """
     intent = T.intent(message)
-    personal = T.matches(message, patterns.PERSONAL)
+    personal = T.matches(message, patterns.personal(identifiers))
     money = intent.isin(*patterns.MONEY_INTENTS)
     generic = intent.isin("policy_question", "product_info") & ~personal
     flagged = _true(injected)
