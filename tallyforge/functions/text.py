@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,15 +136,18 @@ def _first_closed(text: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda at: F.when(at["closed"], F.substring(rest, F.lit(1), at["length"])))
 
 
-def _object(text: Column) -> Column:
-    """A text that is one JSON object, as compact JSON with sorted keys; null for any other text."""
-    alone = F.get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>"), F.lit(0))
-    single = F.size(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")) == 1
-    return F.when(single & F.schema_of_variant(alone).startswith("OBJECT"), F.to_json(alone))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _is_json(text: Column) -> Column:
-    return F.coalesce(F.size(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")) == 1, F.lit(False))
+def _object_or(text: Column, other: Column) -> Column:
+    """A text that is one JSON object, as compact JSON with sorted keys; null if it is other JSON, ``other`` if it is none."""
+    alone = lambda found: F.get(found, F.lit(0))
+    own = lambda found: F.when(F.schema_of_variant(alone(found)).startswith("OBJECT"), F.to_json(alone(found)))
+    may = text.rlike(r'^\s*([\[{"0-9-]|(true|false|null)\s*\z)')  # trying to parse prose is dear
+    whole = F.when(may, F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>"))
+    return _let(whole, lambda found: F.when(F.size(found) == 1, own(found)).otherwise(other))
 
 
 def answer_json(text: Column, widest: bool = False) -> Column:
@@ -154,11 +158,19 @@ def answer_json(text: Column, widest: bool = False) -> Column:
     opens, up to the brace that closes it; if that is not well-formed there is
     none, whatever follows. ``widest``, the simpler variant: up to the last brace.
     """
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"^\s+|\s+$", "")
+    none = F.lit(None).cast("string")
     block = r"(?is)```(?:json)?\s*(.*?)```"
-    inner = F.when(bare.rlike(block), F.regexp_replace(F.regexp_extract(bare, block, 1), r"^\s+|\s+$", "")).otherwise(bare)
-    within = F.nullif(F.regexp_extract(inner, r"(?s)\{.*\}", 0), F.lit("")) if widest else _first_closed(inner)
-    return F.when(inner == "", None).when(_is_json(inner), _object(inner)).otherwise(_object(within))
+    trimmed = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+
+    def within(inner: Column) -> Column:
+        part = F.nullif(F.regexp_extract(inner, r"(?s)\{.*\}", 0), F.lit("")) if widest else _first_closed(inner)
+        return F.when(F.contains(inner, F.lit("{")), _let(part, lambda p: F.when(p.isNotNull(), _object_or(p, none))))
+
+    def read(bare: Column) -> Column:
+        inner = F.when(F.contains(bare, F.lit("```")) & bare.rlike(block), trimmed(F.regexp_extract(bare, block, 1))).otherwise(bare)
+        return _let(inner, lambda i: F.when(i != "", _object_or(i, within(i))))
+
+    return _let(trimmed(F.regexp_replace(text, r"(?is)<think>.*?</think>", "")), read)
 
 
 def faq(question: Column) -> Column:
