@@ -23,7 +23,7 @@ DIM = 512
 WIDE_DIM = 65_536
 _DEVIATIONS = 4
 #: N-grams whose products with the prototypes a task remembers.
-_KNOWN = 1 << 20
+_KNOWN = 1 << 18
 ORDER = 3
 MAX_TRAINING = 50_000
 UNKNOWN = "und"

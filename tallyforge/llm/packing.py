@@ -36,7 +36,7 @@ WINDOW = 2048
 SEPARATOR = 1
 #: Words that are remembered: the longest, in characters, and the bytes of all of them together.
 LONGEST_CACHED = 64
-MAX_CACHED_BYTES = 160 << 20
+MAX_CACHED_BYTES = 48 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 #: What a vocabulary file must say for its texts to be tokenized word by word.
 _BY_WORDS = {
