@@ -74,7 +74,7 @@ class Units:
 
 def places(sentinels: tuple[str, str, str] = SENTINELS):
     """Pandas UDF of (text, h1, h2): units, ends of prefix and middle in code points, and whether a sentinel stands in the text."""
-    kept = []  # one automaton for each worker; it is made where it is used
+    kept = []  # the automaton is made once a task, where it is used
 
     def scan(texts: pd.Series, one: pd.Series, two: pd.Series) -> pd.DataFrame:
         if not kept:
