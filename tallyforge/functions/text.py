@@ -92,14 +92,20 @@ def token_estimate(characters: Column, messages: Column) -> Column:
 MISSING = "\u2014"
 
 
+def _marked(value: Column, places: int) -> Column:
+    """``format_number`` with every digit: of a double above 2**53 it would print only those that tell it from its neighbours."""
+    size, binary = F.abs(value), F.typeof(value).isin("double", "float")
+    return F.when(binary & (size >= 2.0**53) & (size < 2.0**63), F.format_number(value.try_cast("long"), places)).otherwise(F.format_number(value, places))
+
+
 def rupees(value: Column) -> Column:
-    """Whole rupees with thousands marked, halves to even; a dash for null."""
-    return F.coalesce(F.concat(F.lit("\u20b9"), F.format_number(value, 0)), F.lit(MISSING))
+    """Whole rupees with thousands marked, halves to even; zero has no sign, though a debt that rounds to it has; a dash for null."""
+    return F.coalesce(F.concat(F.lit("\u20b9"), F.when(value == 0, "0").otherwise(_marked(value, 0))), F.lit(MISSING))
 
 
 def percent(value: Column) -> Column:
     """One decimal place, halves to even; a dash for null."""
-    return F.coalesce(F.concat(F.replace(F.format_number(value, 1), F.lit(",")), F.lit("%")), F.lit(MISSING))
+    return F.coalesce(F.concat(F.replace(_marked(value, 1), F.lit(",")), F.lit("%")), F.lit(MISSING))
 
 
 def within_budget(tokens: Column, used: Column, budget: int) -> Column:
