@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.patterns import CLASSIFICATION_SECTIONS, INTENT_SECTIONS, MONEY_INTENTS, REFUND_RULES, STOP_WORDS
+from tallyforge.operators import cosines
 
 K1, B = 1.4, 0.75
-_BLOCK = 256
 
 
 def terms(text: Column) -> Column:
@@ -82,31 +82,21 @@ def force_include(found: DataFrame, queries: DataFrame, item: Column, needed: Co
     return shifted.unionByName(lacking.select("query_id", item.alias("item_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision; null where either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def cached_answer(asked: DataFrame, cache: DataFrame, least: float = 0.93, skip_own: bool = False) -> DataFrame:
     """The nearest cached entry of each question of the same scope with a cosine of at least ``least``.
 
-    ``asked``: query_id, scope, v; ``cache``: entry_id, scope, v. A scope is one
-    policy version and intent and holds the entries that are still alive. The
-    questions and entries of a scope are dealt to blocks of about ``_BLOCK``, every
-    block of questions meets every block of entries, and the best of each meeting
-    are reduced to one per question, so a large scope spreads over many tasks.
-    ``skip_own``: an entry of the question's own id is no answer to it.
+    ``asked``: query_id, scope, v; ``cache``: entry_id, scope, v; ids are not null.
+    A scope is one policy version and intent and holds the entries that are still
+    alive. The questions and entries of a scope are dealt to blocks of bounded
+    size, every block of questions meets every block of entries in a product of
+    matrices (``cosines``), and the best of each meeting are reduced to one per
+    question, so a large scope spreads over many tasks and no pair is a row.
+    Vectors that are null, zero or hold null or non-finite components have and are
+    no answer. ``skip_own``: an entry of the question's own id is no answer to it.
     """
-    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / _BLOCK).alias(name))
-    sizes = blocks(asked, "_rows").join(blocks(cache, "_cols"), "scope")
-    dealt = lambda df, own, mine, each: (
-        df.join(sizes, "scope").withColumn(mine, F.pmod(F.xxhash64(own), F.col(f"{mine}s"))).withColumn(each, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{each}s") - 1))).drop("_rows", "_cols")
-    )
-    left = dealt(asked, "query_id", "_row", "_col")
-    right = dealt(cache.withColumnRenamed("v", "cv"), "entry_id", "_col", "_row")
-    pairs = left.join(right, ["scope", "_row", "_col"])
-    if skip_own:
-        pairs = pairs.where("query_id <> entry_id")
-    pairs = pairs.withColumn("similarity", cosine(F.col("v"), F.col("cv"))).where(F.col("similarity") >= least)
-    return pairs.groupBy("query_id").agg(F.max_by("entry_id", F.struct("similarity", -F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
+    counted = lambda df, name, size: df.groupBy("scope").agg(cosines.blocks(F.count("*"), size).alias(name))
+    sizes = counted(asked, "_rows", cosines.ASKED).join(counted(cache, "_cols", cosines.HELD), "scope")
+    dealt = lambda df, own, mine, other: df.join(sizes, "scope").withColumn(mine, cosines.dealt(own, F.col(f"{mine}s"))).withColumn(other, cosines.each(F.col(f"{other}s"))).drop("_rows", "_cols")
+    left = dealt(asked.select("scope", "query_id", "v"), "query_id", "_row", "_col")
+    right = dealt(cache.select("scope", "entry_id", F.col("v").alias("cv")), "entry_id", "_col", "_row")
+    return cosines.best(cosines.met(left, right, ["scope", "_row", "_col"], least, skip_own))
