@@ -1,7 +1,7 @@
 
 import numpy as np
 
-from tallyforge.operators import nearest
+from tallyforge.operators import cosines, nearest, retrieval
 
 
 def test_exact_with_few_comparisons(spark, tmp_path):
@@ -40,3 +40,19 @@ def test_nothing_to_find(spark, tmp_path):
     asked = spark.createDataFrame([(1, "x", [1.0, 0.0])], "query_id long, scope string, v array<double>")
     assert nearest.nearest(asked, index).count() == 0
     assert nearest.nearest(asked.limit(0), nearest.append(asked.withColumnRenamed("query_id", "entry_id"), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_vectors_without_clusters_as_all_pairs(spark, tmp_path, monkeypatch):
+    """Bounds do not help: blocks meet, no pair is a row, and cosines are those of ``cached_answer`` to the last bit."""
+    monkeypatch.setattr(cosines, "ASKED", 30)
+    monkeypatch.setattr(cosines, "HELD", 20)
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(500, 7)).astype(np.float32)
+    vectors[400:] = 3 * vectors[:100]
+    frame = spark.createDataFrame([(2**60 + i, i % 2, v.tolist()) for i, v in enumerate(vectors)], "id long, scope int, v array<float>")
+    asked, entries, path = frame.where("id % 4 = 0").withColumnRenamed("id", "query_id"), frame.withColumnRenamed("id", "entry_id"), f"file://{tmp_path}/index"
+    nearest.write_index(entries.where("entry_id % 3 <> 0"), path, cells=8)
+    found = nearest.nearest(asked, nearest.append(entries.where("entry_id % 3 = 0"), path), 0.2, skip_own=True)
+    got = sorted(map(tuple, found.collect()))
+    assert len(got) == 125 and got == sorted(map(tuple, retrieval.cached_answer(asked, entries, 0.2, skip_own=True).collect()))
+    assert not any("Join" in line and ("_row" in line or "ring#" in line) for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
