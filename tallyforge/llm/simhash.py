@@ -62,7 +62,8 @@ def links(scratch: Scratch, distinct: DataFrame, crowd: int = 64) -> DataFrame:
     # a small table would be one task, and 64 times as many rows leave it
     variants = distinct.repartition(parts, "fp").select("fp", "rep", F.explode(variant_keys("fp")).alias("key"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.save(variants.join(shared, "key"), "members")
+    # Spark sizes both sides as if nothing were exploded, and would broadcast the variants of a small table
+    members = scratch.save(variants.join(shared.hint("merge"), "key"), "members")
     few = members.where(F.col("n") <= crowd)
     left = few.select("key", F.col("fp").alias("fp_a"), F.col("rep").alias("a"))
     right = few.select("key", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))

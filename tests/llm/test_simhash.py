@@ -71,3 +71,13 @@ def test_documents(odd):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 6, 7, 8, 9]
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_exploded_variants_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes 64 variants of a row as one; a table below its threshold would go to the driver 64 times over."""
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}) or save(self, df, name))
+    scratch = Scratch(spark, "test")
+    distinct = scratch.save(spark.createDataFrame([(i * 0x1234567, i) for i in range(50)] + [(1, 99)], "fp long, rep long"), "distinct")
+    assert {tuple(r) for r in simhash.links(scratch, distinct).collect()} == {(0, 99)}
+    assert "Generate" in plans["members"] and "Broadcast" not in plans["members"]
