@@ -122,32 +122,59 @@ def _anchor_hash(keys: np.ndarray) -> np.ndarray:
     return _mix(two[:, 0] * np.uint64(0x9E3779B97F4A7C15) + _mix(two[:, 1]))
 
 
-def _encode(keys: np.ndarray, counts: np.ndarray, doc: np.ndarray, pos: np.ndarray, doc_ids: np.ndarray, marks: np.ndarray) -> bytes:
-    """A front-coded run: distinct sorted keys, and for each its occurrences (document of the run, position)."""
+def _encode(keys: np.ndarray, counts: np.ndarray, doc: np.ndarray, pos: np.ndarray, doc_ids: np.ndarray, marks: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Front-coded blocks of a run: distinct sorted keys, and for each its occurrences (document of the run, position).
+
+    ``ends``: where blocks of keys end, 0 before; an empty block is empty bytes.
+    All blocks are coded at once, since there may be far more of them than keys in one.
+    """
+    sizes = np.diff(ends)
+    filled = np.flatnonzero(sizes)
     shared = _shared(keys)
+    shared[ends[filled]] = 0
     rest = keys[np.arange(_KEY) >= shared[:, None]]
-    used, doc = np.unique(doc, return_inverse=True)
-    steps = np.diff(doc_ids[used], prepend=0)
-    parts = [shared, rest, counts.astype("<u4"), doc.astype("<u4"), pos.astype("<u4"), steps.astype("<i8"), marks[used].astype("<i8")]
-    blobs = [p.tobytes() for p in parts]
-    return zstandard.compress(struct.pack("<7Q", *map(len, blobs)) + b"".join(blobs), 3)
+    block = np.repeat(np.repeat(np.arange(len(sizes)), sizes), counts)
+    used, doc = np.unique(block * len(doc_ids) + doc, return_inverse=True)
+    owner, used = np.divmod(used, max(1, len(doc_ids)))
+    doc_ends = np.searchsorted(owner, np.arange(len(ends)))
+    doc = doc - doc_ends[block]
+    ids = doc_ids[used]
+    steps = np.diff(ids, prepend=0)
+    steps[doc_ends[filled]] = ids[doc_ends[filled]]
+    rest_ends = np.concatenate(([0], np.cumsum(_KEY - shared.astype(np.int64))))[ends]
+    times = np.concatenate(([0], np.cumsum(counts)))[ends]
+    columns = [(shared, ends), (rest, rest_ends), (counts.astype("<u4"), ends), (doc.astype("<u4"), times), (pos.astype("<u4"), times), (steps.astype("<i8"), doc_ends), (marks[used].astype("<i8"), doc_ends)]
+    pack, out = zstandard.ZstdCompressor(level=3).compress, [b""] * len(sizes)
+    for p in filled.tolist():
+        blobs = [c[at[p] : at[p + 1]].tobytes() for c, at in columns]
+        out[p] = pack(struct.pack("<7Q", *map(len, blobs)) + b"".join(blobs))
+    return out
 
 
-def _decode(payload: bytes) -> tuple[np.ndarray, ...]:
-    """keys, counts, doc_id and mark and position of each occurrence."""
-    data = zstandard.decompress(payload)
-    at, blobs = 56, []
-    for size in struct.unpack_from("<7Q", data):
-        blobs.append(data[at : at + size])
-        at += size
-    shared, rest = np.frombuffer(blobs[0], np.uint8).astype(np.int64), np.frombuffer(blobs[1], np.uint8)
-    counts, doc, pos = (np.frombuffer(b, "<u4").astype(np.int64) for b in blobs[2:5])
-    ids, marks = np.cumsum(np.frombuffer(blobs[5], "<i8")), np.frombuffer(blobs[6], "<i8")
+def _decode(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of blocks one after the other: keys, counts, doc_id and mark and position of each occurrence, and how many keys each block has."""
+    unpack, kinds = zstandard.ZstdDecompressor().decompress, ("u1", "u1", "<u4", "<u4", "<u4", "<i8", "<i8")
+    columns: list[list[bytes]] = [[] for _ in kinds]
+    for payload in payloads:
+        data = unpack(payload)
+        at = 56
+        for column, size in zip(columns, struct.unpack_from("<7Q", data)):
+            column.append(data[at : at + size])
+            at += size
+    sizes, times, docs = (np.array([len(b) // w for b in columns[k]], np.int64) for k, w in ((0, 1), (3, 4), (5, 8)))
+    shared, rest, counts, doc, pos, steps, marks = (np.frombuffer(b"".join(c), kind) for c, kind in zip(columns, kinds))
+    del columns
+    shared, counts, pos = shared.astype(np.int64), counts.astype(np.int64), pos.astype(np.int64)
+    first = np.cumsum(docs) - docs
+    doc = doc.astype(np.int64) + np.repeat(first, times)
+    ids = np.cumsum(steps)  # over all blocks; what those before add up to goes, whatever it wraps around to
+    ids = ids - np.repeat(np.concatenate(([0], ids))[first], docs)
+    # a block's first key shares nothing with the one before
     begins = np.concatenate(([0], np.cumsum(_KEY - shared)[:-1])) - shared
     keys, rows = np.empty((len(shared), _KEY), np.uint8), np.arange(len(shared))
     for c in range(_KEY):
         keys[:, c] = rest[begins[np.maximum.accumulate(np.where(shared <= c, rows, 0))] + c]
-    return keys, counts, ids[doc], marks[doc], pos
+    return keys, counts, ids[doc], marks[doc], pos, sizes
 
 
 def merge_runs(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,31 +268,30 @@ def _earlier_windows(keys: np.ndarray, first: np.ndarray, names: np.ndarray) ->
 
 def resolve(payloads: list[bytes]) -> pd.DataFrame | None:
     """Byte ranges that go, from all runs of one set of anchors."""
-    runs = [_decode(p) for p in payloads]
-    first_doc = [np.minimum.reduceat(r[2], np.cumsum(r[1]) - r[1]) if len(r[1]) else r[2] for r in runs]
-    last_doc = [np.maximum.reduceat(r[2], np.cumsum(r[1]) - r[1]) if len(r[1]) else r[2] for r in runs]
-    hashes = np.concatenate([_anchor_hash(r[0]) for r in runs])
+    keys, counts, docs, marks, pos, sizes = _decode(payloads)
+    begins = np.cumsum(counts) - counts
+    hashes = _anchor_hash(keys)
     names, group = np.unique(hashes, return_inverse=True)
     low, high = np.full(len(names), _LAST, np.int64), np.full(len(names), -(1 << 63), np.int64)
-    np.minimum.at(low, group, np.concatenate(first_doc))
-    np.maximum.at(high, group, np.concatenate(last_doc))
-    several = (low < high)[group]
-    kept, begin = [], 0
-    for keys, counts, docs, marks, pos in runs:
-        keep = several[begin : begin + len(keys)]
-        begin += len(keys)
-        occurs = np.repeat(keep, counts)
-        kept.append((keys[keep], counts[keep], docs[occurs], marks[occurs], pos[occurs]))
-    del runs, hashes, group, several
-    if not sum(len(k[0]) for k in kept):
+    np.minimum.at(low, group, np.minimum.reduceat(docs, begins))
+    np.maximum.at(high, group, np.maximum.reduceat(docs, begins))
+    keep = (low < high)[group]
+    if not keep.any():
         return None
-    run, at, have = merge_runs([np.ascontiguousarray(k[0]).view(f"V{_KEY}")[:, 0].tolist() for k in kept], [_shared(k[0]).tolist() for k in kept])
+    occurs, sizes = np.repeat(keep, counts), np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+    keys, counts, docs, marks, pos = keys[keep], counts[keep], docs[occurs], marks[occurs], pos[occurs]
+    del hashes, group, keep, occurs, begins
+    sizes = sizes[sizes > 0]
+    starts = np.cumsum(sizes) - sizes
+    shared = _shared(keys)
+    shared[starts] = 0
+    heads, have = np.ascontiguousarray(keys).view(f"V{_KEY}")[:, 0].tolist(), shared.tolist()
+    spans = [slice(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist())]
+    run, at, have = merge_runs([heads[s] for s in spans], [have[s] for s in spans])
+    del heads
 
     # everything below is in merged order
-    entry = np.cumsum([0] + [len(k[0]) for k in kept])[run] + at
-    keys = np.concatenate([k[0] for k in kept])
-    counts = np.concatenate([k[1] for k in kept])
-    docs, marks, pos = (np.concatenate([k[c] for k in kept]) for c in (2, 3, 4))
+    entry = starts[run] + at
     order = _expand((np.cumsum(counts) - counts)[entry], counts[entry])
     docs, marks, pos, counts = docs[order], marks[order], pos[order], counts[entry]
     variant_new, anchor_new = have < _KEY, have < ANCHOR
@@ -499,17 +525,15 @@ def repeated_ranges(rows: DataFrame, first: DataFrame, parts: int, crowd: int =
         counts, distinct, part = np.diff(np.append(begins, len(keys))), keys[begins], part[begins]
         by_part = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[by_part], np.arange(parts * SLICES + 1))
+        at = _expand(begins[by_part], counts[by_part])
+        distinct, counts, pos = distinct[by_part], counts[by_part], pos[at]
+        del keys
         ids, marks = batch["doc"].to_numpy(np.int64), batch["mark"].to_numpy(np.int64)
         rank = np.argsort(ids, kind="stable")
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
-        doc = place[doc]
-        out = []
-        for p in range(parts * SLICES):
-            own = by_part[ends[p] : ends[p + 1]]
-            if len(own):
-                at = _expand(begins[own], counts[own])
-                out.append((p // SLICES, p, _encode(distinct[own], counts[own], doc[at], pos[at], ids[rank], marks[rank])))
+        blocks = _encode(distinct, counts, place[doc[at]], pos, ids[rank], marks[rank], ends)
+        out = [(p // SLICES, p, block) for p, block in enumerate(blocks) if block]
         return pd.DataFrame(out, columns=["part", "slice", "payload"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -168,3 +169,24 @@ def test_an_anchor_in_very_many_segments(spark, monkeypatch):
     rng = random.Random(12)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
     check(spark.createDataFrame([(i, f"{rng.random()} " + passage[rng.randrange(30) :] + f" {rng.random()}") for i in range(40)], "doc_id long, text string"))
+
+
+def test_blocks_of_a_run_are_coded_at_once():
+    """Empty, single and large blocks come back as they were, and a key costs about as much in a block of its own: at 6 GB there are millions of those."""
+    rng = np.random.default_rng(4)
+    ids, marks = np.sort(rng.integers(-(1 << 62), 1 << 62, 50)), rng.integers(-(1 << 62), 1 << 62, 50)
+    ids[-1] = suffixes._LAST
+    took = {}
+    for sizes in ([0, 1, 0, 40, 3, 0, 700, 0], [3000], [1] * 3000):
+        sizes = np.array(sizes)
+        keys = rng.integers(0, 3, (sizes.sum(), suffixes._KEY)).astype(np.uint8)
+        keys[:, :40] = 7
+        counts = rng.integers(1, 5, len(keys))
+        doc, pos = rng.integers(0, 50, counts.sum()), rng.integers(0, 1 << 31, counts.sum())
+        began = time.process_time()
+        blocks = suffixes._encode(keys, counts, doc, pos, ids, marks, np.concatenate(([0], np.cumsum(sizes))))
+        got = suffixes._decode([b for b in blocks if b])
+        took[len(sizes)] = time.process_time() - began
+        assert [bool(b) for b in blocks] == [n > 0 for n in sizes.tolist()]
+        assert all(np.array_equal(a, b) for a, b in zip(got, (keys, counts, ids[doc], marks[doc], pos, sizes[sizes > 0])))
+    assert took[3000] < 20 * took[1]
