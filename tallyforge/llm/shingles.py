@@ -180,7 +180,8 @@ def links(scratch: Scratch, docs: DataFrame, prints: DataFrame, edges: DataFrame
     """Edges (a, b) between nodes that, with ``edges``, connect whatever all links connect."""
     postings = prints.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = scratch.save(postings.join(shared, "key", "left_semi").select("key", "node", "n", "pos").distinct(), "members")
+    # Spark sizes both sides as if nothing were exploded, and would broadcast the keys of a small table
+    members = scratch.save(postings.join(shared.hint("merge"), "key", "left_semi").select("key", "node", "n", "pos").distinct(), "members")
     open_ = _apart(scratch, members, edges, "open")
     few, many = open_.where(F.col("size") <= crowd), open_.where(F.col("size") > crowd)
     part, whole = LEAST

@@ -1,6 +1,7 @@
 import random
 
 from tallyforge.llm import shingles, simhash
+from tallyforge.llm.shared import Scratch
 
 
 def brute_set(text):
@@ -76,3 +77,14 @@ def test_a_crowd_of_near_copies_is_linked_without_its_pairs(spark, monkeypatch):
     found = {r["id"]: r["component"] for r in shingles.shingle_components(spark.createDataFrame(rows, "id long, text string"), 16).collect()}
     assert found == brute_groups(rows) and len(set(found.values())) > 20
     assert sum(seen) < 12 * len(rows)  # of 79,800 pairs
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the keys of a text as one; those of a table below its threshold would go to the driver."""
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}) or save(self, df, name))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, " ".join(words[::-1]))], "id long, text string")
+    rows = shingles.shingle_rows(Scratch(spark, "test"), docs).collect()
+    assert len({r["part"] for r in rows if r["id"] < 3}) == 1 and len({r["part"] for r in rows}) == 2
+    assert "Generate" in plans["members"] and "Broadcast" not in plans["members"]
