@@ -158,7 +158,10 @@ def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFr
     side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.pandas_udf(alike, "boolean")("set_a", "set_b"))
     with batches(scratch.spark):
-        return scratch.save(both.select("a", "b"), name)
+        found = scratch.save(both.select("a", "b"), name)
+    for done in ("pairs", "asked", "wanted", "sets"):
+        scratch.drop(f"{name}-{done}")
+    return found
 
 
 def _places_fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
@@ -169,11 +172,14 @@ def _places_fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
 
 def _apart(scratch: Scratch, members: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(key, node, n, pos, part, size) of keys that nodes of different components have; part is a node's component so far."""
-    found = connected_components(Scratch(scratch.spark, name), edges)
+    own = Scratch(scratch.spark, name)
+    found = connected_components(own, edges)
     m = F.col
     placed = members.alias("m").join(beside(found).alias("f"), m("m.node") == m("f.node"), "left").select("m.key", "m.node", "m.n", "m.pos", F.coalesce("f.component", "m.node").alias("part"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    return scratch.save(placed.join(open_, "key"), name)
+    saved = scratch.save(placed.join(open_, "key"), name)
+    own.drop()
+    return saved
 
 
 def links(scratch: Scratch, docs: DataFrame, prints: DataFrame, edges: DataFrame, crowd: int = 64) -> DataFrame:
@@ -183,6 +189,7 @@ def links(scratch: Scratch, docs: DataFrame, prints: DataFrame, edges: DataFrame
     # Spark sizes both sides as if nothing were exploded, and would broadcast the keys of a small table
     members = scratch.save(postings.join(shared.hint("merge"), "key", "left_semi").select("key", "node", "n", "pos").distinct(), "members")
     open_ = _apart(scratch, members, edges, "open")
+    scratch.drop("members")
     few, many = open_.where(F.col("size") <= crowd), open_.where(F.col("size") > crowd)
     part, whole = LEAST
     at = lambda side, c: F.col(f"{side}.{c}")

@@ -2,6 +2,7 @@ import random
 
 from tallyforge.llm import shingles, simhash
 from tallyforge.llm.shared import Scratch
+from tallyforge.scratch import path_of
 
 
 def brute_set(text):
@@ -88,3 +89,16 @@ def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
     rows = shingles.shingle_rows(Scratch(spark, "test"), docs).collect()
     assert len({r["part"] for r in rows if r["id"] < 3}) == 1 and len({r["part"] for r in rows}) == 2
     assert "Generate" in plans["members"] and "Broadcast" not in plans["members"]
+
+
+def test_tables_that_are_done_go(spark):
+    """Of the tables on the way only what is read later stays."""
+    scratch = Scratch(spark, "test")
+    docs = scratch.save(spark.createDataFrame([(i, " ".join(f"w{i % 3}{k}" for k in range(20)) + f" {i}") for i in range(30)], "id long, text string"), "docs")
+    prints = shingles.prints_of(scratch, docs)
+    pairs = prints.alias("a").crossJoin(prints.alias("b")).selectExpr("a.node as a", "b.node as b")
+    found = shingles.verified(scratch, docs, prints, pairs, "ahead")
+    shingles.links(scratch, docs, prints, found)
+    path, store = path_of(spark, scratch.path)
+    assert {f.getPath().getName() for f in store.listStatus(path)} & {"ahead-pairs", "ahead-asked", "ahead-wanted", "ahead-sets", "near-pairs", "near-sets", "members"} == set()
+    assert found.count() > 0
