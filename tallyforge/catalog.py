@@ -591,16 +591,20 @@ def q_cost_rollup(spark, sf):
     return reports.call_costs(calls, ["role"], "tokens_in", "tokens_out", F.col("upstream"), (0.6, 1.8), 88.0)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS entry_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+def _nearest_sql(asked: str) -> str:
+    return f"""WITH q AS (SELECT vec_id AS query_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings{asked}), e AS (SELECT vec_id AS entry_id, label AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT query_id, entry_id, list_cosine_similarity(q.v, e.v) AS similarity FROM q JOIN e USING (scope) WHERE query_id <> entry_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rn FROM s WHERE similarity >= 0.3) SELECT query_id, entry_id, round(similarity, 6) AS similarity FROM r WHERE rn = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rn FROM s WHERE similarity >= 0.3) SELECT query_id, entry_id, round(similarity, 6) AS similarity FROM r WHERE rn = 1"""
+
+
+@query(_nearest_sql(""))
 def q_cached_answer(spark, sf):
     v = read(spark, sf, "embeddings").withColumnRenamed("label", "scope").withColumnRenamed("embedding", "v")
-    found = retrieval.cached_answer(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "entry_id"), 0.3, skip_own=True)
+    found = retrieval.cached_answer(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "entry_id"), 0.3, skip_own=True)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(ORACLES["q_cached_answer"])
+@query(_nearest_sql(" WHERE vec_id % 20 = 0"))
 def q_cached_index(spark, sf):
     v = read(spark, sf, "embeddings").withColumnRenamed("label", "scope").withColumnRenamed("embedding", "v")
     entries, path = v.withColumnRenamed("vec_id", "entry_id"), Scratch(spark, "vectors").path

@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tallyforge import catalog
 from tallyforge.operators import cosines, retrieval
 
 
@@ -41,3 +42,10 @@ def test_cosines_whose_lengths_leave_the_doubles(spark):
     frame = spark.createDataFrame([(1, "x", [1e-120, 0.0]), (2, "x", [1e-100, 1e-100]), (3, "x", [1e120, 1e119])], "id long, scope string, v array<double>")
     found = retrieval.cached_answer(frame.withColumnRenamed("id", "query_id"), frame.withColumnRenamed("id", "entry_id"), 0.3, skip_own=True)
     assert {(r["query_id"], r["entry_id"], round(r["similarity"], 6)) for r in found.collect()} == {(1, 3, 0.995037), (2, 3, 0.773957), (3, 1, 0.995037)}
+
+
+def test_every_row_of_the_table_asks(spark, tables):
+    """Questions were the ids divisible by 20 only."""
+    asked = duckdb.sql(f"SELECT DISTINCT q.vec_id FROM '{tables}/embeddings.parquet' q JOIN '{tables}/embeddings.parquet' e USING (label) WHERE q.vec_id <> e.vec_id AND list_cosine_similarity(q.embedding, e.embedding) >= 0.31").fetchall()
+    found = {r["query_id"] for r in catalog.QUERIES["q_cached_answer"](spark, tables).collect()}
+    assert {x for (x,) in asked} <= found and any(x % 20 for x in found)
