q_first_contact_resolution, q_repeat_contacts: deal tickets by issue once

Symptom: both queries (one shared operator, repeat_contacts) shuffled 110 MB written and 119 read for 2.7 MB of orders, and read the table nine times.
Evidence: 3 executors, 150,000 orders: 40 and 41 exchanges, 8 sort-merge joins, 20 sorts, 40 and 39 MB most in a task, 1598 and 1728 CPU seconds a GB (a table this small counts as 0.01 GB). Counts were made by key and moment, by key and day and by key, each from scans of its own, and four joins took them back to the tickets.
Fix: a ticket asks as one row among the changes of a running sum, so nothing is joined back. Tickets are exchanged by their issue once and become rows after that. Only issues with over 1,000 tickets, found by a bounded sketch in each task (1,000 hashes at most are broadcast), are still cut by day with totals carried. Tickets without an issue are not shuffled.

@@ -7,35 +7,62 @@ stand for the same issue; nothing published computes it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.decisions import REPEAT_DAYS
 from tallyforge.operators.reports import ratio
 
 _DAY = 24 * 3600 * 1_000_000
+#: Tickets of an issue that one task may hold; an issue with more is cut by day.
+_BUSY = 1_000
+#: Busy issues at most, and issues that a task's sketch remembers.
+_BUSIEST, _TRACKED = 1_000, 4_000
 
 
-def counts_until(asked: DataFrame, events: DataFrame, key: Sequence[str], at: str, moment: str) -> DataFrame:
-    """(key, at, n) for the distinct (key, at) of ``asked``: how many ``events`` of the key have a ``moment`` up to and with ``at``.
+def _moments(rows: DataFrame, key: Sequence[str], at: Column, changes: Sequence[tuple[Column, int]]) -> DataFrame:
+    """Each row at its ``at``, where it asks, and each change at its moment, with only the key and a weight."""
+    moment = lambda t, n, asked: F.struct(t.alias("t"), F.lit(n).cast("long").alias("n"), F.lit(asked).alias("asked"))
+    each = rows.withColumn("_m", F.explode(F.array(moment(at, 0, True), *[moment(t, n, False) for t, n in changes]))).where("_m.asked or _m.t is not null")
+    kept = [F.when(F.col("_m.asked"), F.col(c)).alias(c) for c in rows.columns if c not in key]
+    return each.select(*key, *kept, F.col("_m.t").alias("_t"), F.col("_m.n").alias("_n"), F.col("_m.asked").alias("_asked"))
 
-    Both times are whole microseconds. A key's work is cut by day: a running count
-    within the day, and what the days before hold carried over their totals, so a
-    key with a large part of the rows spreads over its days and no task holds
-    more of it than a day, or one row a day. Null keys and times count nowhere.
+
+def _dealt(df: DataFrame, key: Sequence[str], times: int = 1) -> DataFrame:
+    """By the key to so many times the shuffle partitions. Adaptive execution does not join these: their bytes are few for the rows that a task makes of them."""
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+def counts_until(rows: DataFrame, key: Sequence[str], at: Column, changes: Sequence[tuple[Column, int]], name: str, by_day: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``name`` (long): what the ``changes`` (moment, weight) of the key's rows add up to, up to and with the row's ``at``.
+
+    Times are whole microseconds; a change without a moment counts nowhere. A row
+    asks beside the changes, so nothing is joined back to it, and rows that are
+    dealt by the key already are not shuffled again. ``by_day`` has the rows whose
+    changes count, if the key's work is to be cut by day: a running sum within the
+    day, and what the days before hold carried over their totals, so no task holds
+    more of a key than a day, or one row a day.
     """
-    day = lambda c: F.expr(f"({c} - pmod({c}, {_DAY}L)) div {_DAY}L")
-    known = " and ".join(f"`{c}` is not null" for c in key)
-    moments = events.where(known).select(*key, F.col(moment).alias("_t")).where("_t is not null").groupBy(*key, "_t").agg(F.count("*").alias("_n"))
-    times = asked.where(known).select(*key, F.col(at).alias("_t")).where("_t is not null").distinct()
-    rows = moments.withColumn("_asked", F.lit(False)).unionByName(times.withColumns({"_n": F.lit(0).cast("long"), "_asked": F.lit(True)})).withColumn("_day", day("_t"))
-    upto = Window.partitionBy(*key, "_day").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("_own", F.sum("_n").over(upto)).where("_asked").drop("_asked", "_n")
-    days = rows.groupBy(*key, "_day").agg(F.sum("_n").alias("_n"))
+    each = _moments(rows, key, at, changes)
+    upto = lambda *cut: Window.partitionBy(*key, *cut).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    if by_day is None:
+        return each.withColumn(name, F.sum("_n").over(upto())).where("_asked").select(*rows.columns, name)
+    dated = lambda df: df.withColumn("_day", F.expr(f"(_t - pmod(_t, {_DAY}L)) div {_DAY}L"))
+    own = _dealt(dated(each), [*key, "_day"]).withColumn("_own", F.sum("_n").over(upto("_day"))).where("_asked")
+    days = dated(_moments(by_day, key, at, changes)).groupBy(*key, "_day").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy(*key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carried = days.select(*key, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return own.join(carried, [*key, "_day"]).select(*key, F.col("_t").alias(at), (F.col("_before") + F.col("_own")).alias("n"))
+    return own.join(carried, [*key, "_day"]).select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
+def busy_issues(tickets: DataFrame, issue: Sequence[str]) -> DataFrame:
+    """``_issue``: hashes of the issues with more than ``_BUSY`` tickets, ``_BUSIEST`` at most. One that is left out has some thousandth of all tickets, or fewer."""
+    hashed = f"xxhash64({', '.join(f'`{c}`' for c in issue)})"
+    top = tickets.agg(F.expr(f"approx_top_k({hashed}, {_BUSIEST}, {_TRACKED})").alias("_top"))
+    return top.select(F.inline("_top")).where(F.col("count") > _BUSY).select(F.col("item").alias("_issue"))
 
 
 def repeat_contacts(tickets: DataFrame, issue: Sequence[str], created: str, resolved: str, days: int = REPEAT_DAYS) -> DataFrame:
@@ -46,28 +73,32 @@ def repeat_contacts(tickets: DataFrame, issue: Sequence[str], created: str, reso
     the first contact resolved the issue. resolutions_before: other tickets of
     the issue that were resolved within ``days`` before this one was created; any
     makes it a repeat contact. A ticket never counts for itself. A ticket without
-    all parts of its issue, or its creation, stands alone. Both counts are
-    differences of counts up to two moments (``counts_until``), so no tickets are
-    paired, and a busy issue is cut by day.
+    all parts of its issue, or its creation, stands alone. Both are sums up to a
+    moment (``counts_until``): a creation counts for what is resolved in the
+    ``days`` before it, a resolution for what is created in the ``days`` after it.
+    So no tickets are paired. Tickets are dealt by their issue once, and only busy
+    issues are cut by day.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    span = days * _DAY
-    rows = tickets.withColumns({"_c": micros(created), "_r": micros(resolved)})
-    ends = {"_r0": F.col("_r"), "_r1": F.col("_r") + span, "_c0": F.col("_c") - span - 1, "_c1": F.col("_c") - 1}
-    rows = rows.withColumns(ends)
-    told = rows
-    for moment, first, last in (("_c", "_r0", "_r1"), ("_r", "_c0", "_c1")):
-        asked = rows.select(*issue, F.explode(F.array(first, last)).alias("_at"))
-        counts = counts_until(asked, rows, issue, "_at", moment)
-        for end in (first, last):
-            told = told.join(counts.withColumnsRenamed({"_at": end, "n": f"{end}_n"}), [*issue, end], "left")
-    itself = F.coalesce(((F.col("_c") > F.col("_r")) & (F.col("_c") <= F.col("_r") + span)).cast("long"), F.lit(0))
-    whole = F.col(issue[0]).isNotNull()
-    for c in issue[1:]:
-        whole = whole & F.col(c).isNotNull()
-    after = F.when(whole, F.col("_r1_n") - F.col("_r0_n") - itself).otherwise(0)
-    before = F.when(whole & F.col("_c").isNotNull(), F.col("_c1_n") - F.col("_c0_n") - F.coalesce(((F.col("_r") < F.col("_c")) & (F.col("_r") >= F.col("_c") - span)).cast("long"), F.lit(0))).otherwise(0)
-    return told.select(*tickets.columns, F.when(F.col("_r").isNotNull(), after).cast("long").alias("contacts_after"), before.cast("long").alias("resolutions_before"))
+    c, r, span = micros(created), micros(resolved), days * _DAY
+    counted = reduce(and_, [F.col(k).isNotNull() for k in issue]) & (c.isNotNull() | r.isNotNull())
+    known, alone = tickets.where(counted), tickets.where(~counted)
+    busy = F.broadcast(busy_issues(known, issue))
+    is_busy = F.xxhash64(*issue) == F.col("_issue")
+    itself = lambda hit: F.coalesce(hit.cast("long"), F.lit(0))
+
+    def told(rows: DataFrame, by_day: DataFrame | None = None) -> DataFrame:
+        # A ticket without the time at which it would ask is told nothing; at its other time, as nulls would meet in one task.
+        rows = counts_until(rows, issue, F.coalesce(r, c), [(c - span, 1), (c, -1)], "_after", by_day)
+        rows = counts_until(rows, issue, F.coalesce(c - 1, r), [(r, 1), (r + span, -1)], "_before", by_day)
+        after = F.when(r.isNotNull(), F.col("_after") - itself((c > r) & (c <= r + span)))
+        before = F.when(c.isNotNull(), F.col("_before") - itself((r < c) & (r >= c - span))).otherwise(0)
+        return rows.select(*tickets.columns, after.cast("long").alias("contacts_after"), before.cast("long").alias("resolutions_before"))
+
+    quiet = _dealt(known.join(busy, is_busy, "left_anti"), issue, 2)  # a ticket is three rows after it
+    often = known.join(busy, is_busy, "left_semi")
+    none = alone.select(*tickets.columns, F.when(r.isNotNull(), 0).cast("long").alias("contacts_after"), F.lit(0).cast("long").alias("resolutions_before"))
+    return told(quiet).unionByName(told(often, often)).unionByName(none)
 
 
 def first_contact_resolution(told: DataFrame, attended: F.Column, cost: F.Column) -> DataFrame:
